@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seekframe.llm.licenses import OP7_SQL, op7_license_scan
 from seekframe.llm.scratch import ship
 from seekframe.llm.secrets import op9_secret_scan
+from seekframe.llm.url_filter import op8_url_filter
 
+QUERIES = (op7_license_scan, op8_url_filter, op9_secret_scan)
+ORACLES = {"op7_license_scan": OP7_SQL}
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -21,8 +25,8 @@ def _shipped(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: _shipped(f) for f in (op9_secret_scan,)}
+    return {f.__name__: _shipped(f) for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
