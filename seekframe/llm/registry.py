@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from seekframe.llm.licenses import OP7_SQL, op7_license_scan
 from seekframe.llm.scratch import ship
 from seekframe.llm.secrets import op9_secret_scan
+from seekframe.llm.substring_dedup import op1_substring_dedup
 from seekframe.llm.url_filter import op8_url_filter
 
-QUERIES = (op7_license_scan, op8_url_filter, op9_secret_scan)
+QUERIES = (op1_substring_dedup, op7_license_scan, op8_url_filter, op9_secret_scan)
 ORACLES = {"op7_license_scan": OP7_SQL}
 Query = Callable[[SparkSession, str], DataFrame]
 
