@@ -33,9 +33,11 @@ from tokenizers import Tokenizer, pre_tokenizers
 from seekframe.llm.words import Roller, text_arrays
 from seekframe.tables import table
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
 #: Words a bucket remembers at once; beyond that it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
+#: Texts whose ids are put together at once.
+TEXTS = 64
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: What follows an apostrophe in a word of its own, as code points. Fixed by the pre-tokenizer's pattern.
 ENDINGS = [(115,), (116,), (114, 101), (118, 101), (109,), (108, 108), (100,)]
@@ -152,17 +154,21 @@ class Splitter:
         return starts, np.append(starts[1:], n), np.searchsorted(starts, bounds)
 
 
-def _pack(arrays: list[np.ndarray]) -> bytes:
-    return b"".join([np.array([len(arrays), *(a.nbytes for a in arrays)], np.int64).tobytes(), *(a.tobytes() for a in arrays)])
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of unsigned numbers, each in the fewest of 1, 2 or 4 bytes, compressed."""
+    small = [a.astype(next(k for k in (np.uint8, np.uint16, np.uint32) if not len(a) or a.max() <= np.iinfo(k).max)) for a in arrays]
+    body = b"".join(a.tobytes() for a in small)
+    head = np.array([len(body), *(x for a in small for x in (a.itemsize, len(a)))], np.int64).tobytes()
+    return head + (pa.compress(body, "zstd", asbytes=True) if body else b"")
 
 
-def _unpack(packed: bytes, kinds: list[type]) -> list[np.ndarray]:
-    sizes = np.frombuffer(packed, np.int64, len(kinds), 8)
-    at = 8 * (len(kinds) + 1)
-    out = []
-    for kind, size in zip(kinds, sizes.tolist(), strict=True):
-        out.append(np.frombuffer(packed, kind, size // np.dtype(kind).itemsize, at))
-        at += size
+def _unpack(packed: bytes, n: int) -> list[np.ndarray]:
+    size, *head = np.frombuffer(packed, np.int64, 2 * n + 1).tolist()
+    body = pa.decompress(packed[8 * (2 * n + 1) :], size, "zstd", asbytes=True) if size else b""
+    out, at = [], 0
+    for width, count in zip(head[::2], head[1::2], strict=True):
+        out.append(np.frombuffer(body, f"u{width}", count, at))
+        at += width * count
     return out
 
 
@@ -184,34 +190,50 @@ def _split_pass(classes: tuple, added: list[str], buckets: int, id_type: pa.Data
             while first < batch.num_rows:
                 last = int(np.searchsorted(bounds, bounds[first] + BLOCK_BYTES, "right")) - 1
                 last = min(max(last, first + 1), batch.num_rows)
-                part = data[bounds[first] : bounds[last]]
-                starts, ends, words = splitter.split(part, bounds[first : last + 1] - bounds[first])
-                hashes = roller.of_bytes(part, starts, ends)
-                known, at, place = np.unique(hashes, return_index=True, return_inverse=True)
-                # keys of blocks lie above those of buckets
-                mark = f"{batch.column('id')[first]} {batch.column('id')[last - 1]} {last - first} {roller.slices(hashes, np.array([0]), np.array([len(hashes)]))[0]}"
-                block = (int.from_bytes(hashlib.sha256(mark.encode()).digest()[:8]) & ((1 << 62) - 1)) | (1 << 40)
-                place = place.astype(np.uint32)
-                planes = [(place & 255).astype(np.uint8), ((place >> 8) & 255).astype(np.uint8), ((place >> 16) & 255).astype(np.uint8), (place >> 24).astype(np.uint8)]
-                body = _pack([np.diff(words).astype(np.uint32), *(np.frombuffer(pa.compress(p.tobytes(), "zstd", asbytes=True) if len(p) else b"", np.uint8) for p in planes)])
-                rows = {"key": [block], "block": [block], "bucket": [-1], "ids": [batch.column("id").slice(first, last - first).to_pylist()], "packed": [body]}
-                of = ((known >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                cuts = np.flatnonzero(np.diff(of, prepend=-1, append=buckets))
-                sizes = ends[at] - starts[at]
-                letters = part[ragged(starts[at], sizes)]
-                spans = np.concatenate([[0], np.cumsum(sizes)])
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    rows["key"].append(int(of[a]))
-                    rows["block"].append(block)
-                    rows["bucket"].append(int(of[a]))
-                    rows["ids"].append(None)
-                    rows["packed"].append(_pack([sizes[a:b].astype(np.uint32), letters[spans[a] : spans[b]]]))
-                yield pa.RecordBatch.from_pydict(rows, schema)
+                yield _block(data, bounds[first : last + 1], batch.column("id").slice(first, last - first), splitter, roller, buckets, schema)
                 first = last
 
     return run
 
 
+def _block(data: np.ndarray, bounds: np.ndarray, ids: pa.Array, splitter: Splitter, roller: Roller, buckets: int, schema: pa.Schema) -> pa.RecordBatch:
+    """A block's rows: its words' places under its own key, its distinct words under their buckets' keys."""
+    hashes, counts, known, sizes, letters = [], [], [], [], []
+    first, n = 0, len(bounds) - 1
+    while first < n:
+        last = int(np.searchsorted(bounds, bounds[first] + PIECE_BYTES, "right")) - 1
+        last = min(max(last, first + 1), n)
+        part = data[bounds[first] : bounds[last]]
+        starts, ends, words = splitter.split(part, bounds[first : last + 1] - bounds[first])
+        own = roller.of_bytes(part, starts, ends)
+        new, at = np.unique(own, return_index=True)
+        hashes.append(own)
+        counts.append(np.diff(words))
+        known.append(new)
+        sizes.append((ends - starts)[at])
+        letters.append(part[ragged(starts[at], sizes[-1])])
+        first = last
+    words, at = np.unique(np.concatenate(known), return_index=True)
+    size, begin = np.concatenate(sizes), np.concatenate([[0], np.cumsum(np.concatenate(sizes))[:-1]]) if len(words) else np.zeros(0, np.int64)
+    text = np.concatenate(letters)
+    place = np.concatenate([np.searchsorted(words, h).astype(np.uint32) for h in hashes])
+    # the planes of a number's bytes compress better than the numbers; keys of blocks lie above those of buckets
+    planes = [(place >> np.uint32(8 * i)) & np.uint32(255) for i in range(4)]
+    mark = f"{ids[0]} {ids[-1]} {n} {len(place)} {hashlib.sha256(place.tobytes()).hexdigest()} {hashlib.sha256(words.tobytes()).hexdigest()}"
+    block = (int.from_bytes(hashlib.sha256(mark.encode()).digest()[:8]) & ((1 << 62) - 1)) | (1 << 40)
+    rows: dict[str, list] = {"key": [block], "block": [block], "bucket": [-1], "ids": [ids.to_pylist()], "packed": [_pack(np.concatenate(counts), *planes)]}
+    of = ((words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(of, prepend=-1, append=buckets))
+    for a, b in itertools.pairwise(cuts.tolist()):
+        rows["key"].append(int(of[a]))
+        rows["block"].append(block)
+        rows["bucket"].append(int(of[a]))
+        rows["ids"].append(None)
+        own = at[a:b]
+        rows["packed"].append(_pack(size[own], text[ragged(begin[own], size[own])]))
+    return pa.RecordBatch.from_pydict(rows, schema)
+
+
 def _encode_pass(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _tokenizer(path).encode_batch_fast
@@ -221,10 +243,10 @@ def _encode_pass(path: str):
             for block, bucket, packed in zip(batch.column("block").to_pylist(), batch.column("bucket").to_pylist(), batch.column("packed"), strict=True):
                 if bucket < 0:
                     continue
-                sizes, letters = _unpack(packed.as_py(), [np.uint32, np.uint8])
-                ends = np.cumsum(sizes, dtype=np.int64)
+                size, letters = _unpack(packed.as_py(), 2)
+                ends = np.cumsum(size, dtype=np.int64)
                 raw = letters.tobytes()
-                words = [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+                words = [raw[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
                 if len(known) > REMEMBERED:
                     known.clear()
                 new = [w for w in words if w not in known]
@@ -234,44 +256,62 @@ def _encode_pass(path: str):
                 counts = np.array([len(i) // 4 for i in ids], np.uint32)
                 out["block"].append(block)
                 out["bucket"].append(bucket)
-                out["answer"].append(_pack([counts, np.frombuffer(b"".join(ids), np.uint32)]))
+                out["answer"].append(_pack(counts, np.frombuffer(b"".join(ids), np.uint32)))
             yield pa.RecordBatch.from_pydict(out, pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("answer", pa.binary())]))
 
     return run
 
 
-def _place_pass(id_type: pa.DataType):
+def _place_pass(id_type: pa.DataType, path: str | None):
+    """Ids of each block's texts, a few texts at a time; with a ``path`` also what they decode to."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pieces_of(path) if path else None
         for batch in batches:
-            for row in range(batch.num_rows):
-                counts, *planes = _unpack(batch.column("packed")[row].as_py(), [np.uint32, *[np.uint8] * 4])
-                total = int(counts.sum(dtype=np.int64))
-                place = np.zeros(total, np.int64)
-                if total:
-                    for i, p in enumerate(planes):
-                        place |= np.frombuffer(pa.decompress(p.tobytes(), total, "zstd", asbytes=True), np.uint8).astype(np.int64) << (8 * i)
+            for row in np.flatnonzero(batch.column("bucket").to_numpy() < 0).tolist():
+                counts, *planes = _unpack(batch.column("packed")[row].as_py(), 5)
+                place = np.zeros(len(planes[0]), np.uint32)
+                for i, p in enumerate(planes):
+                    place |= p.astype(np.uint32) << np.uint32(8 * i)
                 told = {a["bucket"]: a["answer"] for a in (batch.column("answers")[row].as_py() or [])}
-                sizes, ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+                sizes, ids = [np.zeros(0, np.uint8)], [np.zeros(0, np.uint8)]
                 for bucket in sorted(told):
-                    c, i = _unpack(told[bucket], [np.uint32, np.uint32])
+                    c, i = _unpack(told[bucket], 2)
                     sizes.append(c)
                     ids.append(i)
                 size, known = np.concatenate(sizes).astype(np.int64), np.concatenate(ids)
                 begin = np.cumsum(size) - size
                 own = batch.column("ids")[row].values
                 bounds = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-                for a in range(0, len(own), 256):  # memory follows a few texts, not the block
-                    b = min(a + 256, len(own))
+                for a in range(0, len(own), TEXTS):
+                    b = min(a + TEXTS, len(own))
                     p = place[bounds[a] : bounds[b]]
                     flat = known[ragged(begin[p], size[p])].astype(np.int32)
                     ends = np.concatenate([[0], np.cumsum(size[p])])[bounds[a : b + 1] - bounds[a]]
-                    yield pa.RecordBatch.from_arrays([own.slice(a, b - a).cast(id_type), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], ["id", "ids"])
+                    columns = [own.slice(a, b - a).cast(id_type), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))]
+                    if pieces:
+                        columns.append(_decoded(flat, ends, pieces))
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"][: len(columns)])
 
     return run
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids: array<int>) for every row. ``path``: a tokenizers file that all workers can read."""
+def _decoded(ids: np.ndarray, bounds: np.ndarray, pieces: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Array:
+    """The texts of ids[bounds[i] : bounds[i + 1]]: their pieces' bytes, one after another."""
+    data, starts, sizes = pieces
+    out = []
+    for a, b in itertools.pairwise(bounds.tolist()):
+        own = ids[a:b]
+        own = own[(own >= 0) & (own < len(sizes))]
+        out.append(data[ragged(starts[own], sizes[own])].tobytes().decode("utf-8", "replace"))
+    return pa.array(out, pa.string())
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, ids: array<int>) for every row, and with ``decoded`` what decode() would add, without another pass.
+
+    ``path``: a tokenizers file that all workers can read.
+    """
     added, plain = settings(path)
     if not plain:
         raise ValueError("only plain byte-level BPE tokenizers are supported")
@@ -287,15 +327,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     answers = told.groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
     # buckets' rows find no answer under their own key; blocks without words have none either
     met = sent.join(answers, sent["key"] == answers["of"], "left").drop("of")
-    placed = met.mapInArrow(_only_blocks(_place_pass(id_type)), T.StructType([T.StructField("id", id_kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
-    return placed.select(F.col("id").alias(id_col), "ids")
-
-
-def _only_blocks(body):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from body(b.filter(pa.compute.less(b.column("bucket"), 0)) for b in batches)
-
-    return run
+    fields = [T.StructField("id", id_kind), T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.StringType())] * decoded
+    placed = met.mapInArrow(_place_pass(id_type, path if decoded else None), T.StructType(fields))
+    return placed.withColumnRenamed("id", id_col)
 
 
 @cache
@@ -319,21 +353,14 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     """``encoded`` with ``decoded``, the text of the ids; of no or null ids the empty text. Unknown ids add nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, starts, sizes = pieces_of(path)
-        for batch in batches:
-            rows = batch.column(ids_col)
-            bounds = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(rows).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
-            ids = rows.flatten().to_numpy(zero_copy_only=False)
-            ids = np.where((ids >= 0) & (ids < len(sizes)), ids, len(sizes))
-            begin, size = np.append(starts, 0), np.append(sizes, 0)
-            out = []
-            for a in range(0, len(rows), 64):
-                b = min(a + 64, len(rows))
-                own = ids[bounds[a] : bounds[b]]
-                raw = data[ragged(begin[own], size[own])].tobytes()
-                ends = np.concatenate([[0], np.cumsum(size[own])])[bounds[a : b + 1] - bounds[a]].tolist()
-                out += [raw[x:y].decode("utf-8", "replace") for x, y in itertools.pairwise(ends)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
+        pieces = pieces_of(path)
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                rows = batch.column(ids_col)
+                bounds = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(rows).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+                out = _decoded(rows.flatten().to_numpy(zero_copy_only=False), bounds, pieces)
+                yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "decoded"])
 
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
     return encoded.mapInArrow(run, schema)
@@ -341,7 +368,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row."""
-    both = decode(encode(docs, path, id_col, text_col), path, id_col)
+    both = encode(docs, path, id_col, text_col, decoded=True)
     return both.select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
