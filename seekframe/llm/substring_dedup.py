@@ -201,17 +201,19 @@ def repeated_windows(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id"
     heads = firsts.where(f"n >= {words} and first is not null").select(F.col("first").alias("id"), "c1").distinct()
     own = rows.where(f"n >= {words}").select("id", "c1", "halves").join(heads, ["id", "c1"], "left_semi")
     halves = scratch.keep(own.select("id", F.explode("halves").alias("half"), "c1").distinct())
-    shared = halves.groupBy("half").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("half")
+    # kept, so that both sides of the join below are shuffled and a hot key's rows can be split
+    shared = scratch.keep(halves.groupBy("half").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("half"))
     found = scratch.keep(halves.join(shared, "half", "left_semi").groupBy("id").agg(F.collect_set("half").alias("halves")))
-    scratch.drop(halves)
+    scratch.drop(halves, shared)
 
     candidates = scratch.keep(source.join(found, "id").mapInArrow(_named, f"id {kind}, text string, halves array<long>, c1 long"))
     scratch.drop(found)
     windows = scratch.keep(candidates.mapInArrow(_windows_pass(words), f"w1 long, w2 long, id {kind}, c1 long, at int"))
     least = windows.groupBy("w1", "w2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    least = scratch.keep(least.drop("last"))
     repeats = windows.join(least, ["w1", "w2"]).where("id > first")
     spans = scratch.keep(repeats.groupBy("id", "c1").agg(F.array_distinct(F.collect_list("at")).alias("starts")))
-    scratch.drop(windows)
+    scratch.drop(windows, least)
     return texts, candidates.select("id", "c1", "text"), spans, scratch
 
 
