@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,9 +42,9 @@ from seekframe.tables import table
 
 SIZE = 5
 EXTRA = 0.15
-MEMBERS, GRAMS = 2048, 2_000_000
-#: Sieved n-grams that a bucket holds on average, at most.
-BUCKET = 1_000_000
+MEMBERS, GRAMS = 16_384, 2_000_000
+#: Sieved n-grams that a bucket holds on average, at most; and the fewest buckets.
+BUCKET, BUCKETS = 500_000, 64
 ROUNDS = 3
 
 
@@ -125,7 +126,8 @@ def _sieve_pass(buckets: int):
                 several |= ~new
                 counted = np.bincount(text[several], minlength=len(n))
                 own = np.flatnonzero(counted)
-                yield _sieve_rows(np.full(len(own), -1), [b""] * len(own), [b""] * len(own), d1[own], counted[own])
+                # what the block has counted itself goes to any bucket, which passes it on
+                yield _sieve_rows(d1[own] % buckets, [b""] * len(own), [b""] * len(own), d1[own], counted[own])
                 grams, owner = hashes[new], np.where(several[new], len(n), text[new])
                 bucket = ((grams & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
@@ -146,7 +148,11 @@ def _sieve_rows(bucket: np.ndarray, grams: list[bytes], classes: list[bytes], d1
 
 
 def _shared(rows: pa.Table) -> pa.Table:
-    """How many of each class's n-grams in a bucket other classes have. Class 0 stands for several of one block."""
+    """How many of each class's n-grams in a bucket other classes have. Class 0 stands for several of one block.
+
+    Rows that blocks have counted themselves are added.
+    """
+    ready = rows.filter(pc.greater(rows.column("counted"), 0))
     grams = np.frombuffer(b"".join(rows.column("grams").to_pylist()), np.uint64)
     classes = np.frombuffer(b"".join(rows.column("classes").to_pylist()), np.int64)
     order = np.argsort(grams, kind="stable")
@@ -159,17 +165,25 @@ def _shared(rows: pa.Table) -> pa.Table:
         of, counts = np.unique(classes[shared], return_counts=True)
     else:
         of = counts = np.zeros(0, np.int64)
-    return pa.table([pa.array(of.astype(np.int64)), pa.array(counts.astype(np.int64))], ["d1", "counted"])
+    of = np.concatenate([of.astype(np.int64), ready.column("d1").to_numpy()])
+    counts = np.concatenate([counts.astype(np.int64), ready.column("counted").to_numpy()])
+    of, place = np.unique(of, return_inverse=True)
+    return pa.table([pa.array(of), pa.array(np.bincount(place, weights=counts, minlength=len(of)).astype(np.int64))], ["d1", "counted"])
 
 
 def _members_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of candidates' texts; a text of the candidate's id that isn't of its class is left."""
     shingles = Shingles()
     for batch in batches:
+        of = batch.column("of")
         for piece in pieces(batch.column("text"), lower=True):
             hashes, bounds = shingles.sets(piece)
             d1, d2 = shingles.digests(hashes, bounds)
+            part = slice(piece.first, piece.first + len(piece))
+            same = np.logical_and.reduce([of.field(i).to_numpy()[part] == x for i, x in enumerate((d1, d2, np.diff(bounds)))])
             grams = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(piece.first, len(piece)), pa.array(np.diff(bounds)), pa.array(d1), pa.array(d2), grams], ["id", "n", "d1", "d2", "grams"])
+            rows = pa.RecordBatch.from_arrays([batch.column("key").slice(piece.first, len(piece)), batch.column("id").slice(piece.first, len(piece)), pa.array(np.diff(bounds)), grams], ["key", "node", "n", "grams"])
+            yield rows.filter(pa.array(same))
 
 
 class PrefixTree:
@@ -257,7 +271,7 @@ def _tree_pass(rows: pa.Table) -> pa.Table:
     rows = rows.combine_chunks()
     grams = rows.column("grams").combine_chunks()
     flat = grams.flatten().to_numpy(zero_copy_only=False)
-    bounds = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(grams).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(grams).to_numpy(zero_copy_only=False), dtype=np.int64)])
     known, place, count = np.unique(flat, return_inverse=True, return_counts=True)
     rank = np.empty(len(known), np.uint32)
     rank[np.lexsort((known, -count))] = np.arange(len(known), dtype=np.uint32)
@@ -323,24 +337,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", member
     classes = scratch.keep(rows.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("node")))
 
     grams = (rows.agg(F.sum("n").alias("n")).first()["n"] or 0) * (0.25 + EXTRA)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(-(-grams // BUCKET)))
+    buckets = max(BUCKETS, int(-(-grams // BUCKET)))
     sieved = source.where("id is not null").mapInArrow(_sieve_pass(buckets), "bucket long, grams binary, classes binary, d1 long, counted long")
-    # rows with a bucket are packed n-grams, the others what a block counted by itself: both from one pass
-    sieved = scratch.keep(sieved)
-    told = sieved.where("bucket >= 0").select("bucket", "grams", "classes").groupBy("bucket").applyInArrow(_shared, "d1 long, counted long")
-    told = told.unionByName(sieved.where("bucket < 0").select("d1", "counted")).groupBy("d1").agg(F.sum("counted").alias("counted"))
+    told = sieved.groupBy("bucket").applyInArrow(_shared, "d1 long, counted long").groupBy("d1").agg(F.sum("counted").alias("counted"))
     enough = F.greatest(F.lit(1), F.floor(F.ceil(3 * F.col("n") / 4) * EXTRA).cast("long"))
-    left = scratch.keep(classes.join(told, "d1").where(F.col("counted") >= enough).select("d1", "d2", "n", "node"))
-    scratch.drop(sieved)
+    left = classes.join(told, "d1").where(F.col("counted") >= enough).select("d1", "d2", "n", "node")
+    left = scratch.keep(left.withColumn("key", F.monotonically_increasing_id()))
 
-    texts = source.join(left.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
-    made = texts.mapInArrow(_members_pass, "id long, n long, d1 long, d2 long, grams array<long>")
-    keys = left.select(F.col("d1").alias("key"), "d1", "d2", "n", F.col("node").alias("id"), "node")
-    members = scratch.keep(made.join(keys, ["d1", "d2", "n", "id"]).select("key", "node", "n", "grams").dropDuplicates(["key"]))
+    # ids of candidates have no bound on their number: never broadcast, the same plan at every size
+    wanted = left.select(F.col("node").alias("id"), "key", F.struct("d1", "d2", "n").alias("of")).hint("merge")
+    members = scratch.keep(source.join(wanted, "id").mapInArrow(_members_pass, "key long, node long, n long, grams array<long>"))
 
-    each = members.select("key", "n", F.explode("grams").alias("gram"))
+    each = members.select("key", F.explode("grams").alias("gram"))
     several = scratch.keep(each.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"))
-    shared = each.join(several, "gram").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    shared = each.join(several, "gram").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g")).join(left.select("key", "n"), "key")
     head = F.floor(F.col("n") / 4).cast("int") + 1 - (F.col("n").cast("int") - F.size("g"))
     prefix = scratch.keep(shared.where(head > 0).select("key", "n", F.explode(F.slice("g", F.lit(1), head)["gram"]).alias("gram")))
     scratch.drop(several)
@@ -348,18 +358,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", member
     stars = prefix.groupBy("gram").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("gram", "low")
     near = components(prefix.join(stars, "gram").select(F.col("key").alias("a"), F.col("low").alias("b")), scratch)
     near = scratch.keep(near.select(F.col("node").alias("key"), F.col("component").alias("near")))
-    sized = members.select("key", "n").join(near, "key").groupBy("near").agg(F.count("*").alias("c"), F.sum("n").alias("g"))
+    sized = left.select("key", "n").join(near, "key").groupBy("near").agg(F.count("*").alias("c"), F.sum("n").alias("g"))
     sized = scratch.keep(sized.select("near", F.greatest(F.ceil(F.col("c") / members_most), F.ceil(F.col("g") / grams_most)).cast("int").alias("deals")))
-    dealt = members.join(near, "key").join(sized, "near").withColumn("deal", F.pmod(F.xxhash64("key"), F.col("deals")))
+    deals = near.join(sized, "near").select("key", "near", F.pmod(F.xxhash64("key"), F.col("deals")).alias("deal"))
+    dealt = members.join(deals, "key")
     parts = scratch.keep(dealt.select("near", "deal", "key", "grams").groupBy("near", "deal").applyInArrow(_tree_pass, "key long, part long"))
     if not sized.where("deals > 1").isEmpty():
         large = near.join(sized.where("deals > 1"), "near", "left_semi").select("key")
         parts = _between(parts, prefix.join(large, "key", "left_semi"), members, scratch)
 
-    named = parts.join(members.select("key", "node"), "key")
+    named = parts.distinct().join(left, "key")
     component = named.groupBy("part").agg(F.min("node").alias("component"))
-    by_node = named.join(component, "part").select(F.col("key").alias("d1"), "node", "component")
-    classed = classes.join(by_node, ["d1", "node"], "left").select("d1", "d2", "n", F.coalesce("component", "node").alias("component"))
+    by_class = named.join(component, "part").select("d1", "d2", "n", "component")
+    classed = classes.join(by_class, ["d1", "d2", "n"], "left").select("d1", "d2", "n", F.coalesce("component", "node").alias("component"))
     out = rows.join(classed, ["d1", "d2", "n"], "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
