@@ -25,6 +25,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -358,7 +359,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
             for at in range(0, whole.num_rows, TEXTS):
                 batch = whole.slice(at, TEXTS)
                 rows = batch.column(ids_col)
-                bounds = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(rows).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+                bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(rows).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
                 out = _decoded(rows.flatten().to_numpy(zero_copy_only=False), bounds, pieces)
                 yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "decoded"])
 
