@@ -6,21 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekframe.tables import table
+from seekframe.plans import oracles, queries as plans
 
 Query = Callable[[SparkSession, str], DataFrame]
-
-
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-
-
-FLAGSHIP: Query = _documents
+FLAGSHIP: Query = plans.hybrid_search
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {f.__name__: f for f in plans.ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
