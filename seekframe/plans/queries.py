@@ -195,7 +195,7 @@ def line_windows(spark: SparkSession, d: str) -> DataFrame:
 def _ranges(spark: SparkSession, d: str) -> DataFrame:
     wide = fragments.query_windows(corpus.files(spark, d), ["license", "token"])
     head = wide.select("path", F.lit("HEAD").alias("type"), "start_line", F.least(F.col("end_line"), F.col("start_line") + 1).alias("end_line"), F.lit(0.4).alias("score"))
-    tail = wide.select("path", F.lit("TAIL").alias("type"), (F.col("end_line") - F.pmod(F.crc32(F.encode("path", "UTF-8")), F.lit(3))).cast("int").alias("start_line"), "end_line", F.lit(0.6).alias("score"))
+    tail = wide.select("path", F.lit("TAIL").alias("type"), (F.col("end_line") - F.length("path") % 3).cast("int").alias("start_line"), "end_line", F.lit(0.6).alias("score"))
     return head.unionByName(tail).where("start_line >= 1")
 
 
