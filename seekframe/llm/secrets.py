@@ -203,3 +203,42 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_written(F.col("base")), 256).alias("base_sha256"),
         _written(F.col("found")).alias("spans"),
     )
+
+
+def _sql_quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _sql_found(pattern: str, rank: int) -> str:
+    p = _sql_quoted(pattern)
+    return f"""SELECT doc_id, {rank} AS rank, ms[i] AS s, coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS start
+      FROM (SELECT doc_id, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, {p}) AS ms, string_split_regex(t, {p}) AS ps FROM d WHERE regexp_matches(t, {p})))"""
+
+
+def _sql_written(rows: str) -> str:
+    return f"SELECT doc_id, string_agg({list(KINDS)}[rank + 1] || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS w FROM {rows} GROUP BY doc_id"
+
+
+_SQL_MOST = "CASE " + " ".join(f"WHEN regexp_matches(s, {_sql_quoted(p)}) THEN {most_sum(b)}" for _, p, b in CLASSES) + " END"
+_SQL_COST = f"list_sum(list_transform(list_distinct(string_split(x, '')), lambda ch: {CLOGC}[len(list_filter(string_split(x, ''), lambda y: y = ch)) + 1]))"
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS (
+  SELECT doc_id, rank, start, start + length(s) AS stop FROM (
+    SELECT * FROM ({_sql_found(ASSIGN, 0)}) WHERE length(regexp_extract(s, {_sql_quoted(ASSIGN)}, 2)) >= 12
+    UNION ALL {_sql_found(ACCESS, 1)} UNION ALL {_sql_found(HEX, 2)})
+),
+candidates AS (
+  SELECT * FROM ({_sql_found(CANDIDATE, 3)}) WHERE regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]') AND NOT ({" OR ".join(f"regexp_matches(s, {_sql_quoted(p)})" for p in ALLOW)})
+),
+high AS (SELECT doc_id, start, j FROM (SELECT doc_id, start, s, j, substr(s, j, {WINDOW}) AS x FROM (SELECT *, unnest(range(1, length(s) - {WINDOW - 2})) AS j FROM candidates)) WHERE {_SQL_COST} <= {_SQL_MOST}),
+added AS (SELECT doc_id, 3 AS rank, start + min(j) - 1 AS start, start + max(j) - 1 + {WINDOW} AS stop FROM high GROUP BY doc_id, high.start),
+everything AS (
+  SELECT * FROM base
+  UNION ALL SELECT * FROM added a WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = a.doc_id AND b.start <= a.start AND a.stop <= b.stop)
+),
+counts AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex FROM base GROUP BY doc_id),
+b AS ({_sql_written("base")}), e AS ({_sql_written("everything")})
+SELECT d.doc_id AS doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b.w, '')) AS base_sha256, coalesce(e.w, '') AS spans
+FROM d LEFT JOIN counts ON d.doc_id = counts.doc_id LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN e ON d.doc_id = e.doc_id
+"""
