@@ -95,14 +95,17 @@ class Snapshots:
             raise ValueError(f"there is no published table {name}")
         return self.spark.read.parquet(f"{self.root}/{pointer['folder']}/{name}")
 
-    def publish(self, tables: dict[str, DataFrame], still_valid: Callable[[], bool] = lambda: True) -> int:
-        """Write a version, check, then swap the pointer in one rename. Returns the generation. One writer at a time."""
+    def publish(self, tables: dict[str, DataFrame], still_valid: Callable[[Callable[[str], DataFrame]], bool] = lambda written: True) -> int:
+        """Write a version, check, then swap the pointer in one rename. Returns the generation. One writer at a time.
+
+        ``still_valid`` gets a reader of the tables as written.
+        """
         pointer = self.current()
         generation = (pointer["generation"] if pointer else 0) + 1
         folder = f"v{generation:08d}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
             df.write.parquet(f"{self.root}/{folder}/{name}")
-        if not still_valid():
+        if not still_valid(lambda name: self.spark.read.parquet(f"{self.root}/{folder}/{name}")):
             self._fs().delete(self._path(folder), True)
             raise RuntimeError("the source changed while it was indexed")
         body = json.dumps({"generation": generation, "folder": folder, "tables": sorted(tables)})
@@ -146,5 +149,5 @@ def refresh(snapshots: Snapshots, scanned: DataFrame, analyse: Callable[[DataFra
             kept = purge_external(kept) if purge else kept
             tables[name] = kept.select(rows.columns).unionByName(rows)
     prints = lambda df: df.withColumn("all", F.lit(1)).transform(lambda d: fingerprint(d, ("all",))).collect()
-    generation = snapshots.publish(tables, lambda: prints(rescan()) == prints(scanned))
+    generation = snapshots.publish(tables, lambda written: prints(rescan()) == prints(written("files")))
     return {"changed": changed, "removed": removed, "generation": generation}

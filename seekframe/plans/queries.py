@@ -153,7 +153,8 @@ def _file_candidates(spark: SparkSession, d: str, limit: int) -> DataFrame:
 
 
 def _semantic_candidates(spark: SparkSession, d: str, limit: int) -> DataFrame:
-    near = _nearest(spark, d, limit)
+    known = corpus.files(spark, d).select(F.col("doc_id").alias("id"))
+    near = _nearest(spark, d, limit).join(known, "id", "left_semi")
     path = corpus.file_path(F.col("id"))
     return near.select("query_id", F.concat(F.lit("file:"), path).alias("id"), F.lit("FILE").alias("type"), path.alias("path"), F.lit(None).cast("string").alias("symbol"), F.lit(1).alias("arrival"), F.col("score").alias("semantic"))
 

@@ -7,27 +7,55 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seekframe.functions.text import scan_estimate
-from seekframe.sources.classify import IgnoreRules, category, ignored, language, skipped
+from seekframe.sources.classify import SKIPPED_FOLDERS, IgnoreRules, category, ignored, language, skipped
 
 MOST_BYTES = 8 << 20
 IGNORE_FILES = (".gitignore",)
 
 
+HIDDEN_MOST = 10_000
+
+
+def _hidden(spark: SparkSession, root: str) -> list[tuple[str, bytearray]]:
+    """(path, content) of small files that Spark's readers pass over: those with a name or folder like ``.x`` or ``_x``.
+
+    They are settings and instructions, few by nature; more than ``HIDDEN_MOST`` is an error.
+    """
+    jvm = spark._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    prefix = fs.makeQualified(base).toString().rstrip("/") + "/"
+    out, found = [], fs.listFiles(base, True)
+    while found.hasNext():
+        status = found.next()
+        path = status.getPath().toString().partition(prefix)[2]
+        if not any(part[:1] in "._" for part in path.split("/")) or any(part in SKIPPED_FOLDERS for part in path.lower().split("/")):
+            continue
+        if status.isSymlink() or status.getLen() > MOST_BYTES:
+            continue
+        if len(out) == HIDDEN_MOST:
+            raise ValueError("too many hidden files")
+        stream = fs.open(status.getPath())
+        out.append((path, bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
+        stream.close()
+    return out
+
+
 def scan(spark: SparkSession, root: str, project: str, ignore_files: tuple[str, ...] = IGNORE_FILES) -> tuple[DataFrame, DataFrame]:
     """(files, diagnostics) of a project folder.
 
     files: (project, path, language, category, size, hash, tokens, content), known languages only. Files over the
-    size limit are diagnostics (path, reason). Ignore files are few and small: they come to the driver.
+    size limit are diagnostics (path, reason). Hidden files and ignore files are few and small: they come to the driver.
     """
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
+    hidden = _hidden(spark, root)
+    known_hidden = spark.createDataFrame([(p, len(c), c) for p, c in hidden], "path string, length long, content binary")
     path = F.substring_index(F.col("path"), base, -1)
-    rows = read.select(path.alias("path"), "length", "modificationTime", "content")
-    rules = rows.where(F.substring_index("path", "/", -1).isin(*ignore_files) & (F.col("length") <= 1 << 16)).select("path", F.decode("content", "UTF-8").alias("text")).collect()
-    families: list[list[IgnoreRules]] = [
-        [IgnoreRules(r["text"], r["path"].rpartition("/")[0]) for r in sorted(rules, key=lambda r: r["path"].count("/")) if r["path"].rpartition("/")[2] == name] for name in ignore_files
-    ]
+    rows = read.select(path.alias("path"), "length", "content").unionByName(known_hidden)
+    rules = sorted(((p, c.decode("utf-8", "replace")) for p, c in hidden if p.rpartition("/")[2] in ignore_files), key=lambda r: r[0].count("/"))
+    families: list[list[IgnoreRules]] = [[IgnoreRules(text, p.rpartition("/")[0]) for p, text in rules if p.rpartition("/")[2] == name] for name in ignore_files]
     known = rows.where(~skipped(F.col("path")) & language(F.col("path")).isNotNull())
     if any(families):
         unwanted = F.udf(lambda p: ignored(p, families), T.BooleanType())  # few paths; rules have no built-in form
