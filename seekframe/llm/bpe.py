@@ -34,7 +34,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 from seekframe.llm.words import Roller, text_arrays
 from seekframe.tables import table
 
-BLOCK_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
+BLOCK_BYTES, PIECE_BYTES = 8 << 20, 1 << 19
 #: Words a bucket remembers at once; beyond that it starts afresh.
 REMEMBERED = 500_000
 #: Texts whose ids are put together at once.
@@ -217,9 +217,13 @@ def _block(data: np.ndarray, bounds: np.ndarray, ids: pa.Array, splitter: Splitt
     words, at = np.unique(np.concatenate(known), return_index=True)
     size, begin = np.concatenate(sizes), np.concatenate([[0], np.cumsum(np.concatenate(sizes))[:-1]]) if len(words) else np.zeros(0, np.int64)
     text = np.concatenate(letters)
-    place = np.concatenate([np.searchsorted(words, h).astype(np.uint32) for h in hashes])
+    place = np.empty(sum(map(len, hashes)), np.uint32)
+    filled = 0
+    for i, own in enumerate(hashes):  # each piece's hashes go as soon as they're placed
+        place[filled : filled + len(own)] = np.searchsorted(words, own)
+        filled, hashes[i] = filled + len(own), None
     # the planes of a number's bytes compress better than the numbers; keys of blocks lie above those of buckets
-    planes = [(place >> np.uint32(8 * i)) & np.uint32(255) for i in range(4)]
+    planes = [(place >> np.uint32(8 * i)).astype(np.uint8) for i in range(4)]
     mark = f"{ids[0]} {ids[-1]} {n} {len(place)} {hashlib.sha256(place.tobytes()).hexdigest()} {hashlib.sha256(words.tobytes()).hexdigest()}"
     block = (int.from_bytes(hashlib.sha256(mark.encode()).digest()[:8]) & ((1 << 62) - 1)) | (1 << 40)
     rows: dict[str, list] = {"key": [block], "block": [block], "bucket": [-1], "ids": [ids.to_pylist()], "packed": [_pack(np.concatenate(counts), *planes)]}

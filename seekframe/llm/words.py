@@ -79,7 +79,9 @@ def text_arrays(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, n + 1 offsets) of a string array, nulls as empty texts."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    texts = texts.cast(pa.large_binary())
+    if texts.null_count:  # else this would only be a copy
+        texts = texts.fill_null(b"")
     _, offsets, data = texts.buffers()
     bounds = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), bounds
