@@ -195,7 +195,8 @@ def repeated_windows(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id"
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     rows = scratch.keep(source.mapInArrow(_texts_pass(words), f"id {kind}, n long, c1 long, c2 long, whole string, halves array<long>"))
-    firsts = rows.groupBy("c1", "c2", "n").agg(F.min("id").alias("first"))
+    # kept for the same reason as below: copies of one text are many rows of one key
+    firsts = scratch.keep(rows.groupBy("c1", "c2", "n").agg(F.min("id").alias("first")))
     texts = rows.drop("halves").join(firsts, ["c1", "c2", "n"], "left")
 
     heads = firsts.where(f"n >= {words} and first is not null").select(F.col("first").alias("id"), "c1").distinct()
