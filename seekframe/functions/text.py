@@ -28,6 +28,13 @@ def split_identifiers(text: Column) -> Column:
     return F.trim(F.regexp_replace(parted, r"[^\p{L}\p{N}]+", " "))
 
 
+def identifier_tokens(text: Column) -> Column:
+    """The lower-cased words of split_identifiers(), without making its text. Texts without camel case are only looked at."""
+    parted = F.regexp_replace(F.regexp_replace(text, BREAK_ACRONYM, " "), BREAK_LOWER_UPPER, " ")
+    whole = F.when(text.rlike(r"[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"), parted).otherwise(text)
+    return F.regexp_extract_all(F.lower(whole), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
 def clamp01(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 

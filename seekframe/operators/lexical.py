@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seekframe.functions.text import path_score, split_identifiers, terms, tokens
+from seekframe.functions.text import identifier_tokens, path_score, terms, tokens
+from seekframe.kept import keep
 
 # Field boosts and the similarity's constants.
 BOOSTS = {"symbol_name": 5.0, "qualified_name": 4.0, "path": 3.0, "code_terms": 2.0, "content": 1.0}
@@ -24,10 +25,10 @@ def field_tokens(files: DataFrame, wanted: Column) -> DataFrame:
 
     Texts are cut down to the queries' terms before anything is exploded or shuffled.
     """
-    fields = {"path": F.col("path"), "code_terms": split_identifiers(F.concat_ws(" ", "path", "content")), "content": F.col("content")}
+    fields = {"path": tokens(F.col("path")), "code_terms": identifier_tokens(F.concat_ws(" ", "path", "content")), "content": tokens(F.col("content"))}
     if "symbol_names" in files.columns:
-        fields |= {"symbol_name": F.array_join("symbol_names", " "), "qualified_name": F.array_join("qualified_names", " ")}
-    each = F.array(*[F.struct(F.lit(name).alias("field"), tokens(text).alias("words")) for name, text in fields.items()])
+        fields |= {"symbol_name": tokens(F.array_join("symbol_names", " ")), "qualified_name": tokens(F.array_join("qualified_names", " "))}
+    each = F.array(*[F.struct(F.lit(name).alias("field"), words.alias("words")) for name, words in fields.items()])
     rows = files.select("project", "path", F.explode(each).alias("f")).select("project", "path", "f.field", "f.words")
     rows = rows.where(F.size("words") > 0)
     return rows.select("project", "path", "field", F.size("words").cast("long").alias("size"), F.filter("words", lambda w: F.array_contains(wanted, w)).alias("hits"))
@@ -36,9 +37,10 @@ def field_tokens(files: DataFrame, wanted: Column) -> DataFrame:
 def scores(files: DataFrame, queries: DataFrame, wanted: list[str]) -> DataFrame:
     """(query_id, project, path, score) of every file that has enough of a query's terms.
 
-    ``wanted``: all the queries' terms, a literal. Statistics are per project and field.
+    ``wanted``: all the queries' terms, a literal. Statistics are per project and field. Texts are read and taken apart
+    once; what's left of them, lengths and the queries' terms, is kept for statistics and postings.
     """
-    rows = field_tokens(files, F.array(*[F.lit(t) for t in wanted]))
+    rows = keep(field_tokens(files, F.array(*[F.lit(t) for t in wanted])), "lexical")
     stats = rows.groupBy("project", "field").agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))
     posting = rows.select("project", "path", "field", "size", F.explode("hits").alias("term")).groupBy("project", "path", "field", "size", "term").agg(F.count("*").alias("tf"))
     found = posting.groupBy("project", "field", "term").agg(F.count("*").alias("df"))

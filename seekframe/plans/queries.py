@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seekframe.functions import limits, text
+from seekframe.kept import keep
 from seekframe.operators import budget, evaluate, fragments, graph, index, lexical, rank, recency, semantic, symbols
 from seekframe.sources import corpus, instructions, skills
 from seekframe.sources.classify import candidate_type, glob_regex
@@ -370,7 +371,7 @@ def context_bundle_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Text queries over all documents: lexical and vector candidates, neighbours by source, recent changes, one ranking."""
-    merged = _merged(spark, d)
+    merged = keep(_merged(spark, d), "candidates")
     # files of one source and language form the graph here: each points at the first of its kind
     files = corpus.files(spark, d).select("path", "project", "language")
     hubs = files.groupBy("project", "language").agg(F.min("path").alias("dst"))
