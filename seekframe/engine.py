@@ -170,15 +170,16 @@ class Engine:
 
     # context
 
-    def context(self, project: str, query: str, tokens: int | None = None, sources: tuple[str, ...] = ()) -> DataFrame:
-        """(part, path, start_line, end_line, tokens, cut): instructions, skills and task fragments within a budget.
+    def context(self, project: str, query: str, tokens: int | None = None, sources: tuple[str, ...] = (), changes: DataFrame | None = None) -> DataFrame:
+        """(part, path, start_line, end_line, tokens, cut): instructions, skills, history and task fragments within a budget.
 
-        ``sources``: candidate types to take fragments from; all if empty.
+        ``sources``: candidate types to take fragments from; all if empty. ``changes``: (commit, at, path, message), for a
+        history part.
         """
         tokens = limits.budget(tokens)
         found = keep(self.search(project, {1: query}, limits.context_pool(tokens)), "ranked")
         files = self.table(project, "files")
-        split = limits.budget_split(tokens, history=False)
+        split = limits.budget_split(tokens, history=changes is not None)
         lined = lambda df: df.withColumn("start_line", F.lit(1)).withColumn("end_line", F.size(fragments.lines(F.col("content"))))
 
         told = files.where("category = 'INSTRUCTION'").select("path", "content", F.col("project").alias("provider"), instructions.priority(F.col("path")).alias("priority"))
@@ -190,8 +191,13 @@ class Engine:
         ranked = ranked.where(F.col("type").isin(*sources)) if sources else ranked
         tasks = self._fragments(project, query, ranked, files, tokens).select(F.lit("tasks").alias("part"), "path", "start_line", "end_line", "score", "content")
 
+        given = [("instructions", told), ("skills", self._skills(query, files)), ("tasks", tasks)]
+        if changes is not None:
+            targets = [r["path"] for r in found.groupBy("path").agg(F.min("rank").alias("n")).orderBy("n", "path").limit(100).collect()]
+            past = recency.fragments(changes, targets).select(F.lit("history").alias("part"), F.col("kind").alias("path"), "score", "content")
+            given.insert(2, ("history", lined(past).select("part", "path", "start_line", "end_line", "score", "content")))
         parts = None
-        for name, rows in (("instructions", told), ("skills", self._skills(query, files)), ("tasks", tasks)):
+        for name, rows in given:
             if split[name] > 0:
                 own = budget.greedy_truncating(rows, split[name], "part")
                 own = own.where("not cut") if name == "skills" else own  # a skill is whole or left out

@@ -33,3 +33,29 @@ def history(changes: DataFrame, paths: list[str], most: int = 5) -> DataFrame:
     """(path, place, commit, at): the newest commits of each path."""
     order = W.partitionBy("path").orderBy(F.desc("at"), F.desc("commit"))
     return changes.where(F.col("path").isin(*paths)).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+# Scores of the four kinds of history fragments, and how much each holds.
+FRAGMENT_SCORES = {"diff": 0.85, "recent": 0.78, "history": 0.70, "together": 0.60}
+RECENT_MOST, TOGETHER_MOST, PATHS_MOST, DIFF_MOST = 8, 8, 5, 6000
+
+
+def fragments(changes: DataFrame, targets: list[str], diffs: DataFrame | None = None) -> DataFrame:
+    """(kind, score, content): what a change log says about some paths, as up to four texts.
+
+    ``changes``: (commit, at, path, message), ``diffs``: (zone, content) of what isn't committed, each zone cut to its first
+    ``DIFF_MOST`` characters. Each text is a bounded list; kinds without any line have no row.
+    """
+    targets = targets[:100]
+    line = lambda *parts: F.concat_ws(" ", *parts)
+    listed = lambda rows, kind, order: rows.groupBy(F.lit(kind).alias("kind")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "line"))), lambda x: x["line"]), "\n").alias("content"))
+    commits = changes.select("commit", "at", "message").distinct().orderBy(F.desc("at"), F.desc("commit")).limit(RECENT_MOST)
+    commits = commits.select((-F.row_number().over(W.orderBy("at", "commit"))).alias("n"), line(F.col("commit").cast("string"), "message").alias("line"))
+    own = history(changes, targets[:PATHS_MOST]).select(F.struct("path", "place").alias("n"), line("path", F.col("commit").cast("string"), "message").alias("line"))
+    others = changed_together(changes, targets, TOGETHER_MOST).select(F.struct((-F.col("commits")).alias("c"), "path").alias("n"), line("path", F.col("commits").cast("string")).alias("line"))
+    out = listed(commits, "recent", "n").unionByName(listed(own, "history", "n")).unionByName(listed(others, "together", "n"))
+    if diffs is not None:
+        cut = diffs.where("content <> ''").select(F.col("zone").alias("n"), line("zone", F.substring("content", 1, DIFF_MOST)).alias("line"))
+        out = out.unionByName(listed(cut, "diff", "n"))
+    score = F.element_at(F.create_map(*[F.lit(x) for kv in FRAGMENT_SCORES.items() for x in kv]), F.col("kind"))
+    return out.select("kind", score.alias("score"), "content").where("content <> ''")

@@ -76,6 +76,14 @@ def test_context(engine):
     assert sum(r["tokens"] for r in rows) <= 400
 
 
+def test_history_in_context(engine, spark):
+    upload, store = "src/main/PdfUploadService.java", "src/main/PdfRepository.java"
+    changes = spark.createDataFrame([(1, 1, upload, "first"), (1, 1, "pom.xml", "first"), (2, 2, store, "second")], "commit int, at int, path string, message string")
+    rows = engine.context("one", "pdf upload", 1000, changes=changes).collect()
+    past = {r["path"] for r in rows if r["part"] == "history"}
+    assert past == {"recent", "history", "together"} and sum(r["tokens"] for r in rows) <= 1000
+
+
 def test_provider(engine, spark):
     s = spark.createDataFrame([("docs/guide.md", "TYPE", "Guide", "x.Guide", "", 1, 1, "ext"), ("nowhere", "TYPE", "No", "x.No", "", 1, 1, "ext")], importers.SYMBOLS)
     r = spark.createDataFrame([], importers.RELATIONS)

@@ -43,6 +43,15 @@ def test_recency_positions(spark):
     assert got == {"new": 1.0, "old": 0.05}
 
 
+def test_history_fragments(spark):
+    log = spark.createDataFrame([(1, 1, "a", "one"), (1, 1, "b", "one"), (2, 2, "a", "two"), (3, 3, "b", "three"), (3, 3, "a", "three")], "commit int, at int, path string, message string")
+    diffs = spark.createDataFrame([("staged", "x" * 9000), ("working", "")], "zone string, content string")
+    got = {r["kind"]: r for r in recency.fragments(log, ["a"], diffs).collect()}
+    assert got["recent"]["content"] == "3 three\n2 two\n1 one" and got["recent"]["score"] == 0.78
+    assert got["history"]["content"].splitlines() == ["a 3 three", "a 2 two", "a 1 one"]
+    assert got["together"]["content"] == "b 2" and len(got["diff"]["content"]) == 6007
+
+
 def test_vectors(spark):
     nan = float("nan")
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [-1.0, 0.0]), (5, [0.0, 2.0]), (6, [1.0])], "id int, v array<double>")
