@@ -158,13 +158,13 @@ def _odds(rate: Column) -> Column:
 
 
 def sites(rated: DataFrame, host_weight: float = HOST_WEIGHT, path_weight: float = PATH_WEIGHT) -> DataFrame:
-    """(host, path, prior): the log odds of each path's rate. ``rated``: (host, path, evidence) of every document."""
+    """(host, path, prior): the log odds of each path's rate. ``rated``: (host, path, evidence) of every document, kept."""
     good = 1 / (1 + F.exp(-F.col("evidence")))
     path = rated.where("evidence is not null").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(good).alias("s"))
     host = path.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    whole = host.agg(F.sum("hn").alias("gn"), F.sum("hs").alias("gs")).select(((F.col("gs") + 0.5) / (F.col("gn") + 1)).alias("global_rate"))
-    # one row, so this is a join with a constant
-    host = host.join(F.broadcast(whole)).select(F.col("host").alias("h"), "global_rate", ((F.col("hs") + host_weight * F.col("global_rate")) / (F.col("hn") + host_weight)).alias("host_rate"))
+    whole = host.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s")).first()  # one row; null sums without documents
+    rate = F.lit(((whole["s"] or 0.0) + 0.5) / ((whole["n"] or 0) + 1))
+    host = host.select(F.col("host").alias("h"), ((F.col("hs") + host_weight * rate) / (F.col("hn") + host_weight)).alias("host_rate"))
     both = path.join(host, F.col("host").eqNullSafe(F.col("h")))
     rate = (F.col("s") + path_weight * F.col("host_rate")) / (F.col("n") + path_weight)
     return both.select("host", "path", F.least(F.greatest(rate, F.lit(1e-9)), F.lit(1 - 1e-9)).alias("rate")).select("host", "path", _odds(F.col("rate")).alias("prior"))
