@@ -20,8 +20,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(words).alias("term"), F.when(F.size(words) < 2, 1).otherwise(2).alias("needed"))
 
 
-def field_tokens(files: DataFrame, wanted: Column) -> DataFrame:
-    """(project, path, field, size, hits): field lengths and the wanted tokens in them.
+def field_tokens(files: DataFrame, wanted: Column | None) -> DataFrame:
+    """(project, path, field, size, hits): field lengths and the wanted tokens in them, all if None.
 
     Texts are cut down to the queries' terms before anything is exploded or shuffled.
     """
@@ -31,7 +31,8 @@ def field_tokens(files: DataFrame, wanted: Column) -> DataFrame:
     each = F.array(*[F.struct(F.lit(name).alias("field"), words.alias("words")) for name, words in fields.items()])
     rows = files.select("project", "path", F.explode(each).alias("f")).select("project", "path", "f.field", "f.words")
     rows = rows.where(F.size("words") > 0)
-    return rows.select("project", "path", "field", F.size("words").cast("long").alias("size"), F.filter("words", lambda w: F.array_contains(wanted, w)).alias("hits"))
+    hits = F.col("words") if wanted is None else F.filter("words", lambda w: F.array_contains(wanted, w))
+    return rows.select("project", "path", "field", F.size("words").cast("long").alias("size"), hits.alias("hits"))
 
 
 def scores(files: DataFrame, queries: DataFrame, wanted: list[str]) -> DataFrame:
@@ -41,8 +42,29 @@ def scores(files: DataFrame, queries: DataFrame, wanted: list[str]) -> DataFrame
     once; what's left of them, lengths and the queries' terms, is kept for statistics and postings.
     """
     rows = keep(field_tokens(files, F.array(*[F.lit(t) for t in wanted])), "lexical")
-    stats = rows.groupBy("project", "field").agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))
-    posting = rows.select("project", "path", "field", "size", F.explode("hits").alias("term")).groupBy("project", "path", "field", "size", "term").agg(F.count("*").alias("tf"))
+    return search(rows, _counted(rows), queries)
+
+
+def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fields, postings): an index of all terms, to be stored and searched often.
+
+    fields: (project, path, field, size), postings: (project, path, field, size, term, tf). Stored in order of term, a
+    query's terms prune to few row groups.
+    """
+    rows = field_tokens(files, None)
+    return rows.drop("hits"), _counted(rows)
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    each = rows.select("project", "path", "field", "size", F.explode("hits").alias("term"))
+    return each.groupBy("project", "path", "field", "size", "term").agg(F.count("*").alias("tf"))
+
+
+def search(fields: DataFrame, postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, project, path, score) from an index of at least the queries' terms."""
+    terms_of = query_terms(queries)
+    posting = postings.join(F.broadcast(terms_of.select("term").distinct()), "term", "left_semi")
+    stats = fields.groupBy("project", "field").agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))
     found = posting.groupBy("project", "field", "term").agg(F.count("*").alias("df"))
     # one row per project and field, and per project, field and term of the queries: small by construction
     weighed = posting.join(found, ["project", "field", "term"]).join(stats, ["project", "field"])
@@ -50,7 +72,7 @@ def scores(files: DataFrame, queries: DataFrame, wanted: list[str]) -> DataFrame
     norm = F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean"))
     boost = F.element_at(F.create_map(*[x for k, v in BOOSTS.items() for x in (F.lit(k), F.lit(v))]), F.col("field"))
     weighed = weighed.select("project", "path", "term", (boost * idf * F.col("tf") / norm).alias("part"))
-    met = weighed.join(F.broadcast(query_terms(queries)), "term")
+    met = weighed.join(F.broadcast(terms_of), "term")
     summed = met.groupBy("query_id", "project", "path").agg(F.sum("part").alias("score"), F.count_distinct("term").alias("terms"), F.max("needed").alias("needed"))
     return summed.where("terms >= needed").select("query_id", "project", "path", "score")
 

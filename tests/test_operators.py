@@ -19,6 +19,13 @@ def test_two_terms_are_needed(spark):
     assert ask("absent", ["absent"]) == []
 
 
+def test_index_of_all_terms(spark):
+    files = spark.createDataFrame([("p", "a.md", "orchard compass"), ("p", "b.md", "fooBar orchard"), ("q", "c.md", "compass")], "project string, path string, content string")
+    queries = spark.createDataFrame([(1, "orchard"), (2, "compass bar")], "query_id int, query string")
+    once = lexical.scores(files, queries, ["orchard", "compass", "bar"])
+    assert rows(lexical.search(*lexical.build(files), queries)) == rows(once) != []
+
+
 def test_symbols(spark):
     known = spark.createDataFrame([("a", "saveAll", "x.Repo.saveAll", 1, "b"), ("b", "save", "x.Repo.save", 2, "b"), ("c", "other", "x.Other", 3, "b")], "path string, name string, qualified string, start_line int, provider string")
     assert [r["path"] for r in symbols.find(known, ["save"], 5).orderBy("place").collect()] == ["b", "a"]
