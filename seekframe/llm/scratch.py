@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that a Python pass gets at once while a table is kept: whole texts, so memory follows this number.
+BATCH = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,7 +43,12 @@ class Scratch:
         """``df``, computed once, as a table that outlives any executor."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(BATCH_ROWS)
+        self.spark.conf.set(BATCH_ROWS, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(BATCH_ROWS, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
         return kept

@@ -1,6 +1,6 @@
 """Words of many texts at once, as numpy arrays over their UTF-8 bytes.
 
-A word is ``[^\\x20\\x09-\\x0D]+``. Texts are handled in pieces of about a megabyte, never cut
+A word is ``[^\\x20\\x09-\\x0D]+``. Texts are handled in pieces of about half a megabyte, never cut
 inside a text, so memory follows the longest text and not the batch.
 """
 
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
