@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, pre_tokenizers
 
+from seekframe.llm.scratch import Scratch
 from seekframe.llm.words import Roller, text_arrays
 from seekframe.tables import table
 
@@ -185,18 +186,30 @@ def _split_pass(classes: tuple, added: list[str], buckets: int, id_type: pa.Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, roller = Splitter(classes, added), Roller(21)
-        for batch in batches:
-            data, bounds = text_arrays(batch.column("text"))
+        for ids, texts in _gathered(batches):
+            data, bounds = text_arrays(texts)
             first = 0
-            while first < batch.num_rows:
+            while first < len(ids):
                 last = int(np.searchsorted(bounds, bounds[first] + BLOCK_BYTES, "right")) - 1
-                last = min(max(last, first + 1), batch.num_rows)
-                yield _block(data, bounds[first : last + 1], batch.column("id").slice(first, last - first), splitter, roller, buckets, schema)
+                last = min(max(last, first + 1), len(ids))
+                yield _block(data, bounds[first : last + 1], ids.slice(first, last - first), splitter, roller, buckets, schema)
                 first = last
 
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, texts) of batches put together until they make a block."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= BLOCK_BYTES:
+            yield pa.concat_arrays([b.column("id") for b in held]), pa.concat_arrays([b.column("text") for b in held])
+            held = []
+    if held:
+        yield pa.concat_arrays([b.column("id") for b in held]), pa.concat_arrays([b.column("text") for b in held])
+
+
 def _block(data: np.ndarray, bounds: np.ndarray, ids: pa.Array, splitter: Splitter, roller: Roller, buckets: int, schema: pa.Schema) -> pa.RecordBatch:
     """A block's rows: its words' places under its own key, its distinct words under their buckets' keys."""
     hashes, counts, known, sizes, letters = [], [], [], [], []
@@ -372,14 +385,15 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of every row."""
+    """(id, n_tokens, ids_sha256, decoded_sha256) of every row. Kept as a table, so that Python's batches are small."""
     both = encode(docs, path, id_col, text_col, decoded=True)
-    return both.select(
+    told = both.select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+    return Scratch(docs.sparkSession, "bpe").keep(told)
 
 
 def default_path() -> str:
