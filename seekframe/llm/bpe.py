@@ -32,12 +32,12 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer, pre_tokenizers
 
 from seekframe.llm.scratch import Scratch
-from seekframe.llm.words import Roller, text_arrays
+from seekframe.llm.words import Roller, text_arrays, trim
 from seekframe.tables import table
 
-BLOCK_BYTES, PIECE_BYTES = 8 << 20, 1 << 19
+BLOCK_BYTES, PIECE_BYTES = 4 << 20, 1 << 18
 #: Words a bucket remembers at once; beyond that it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Texts whose ids are put together at once.
 TEXTS = 64
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -194,6 +194,7 @@ def _split_pass(classes: tuple, added: list[str], buckets: int, id_type: pa.Data
                 last = min(max(last, first + 1), len(ids))
                 yield _block(data, bounds[first : last + 1], ids.slice(first, last - first), splitter, roller, buckets, schema)
                 first = last
+            trim()
 
     return run
 
@@ -276,6 +277,8 @@ def _encode_pass(path: str):
                 out["bucket"].append(bucket)
                 out["answer"].append(_pack(counts, np.frombuffer(b"".join(ids), np.uint32)))
             yield pa.RecordBatch.from_pydict(out, pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("answer", pa.binary())]))
+        known.clear()
+        trim()
 
     return run
 
@@ -310,6 +313,7 @@ def _place_pass(id_type: pa.DataType, path: str | None):
                     if pieces:
                         columns.append(_decoded(flat, ends, pieces))
                     yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"][: len(columns)])
+            trim()
 
     return run
 

@@ -6,8 +6,10 @@ inside a text, so memory follows the longest text and not the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,20 @@ _LOWER[65:91] += 32
 U64 = np.uint64
 
 
+@cache
+def _allocator():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library, which keeps what it likes
+        return lambda _: 0
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task then holds little."""
+    pa.default_memory_pool().release_unused()
+    _allocator()(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -97,6 +113,7 @@ def pieces(texts: pa.Array, lower: bool = False, size: int = PIECE_BYTES) -> Ite
         part = data[bounds[first] : bounds[last]]
         yield _words(first, _LOWER[part] if lower else part, bounds[first : last + 1] - bounds[first])
         first = last
+    trim()
 
 
 def _words(first: int, data: np.ndarray, bounds: np.ndarray) -> Piece:
