@@ -1,4 +1,9 @@
-"""Selecting under a token budget: greedy, with truncation, and fairly across projects."""
+"""Selecting under a token budget: greedy, with truncation, and fairly across projects.
+
+Any number of items can compete. What is left of a budget only falls, so of items of the same size only the first
+``budget / size`` can be taken: where one doesn't fit, no later one of its size does. The folds read those items alone,
+whose number depends on the budget and not on the input, and take what they would take from all.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +12,25 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seekframe.functions.text import token_estimate
+from seekframe.kept import keep
+
 LEAST = 24
 MARK = "... [truncated]"
+#: What str.split() and str.strip() take for white space.
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PARTS = 32
+
+
+def first(rows: DataFrame, keys: tuple[str, ...], order: list[str], most: Column) -> DataFrame:
+    """Each key's first ``most`` rows; parts of a key are cut before they meet."""
+    by = [F.col(o) for o in order]
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*by), F.lit(_PARTS)))
+    cut = dealt.withColumn("_n", F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*by))).where(F.col("_n") <= most)
+    return cut.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*by))).where(F.col("_n") <= most).drop("_part", "_n")
 
 
 def ordered(keys: tuple[str, ...], row: list[str], order: list[Column], rows: DataFrame) -> DataFrame:
@@ -25,17 +45,22 @@ def greedy(rows: DataFrame, budget: int, keys: tuple[str, ...] = ("query_id",))
     An item takes at most half the budget. ``rows``: (*keys, path, start_line, end_line, tokens, score).
     """
     most = max(LEAST, budget // 2)
-    lists = ordered(keys, ["path", "start_line", "tokens"], [-F.round("score", 9), F.col("path"), F.col("start_line"), F.col("end_line")], rows)
-    empty = F.array().cast("array<struct<path:string,start_line:int,tokens:int,place:int>>")
-    start = F.struct(F.lit(budget).alias("left"), empty.alias("took"))
+    order = ["o", "path", "start_line", "end_line"]
+    named = rows.select(*keys, (-F.round("score", 9)).alias("o"), "path", "start_line", "end_line", "tokens")
+    can = first(named.where(F.col("tokens").between(1, most)), (*keys, "tokens"), order, F.floor(F.lit(budget) / F.col("tokens")))
+    lists = ordered(keys, ["path", "start_line", "end_line", "tokens"], [F.col(o) for o in order], can)
+    start = F.struct(F.lit(budget).alias("left"), F.filter("items", lambda x: F.lit(False)).alias("took"))
 
     def step(a: Column, x: Column) -> Column:
-        took = F.array(F.struct(x["path"].alias("path"), x["start_line"].cast("int").alias("start_line"), x["tokens"].cast("int").alias("tokens"), (F.size(a["took"]) + 1).alias("place")))
-        fits = x["tokens"] <= F.least(a["left"], F.lit(most))
-        return F.struct(F.when(fits, a["left"] - x["tokens"]).otherwise(a["left"]).cast("int").alias("left"), F.when(fits, F.concat(a["took"], took)).otherwise(a["took"]).alias("took"))
+        fits = x["tokens"] <= a["left"]
+        return F.struct(F.when(fits, a["left"] - x["tokens"]).otherwise(a["left"]).cast("int").alias("left"), F.when(fits, F.concat(a["took"], F.array(x))).otherwise(a["took"]).alias("took"))
 
     folded = lists.select(*keys, F.aggregate("items", start, step, lambda a: a["took"]).alias("took"))
-    return folded.select(*keys, F.explode("took").alias("t")).select(*keys, "t.*")
+    took = folded.select(*keys, F.explode("took").alias("t")).select(*keys, F.col("t.o0").alias("o"), *[f"t.{c}" for c in (*order[1:], "tokens")])
+    # what has no tokens always fits
+    every = took.unionByName(named.where("tokens = 0"))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return every.select(*keys, "path", F.col("start_line").cast("int").alias("start_line"), F.col("tokens").cast("int").alias("tokens"), place.alias("place"))
 
 
 def estimate(text: str) -> int:
@@ -64,15 +89,18 @@ def truncated(content: str, budget: int) -> tuple[str, int]:
 def greedy_truncating(rows: DataFrame, budget: int, key: str = "query_id") -> DataFrame:
     """(key, path, start_line, end_line, tokens, cut): as greedy(), but what doesn't fit is shortened if 24 tokens are left.
 
-    Truncation walks lines with a running budget, which no built-in expresses; a key's rows are one result list.
+    Truncation walks lines with a running budget, which no built-in expresses. It sees, of items below 24 tokens, those
+    that can be taken; of longer ones as many as use up the budget, since each costs the mark's tokens at least; of their
+    texts twice what can be kept (a line's end may have two characters).
     """
     most = max(LEAST, budget // 2)
+    longest = 2 * (4 * most + len(MARK) + 2)
 
     def select(own: pd.DataFrame) -> pd.DataFrame:
         own = own.assign(o=-own["score"].round(9)).sort_values(["o", "path", "start_line", "end_line"])
         left, out = budget, []
         for r in own.itertuples():
-            allowed, need = min(left, most), estimate(r.content)
+            allowed, need = min(left, most), r.need
             end, cut = r.end_line, False
             if need > allowed:
                 if allowed < LEAST:
@@ -87,8 +115,25 @@ def greedy_truncating(rows: DataFrame, budget: int, key: str = "query_id") -> Da
         return pd.DataFrame(out, columns=[key, "path", "start_line", "end_line", "tokens", "cut"])
 
     kind = rows.schema[key].dataType.simpleString()
-    needed = rows.select(key, "path", "start_line", "end_line", "score", "content")
-    return needed.groupBy(key).applyInPandas(select, f"{key} {kind}, path string, start_line int, end_line int, tokens int, cut boolean")
+    content = F.coalesce("content", F.lit(""))
+    needed = rows.select(
+        key, "path", "start_line", "end_line", "score", (-F.round("score", 9)).alias("o"), token_estimate(content).alias("need"),
+        F.substring(content, 1, longest).alias("content"), (~content.rlike(f"[^{SPACE}]")).alias("blank"),
+    )
+    order = ["o", "path", "start_line", "end_line"]
+    short = first(needed.where(F.col("need").between(1, LEAST - 1)), (key, "need"), order, F.floor(F.lit(budget) / F.col("need")))
+    long = needed.where((F.col("need") >= LEAST) & ~F.col("blank"))
+    # a literal limit: each task cuts its own rows before texts are shuffled
+    long = long.withColumn("n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("n") <= budget // estimate(MARK) + 1).drop("n")
+    rest = needed.where((F.col("need") == 0) | (F.col("need") >= LEAST) & F.col("blank"))
+    can = short.unionByName(long).unionByName(rest).drop("o", "blank")
+    return can.groupBy(key).applyInPandas(select, f"{key} {kind}, path string, start_line int, end_line int, tokens int, cut boolean")
+
+
+def same_content(type: Column, content: Column) -> Column:
+    """A digest that items share if type and content (white space aside) are equal."""
+    words = F.trim(F.regexp_replace(F.coalesce(content, F.lit("")), f"[{SPACE}]+", " "))
+    return F.sha2(F.concat(F.coalesce(type, F.lit("")), F.lit("\0"), words), 256)
 
 
 def federated(rows: DataFrame, budget: int, key: str = "query_id") -> DataFrame:
@@ -97,7 +142,11 @@ def federated(rows: DataFrame, budget: int, key: str = "query_id") -> DataFrame:
     ``rows``: (key, project, project_place, item_place, type, path, content, tokens, fair), each project's items in order.
     Round by round each project adds its next item while its fair part lasts; at the first that doesn't fit its rest is put
     off. Then what was put off fills the remaining budget in the same order. Of items with equal type and content (white space
-    aside) the first accepted counts. The state runs over all projects, at most a hundred result lists per key.
+    aside) the first accepted counts. ``rows`` may have same_content() as ``same`` instead of type and content.
+
+    The state runs over all projects. It sees each project's items up to the first above its fair part, which puts off
+    the rest at the latest; beyond, the first of each content and size, and of a size as many as the budget holds.
+    Contents that have several sizes all stay.
     """
 
     def select(own: pd.DataFrame) -> pd.DataFrame:
@@ -107,10 +156,9 @@ def federated(rows: DataFrame, budget: int, key: str = "query_id") -> DataFrame:
         closed: set[int] = set()
 
         def take(r, refill: bool) -> bool:
-            same = (r.type, " ".join(r.content.split()))
-            if same in seen:
+            if r.same in seen:
                 return False
-            seen.add(same)
+            seen.add(r.same)
             out.append((getattr(r, key), r.project, r.path, r.tokens, refill, len(out) + 1))
             return True
 
@@ -128,7 +176,20 @@ def federated(rows: DataFrame, budget: int, key: str = "query_id") -> DataFrame:
         return pd.DataFrame(out, columns=[key, "project", "path", "tokens", "refill", "place"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandas(select, f"{key} {kind}, project string, path string, tokens int, refill boolean, place int")
+    same = F.col("same") if "same" in rows.columns else same_content(F.col("type"), F.col("content"))
+    columns = (key, "project", "project_place", "item_place", "path", "tokens", "fair", "same")
+    items = keep(rows.select(*columns[:-1], same.alias("same")), "items")
+    closed_at = items.where("tokens > fair").groupBy(key, "project_place").agg(F.min("item_place").alias("last"))
+    early = items.join(closed_at, [key, "project_place"], "left").where("last IS NULL OR item_place <= last").select(*columns)
+
+    once = items.where(F.col("tokens") <= budget).groupBy(key, "same", "tokens").agg(F.min(F.struct("item_place", "project_place", "project", "path", "fair")).alias("x"))
+    once = once.select(key, "same", "tokens", "x.*")
+    sizes = items.groupBy(key, "same").agg(F.min("tokens").alias("least"), F.max("tokens").alias("greatest"))
+    once = once.join(sizes, [key, "same"])
+    plain = (F.col("tokens") > 0) & (F.col("least") == F.col("greatest"))
+    can = first(once.where(plain), (key, "tokens"), ["item_place", "project_place"], F.floor(F.lit(budget) / F.col("tokens"))).unionByName(once.where(~plain))
+    late = can.join(closed_at, [key, "project_place"]).where("item_place > last").select(*columns)
+    return early.unionByName(late).groupBy(key).applyInPandas(select, f"{key} {kind}, project string, path string, tokens int, refill boolean, place int")
 
 
 def summary(available: DataFrame, selected: DataFrame, key: str = "query_id") -> DataFrame:

@@ -214,15 +214,23 @@ def symbol_window_slice(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    """Each source's documents as fragments of one result list: the best 40 by a score of their id."""
+    """Each source's documents as fragments of one result list, scored by their id."""
     files = corpus.files(spark, d)
     score = (F.col("doc_id") * 37 % 101) / 101
-    rows = files.select(
+    return files.select(
         F.col("project").alias("query_id"), "path", "content", F.lit(1).alias("start_line"), F.size(fragments.lines(F.col("content"))).alias("end_line"),
         text.token_estimate(F.col("content")).alias("tokens"), score.alias("score"), candidate_type(F.col("category")).alias("type"),
     )
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "path"))
-    return rows.withColumn("item_place", place).where(F.col("item_place") <= 40)
+
+
+def _placed(items: DataFrame) -> DataFrame:
+    """The items without texts, with the place of each in its list: those of better scores, then those of its own score."""
+    same = budget.same_content(F.col("type"), F.col("content")).alias("same")
+    rows = items.select("query_id", "path", "tokens", same, F.round("score", 9).alias("o"))
+    n = F.sum("n").over(W.partitionBy("query_id").orderBy(F.desc("o")).rowsBetween(W.unboundedPreceding, -1))
+    better = rows.groupBy("query_id", "o").agg(F.count("*").alias("n")).select("query_id", "o", F.coalesce(n, F.lit(0)).alias("better"))
+    own = F.row_number().over(W.partitionBy("query_id", "o").orderBy("path"))
+    return rows.withColumn("own", own).join(better, ["query_id", "o"]).withColumn("item_place", (F.col("better") + F.col("own")).cast("int")).drop("o", "own", "better")
 
 
 def greedy_budget_selection(spark: SparkSession, d: str) -> DataFrame:
@@ -247,7 +255,7 @@ def fair_allocation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def federated_context_merge(spark: SparkSession, d: str) -> DataFrame:
-    items = _items(spark, d).withColumnRenamed("query_id", "project")
+    items = _placed(_items(spark, d)).withColumnRenamed("query_id", "project")
     shares = fair_allocation(spark, d).select("project", F.col("place").alias("project_place"), "fair")
     rows = items.join(F.broadcast(shares), "project").withColumn("query_id", F.lit(1))
     return budget.federated(rows, 2401).select("project", "path", "tokens", "refill", "place")
