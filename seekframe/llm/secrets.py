@@ -11,9 +11,12 @@ The method adds ``entropy`` spans. A candidate is a run of 20 or more characters
 counts of its characters change by one in and one out each step, and with them the sum of
 c * log2(c), held in millionths of a bit so that it is exact. The candidate's character class
 (hex, capitals, letters and digits, or base64) sets how high a window's entropy has to be. The
-span runs from the first such window to the end of the last. Allow-listed candidates (UUIDs,
-examples, placeholders, paths of plain words) are passed over, and so are spans inside a base span,
-which say nothing new. Base spans always stay.
+span runs from the first such window to the end of the last. The pieces of a candidate between
+separators (``=``, then ``_`` and ``-`` or ``/`` and ``+``, then all of them) are candidates too, each of
+its own class, so that a key is found whatever its name is joined with; spans that overlap are one.
+Allow-listed candidates (UUIDs, examples, placeholders, paths of plain words) are passed over; so are
+pieces of UUIDs and paths, but not what stands beside an example. Spans inside a base span say
+nothing new and are passed over. Base spans always stay.
 
 Nulls and empty texts have no spans. Nothing is shuffled; every row is judged on its own, so
 repeated rows give repeated results. Input columns other than the id and the text are not read.
@@ -34,6 +37,13 @@ ASSIGN_HINT = r"(?i:password|passwd|secret|token|api_?key)"
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # runs of 18 or more are the same matches
 HEX = r"[0-9a-f]{16,}"  # likewise: a run is taken whole or not at all
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Pieces of candidates that no wider pattern takes: without "="; then without "_" and "-" or "/" and "+"; then without all.
+PIECES = (
+    r"(?<==)[A-Za-z0-9+/_-]{20,}|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?==)",
+    r"(?<=[_-])[A-Za-z0-9+/]{20,}|(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20,}+(?=[_-])",
+    r"(?<=[+/])[A-Za-z0-9_-]{20,}|(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+(?=[+/])",
+    r"(?<=[_-])[A-Za-z0-9]{20,}+(?=[+/])|(?<=[+/])[A-Za-z0-9]{20,}+(?=[_-])",
+)
 KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
@@ -129,11 +139,36 @@ def window_span(candidate: Column) -> Column:
 
 
 def _entropy_spans(text: Column) -> Column:
-    found = located(text, CANDIDATE, text.rlike(CANDIDATE))
-    worth = lambda x: x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]") & ~F.exists(F.array(*[F.lit(p) for p in ALLOW]), lambda p: F.regexp_like(x["text"], p))
+    some = text.rlike(CANDIDATE)
+    found = F.concat(located(text, CANDIDATE, some), *[located(text, p, some & text.rlike(p)) for p in PIECES])
+    allowed = lambda x, patterns: F.exists(F.array(*[F.lit(p) for p in patterns]), lambda p: F.regexp_like(x["text"], p))
+    end = lambda x: x["start"] + F.length(x["text"])
+    worth = lambda x: x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]") & ~allowed(x, ALLOW)
     rank = F.lit(KINDS.index("entropy"))
-    spans = F.transform(F.filter(found, worth), lambda x: let(window_span(x["text"]), lambda w: F.struct((x["start"] + w["lo"]).cast("long").alias("start"), rank.alias("rank"), (x["start"] + w["hi"]).cast("long").alias("end"))))
-    return F.filter(spans, lambda x: x["start"].isNotNull())
+
+    def judged(every: Column) -> Column:
+        whole = F.filter(every, lambda x: allowed(x, (ALLOW[0], ALLOW[2])))  # UUIDs and paths, with all their pieces
+
+        def kept(v: Column) -> Column:
+            own = F.filter(v["every"], lambda x: worth(x) & ~F.exists(v["whole"], lambda w: (w["start"] <= x["start"]) & (end(x) <= end(w))))
+            return F.transform(own, lambda x: let(window_span(x["text"]), lambda w: F.struct((x["start"] + w["lo"]).cast("long").alias("start"), rank.alias("rank"), (x["start"] + w["hi"]).cast("long").alias("end"))))
+
+        return let(F.struct(every.alias("every"), whole.alias("whole")), kept)
+
+    return let(F.array_sort(F.filter(let(found, judged), lambda x: x["start"].isNotNull())), joined)
+
+
+def joined(ordered: Column) -> Column:
+    """Spans in order, those that overlap as one."""
+
+    def step(a: Column, s: Column) -> Column:
+        last = F.element_at(a, -1)
+        both = F.struct(last["start"].alias("start"), last["rank"].alias("rank"), F.greatest(last["end"], s["end"]).alias("end"))
+        over = (F.size(a) > 0) & (s["start"] < F.try_element_at(a, F.lit(-1))["end"])
+        return F.when(over, F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(both))).otherwise(F.concat(a, F.array(s)))
+
+    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
+    return F.when(F.size(ordered) < 2, ordered).otherwise(F.aggregate(ordered, none, step))
 
 
 def spans(text: Column) -> tuple[Column, Column]:
