@@ -1,11 +1,13 @@
 """Byte-level BPE by a distinct-word table.
 
 Texts are split into words as the tokenizer's pre-tokenizer does, in blocks of about ``BLOCK_BYTES``. Each
-block sends its distinct words, packed, to the bucket of their hash, and its words' places, packed, to the block's own
-key; both in one shuffle. A bucket encodes each distinct word it sees once and answers every block that asked. The
-answers join the blocks' places, which turns places into ids. So a frequent word costs each block one entry, not
-one row per occurrence, and no key holds more than a block. Decoding looks every id up in the table of
-pieces (its size is the vocabulary's) and joins their bytes.
+block sends its distinct words, told apart by their bytes and packed, to the bucket of their hash, and its words' places,
+packed, to the block's own key; both in one shuffle. A bucket encodes each distinct word it sees once and answers every
+block that asked. The answers join the blocks' places, which turns places into ids. So a frequent word costs each block
+one entry, not one row per occurrence, and no key holds more than a block. Beyond ``BUCKETS`` partitions, blocks fall into
+groups with buckets of their own, so that a block never sends more rows than that; a word is then encoded once a group.
+Decoding looks every id up in the table of pieces (its size is the vocabulary's) where the ids are put together,
+a join without a shuffle, and joins their bytes.
 
 Results equal the tokenizer's own with add_special_tokens=False, and its decode with
 skip_special_tokens=False. Added tokens in a text count as such, as they do there. Null and empty texts have no ids.
@@ -32,10 +34,12 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer, pre_tokenizers
 
 from seekframe.llm.scratch import Scratch
-from seekframe.llm.words import Roller, text_arrays, trim
+from seekframe.llm.words import Hasher, text_arrays, trim
 from seekframe.tables import table
 
 BLOCK_BYTES, PIECE_BYTES = 4 << 20, 1 << 18
+#: Rows that a block sends to buckets, at most; with more partitions, blocks fall into groups with buckets of their own.
+BUCKETS = 64
 #: Words a bucket remembers at once; beyond that it starts afresh.
 REMEMBERED = 300_000
 #: Texts whose ids are put together at once.
@@ -181,18 +185,18 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def _split_pass(classes: tuple, added: list[str], buckets: int, id_type: pa.DataType):
+def _split_pass(classes: tuple, added: list[str], buckets: int, groups: int, id_type: pa.DataType):
     schema = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(id_type)), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, roller = Splitter(classes, added), Roller(21)
+        splitter, hasher = Splitter(classes, added), Hasher(21)
         for ids, texts in _gathered(batches):
             data, bounds = text_arrays(texts)
             first = 0
             while first < len(ids):
                 last = int(np.searchsorted(bounds, bounds[first] + BLOCK_BYTES, "right")) - 1
                 last = min(max(last, first + 1), len(ids))
-                yield _block(data, bounds[first : last + 1], ids.slice(first, last - first), splitter, roller, buckets, schema)
+                yield _block(data, bounds[first : last + 1], ids.slice(first, last - first), splitter, hasher, buckets, groups, schema)
                 first = last
             trim()
 
@@ -211,45 +215,51 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.
         yield pa.concat_arrays([b.column("id") for b in held]), pa.concat_arrays([b.column("text") for b in held])
 
 
-def _block(data: np.ndarray, bounds: np.ndarray, ids: pa.Array, splitter: Splitter, roller: Roller, buckets: int, schema: pa.Schema) -> pa.RecordBatch:
+def _distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of each word among the distinct ones, the distinct words' sizes, their bytes); words are told apart by their bytes.
+
+    ``parts``: pairs of n + 1 bounds and the bytes between them.
+    """
+    words = pa.chunked_array([pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)]) for bounds, data in parts], pa.binary())
+    coded = words.dictionary_encode().combine_chunks()
+    known = coded.dictionary
+    _, offsets, data = known.buffers()
+    bounds = np.frombuffer(offsets, np.int32, len(known) + 1)
+    return coded.indices.to_numpy(), np.diff(bounds), np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+
+
+def _block(data: np.ndarray, bounds: np.ndarray, ids: pa.Array, splitter: Splitter, hasher: Hasher, buckets: int, groups: int, schema: pa.Schema) -> pa.RecordBatch:
     """A block's rows: its words' places under its own key, its distinct words under their buckets' keys."""
-    hashes, counts, known, sizes, letters = [], [], [], [], []
+    counts, parts = [np.zeros(0, np.int64)], []
     first, n = 0, len(bounds) - 1
     while first < n:
         last = int(np.searchsorted(bounds, bounds[first] + PIECE_BYTES, "right")) - 1
         last = min(max(last, first + 1), n)
         part = data[bounds[first] : bounds[last]]
-        starts, ends, words = splitter.split(part, bounds[first : last + 1] - bounds[first])
-        own = roller.of_bytes(part, starts, ends)
-        new, at = np.unique(own, return_index=True)
-        hashes.append(own)
+        starts, _, words = splitter.split(part, bounds[first : last + 1] - bounds[first])
         counts.append(np.diff(words))
-        known.append(new)
-        sizes.append((ends - starts)[at])
-        letters.append(part[ragged(starts[at], sizes[-1])])
+        parts.append((np.append(starts, len(part)), part))
         first = last
-    words, at = np.unique(np.concatenate(known), return_index=True)
-    size, begin = np.concatenate(sizes), np.concatenate([[0], np.cumsum(np.concatenate(sizes))[:-1]]) if len(words) else np.zeros(0, np.int64)
-    text = np.concatenate(letters)
-    place = np.empty(sum(map(len, hashes)), np.uint32)
-    filled = 0
-    for i, own in enumerate(hashes):  # each piece's hashes go as soon as they're placed
-        place[filled : filled + len(own)] = np.searchsorted(words, own)
-        filled, hashes[i] = filled + len(own), None
+    place, size, text = _distinct(parts)
+    begin = np.cumsum(size, dtype=np.int64) - size
+    of = (hasher.of_bytes(text, begin, begin + size) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    order = np.argsort(of, kind="stable")
+    of, size, begin = of[order].astype(np.int64), size[order], begin[order]
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    place = rank[place]
     # the planes of a number's bytes compress better than the numbers; keys of blocks lie above those of buckets
     planes = [(place >> np.uint32(8 * i)).astype(np.uint8) for i in range(4)]
-    mark = f"{ids[0]} {ids[-1]} {n} {len(place)} {hashlib.sha256(place.tobytes()).hexdigest()} {hashlib.sha256(words.tobytes()).hexdigest()}"
+    mark = f"{ids[0]} {ids[-1]} {n} {len(place)} {hashlib.sha256(place.tobytes()).hexdigest()} {hashlib.sha256(data[bounds[0] : bounds[-1]].tobytes()).hexdigest()}"
     block = (int.from_bytes(hashlib.sha256(mark.encode()).digest()[:8]) & ((1 << 62) - 1)) | (1 << 40)
     rows: dict[str, list] = {"key": [block], "block": [block], "bucket": [-1], "ids": [ids.to_pylist()], "packed": [_pack(np.concatenate(counts), *planes)]}
-    of = ((words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(of, prepend=-1, append=buckets))
     for a, b in itertools.pairwise(cuts.tolist()):
-        rows["key"].append(int(of[a]))
+        rows["key"].append(int(of[a]) + buckets * (block % groups))
         rows["block"].append(block)
         rows["bucket"].append(int(of[a]))
         rows["ids"].append(None)
-        own = at[a:b]
-        rows["packed"].append(_pack(size[own], text[ragged(begin[own], size[own])]))
+        rows["packed"].append(_pack(size[a:b], text[ragged(begin[a:b], size[a:b])]))
     return pa.RecordBatch.from_pydict(rows, schema)
 
 
@@ -341,10 +351,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_kind = source.schema["id"].dataType
     id_type = pa.schema(spark.createDataFrame([], T.StructType([T.StructField("id", id_kind)])).toArrow().schema).field("id").type
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(partitions, BUCKETS)
+    groups = -(-partitions // buckets)
     fixed = lambda name, kind: T.StructField(name, kind, False)  # noqa: E731  not null: both uses of the shuffle stay alike, so it runs once
     schema = T.StructType([fixed("key", T.LongType()), fixed("block", T.LongType()), fixed("bucket", T.IntegerType()), T.StructField("ids", T.ArrayType(id_kind)), fixed("packed", T.BinaryType())])
-    sent = source.mapInArrow(_split_pass(char_classes(), added, buckets, id_type), schema).repartition("key")
+    sent = source.mapInArrow(_split_pass(char_classes(), added, buckets, groups, id_type), schema).repartition("key")
     told = sent.mapInArrow(_encode_pass(path), "block long, bucket int, answer binary")
     answers = told.groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
     # buckets' rows find no answer under their own key; blocks without words have none either

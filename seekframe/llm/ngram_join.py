@@ -2,7 +2,7 @@
 
 Words are lower-cased (A-Z) runs of ``[^\\x20\\x09-\\x0D]``; a text's set holds its distinct 5-grams, or its whole
 sequence of words when that's shorter; without words it is empty and links with nothing. Sets are compared as
-64-bit hashes of their n-grams. Texts with equal sets are one class, by a 128-bit digest and the size.
+64-bit hashes of their n-grams, in which every step is mixed anew. Texts with equal sets are one class, by a 128-bit digest and the size.
 
 1. *Sieve.* Similar sets share at least 0.75 of the larger one's n-grams, so of the least (by hash) quarter of a set
    and the next ``EXTRA`` some must be found in another class. Blocks of texts send these n-grams, packed, to the
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from seekframe.llm.components import components
 from seekframe.llm.scratch import Scratch
-from seekframe.llm.words import Piece, Roller, mix, pieces
+from seekframe.llm.words import Hasher, Piece, mix, pieces, trim
 from seekframe.tables import table
 
 SIZE = 5
@@ -45,6 +45,8 @@ EXTRA = 0.15
 MEMBERS, GRAMS = 16_384, 2_000_000
 #: Sieved n-grams that a bucket holds on average, at most; and the fewest buckets.
 BUCKET, BUCKETS = 500_000, 64
+#: Sieved n-grams that a block of texts gathers before it sends any: what is common is sent once a block.
+BLOCK = 1 << 20
 ROUNDS = 3
 
 
@@ -57,16 +59,20 @@ class Shingles:
     """Sets of n-gram hashes of a piece's texts."""
 
     def __init__(self, size: int = SIZE):
-        self.size, self.letters, self.runs = size, Roller(31), Roller(32)
+        self.size, self.hasher = size, Hasher(31)
 
     def sets(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, n + 1 bounds): each text's distinct hashes, ascending."""
-        words = self.letters.of_bytes(piece.data, piece.starts, piece.ends)
+        words = self.hasher.of_bytes(piece.data, piece.starts, piece.ends)
         counts = np.diff(piece.words)
         grams = np.where(counts >= self.size, counts - self.size + 1, np.minimum(counts, 1))
         text = np.repeat(np.arange(len(counts)), grams)
         first = np.arange(len(text)) - np.repeat(np.cumsum(grams) - grams, grams) + np.repeat(piece.words[:-1], grams)
-        hashes = self.runs.slices(words, first, np.minimum(first + self.size, piece.words[1:][text]))
+        length = np.minimum(counts, self.size)[text]
+        hashes = np.zeros(len(text), np.uint64)
+        for size in np.unique(length).tolist():  # shorter ones are whole texts
+            of = np.flatnonzero(length == size)
+            hashes[of] = self.hasher.runs(words, size)[first[of]]
         order = np.lexsort((hashes, text))
         hashes, text = hashes[order], text[order]
         new = np.ones(len(hashes), bool)
@@ -105,44 +111,53 @@ def least_shared(n: int) -> int:
 def _sieve_pass(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for piece in pieces(batch.column("text"), lower=True):
                 hashes, bounds = shingles.sets(piece)
                 d1, _ = shingles.digests(hashes, bounds)
                 n = np.diff(bounds)
                 text = np.repeat(np.arange(len(n)), n)
-                d1 = d1.copy()
-                _, once = np.unique(d1, return_index=True)  # copies in a block count once
-                first = np.zeros(len(n), bool)
-                first[once] = True
-                kept = (np.arange(len(hashes)) - np.repeat(bounds[:-1], n) < np.repeat(_region(n), n)) & first[text]
-                hashes, text = hashes[kept], text[kept]
-                order = np.argsort(hashes, kind="stable")
-                hashes, text = hashes[order], text[order]
-                new = np.ones(len(hashes), bool)
-                new[1:] = hashes[1:] != hashes[:-1]
-                several = np.zeros(len(hashes), bool)
-                several[:-1] = ~new[1:]
-                several |= ~new
-                counted = np.bincount(text[several], minlength=len(n))
-                own = np.flatnonzero(counted)
-                # what the block has counted itself goes to any bucket, which passes it on
-                yield _sieve_rows(d1[own] % buckets, [b""] * len(own), [b""] * len(own), d1[own], counted[own])
-                grams, owner = hashes[new], np.where(several[new], len(n), text[new])
-                bucket = ((grams & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                grams, owner, bucket = grams[order], owner[order], bucket[order]
-                cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
-                classes = np.append(d1, 0)
-                out_g, out_c = [], []
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    out_g.append((grams[a:b] >> np.uint64(24)).tobytes())
-                    out_c.append(np.where(owner[a:b] == len(n), 0, classes[owner[a:b]]).tobytes())
-                yield _sieve_rows(bucket[cuts[:-1]], out_g, out_c, np.zeros(len(out_g), np.int64), np.zeros(len(out_g), np.int64))
+                kept = np.arange(len(hashes)) - np.repeat(bounds[:-1], n) < np.repeat(_region(n), n)
+                held.append((hashes[kept], d1[text[kept]]))
+                if sum(len(h) for h, _ in held) >= BLOCK:
+                    yield from _sieved(held, buckets)
+                    held = []
+        if held:
+            yield from _sieved(held, buckets)
+        trim()
 
     return run
 
 
+def _sieved(held: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """A block's n-grams, each once: with its class, or 0 where the block has it in several, which it then counts itself."""
+    grams, classes = np.concatenate([h for h, _ in held]), np.concatenate([c for _, c in held])
+    held.clear()
+    order = np.lexsort((classes, grams))
+    grams, classes = grams[order], classes[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = grams[1:] != grams[:-1]
+    other = new.copy()
+    other[1:] |= classes[1:] != classes[:-1]  # copies in a block count once
+    grams, classes, new = grams[other], classes[other], new[other]
+    several = ~new
+    several[:-1] |= ~new[1:]
+    own, counted = np.unique(classes[several], return_counts=True)
+    # what the block has counted itself goes to any bucket, which passes it on
+    yield _sieve_rows(own % buckets, [b""] * len(own), [b""] * len(own), own, counted)
+    grams, classes = grams[new], np.where(several[new], 0, classes[new])
+    bucket = ((grams & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    grams, classes, bucket = grams[order] >> np.uint64(24), classes[order], bucket[order]
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
+    for at in range(0, len(cuts) - 1, 4096):
+        part = cuts[at : at + 4097]
+        packed = [[x[a:b].tobytes() for a, b in zip(part[:-1].tolist(), part[1:].tolist(), strict=True)] for x in (grams, classes)]
+        none = np.zeros(len(part) - 1, np.int64)
+        yield _sieve_rows(bucket[part[:-1]], *packed, none, none)
+
+
 def _sieve_rows(bucket: np.ndarray, grams: list[bytes], classes: list[bytes], d1: np.ndarray, counted: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(grams, pa.binary()), pa.array(classes, pa.binary()), pa.array(d1), pa.array(counted.astype(np.int64))], ["bucket", "grams", "classes", "d1", "counted"])
 

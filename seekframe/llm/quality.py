@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seekframe.llm.scratch import Scratch
-from seekframe.llm.words import Piece, Roller, pieces
+from seekframe.llm.words import Hasher, Piece, pieces
 from seekframe.tables import table
 
 LABELLED = 20_000
@@ -42,7 +42,7 @@ class Figures:
     """``FIGURES`` of each of a piece's texts."""
 
     def __init__(self) -> None:
-        self.letters, self.runs = Roller(41), Roller(42)
+        self.letters, self.runs = Hasher(41), Hasher(42)
 
     def of(self, piece: Piece) -> np.ndarray:
         counts = np.diff(piece.words)
@@ -61,7 +61,7 @@ class Figures:
         of = np.repeat(np.arange(len(counts)), phrases)
         at = np.arange(len(of)) - np.repeat(np.cumsum(phrases) - phrases, phrases) + np.repeat(piece.words[:-1], phrases)
         distinct = lambda h, t: np.bincount(t[self._firsts(h, t)], minlength=len(counts))
-        repeated = share(phrases - distinct(self.runs.slices(words, at, at + PHRASE), of), phrases)
+        repeated = share(phrases - distinct(self.runs.runs(words, PHRASE)[at], of), phrases)
         lines = total(by_word(piece.data == 10))
         return np.column_stack(
             [

@@ -7,11 +7,12 @@ goes. Windows are judged on the input.
 Levels. The first level has windows of half the length. A longer window can only repeat if all its
 halves do, so of the halves that start in it only the one with the least hash, the same in every
 document, is looked up; that is a fourteenth of all positions. Only windows whose least half is found
-in two different texts are extended to twice the length and compared in full, by 128 bits. Levels end
+in two different texts are extended to twice the length and compared in full, by two independent hashes of 64
+bits each, in which every step is mixed anew. Levels end
 at ``words``: a longer window covers no word that those of ``words`` don't, so there's nothing left
 to extend; they end sooner when no candidate survives.
 
-Texts with the same words are one text: all but the one with the smallest id are removed entire
+Texts with the same words, by the SHA-256 of the words, are one text: all but the one with the smallest id are removed entire
 (if they have a window), and only that one is compared with other texts. So thousands of copies
 cost as many small rows, and no group of copies meets in one task.
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekframe.llm.scratch import Scratch
-from seekframe.llm.words import Piece, Roller, pieces
+from seekframe.llm.words import Hasher, Piece, pieces
 from seekframe.tables import table
 
 WORDS = 50
@@ -42,15 +43,15 @@ class Windows:
 
     def __init__(self, words: int):
         self.words, self.half = words, words // 2
-        self.letters = Roller(1), Roller(2)
-        self.runs = Roller(3), Roller(4)
+        self.hashers = Hasher(1), Hasher(2)
 
     def hashes(self, piece: Piece, of: int) -> np.ndarray:
-        return self.letters[of].of_bytes(piece.data, piece.starts, piece.ends)
+        return self.hashers[of].of_bytes(piece.data, piece.starts, piece.ends)
 
-    def texts(self, piece: Piece, of: int, words: np.ndarray) -> np.ndarray:
-        """One hash for each text's whole sequence of words."""
-        return self.runs[of].slices(words, piece.words[:-1], piece.words[1:])
+    def full(self, words: np.ndarray, of: int) -> np.ndarray:
+        """The hash of the window that starts at each word, two halves of the level before."""
+        halves = self.hashers[of].runs(words, self.half)
+        return self.hashers[of].pairs(halves[: -self.half], halves[self.half :])
 
     def starts(self, piece: Piece) -> np.ndarray:
         """The words at which a window of one text starts."""
@@ -62,8 +63,7 @@ class Windows:
         """For each window, the least hash of the halves that start in it."""
         if not len(starts):
             return np.zeros(0, np.uint64)
-        at = np.arange(len(words) - self.half + 1)
-        least = self.runs[0].slices(words, at, at + self.half)
+        least = self.hashers[0].runs(words, self.half)
         span, reach = self.words - self.half + 1, 1
         while reach * 2 <= span:
             least = np.minimum(least[:-reach], least[reach:])
@@ -74,28 +74,34 @@ class Windows:
         return least[starts]
 
 
+def _whole(piece: Piece) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(hexadecimal digests of each text's words, joined by one space; their first two longs, which name a class of copies)."""
+    digests = [hashlib.sha256(b" ".join(piece.data[a:b].tobytes().split())) for a, b in _byte_bounds(piece)]
+    names = np.frombuffer(b"".join(d.digest()[:16] for d in digests), ">i8").reshape(-1, 2).astype(np.int64)
+    return [d.hexdigest() for d in digests], names[:, 0], names[:, 1]
+
+
 def _texts_pass(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(words)
         for batch in batches:
             for piece in pieces(batch.column("text")):
                 n = len(piece)
-                first, second = windows.hashes(piece, 0), windows.hashes(piece, 1)
                 starts = windows.starts(piece)
-                least = windows.least_halves(first, starts)
+                least = windows.least_halves(windows.hashes(piece, 0), starts) if len(starts) else np.zeros(0, np.uint64)
                 new = np.ones(len(least), bool)  # neighbours mostly share their least half
                 text_of = np.searchsorted(piece.words, starts, "right") - 1
                 new[1:] = (least[1:] != least[:-1]) | (text_of[1:] != text_of[:-1])
                 least, text_of = least[new], text_of[new]
                 bounds = np.searchsorted(text_of, np.arange(n + 1)).astype(np.int32)
-                whole = [hashlib.sha256(b" ".join(piece.data[a:b].tobytes().split())).hexdigest() for a, b in _byte_bounds(piece)]
+                whole, c1, c2 = _whole(piece)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(piece.first, n),
                         pa.array(np.diff(piece.words)),
-                        pa.array(windows.texts(piece, 0, first).view(np.int64)),
-                        pa.array(windows.texts(piece, 1, second).view(np.int64)),
-                        pa.array(whole),
+                        pa.array(c1),
+                        pa.array(c2),
+                        pa.array(whole, pa.string()),
                         pa.ListArray.from_arrays(pa.array(bounds), pa.array(least.view(np.int64))),
                     ],
                     ["id", "n", "c1", "c2", "whole", "halves"],
@@ -115,10 +121,9 @@ def _byte_bounds(piece: Piece) -> list[tuple[int, int]]:
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add c1, the hash of the words, to candidates."""
-    windows = Windows(2)
+    """Add c1, which names the class of a text's copies, to candidates."""
     for batch in batches:
-        c1 = [windows.texts(p, 0, windows.hashes(p, 0)).view(np.int64) for p in pieces(batch.column("text"))]
+        c1 = [_whole(p)[1] for p in pieces(batch.column("text"))]
         c1 = np.concatenate(c1) if c1 else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(c1)], [*batch.schema.names, "c1"])
 
@@ -131,8 +136,10 @@ def _windows_pass(words: int):
             values, offsets = known.values.to_numpy(zero_copy_only=False).view(np.uint64), known.offsets.to_numpy()
             ids, c1 = batch.column("id").to_numpy(zero_copy_only=False), batch.column("c1").to_numpy(zero_copy_only=False)
             for piece in pieces(batch.column("text")):
-                first, second = windows.hashes(piece, 0), windows.hashes(piece, 1)
                 starts = windows.starts(piece)
+                if not len(starts):
+                    continue
+                first, second = windows.hashes(piece, 0), windows.hashes(piece, 1)
                 least = windows.least_halves(first, starts)
                 text_of = np.searchsorted(piece.words, starts, "right") - 1
                 hit = np.zeros(len(starts), bool)
@@ -145,8 +152,8 @@ def _windows_pass(words: int):
                 at, row = starts[hit], text_of[hit]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(windows.runs[0].slices(first, at, at + words).view(np.int64)),
-                        pa.array(windows.runs[1].slices(second, at, at + words).view(np.int64)),
+                        pa.array(windows.full(first, 0)[at].view(np.int64)),
+                        pa.array(windows.full(second, 1)[at].view(np.int64)),
                         pa.array(ids[piece.first + row]),
                         pa.array(c1[piece.first + row]),
                         pa.array((at - piece.words[row]).astype(np.int32)),

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekframe.llm.words import Roller, text_arrays
+from seekframe.llm.words import Hasher, text_arrays
 from seekframe.tables import table
 
 HOST = r"^.*?://([^/?#]*)"
@@ -83,12 +83,12 @@ class Grams:
     """Hashed n-grams of host and path."""
 
     def __init__(self) -> None:
-        self.rollers = (Roller(11), Roller(12))
+        self.hashers = (Hasher(11), Hasher(12))
 
     def places(self, hosts: pa.Array, paths: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(row, place) of the distinct features of each row, ordered by row."""
         keys = []
-        for roller, texts in zip(self.rollers, (hosts, paths), strict=True):
+        for hasher, texts in zip(self.hashers, (hosts, paths), strict=True):
             n = len(texts)
             data, bounds = text_arrays(texts)
             part = data[bounds[0] : bounds[-1]]
@@ -101,7 +101,7 @@ class Grams:
             ends = np.repeat(marks[1:], np.diff(marks))
             for size in GRAMS:
                 starts = np.flatnonzero(np.arange(len(marked)) + size <= ends)
-                place = roller.of_bytes(marked, starts, starts + size) >> np.uint64(48)
+                place = hasher.of_bytes(marked, starts, starts + size) >> np.uint64(48)
                 keys.append(rows[starts].astype(np.uint64) * np.uint64(PLACES) + place)
         both = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
         return (both >> np.uint64(16)).astype(np.int64), (both & np.uint64(PLACES - 1)).astype(np.int64)

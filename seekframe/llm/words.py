@@ -13,6 +13,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 PIECE_BYTES = 1 << 19
 _SPACE = np.zeros(256, bool)
@@ -43,38 +44,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-class Roller:
-    """64-bit hashes of any slices of a sequence, from one prefix sum of weighted terms."""
+#: Words of more bytes are hashed one by one; the rest together, eight bytes at a time.
+SHORT = 64
+
+
+class Hasher:
+    """64-bit hashes of byte strings and of sequences of hashes.
+
+    Every step goes through the finaliser, so no algebra of the steps makes strings collide, as it does for
+    polynomials modulo 2^64. Two seeds give two independent hashes.
+    """
 
     def __init__(self, seed: int):
-        base = (0x9E3779B97F4A7C15 * (2 * seed + 3)) % (1 << 64)
-        self.base = base - base % 8 + 5  # odd, of full order
-        self.seed = U64((seed * 0xD1B54A32D192ED03 + 0x2545F4914F6CDD1D) % (1 << 64))
-        self.terms = mix(np.arange(256, dtype=np.uint64) * U64(0x9E3779B97F4A7C15) + self.seed)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            self.up = self._table(self.base, size)
-            self.down = self._table(pow(self.base, -1, 1 << 64), size)
-        return self.up, self.down
-
-    @staticmethod
-    def _table(base: int, size: int) -> np.ndarray:
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        return np.multiply.accumulate(steps)
-
-    def slices(self, terms: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        up, down = self.powers(len(terms) + 1)
-        sums = np.zeros(len(terms) + 1, np.uint64)
-        np.cumsum(terms * up[: len(terms)], out=sums[1:])
-        lengths = (ends - starts).astype(np.uint64)
-        return mix((sums[ends] - sums[starts]) * down[starts] + lengths * self.seed)
+        self.seed = (seed * 0xD1B54A32D192ED03 + 0x2545F4914F6CDD1D) % (1 << 64)
+        self.turn = U64((0x9E3779B97F4A7C15 * (2 * seed + 3)) % (1 << 64) | 1)
 
     def of_bytes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return self.slices(self.terms[data], starts, ends)
+        """A hash of each slice of ``data``."""
+        sizes = (ends - starts).astype(np.int64)
+        out = mix(sizes.astype(np.uint64) * self.turn + U64(self.seed))
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eights = np.lib.stride_tricks.sliding_window_view(padded, 8)
+        short = np.flatnonzero((sizes > 0) & (sizes <= SHORT))
+        at = 0
+        while len(short):
+            block = eights[starts[short] + at].view("<u8").ravel()
+            left = sizes[short] - at
+            block = block & _MASKS[np.minimum(left, 8)]
+            out[short] = mix((out[short] ^ block) * self.turn)
+            at += 8
+            short = short[left > 8]
+        long = np.flatnonzero(sizes > SHORT)
+        if len(long):
+            raw = memoryview(np.ascontiguousarray(data))
+            out[long] = [xxhash.xxh3_64_intdigest(raw[a:b], self.seed) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        return out
+
+    def pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """A hash of each two hashes, in order."""
+        return mix(first * self.turn + second)
+
+    def runs(self, hashes: np.ndarray, size: int) -> np.ndarray:
+        """A hash of each ``size`` consecutive hashes, by doubling; one for each place at which a run fits."""
+        n = len(hashes) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        out, done, power, length = None, 0, hashes, 1
+        while True:
+            if size & length:
+                part = power[done : done + n]
+                out, done = (part if out is None else self.pairs(out, part)), done + length
+            if done == size:
+                return mix(out + U64(size * (self.seed | 1) % (1 << 64)))
+            power, length = self.pairs(power[:-length], power[length:]), 2 * length
+
+
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
 @dataclass

@@ -65,6 +65,31 @@ def test_repeats(spark, size):
     assert got_of(substring_dedup.dedup(df, size), "doc_id", "n_words", "n_removed", "kept_sha256") == repeats(docs, size)
 
 
+def mirrored(n):
+    """Two different sequences of 0 and 1 that collide under any polynomial modulo 2^64 from 1024 members on."""
+    first = [bin(i).count("1") % 2 for i in range(n)]
+    return first, [1 - x for x in first]
+
+
+def mirrored_texts():
+    """Texts with mirrored words of many letters, and texts of many mirrored words."""
+    words = ["".join("ab"[x] for x in m) for n in (1024, 2048) for m in mirrored(n)]
+    texts = [f"{w} x y z q" for w in words] + words
+    for w in words:
+        texts.append(" ".join([*(f"u{i}" for i in range(30)), w, *(f"v{i}" for i in range(19))]))
+    return texts + [" ".join(("yes", "no")[x] for x in m) for n in (1024, 2048) for m in mirrored(n)]
+
+
+def test_mirrored_words(spark, tokenizer):
+    docs = list(enumerate(mirrored_texts(), 1))
+    df = spark.createDataFrame(docs, DOCS)
+    for size in (50, 2 * 1024):
+        assert got_of(substring_dedup.dedup(df, size), "doc_id", "n_words", "n_removed", "kept_sha256") == repeats(docs, size)
+    assert got_of(ngram_join.join(df), "doc_id", "n_shingles", "component_id") == near(docs)
+    got = {r["doc_id"]: (r["ids"], r["decoded"]) for r in bpe.encode(df, bpe.default_path(), decoded=True).collect()}
+    assert got == {i: (tokenizer.encode(t, add_special_tokens=False).ids, t) for i, t in docs}
+
+
 def test_repeats_of_nothing(spark):
     assert substring_dedup.dedup(spark.createDataFrame([], DOCS)).collect() == []
     assert substring_dedup.dedup(spark.createDataFrame([(None, None)], DOCS)).count() == 1
