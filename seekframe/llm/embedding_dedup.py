@@ -13,8 +13,9 @@ products are summed first; with the product of the remaining norms they bound th
 cannot reach the threshold are left. The rest get further axes, and close calls the cosine in the
 original axes. Of its links a group returns each vector's number and a tree that spans them, never the pairs.
 
-One vector per id: of rows that repeat an id the least (by label, then components) stands for it. A null id
-keeps its rows, each alone, with a null component and kept. An empty table gives no rows.
+Every row is a vector of its own, also where rows repeat an id: they link like any others, ``n_links`` counts linked rows,
+and each row is returned. A null id keeps its rows, each alone, with a null component and kept. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -198,20 +199,21 @@ def links(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, ti
 
 
 def dedup(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(id, n_links, component_id, kept), one row per vector."""
+    """(id, n_links, component_id, kept), one row per row of ``vectors``."""
     scratch = Scratch(vectors.sparkSession, "embedding-dedup")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
-    single = rows.where("id is not null").groupBy("id").agg(F.min(F.struct("label", "v")).alias("x")).select("id", "x.label", "x.v")
-    fine = F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    single = scratch.keep(single.withColumn("fine", F.coalesce(fine, F.lit(False))))
-    found = scratch.keep(links(single.where("fine").drop("fine"), scratch, threshold, tile))
+    fine = F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    # kept, so that a row's number stays its own
+    numbered = scratch.keep(rows.withColumn("fine", F.coalesce(fine, F.lit(False))).withColumn("row", F.monotonically_increasing_id()))
+    some = numbered.where("fine").select(F.col("row").alias("id"), "label", "v")
+    found = scratch.keep(links(some, scratch, threshold, tile))
     count = found.groupBy("id").agg(F.sum("links").alias("n"))
-    parts = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
-    out = single.select("id").join(count, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
-    out = out.select("id", F.coalesce("n", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    alone = rows.where("id is null").select("id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
-    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
-    return out.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", kept.alias("kept"))
+    parts = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch).withColumnRenamed("node", "row")
+    least = numbered.select("row", "id").join(parts, "row").groupBy("component").agg(F.min("id").alias("component_id"))
+    out = numbered.select("id", "row").join(count.withColumnRenamed("id", "row"), "row", "left").join(parts, "row", "left").join(least, "component", "left")
+    component = F.coalesce("component_id", "id")
+    kept = F.coalesce(F.col("id") == component, F.lit(True))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), kept.alias("kept"))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,16 +222,18 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = """
-WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
-  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, label, embedding FROM embeddings),
+v AS (
+  SELECT r, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM e
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ),
-links AS (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+links AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b, b.vec_id AS id FROM v a JOIN v b ON a.label = b.label AND len(a.v) = len(b.v) AND a.r <> b.r
   WHERE list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.98
 ),
-reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
-n AS (SELECT a, count(*) AS n FROM links GROUP BY a), m AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
-SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept
-FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN m ON vec_id = m.a
+reach(a, b, id) AS (SELECT a, b, id FROM links UNION SELECT x.a, l.b, l.id FROM reach x JOIN links l ON x.b = l.a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a), m AS (SELECT a, min(id) AS m FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, coalesce(vec_id <= coalesce(m, vec_id), TRUE) AS kept
+FROM e LEFT JOIN n ON r = n.a LEFT JOIN m ON r = m.a
 """

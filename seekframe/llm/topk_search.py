@@ -14,8 +14,11 @@ and their scores are then resolved in full.
 
 Ties go to the smaller id. Vectors that are null, empty or hold null or non-finite components, and null ids,
 take no part; vectors of another length than the query's are not comparable and not its candidates. Rows that
-share the query's id are its own. Other repeated rows count each. Scores are exact for components up to 4096 in
-size. No vectors or no queries: no rows.
+share the query's id are its own. Other repeated rows count each. No vectors or no queries: no rows.
+
+Scores are exact integers. Bounds are summed in doubles, less or more a margin for their rounding where products don't
+fit 53 bits; what they leave is resolved in doubles, 64-bit integers or Python's integers, the first of these that
+hold any product of the block. A reported score that doesn't fit a long is an error.
 """
 
 from __future__ import annotations
@@ -31,7 +34,11 @@ from pyspark.sql import functions as F
 from seekframe.tables import table
 
 K = 5
-QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 8192
+QUERY_BLOCK, CANDIDATE_BLOCK = 8192, 4096
+#: Below these, sums of products are exact in doubles and in 64-bit integers.
+EXACT, LONG = 2.0**53, 2.0**62
+#: Partitions of the pairs of blocks, at most.
+GROUPS = 20_000
 #: Contributions down to which lists are read, as parts of a typical one.
 ROUNDS = (0.5, 0.3, 0.2, 0.12, 0.06, 0.0)
 
@@ -49,6 +56,8 @@ class Lists:
         self.places = np.empty(vectors.shape, np.int32)
         np.put_along_axis(self.places, order, np.arange(len(vectors), dtype=np.int32)[:, None], 0)
         self.typical = float(np.sqrt((vectors**2).mean())) if vectors.size else 0.0
+        self.most = float(size.max()) if vectors.size else 0.0
+        self.whole: np.ndarray | None = None  # the vectors as integers, made when doubles don't do
 
     def survivors(self, query: np.ndarray, k: int) -> np.ndarray:
         """Candidates that bounds leave in the running for the k best; at least the k best."""
@@ -58,6 +67,8 @@ class Lists:
         if n <= few:
             return alive
         weight = np.abs(query)
+        product = dims * self.most * float(weight.max())
+        margin = 0.0 if product < EXACT else product * dims * 2.0**-50
         level = self.typical * float(np.sqrt((query**2).mean()))
         read = np.zeros(dims, np.int64)
         sums = np.zeros(n)
@@ -74,19 +85,35 @@ class Lists:
             slack = (self.places[alive] >= read).astype(np.float64) @ most
             own = sums[alive]
             kth = np.partition(own - slack, len(alive) - k)[len(alive) - k]
-            alive = alive[own + slack >= kth]
+            alive = alive[own + slack >= kth - margin]
             if len(alive) <= few:
                 break
         return alive
 
+    def resolved(self, query: np.ndarray, alive: np.ndarray) -> np.ndarray:
+        """The exact scores of ``alive``, as 64-bit or as Python's integers."""
+        product = self.vectors.shape[1] * self.most * float(np.abs(query).max()) if self.vectors.size else 0.0
+        if product < EXACT:
+            return (self.vectors[alive] @ query).astype(np.int64)
+        kind = np.int64 if product < LONG else object
+        if self.whole is None or self.whole.dtype != kind:
+            self.whole = self.vectors.astype(np.int64) if kind is np.int64 else np.array([[int(x) for x in v] for v in self.vectors], object)
+        own = query.astype(np.int64) if kind is np.int64 else np.array([int(x) for x in query], object)
+        return self.whole[alive] @ own
+
     def best(self, query: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, scores) of the k best but ``own`` ones, ties to smaller ids."""
         alive = self.survivors(query, min(k + len(own), len(self.vectors)))
         if len(own):
             alive = np.setdiff1d(alive, own)
-        scores = self.vectors[alive] @ query
-        first = np.lexsort((ids[alive], -scores))[:k]
-        return alive[first], scores[first]
+        scores = self.resolved(query, alive)
+        if scores.dtype == object:
+            first = np.array(sorted(range(len(alive)), key=lambda i: (-scores[i], ids[alive[i]]))[:k], np.int64)
+            if any(abs(scores[i]) >= 1 << 63 for i in first):
+                raise OverflowError("a score doesn't fit 64 bits")
+        else:
+            first = np.lexsort((ids[alive], -scores))[:k]
+        return alive[first], scores[first].astype(np.int64)
 
 
 def _search(k: int):
@@ -115,7 +142,10 @@ def _search(k: int):
 def _matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     vectors = rows.column("v").combine_chunks()
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    return rows.column("id").to_numpy(), np.floor(256.0 * flat.astype(np.float64)).reshape(len(vectors), -1)
+    whole = np.floor(256.0 * flat.astype(np.float64))
+    if not np.isfinite(whole).all():
+        raise OverflowError("a component doesn't fit a double when multiplied by 256")
+    return rows.column("id").to_numpy(), whole.reshape(len(vectors), -1)
 
 
 def search(vectors: DataFrame, is_query: str, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
@@ -130,6 +160,8 @@ def search(vectors: DataFrame, is_query: str, k: int = K, id_col: str = "vec_id"
     left = queries.select("id", "v", F.size("v").alias("dims"), block(n_q).alias("q"), others(n_c).alias("c"))
     right = rows.select("id", "v", F.size("v").alias("dims"), block(n_c).alias("c"), others(n_q).alias("q"))
     keys = ["dims", "q", "c"]
+    # as many partitions as groups: they are few bytes and much work, and would be coalesced otherwise
+    left, right = (side.repartition(min(n_c * n_q, GROUPS), *keys) for side in (left, right))
     local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -62,8 +62,26 @@ def test_top_k(spark, blocks):
     assert topk_search.search(df.limit(0), "id % 50 = 0").collect() == []
 
 
+def test_top_k_of_large_components(spark):
+    """Scores beyond what doubles hold, and such that don't fit a long."""
+    r = np.random.RandomState(1)
+    for size in (4 * 10**5, 3 * 10**6, 3 * 10**10):
+        rows = [(i, [float(x) for x in r.randint(-size, size, 12) + 0.00390625]) for i in range(300)]
+        rows += [(600 + i, rows[i][1]) for i in range(5)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        if size > 10**9:
+            with pytest.raises(Exception, match="64 bits"):
+                topk_search.search(df, "id % 50 = 0").collect()
+        else:
+            ints = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+            best = {q: sorted((-sum(map(int.__mul__, ints[q], v)), j) for j, v in ints.items() if j != q)[:5] for q in ints if q % 50 == 0}
+            told = sorted((q, n + 1, j, -s) for q, found in best.items() for n, (s, j) in enumerate(found))
+            assert sorted(tuple(x) for x in topk_search.search(df, "id % 50 = 0", candidate_block=100).collect()) == told
+
+
 def linked(rows, threshold=0.98):
-    ids, n = [r[0] for r in rows], len(rows)
+    given, n = [r[0] for r in rows], len(rows)
+    ids = list(range(n))
     up, count = {i: i for i in ids}, dict.fromkeys(ids, 0)
 
     def top(x):
@@ -74,14 +92,18 @@ def linked(rows, threshold=0.98):
     for i in range(n):
         for j in range(i):
             a, b = rows[i][2], rows[j][2]
-            if rows[i][1] is not None and rows[i][1] == rows[j][1] and a and b and len(a) == len(b):
+            if given[i] is not None and given[j] is not None and rows[i][1] is not None and rows[i][1] == rows[j][1] and a and b and len(a) == len(b):
                 x, y = np.array(a, float), np.array(b, float)
                 if x.any() and y.any() and x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= threshold:
                     count[ids[i]] += 1
                     count[ids[j]] += 1
                     u, v = sorted((top(ids[i]), top(ids[j])))
                     up[v] = u
-    return sorted((i, count[i], top(i), top(i) == i) for i in ids)
+    least = {}
+    for i in ids:
+        if given[i] is not None:
+            least[top(i)] = min(least.get(top(i), given[i]), given[i])
+    return sorted(((g, count[i], None if g is None else least[top(i)], g is None or least[top(i)] == g) for i, g in enumerate(given)), key=str)
 
 
 @pytest.mark.parametrize("tile", [embedding_dedup.TILE, 16])
@@ -92,13 +114,27 @@ def test_embedding_dedup(spark, tile):
     rows += [(1000, 1, [0.0] * 10), (1001, 1, None), (1002, 1, []), (1003, 1, [1.0, 2.0]), (1004, 1, [2.0, 4.0])]
     df = spark.createDataFrame(rows, VECTORS).withColumn("links", F.lit(1)).withColumn("id", F.lit(2)).withColumn("n", F.lit(3))
     exact = [tuple(x)[:3] for x in df.collect()]
-    assert sorted(tuple(x) for x in embedding_dedup.dedup(df, tile=tile).collect()) == linked(exact)
+    assert sorted((tuple(x) for x in embedding_dedup.dedup(df, tile=tile).collect()), key=str) == linked(exact)
+
+
+def test_repeated_vectors(spark, duck, tmp_path):
+    """Rows that repeat an id, a large label and null ids: brute force, the query and its SQL agree."""
+    r = np.random.RandomState(2)
+    base = r.randn(5, 8)
+    rows = [(int(r.randint(0, 60)) if i % 19 else None, 1 if i % 4 else int(i % 3), [float(np.float32(x)) for x in base[i % 5] + r.randn(8) * 0.12]) for i in range(260)]
+    rows += rows[:9] + [(1, None, rows[0][2]), (2, 1, None)]
+    df = spark.createDataFrame(rows, VECTORS)
+    told = linked(rows)
+    assert sorted((tuple(x) for x in embedding_dedup.dedup(df, tile=32).collect()), key=str) == told
+    df.coalesce(1).write.parquet(f"{tmp_path}/e")
+    sql = embedding_dedup.OP5_SQL.replace("FROM embeddings", f"FROM '{tmp_path}/e/*.parquet'")
+    assert sorted(duck.execute(sql).fetchall(), key=str) == told
 
 
 def test_odd_vectors(spark):
     rows = [(None, 1, [1.0]), (1, 1, [1.0]), (1, 1, [1.0]), (2, 1, [NAN]), (3, 1, [2.0])]
     got = sorted((tuple(x) for x in embedding_dedup.dedup(spark.createDataFrame(rows, VECTORS)).collect()), key=str)
-    assert got == sorted([(1, 1, 1, True), (2, 0, 2, True), (3, 1, 1, False), (None, 0, None, True)], key=str)
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True), (3, 2, 1, False), (None, 0, None, True)], key=str)
     assert embedding_dedup.dedup(spark.createDataFrame([], VECTORS)).collect() == []
 
 
