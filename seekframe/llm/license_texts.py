@@ -62,6 +62,48 @@ _APACHE_NOTICE = (
     "the specific language governing permissions and limitations under the License."
 )
 
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. "
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code "
+    "form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all "
+    "copyright interest in the software to the public domain. We make this dedication for the benefit of the public at "
+    "large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of "
+    "relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO '
+    "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+    "AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+    "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+    "liable for any damages arising from the use of this software. "
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+    "alter it and redistribute it freely, subject to the following restrictions: "
+    "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original "
+    "software. If you use this software in a product, an acknowledgment in the product documentation would be "
+    "appreciated but is not required. "
+    "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original "
+    "software. "
+    "3. This notice may not be removed or altered from any source distribution."
+)
+_BOOST = (
+    "Boost Software License - Version 1.0 - August 17th, 2003 "
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+    'accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, '
+    "execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties "
+    "to whom the Software is furnished to do so, all subject to the following: "
+    "The copyright notices in the Software and this entire statement, including the above license grant, this "
+    "restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, "
+    "and all derivative works of the Software, unless such copies or derivative works are solely in the form of "
+    "machine-executable object code generated by a source language processor. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO '
+    "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT "
+    "SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, "
+    "WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR "
+    "OTHER DEALINGS IN THE SOFTWARE."
+)
+
 #: (licence id, text); one id may have several texts. Not data: each is a fixed public wording.
 KNOWN: list[tuple[str, str]] = [
     ("MIT", "MIT License " + _PERMISSION + _NO_WARRANTY),
@@ -75,6 +117,14 @@ KNOWN: list[tuple[str, str]] = [
     ("BSD-2-Clause", _BSD_GRANT + _BSD_WARRANTY),
     ("BSD-3-Clause", "BSD 3-Clause License " + _BSD_GRANT + _BSD_THIRD + _BSD_WARRANTY),
     ("BSD-3-Clause", _BSD_GRANT + _BSD_THIRD + _BSD_WARRANTY),
+    ("BSD-3-Clause", (_BSD_GRANT + _BSD_THIRD).replace("1. ", "").replace("2. ", "").replace("3. ", "") + _BSD_WARRANTY),
+    ("BSD-2-Clause", _BSD_GRANT.replace("1. ", "").replace("2. ", "") + _BSD_WARRANTY),
+    ("Unlicense", _UNLICENSE),
+    ("Unlicense", _UNLICENSE + " For more information, please refer to <https://unlicense.org/>"),
+    ("Unlicense", _UNLICENSE + " For more information, please refer to <http://unlicense.org>"),
+    ("Zlib", _ZLIB),
+    ("Zlib", "zlib License " + _ZLIB),
+    ("BSL-1.0", _BOOST),
     ("Apache-2.0", _APACHE_NOTICE),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0-or-later", _GPL_NOTICE),
@@ -82,3 +132,25 @@ KNOWN: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 ]
+
+#: Fixed values: (licence id, SHA-256 of the canonical form) of texts too long to hold here, as their publishers' files have them;
+#: some also without the closing instructions. A licence whose file isn't listed can be given as a folder of texts.
+DIGESTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "2c09e30e2f41373bae293d6175bb3ecf7cbbbb7dcde2fab7c109e10f5e519da2"),
+    ("Apache-2.0", "e5ea371cb5eeae3a08e4ad074f57c83186e4f22d5b5ba9a0c50eeacaac4f21fd"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", "ee4f004efcecdf9d9069648b3868636b6aed9a7d8fa7a8319d5d5b4ac94ae44d"),
+    ("GFDL-1.2", "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"),
+    ("GFDL-1.3", "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "8f953f6eec8061b3076a4219aca03b647f815c861782f8843ff4474aa176c10b"),
+    ("GPL-3.0", "a0aac2df95f0cdfe23c0177fcdd25b34f751eda4cb9f4c24af8bc2d487ae7043"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "340e8987b2a03aedfbfe119cf2cae432ccb0997957adcf0e4241a5f772cf23df"),
+    ("MPL-2.0", "686ced7a7ae35e06a82ffe06c0c47835ff4c71270e164a656636097ed733daee"),
+]

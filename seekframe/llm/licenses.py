@@ -2,11 +2,14 @@
 
 Canonical form: A-Z lower-cased; copyright lines and "all rights reserved" dropped; every run of
 other characters than letters and digits one space; British and other equivalent spellings made
-one. A text whose canonical form equals a known text's is that licence; nothing less than the entire
+one. A copyright line starts, after comment marks, with "copyright" or "(c)" and goes on with a year, a sign, a
+placeholder or a holder, so a wrapped sentence that has the word at the start of a line stays. A text whose
+canonical form equals a known text's is that licence; nothing less than the entire
 text counts. Nulls and empty texts are the empty form, which is no licence; a text that is only
-copyright lines is that form too. Rows are judged one by one, so repeated rows repeat.
+copyright lines is that form too. Rows are judged one by one, so repeated rows repeat; an empty table gives no rows.
 
-The only join is to the known digests. They are broadcast when there are at most
+Known are short texts (KNOWN), the digests of long ones (DIGESTS), and whatever folder of published files a caller
+names. The only join is to the known digests. They are broadcast when there are at most
 ``BROADCAST_ROWS`` of them, else joined by shuffle.
 """
 
@@ -15,22 +18,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekframe.llm.license_texts import KNOWN
+from seekframe.llm.license_texts import DIGESTS, KNOWN
 from seekframe.tables import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: (pattern, replacement with $1 and $2), applied in this order to lower-cased text
-RULES = [
-    (r"(^|\n)[ \t#*/;-]*(copyright|\(c\)|©)[^\n]*", r"$1"),
-    (r"all rights reserved", " "),
-    (r"[^a-z0-9\x{00C0}-\x{1FFF}\x{2C00}-\x{10FFFF}]+", " "),
-    (r"licenc(e|ing)", r"licens$1"),
-    (r"(organi|recogni|authori|utili|initiali|finali|customi|summari|optimi|capitali|characteri)s(e|ation|ing)", r"$1z$2"),
-    (r"(behavi|fav|col|hon|lab)our", r"$1or"),
-    (r"(judg|acknowledg)ement", r"$1ment"),
-    (r"\bnon (infringement|commercial|exclusive)", r"non$1"),
-    (r"\b(sub) (licens)", r"$1$2"),
-    (r"\bhttps\b", "http"),
+_HOLDER = r"the [^\n]*(authors|contributors|developers|foundation|regents|project|team)"
+COPYRIGHT = rf"(^|\n)[ \t#*/;%!>-]*(portions )?(copyright[ \t:]*(\(c\)|©|[0-9][0-9][0-9][0-9]|[\[<{{]|by |{_HOLDER})|\(c\)[ \t]*(copyright|[0-9][0-9][0-9][0-9]|[\[<{{]|by )|©)[^\n]*"
+RESERVED = r"all[^a-z0-9]+rights[^a-z0-9]+reserved"
+GAP = r"[^a-z0-9\x{00C0}-\x{1FFF}\x{2C00}-\x{10FFFF}]+"
+#: (spelling, its equivalent) once gaps are single spaces. In this order; parts of words, so that endings need no entries.
+SPELLINGS = [
+    ("licenc", "licens"),
+    *((f"{w}is", f"{w}iz") for w in ("organ", "recogn", "author", "util", "initial", "final", "custom", "summar", "optim", "capital", "character")),
+    *((f"{w}our", f"{w}or") for w in ("behavi", "fav", "col", "hon", "lab")),
+    *((f"{w}ement", f"{w}ment") for w in ("judg", "acknowledg")),
+    *((f" non {w}", f" non{w}") for w in ("infringement", "commercial", "exclusive")),
+    (" sub licens", " sublicens"),
+    (" https ", " http "),
 ]
 BROADCAST_ROWS = 10_000
 
@@ -38,15 +42,26 @@ BROADCAST_ROWS = 10_000
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
     out = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    for pattern, replacement in RULES:
-        out = F.regexp_replace(out, pattern, replacement)
+    some = out.contains("copyright") | out.contains("(c)") | out.contains("©")
+    out = F.when(some, F.regexp_replace(out, COPYRIGHT, "$1")).otherwise(out)
+    out = F.when(out.contains("reserved"), F.regexp_replace(out, RESERVED, " ")).otherwise(out)
+    out = F.regexp_replace(out, GAP, " ")
+    for one, other in SPELLINGS:
+        out = F.replace(out, F.lit(one), F.lit(other))
     return F.trim(out)
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(license, digest), one row per digest; of several licences with one digest the first by name."""
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, str]] = DIGESTS, folder: str | None = None) -> DataFrame:
+    """(license, digest), one row per digest; of several licences with one digest the first by name.
+
+    ``folder``: published texts, one a file, each named after its licence.
+    """
     texts = spark.createDataFrame(known, "license string, text string")
-    return texts.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license").alias("license"))
+    if folder is not None:
+        files = spark.read.text(folder, wholetext=True)
+        texts = texts.unionByName(files.select(F.regexp_extract(F.input_file_name(), "([^/]*?)([.]txt)?$", 1).alias("license"), F.col("value").alias("text")))
+    told = texts.select("license", F.sha2(canonical(F.col("text")), 256).alias("digest")).unionByName(spark.createDataFrame(digests, "license string, digest string"))
+    return told.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame, known_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,25 +79,34 @@ def scan(docs: DataFrame, known: DataFrame, known_rows: int, id_col: str = "doc_
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licence that each document as a whole is, if any."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return scan(docs, known_digests(spark), len(KNOWN))
-
-
-def _sql_canonical(text: str) -> str:
-    out = f"translate(coalesce({text}, ''), '{UPPER}', '{LOWER}')"
-    for pattern, replacement in RULES:
-        to = replacement.replace("$", "\\")
-        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
-    return f"trim({out}, ' ')"
+    return scan(docs, known_digests(spark), len(KNOWN) + len(DIGESTS))
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _sql_canonical(text: str) -> str:
+    """The canonical form in SQL, written from the description above and not from the lists."""
+    return f"""(SELECT trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      regexp_replace(regexp_replace(regexp_replace(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'),
+        '(^|\\n)[-\\t !#%*/;>]*(?:portions )?(?:copyright[\\t :]*(?:\\(c\\)|©|\\d{{4}}|[<\\[{{]|by |the .*(?:authors|contributors|developers|foundation|regents|project|team))|\\(c\\)[\\t ]*(?:copyright|\\d{{4}}|[<\\[{{]|by )|©).*', '\\1', 'g'),
+        'all[^a-z0-9]+rights[^a-z0-9]+reserved', ' ', 'g'),
+        '[^0-9a-z\\x{{00C0}}-\\x{{1FFF}}\\x{{2C00}}-\\x{{10FFFF}}]+', ' ', 'g'),
+        'licenc', 'licens', 'g'),
+        '(author|capital|character|custom|final|initial|optim|organ|recogn|summar|util)is', '\\1iz', 'g'),
+        '(behavi|col|fav|hon|lab)our', '\\1or', 'g'),
+        '(acknowledg|judg)ement', '\\1ment', 'g'),
+        ' non (commercial|exclusive|infringement)', ' non\\1', 'g'),
+        ' sub licens', ' sublicens', 'g'), ' https ', ' http '), '^$', ''), ' '))"""
+
+
 OP7_SQL = f"""
 WITH known AS (
-  SELECT sha256({_sql_canonical('t')}) AS digest, min(l) AS license
-  FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in KNOWN)}) AS v(l, t) GROUP BY 1
+  SELECT digest, min(l) AS license FROM (
+    SELECT l, sha256({_sql_canonical('t')}) AS digest FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in KNOWN)}) AS v(l, t)
+    UNION ALL SELECT * FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in DIGESTS)}) AS v(l, d)
+  ) GROUP BY digest
 ), docs AS (SELECT doc_id, {_sql_canonical('text')} AS form FROM documents)
 SELECT d.doc_id, k.license, sha256(d.form) AS canon_sha256, CAST(length(d.form) AS BIGINT) AS canon_chars
 FROM docs d LEFT JOIN known k ON sha256(d.form) = k.digest AND length(d.form) > 0

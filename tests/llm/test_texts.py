@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import textwrap
 from collections import defaultdict
 
 import pytest
@@ -214,6 +215,45 @@ def test_licences(spark):
         assert got_of(licenses.scan(df, known, bound), "doc_id", "license") == expected
 
 
+PUBLISHED = "/usr/share/common-licenses"
+
+
+def wrapped_licences():
+    """(licence, text) of short licences as their files have them: wrapped, with titles and copyright lines."""
+    out = []
+    for name, text in licenses.KNOWN:
+        if len(text) > 400:
+            for width in (50, 61, 72, 76, 80):
+                lines = textwrap.wrap(text, width)
+                out += [(name, "\n".join(["Copyright (c) 2019-2021, Jo Doe", "All rights reserved.", "", *lines])), (name, "\r\n".join(["/*", *[f" * {x}" for x in ("Copyright 2020 The Foo Authors", *lines)], " */"]))]
+    isc = "Copyright (C) 2004 by Internet Systems\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\nWITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF\nMERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR\nANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES\nWHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN\nACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF\nOR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.\n"
+    return [*out, ("ISC", isc)]
+
+
+def test_wrapped_licences(spark, duck):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD-3-Clause": "BSD", "GFDL-1.3": "GFDL-1.3"}
+    told = wrapped_licences()
+    for name, file in files.items():
+        if os.path.exists(f"{PUBLISHED}/{file}"):
+            with open(f"{PUBLISHED}/{file}", encoding="utf-8", errors="replace") as f:
+                text = f.read()
+            told += [(name, text), (name, text.upper()), (name, "\n".join(f"# {x}" for x in text.splitlines())), (None, text + "\none more word")]
+    docs = [(i, t) for i, (_, t) in enumerate(told)]
+    df = spark.createDataFrame(docs, DOCS)
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(df, licenses.known_digests(spark), 100).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(told)}
+    sql = licenses.OP7_SQL.replace("FROM documents", "FROM (SELECT unnest($1) AS doc_id, unnest($2) AS text)")
+    assert {r[0]: r[1] for r in duck.execute(sql, [[i for i, _ in docs], [t for _, t in docs]]).fetchall()} == got
+
+
+def test_licences_of_a_folder(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("Do what you like with this.\nCopyright 2020 me")
+    known = licenses.known_digests(spark, folder=str(tmp_path))
+    docs = spark.createDataFrame([(1, "DO WHAT YOU LIKE\nwith this!"), (2, "do what you like"), (3, "copyright notice " * 40_000)], DOCS)
+    assert got_of(licenses.scan(docs, known, 100), "doc_id", "license") == [(1, "Own-1.0"), (2, None), (3, None)]
+    assert licenses.scan(docs.limit(0), known, 100).collect() == []
+
+
 def found_secrets(t):
     t = t or ""
     base = [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, t) if len(m[2]) >= 12]
