@@ -4,14 +4,18 @@ Evidence. A logistic regression on ten figures of a text (shares of capitals, sy
 repetition; see ``FIGURES``) is fitted on at most ``LABELLED`` labelled rows, those of least id hash, and gives each
 text log odds of being good. Its own share of good labels is taken out, so what's left is evidence alone.
 
-Sites. A host is a document's source, a path its language within it. The global rate of good texts comes from
-the evidence on all documents; a host's rate is its documents' mean, shrunk to the global rate as by ``HOST_WEIGHT``
-documents; a path's is its mean, shrunk to its host's as by ``PATH_WEIGHT``. All are grouped sums over every
-document, combined before the shuffle; no group is gathered. A document's posterior log odds are its evidence plus
-those of its path's rate. It's kept at log odds of 0 or more.
+Sites. A host is a document's source, a path its language within it (documents have no address). The global rate of good
+texts comes from the evidence on all documents; a host's rate is its documents' mean, shrunk to the global rate; a path's is
+its mean, shrunk to its host's. How much is estimated from the same grouped sums, by the moments of a nested analysis of
+variance: a mean of n documents counts n / (n + k), with k the variance within paths over that between paths of a host,
+or (both of these) over that between hosts. Where groups differ no more than chance would make them, they count for
+nothing. A document is left out of its own path, host and global rate, so that its evidence counts once. All are sums
+over every document, combined before the shuffle; no group is gathered. A document's posterior log odds are its
+evidence plus those of its path's rate. It's kept at log odds of 0 or more.
 
 A text that is null or has no words is rejected, with no evidence, and counts for no site. A null source or language
-is a site of its own. Labels of unknown documents, null labels, and labels other than 0 and 1 are not used; without
+is a site of its own. Labels of unknown documents, null labels, labels other than 0 and 1, and ids with both are not used;
+of rows that repeat a labelled id the one with the least text is fitted on. Without
 both good and bad labels every text with words has no evidence either way. Repeated rows count each. Site figures
 are joined by source and language as the optimiser sees fit; their number is that of sites.
 """
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +35,8 @@ from seekframe.llm.words import Hasher, Piece, pieces
 from seekframe.tables import table
 
 LABELLED = 20_000
-HOST_WEIGHT, PATH_WEIGHT = 200.0, 100.0
+#: Bounds of the estimated strengths, in documents.
+WEAKEST, STRONGEST = 1.0, 1e9
 FIGURES = ("capitals", "symbols", "digits", "word_length", "stutter", "repetition", "distinct", "long_words", "line_length", "words")
 PHRASE = 4
 _SYMBOLS = np.zeros(256, bool)
@@ -131,10 +136,12 @@ def _figures_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED) -> Model:
     """The evidence model, from a bounded sample of labelled texts brought to the driver as figures."""
-    some = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("good"))
-    some = some.orderBy(F.xxhash64("id"), "id", "good").limit(labelled)
+    some = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
+    some = some.agg(F.min(label_col).cast("int").alias("good"), F.max(label_col).cast("int").alias("most")).where("good = most").select("id", "good")
+    some = some.orderBy(F.xxhash64("id"), "id").limit(labelled)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = texts.join(F.broadcast(some), "id").select("text", "good").mapInArrow(_figures_pass, "good int, x array<double>").toArrow()
+    each = texts.join(F.broadcast(some), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("good").alias("good"))
+    found = each.select("text", "good").mapInArrow(_figures_pass, "good int, x array<double>").toArrow()
     x = found.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FIGURES))
     return Model(x, found.column("good").to_numpy().astype(float))
 
@@ -153,47 +160,77 @@ def with_evidence(docs: DataFrame, model: Model, text_col: str = "text", name: s
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
-def _odds(rate: Column) -> Column:
-    return F.ln(rate / (1 - rate))
+def strengths(t: dict[str, float]) -> tuple[float, float]:
+    """(host's, path's) k, in documents, from the sums that ``sites`` totals."""
+    n, paths, hosts = t["n"], t["paths"], t["hosts"]
+    if n <= paths:
+        return STRONGEST, STRONGEST
+    within = max((t["q"] - t["path_squares"]) / (n - paths), 0.0)
+    path_size = n - t["path_sizes"]
+    between = ((t["path_squares"] - t["host_squares"]) - (paths - hosts) * within) / path_size if path_size > 0 else 0.0
+    host_size = n - t["host_sizes"] / n
+    mixed = (t["path_sizes"] - t["sizes"] / n) * max(between, 0.0)
+    apart = ((t["host_squares"] - t["s"] ** 2 / n) - (hosts - 1) * within - mixed) / host_size if host_size > 0 else 0.0
+    k = lambda inner, outer: min(max(inner / outer, WEAKEST), STRONGEST) if outer > 0 else STRONGEST
+    return k(within + max(between, 0.0), apart), k(within, between)
 
 
-def sites(rated: DataFrame, host_weight: float = HOST_WEIGHT, path_weight: float = PATH_WEIGHT) -> DataFrame:
-    """(host, path, prior): the log odds of each path's rate. ``rated``: (host, path, evidence) of every document, kept."""
-    good = 1 / (1 + F.exp(-F.col("evidence")))
-    path = rated.where("evidence is not null").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(good).alias("s"))
-    host = path.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    whole = host.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s")).first()  # one row; null sums without documents
-    rate = F.lit(((whole["s"] or 0.0) + 0.5) / ((whole["n"] or 0) + 1))
-    host = host.select(F.col("host").alias("h"), ((F.col("hs") + host_weight * rate) / (F.col("hn") + host_weight)).alias("host_rate"))
-    both = path.join(host, F.col("host").eqNullSafe(F.col("h")))
-    rate = (F.col("s") + path_weight * F.col("host_rate")) / (F.col("n") + path_weight)
-    return both.select("host", "path", F.least(F.greatest(rate, F.lit(1e-9)), F.lit(1 - 1e-9)).alias("rate")).select("host", "path", _odds(F.col("rate")).alias("prior"))
-
+def sites(rated: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """((host, path, n, s, hn, hs) of each path, the totals over all). ``rated``: (host, path, evidence) of every document, kept.
 
-def _joined(rated: DataFrame, priors: DataFrame) -> DataFrame:
-    at = priors.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "prior")
-    return rated.join(at, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")), "left").drop("site_host", "site_path")
+    n documents whose probabilities sum to s, and those of the host.
+    """
+    good = 1 / (1 + F.exp(-F.col("evidence")))
+    path = rated.where("evidence is not null").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(good).alias("s"), F.sum(good * good).alias("q"))
+    host = path.groupBy("host").agg(
+        F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("q").alias("q"), F.count("*").alias("paths"), F.sum(F.col("s") ** 2 / F.col("n")).alias("path_squares"), F.sum(F.col("n").cast("double") ** 2).alias("sizes"),
+    )
+    total = {"n": "hn", "s": "hs", "q": "q", "paths": "paths", "path_squares": "path_squares", "sizes": "sizes", "host_squares": "hs * hs / hn", "path_sizes": "sizes / hn", "host_sizes": "cast(hn as double) * hn"}
+    row = host.agg(F.count("*").alias("hosts"), *[F.sum(F.expr(e)).alias(k) for k, e in total.items()]).first()  # one row; null sums without documents
+    whole = {k: float(v or 0) for k, v in row.asDict().items()}
+    named = host.select(F.col("host").alias("h"), "hn", "hs")
+    return path.drop("q").join(named, F.col("host").eqNullSafe(F.col("h"))).drop("h"), whole
+
+
+def _judged(rated: DataFrame, found: tuple[DataFrame, dict[str, float]], host: str = "host", path: str = "path", evidence: str = "evidence") -> DataFrame:
+    """``rated`` with the struct ``site_odds`` of prior and posterior, a document being left out of its own site."""
+    known, whole = found
+    host_k, path_k = strengths(whole)
+    at = known.select(F.struct("*").alias("site"))
+    both = rated.join(at, F.col(host).eqNullSafe(F.col("site.host")) & F.col(path).eqNullSafe(F.col("site.path")), "left")
+    own = 1 / (1 + F.exp(-F.col(evidence)))
+    rate = (whole["s"] - own + 0.5) / whole["n"]  # of the others, and half a good and a bad one
+    rate = F.least(F.greatest(rate, F.lit(0.0)), F.lit(1.0))
+    rate = (F.col("site.hs") - own + host_k * rate) / (F.col("site.hn") - 1 + host_k)
+    rate = (F.col("site.s") - own + path_k * rate) / (F.col("site.n") - 1 + path_k)
+    rate = F.least(F.greatest(rate, F.lit(1e-9)), F.lit(1 - 1e-9))
+    prior = F.when(F.col(evidence).isNotNull(), F.ln(rate / (1 - rate)))
+    return both.withColumn("site_odds", F.struct(prior.alias("prior"), (F.col(evidence) + prior).alias("posterior"))).drop("site")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """(id, evidence, prior, posterior, kept) for every row; all log odds."""
+    """(id, evidence, prior, posterior, kept) for every row; all log odds, null for texts without words."""
     model = fit(docs, labels, id_col, text_col)
     scratch = Scratch(docs.sparkSession, "quality")
     named = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     rated = scratch.keep(with_evidence(named, model).drop("text"))
-    joined = _joined(rated, sites(rated)).withColumn("posterior", F.col("evidence") + F.col("prior"))
-    return joined.select(F.col("id").alias(id_col), "evidence", "prior", "posterior", F.coalesce(F.col("posterior") >= 0, F.lit(False)).alias("kept"))
+    posterior = F.col("site_odds.posterior")
+    return _judged(rated, sites(rated)).select(F.col("id").alias(id_col), "evidence", "site_odds.prior", posterior.alias("posterior"), F.coalesce(posterior >= 0, F.lit(False)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that classify() keeps, with their columns. The texts are not shuffled unless sites are many."""
+    """The rows of ``docs`` that classify() keeps, with their columns.
+
+    The rows are kept with their evidence, so that texts are taken apart once; they are not shuffled unless sites are many.
+    """
     model = fit(docs, labels, id_col, text_col)
     scratch = Scratch(docs.sparkSession, "quality")
-    named = docs.select(F.struct("*").alias("row"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    rated = scratch.keep(with_evidence(named.drop("row"), model).drop("text"))
-    priors = scratch.keep(sites(rated))
-    again = with_evidence(named.drop("host", "path"), model).select("row", F.col(f"row.{host_col}").alias("host"), F.col(f"row.{path_col}").alias("path"), "evidence")
-    return _joined(again, priors).where("evidence + prior >= 0").select("row.*")
+    names = {c.lower() for c in docs.columns}
+    free = next(n for n in (f"evidence_{i}" for i in range(len(names) + 1)) if n not in names)
+    rated = scratch.keep(with_evidence(docs, model, text_col, free))
+    found = sites(rated.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col(free).alias("evidence")))
+    rows = rated.select(F.struct(*docs.columns).alias("row"), F.col(host_col).alias("h"), F.col(path_col).alias("p"), F.col(free).alias("e"))
+    return _judged(rows, found, "h", "p", "e").where("site_odds.posterior >= 0").select("row.*")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

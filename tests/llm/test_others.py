@@ -304,27 +304,84 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean([v["kept"] for v in good]) >= 0.99 and np.mean([not v["kept"] for v in bad]) >= 0.9
 
 
+def figures(text):
+    """FIGURES of a text, word by word."""
+    words = [w.encode() for w in re.findall(mixing.WORD, text)]
+    n, raw, body = len(words), text.encode(), b"".join(words)
+    among = lambda low, high: sum(low <= c <= high for c in body)
+    upper, lower = among(65, 90), among(97, 122)
+    phrases = [tuple(words[i : i + 4]) for i in range(n - 3)]
+    first = re.search(mixing.WORD, text)
+    lines = raw[len(text[: first.start()].encode()) :].count(b"\n") if first else 0
+    share = lambda a, b: a / max(b, 1)
+    return [
+        share(upper, upper + lower), share(sum(c in b"!#$%&*+<=>@[\\]^_`{|}~" for c in body), len(body)), share(among(48, 57), len(body)), np.log1p(share(len(body), n)),
+        share(sum(a == b for a, b in zip(words, words[1:])), n), share(len(phrases) - len(set(phrases)), len(phrases)), share(len(set(words)), n), share(sum(len(w) > 24 for w in words), n),
+        np.log1p(share(n, lines + 1)), np.log1p(n),
+    ]
+
+
+def test_quality_evidence_by_definition(spark):
+    """Figures recomputed word by word, and weights at which the penalised likelihood of the labels is flat."""
+    from seekframe.llm.words import pieces
+    import pyarrow as pa
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
+    odd = ["a b c d a b c d e e", "A\n\nB c\n", "é😀 é😀 x{}", "w " * 3000, "q" * 100_000]
+    for text in [*list(docs.values())[:40], *odd]:
+        if text:
+            (piece,) = pieces(pa.array([text]))
+            assert quality.Figures().of(piece)[0] == pytest.approx(figures(text))
+    some = [(docs[i], q) for i, q in labels if docs.get(i) and q in (0, 1)]
+    x, good = np.array([figures(t) for t, _ in some]), np.array([q for _, q in some], float)
+    model = quality.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    z = np.clip((x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-6), -4, 4)
+    z = np.hstack([z, z * z - 1])
+    rate = good.mean()
+    p = 1 / (1 + np.exp(-(z @ model.weights + model.constant + np.log(rate / (1 - rate)))))
+    assert np.abs(z.T @ (good - p) - model.weights).max() < 1e-5 and abs((good - p).sum()) < 1e-5
+
+
 def test_quality_by_definition(spark):
-    """Posteriors are the evidence and shrunk site rates, recomputed by hand."""
+    """Posteriors are the evidence and shrunk site rates, recomputed by hand from a nested analysis of variance."""
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang")))
+    # a site of good texts, one of bad ones, and one with a single document
+    good, bad = ([r["doc_id"] for r in labels.where(f"quality = {q}").collect()] for q in (1, 0))
+    docs = docs.withColumn("source", F.when(F.col("doc_id").isin(good[:30]), "fine").when(F.col("doc_id").isin(bad), "poor").when(F.col("doc_id") == good[31], "single").otherwise(F.col("source")))
     rows = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
-    known = docs.select("doc_id", "source", "lang").collect()
+    known = {r["doc_id"]: (r["source"], r["lang"]) for r in docs.select("doc_id", "source", "lang").collect()}
     p = {d: 1 / (1 + np.exp(-r["evidence"])) for d, r in rows.items() if r["evidence"] is not None}
-    rate = (sum(p.values()) + 0.5) / (len(p) + 1)
-    group = lambda of: {k: [p[r["doc_id"]] for r in known if of(r) == k and r["doc_id"] in p] for k in {of(r) for r in known}}
-    host = {k: (sum(v) + quality.HOST_WEIGHT * rate) / (len(v) + quality.HOST_WEIGHT) for k, v in group(lambda r: r["source"]).items()}
-    path = group(lambda r: (r["source"], r["lang"]))
-    for r in known:
-        v = path[r["source"], r["lang"]]
-        q = (sum(v) + quality.PATH_WEIGHT * host[r["source"]]) / (len(v) + quality.PATH_WEIGHT)
-        assert rows[r["doc_id"]]["prior"] == pytest.approx(np.log(q / (1 - q)))
-    assert sorted(r["doc_id"] for r in quality.keep_good(docs, labels).collect()) == sorted(d for d, r in rows.items() if r["kept"])
+    path, host = defaultdict(list), defaultdict(list)
+    for d, x in p.items():
+        path[known[d]].append(x)
+        host[known[d][0]].append(x)
+    n, whole = len(p), list(p.values())
+    squares = lambda groups: sum(sum(g) ** 2 / len(g) for g in groups)
+    within = (sum(x * x for x in whole) - squares(path.values())) / (n - len(path))
+    in_host = sum(len(g) ** 2 / len(host[k[0]]) for k, g in path.items())
+    between = (squares(path.values()) - squares(host.values()) - (len(path) - len(host)) * within) / (n - in_host)
+    mixed = (in_host - sum(len(g) ** 2 for g in path.values()) / n) * max(between, 0)
+    apart = (squares(host.values()) - sum(whole) ** 2 / n - (len(host) - 1) * within - mixed) / (n - sum(len(g) ** 2 for g in host.values()) / n)
+    k = lambda a, b: min(max(a / b, 1), 1e9) if b > 0 else 1e9
+    host_k, path_k = k(within + max(between, 0), apart), k(within, between)
+    assert 1 <= host_k < 1e9
+    for d, x in p.items():
+        rate = (sum(whole) - x + 0.5) / n
+        rate = (sum(host[known[d][0]]) - x + host_k * rate) / (len(host[known[d][0]]) - 1 + host_k)
+        rate = (sum(path[known[d]]) - x + path_k * rate) / (len(path[known[d]]) - 1 + path_k)
+        assert rows[d]["prior"] == pytest.approx(np.log(rate / (1 - rate)), abs=1e-6)
+        assert rows[d]["posterior"] == pytest.approx(rows[d]["prior"] + rows[d]["evidence"])
+        assert rows[d]["kept"] == (rows[d]["posterior"] >= 0)
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, r in rows.items() if r["kept"])
 
 
 def test_quality_of_odd_rows(spark):
     docs = [(1, None, None, None, 5), (2, "", "a", "b", 6), (3, "hello there", None, "x", 7), (3, "hello there", None, "x", 7), (4, "w " * 30000, "a", "b", 8)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, evidence int").withColumn("prior", F.lit(0)).withColumn("host", F.lit("h"))
-    labels = spark.createDataFrame([(3, 1), (9, 0), (None, 1), (3, None), (3, 7)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(3, 1), (9, 0), (None, 1), (3, None), (3, 7), (4, 0), (4, 1)], "doc_id long, quality int")
     kept = sorted((r["doc_id"], r["kept"]) for r in quality.classify(df, labels).collect())
     assert kept == [(1, False), (2, False), (3, True), (3, True), (4, True)]
     assert quality.keep_good(df, labels.limit(0)).columns == df.columns
