@@ -10,15 +10,15 @@ The method adds ``entropy`` spans. A candidate is a run of 20 or more characters
 ``[A-Za-z0-9+/_=-]`` with a letter and a digit. A window of 20 characters slides over it; the
 counts of its characters change by one in and one out each step, and with them the sum of
 c * log2(c), held in millionths of a bit so that it is exact. The candidate's character class
-(hex, capitals, letters and digits, or base64) sets how high a window's entropy has to be. The
-span runs from the first such window to the end of the last. The pieces of a candidate between
+(hex, capitals, letters and digits, or base64) sets how high a window's entropy has to be. Spans are
+the runs of such windows; windows that share characters are one run. The pieces of a candidate between
 separators (``=``, then ``_`` and ``-`` or ``/`` and ``+``, then all of them) are candidates too, each of
 its own class, so that a key is found whatever its name is joined with; spans that overlap are one.
 Allow-listed candidates (UUIDs, examples, placeholders, paths of plain words) are passed over; so are
 pieces of UUIDs and paths, but not what stands beside an example. Spans inside a base span say
 nothing new and are passed over. Base spans always stay.
 
-Nulls and empty texts have no spans. Nothing is shuffled; every row is judged on its own, so
+Nulls and empty texts have no spans, an empty table gives no rows, and a null id is kept. Nothing is shuffled; every row is judged on its own, so
 repeated rows give repeated results. Input columns other than the id and the text are not read.
 """
 
@@ -57,6 +57,8 @@ ALLOW = (
 )
 MICRO = 1_000_000
 _BLOCK = 256
+#: Windows of a candidate that one fold looks at; longer candidates are folded in several parts.
+_STRETCH = 512
 
 #: c * log2(c) in millionths, for counts 0 to WINDOW
 CLOGC = [0] + [round(c * math.log2(c) * MICRO) for c in range(1, WINDOW + 1)]
@@ -102,19 +104,32 @@ def _spans(found: Column, kind: str) -> Column:
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), rank.alias("rank"), (x["start"] + F.length(x["text"])).cast("long").alias("end")))
 
 
-def window_span(candidate: Column) -> Column:
-    """struct<lo: int, hi: int>: from the first window of high entropy to the end of the last; nulls if none.
-
-    One fold over the characters; the state is the window's counts by character and their sum.
-    """
+def window_spans(candidate: Column) -> Column:
+    """array<struct<lo: int, hi: int>>: runs of windows of high entropy, in parts of ``_STRETCH`` windows each."""
     most = F.lit(most_sum(CLASSES[-1][2]))
     for _, pattern, bits in reversed(CLASSES[:-1]):
         most = F.when(candidate.rlike(pattern), F.lit(most_sum(bits))).otherwise(most)
     codes = F.transform(F.split(candidate, ""), lambda ch: F.position(ch, F.lit(ALPHABET)))
+
+    def parts(v: Column) -> Column:
+        last = F.floor((F.size(v["codes"]) - WINDOW) / _STRETCH).cast("int")
+        part = lambda at: F.struct(F.slice(v["codes"], at + 1, F.lit(_STRETCH + WINDOW - 1)).alias("codes"), v["most"].alias("most"))
+        moved = lambda runs, at: F.transform(runs, lambda r: F.struct((r["lo"] + at).alias("lo"), (r["hi"] + at).alias("hi")))
+        return F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: moved(let(part(i * _STRETCH), _runs), i * _STRETCH)))
+
+    return let(F.struct(codes.alias("codes"), most.alias("most")), parts)
+
+
+def _runs(v: Column) -> Column:
+    """Runs of windows of ``v.codes`` whose sum is at most ``v.most``.
+
+    One fold over the characters; the state is the window's counts by character, their sum, the run at hand and those before.
+    """
     costs = F.array(*[F.lit(x).cast("long") for x in CLOGC])
     change = lambda new, old, at: F.element_at(costs, F.element_at(new, at) + 1) - F.element_at(costs, F.element_at(old, at) + 1)
+    one_run = lambda lo, hi: F.array(F.struct(lo.alias("lo"), hi.alias("hi")))
 
-    def slide(v: Column, a: Column, i: Column) -> Column:
+    def slide(a: Column, i: Column) -> Column:
         step = F.struct(F.element_at(v["codes"], i).alias("into"), F.when(i > WINDOW, F.element_at(v["codes"], F.greatest(i - WINDOW, F.lit(1)))).otherwise(F.lit(0)).alias("gone"))
 
         def counted(c: Column) -> Column:
@@ -126,16 +141,20 @@ def window_span(candidate: Column) -> Column:
             moved = F.when(c["into"] == c["gone"], F.lit(0)).otherwise(
                 change(n, a["n"], c["into"]) + F.when(c["gone"] > 0, change(n, a["n"], F.greatest(c["gone"], F.lit(1)))).otherwise(F.lit(0))
             )
-            return let((a["sum"] + moved).cast("long"), lambda s: F.struct(n.alias("n"), s.alias("sum"), F.when(hit(s), F.coalesce(a["lo"], i - WINDOW)).otherwise(a["lo"]).alias("lo"), F.when(hit(s), i).otherwise(a["hi"]).alias("hi")))
+            return let((a["sum"] + moved).cast("long"), lambda s: told(n, s))
 
-        hit = lambda s: (i >= WINDOW) & (s <= v["most"])
-        return let(step, counted)
+        def told(n: Column, s: Column) -> Column:
+            hit = (i >= WINDOW) & (s <= v["most"])
+            opens = hit & (a["hi"].isNull() | (a["hi"] <= i - WINDOW))
+            before = F.when(opens & a["hi"].isNotNull(), F.concat(a["before"], one_run(a["lo"], a["hi"]))).otherwise(a["before"])
+            return F.struct(n.alias("n"), s.alias("sum"), F.when(opens, i - WINDOW).otherwise(a["lo"]).alias("lo"), F.when(hit, i).otherwise(a["hi"]).alias("hi"), before.alias("before"))
 
-    def fold(v: Column) -> Column:
-        start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(v["codes"])), start, lambda a, i: slide(v, a, i), lambda a: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi")))
+        return let(step, counted)
 
-    return let(F.struct(codes.alias("codes"), most.alias("most")), fold)
+    none = F.array().cast("array<struct<lo:int,hi:int>>")
+    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"), none.alias("before"))
+    finish = lambda a: F.when(a["hi"].isNull(), none).otherwise(F.concat(a["before"], one_run(a["lo"], a["hi"])))
+    return F.aggregate(F.sequence(F.lit(1), F.size(v["codes"])), start, slide, finish)
 
 
 def _entropy_spans(text: Column) -> Column:
@@ -151,24 +170,27 @@ def _entropy_spans(text: Column) -> Column:
 
         def kept(v: Column) -> Column:
             own = F.filter(v["every"], lambda x: worth(x) & ~F.exists(v["whole"], lambda w: (w["start"] <= x["start"]) & (end(x) <= end(w))))
-            return F.transform(own, lambda x: let(window_span(x["text"]), lambda w: F.struct((x["start"] + w["lo"]).cast("long").alias("start"), rank.alias("rank"), (x["start"] + w["hi"]).cast("long").alias("end"))))
+            return F.flatten(F.transform(own, lambda x: F.transform(window_spans(x["text"]), lambda w: F.struct((x["start"] + w["lo"]).cast("long").alias("start"), rank.alias("rank"), (x["start"] + w["hi"]).cast("long").alias("end")))))
 
         return let(F.struct(every.alias("every"), whole.alias("whole")), kept)
 
-    return let(F.array_sort(F.filter(let(found, judged), lambda x: x["start"].isNotNull())), joined)
+    return let(let(found, judged), lambda all_spans: F.transform(joined(all_spans), lambda x: F.struct(x["start"], rank.alias("rank"), x["end"])))
 
 
-def joined(ordered: Column) -> Column:
-    """Spans in order, those that overlap as one."""
+def joined(found: Column, touching: bool = False) -> Column:
+    """array<struct<start, end>> in order: spans that overlap (or touch) as one.
+
+    One that ends where as many spans have ended as begun closes; the next to begin opens another.
+    """
 
-    def step(a: Column, s: Column) -> Column:
-        last = F.element_at(a, -1)
-        both = F.struct(last["start"].alias("start"), last["rank"].alias("rank"), F.greatest(last["end"], s["end"]).alias("end"))
-        over = (F.size(a) > 0) & (s["start"] < F.try_element_at(a, F.lit(-1))["end"])
-        return F.when(over, F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(both))).otherwise(F.concat(a, F.array(s)))
+    def merged(v: Column) -> Column:
+        apart = lambda end, start: start > end if touching else start >= end
+        opens = F.filter(v["starts"], lambda s, i: (i == 0) | apart(F.get(v["ends"], i - 1), s))
+        closes = F.filter(v["ends"], lambda e, i: (i == F.size(v["ends"]) - 1) | apart(e, F.get(v["starts"], i + 1)))
+        return F.zip_with(opens, closes, lambda s, e: F.struct(s.alias("start"), e.alias("end")))
 
-    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
-    return F.when(F.size(ordered) < 2, ordered).otherwise(F.aggregate(ordered, none, step))
+    side = lambda name: F.array_sort(F.transform(found, lambda x: x[name])).alias(f"{name}s")
+    return let(F.struct(side("start"), side("end")), merged)
 
 
 def spans(text: Column) -> tuple[Column, Column]:
@@ -213,18 +235,26 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> D
     text = F.coalesce(F.col(text_col), F.lit(""))
     base, added = spans(text)
 
-    def cut(found: Column) -> Column:
-        start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+    def cut(m: Column) -> Column:
+        """The text between the spans, block by block: a block's text is cut out once, and its gaps from that."""
+        blocks = F.sequence(F.lit(0), F.floor((F.size(m) - 1) / _BLOCK).cast("int"))
 
-        def step(a: Column, s: Column) -> Column:
-            gap = F.when(s["start"] > a["at"], F.concat(F.substring(F.col(text_col), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark)))
-            first = F.when((s["start"] == 0) & (a["at"] == 0), F.lit(mark))
-            return F.struct(F.concat(a["out"], F.coalesce(gap, first, F.lit(""))).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
+        def gaps(b: Column) -> Column:
+            own = F.slice(m, b * _BLOCK + 1, F.lit(_BLOCK))
+            base = F.when(b == 0, F.lit(0).cast("long")).otherwise(F.get(m, b * _BLOCK - 1)["end"])
+            upto = F.coalesce(F.get(m, (b + 1) * _BLOCK)["start"], F.length(text).cast("long"))
+            part = F.substring(text, (base + 1).cast("int"), (upto - base).cast("int"))
+            return let(F.struct(own.alias("own"), base.alias("base"), part.alias("part"), (b == F.size(blocks) - 1).alias("last")), pieces)
 
-        return F.aggregate(found, start, step, lambda a: F.concat(a["out"], F.substring(F.col(text_col), (a["at"] + 1).cast("int"), F.length(text_col))))
+        def pieces(v: Column) -> Column:
+            piece = lambda a, z: F.substring(v["part"], (a - v["base"] + 1).cast("int"), (z - a).cast("int"))
+            before = F.transform(v["own"], lambda s, i: F.concat(piece(F.when(i == 0, v["base"]).otherwise(F.get(v["own"], i - 1)["end"]), s["start"]), F.lit(mark)))
+            tail = F.element_at(v["own"], -1)["end"]
+            return F.concat(F.array_join(before, ""), F.when(v["last"], piece(tail, F.length(text))).otherwise(F.lit("")))
 
-    found = F.array_sort(F.concat(base, added))
-    masked = let(found, lambda f: F.when(F.size(f) > 0, cut(f)).otherwise(F.col(text_col)))
+        return F.array_join(F.transform(blocks, gaps), "")
+
+    masked = let(joined(F.concat(base, added), True), lambda m: F.when(F.size(m) > 0, cut(m)).otherwise(F.col(text_col)))
     return docs.withColumn(text_col, masked)
 
 
@@ -256,6 +286,8 @@ def _sql_written(rows: str) -> str:
 
 _SQL_MOST = "CASE " + " ".join(f"WHEN regexp_matches(s, {_sql_quoted(p)}) THEN {most_sum(b)}" for _, p, b in CLASSES) + " END"
 _SQL_COST = f"list_sum(list_transform(list_distinct(string_split(x, '')), lambda ch: {CLOGC}[len(list_filter(string_split(x, ''), lambda y: y = ch)) + 1]))"
+_SQL_SIDES = "SELECT doc_id, s, start, substr(t, CAST(start AS BIGINT), CASE WHEN start > 0 THEN 1 ELSE 0 END) AS b, substr(t, CAST(start + length(s) + 1 AS BIGINT), 1) AS a FROM"
+_SQL_ALLOWED = lambda patterns: "(" + " OR ".join(f"regexp_matches(s, {_sql_quoted(p)})" for p in patterns) + ")"
 OP9_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS (
@@ -263,11 +295,27 @@ base AS (
     SELECT * FROM ({_sql_found(ASSIGN, 0)}) WHERE length(regexp_extract(s, {_sql_quoted(ASSIGN)}, 2)) >= 12
     UNION ALL {_sql_found(ACCESS, 1)} UNION ALL {_sql_found(HEX, 2)})
 ),
+every AS (
+  SELECT doc_id, s, start, start + length(s) AS stop FROM (
+    SELECT doc_id, s, start FROM ({_sql_found(CANDIDATE, 3)})
+    UNION SELECT doc_id, s, start FROM ({_SQL_SIDES} ({_sql_found("[A-Za-z0-9+/_-]{20,}", 3)}) JOIN d USING (doc_id)) WHERE b = '=' OR a = '='
+    UNION SELECT doc_id, s, start FROM ({_SQL_SIDES} ({_sql_found("[A-Za-z0-9+/]{20,}", 3)}) JOIN d USING (doc_id)) WHERE b IN ('_', '-') OR a IN ('_', '-')
+    UNION SELECT doc_id, s, start FROM ({_SQL_SIDES} ({_sql_found("[A-Za-z0-9_-]{20,}", 3)}) JOIN d USING (doc_id)) WHERE b IN ('+', '/') OR a IN ('+', '/')
+    UNION SELECT doc_id, s, start FROM ({_SQL_SIDES} ({_sql_found("[A-Za-z0-9]{20,}", 3)}) JOIN d USING (doc_id))
+      WHERE (b IN ('_', '-') AND a IN ('+', '/')) OR (b IN ('+', '/') AND a IN ('_', '-')))
+),
+passed AS (SELECT doc_id, start, stop FROM every WHERE {_SQL_ALLOWED((ALLOW[0], ALLOW[2]))}),
 candidates AS (
-  SELECT * FROM ({_sql_found(CANDIDATE, 3)}) WHERE regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]') AND NOT ({" OR ".join(f"regexp_matches(s, {_sql_quoted(p)})" for p in ALLOW)})
+  SELECT * FROM every e WHERE regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]') AND NOT {_SQL_ALLOWED(ALLOW)}
+    AND NOT EXISTS (SELECT 1 FROM passed p WHERE p.doc_id = e.doc_id AND p.start <= e.start AND e.stop <= p.stop)
+),
+high AS (
+  SELECT DISTINCT doc_id, start + j - 1 AS start FROM (SELECT doc_id, start, s, j, substr(s, j, {WINDOW}) AS x FROM (SELECT *, unnest(range(1, length(s) - {WINDOW - 2})) AS j FROM candidates))
+  WHERE {_SQL_COST} <= {_SQL_MOST}
 ),
-high AS (SELECT doc_id, start, j FROM (SELECT doc_id, start, s, j, substr(s, j, {WINDOW}) AS x FROM (SELECT *, unnest(range(1, length(s) - {WINDOW - 2})) AS j FROM candidates)) WHERE {_SQL_COST} <= {_SQL_MOST}),
-added AS (SELECT doc_id, 3 AS rank, start + min(j) - 1 AS start, start + max(j) - 1 + {WINDOW} AS stop FROM high GROUP BY doc_id, high.start),
+runs AS (SELECT doc_id, start, sum(opens) OVER (PARTITION BY doc_id ORDER BY start) AS run FROM (
+  SELECT doc_id, start, CASE WHEN start - lag(start) OVER (PARTITION BY doc_id ORDER BY start) < {WINDOW} THEN 0 ELSE 1 END AS opens FROM high)),
+added AS (SELECT doc_id, 3 AS rank, min(start) AS start, max(start) + {WINDOW} AS stop FROM runs GROUP BY doc_id, run),
 everything AS (
   SELECT * FROM base
   UNION ALL SELECT * FROM added a WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = a.doc_id AND b.start <= a.start AND a.stop <= b.stop)
