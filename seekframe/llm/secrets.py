@@ -189,8 +189,8 @@ def joined(found: Column, touching: bool = False) -> Column:
         closes = F.filter(v["ends"], lambda e, i: (i == F.size(v["ends"]) - 1) | apart(e, F.get(v["starts"], i + 1)))
         return F.zip_with(opens, closes, lambda s, e: F.struct(s.alias("start"), e.alias("end")))
 
-    side = lambda name: F.array_sort(F.transform(found, lambda x: x[name])).alias(f"{name}s")
-    return let(F.struct(side("start"), side("end")), merged)
+    side = lambda of, name: F.array_sort(F.transform(of, lambda x: x[name])).alias(f"{name}s")
+    return let(found, lambda of: let(F.struct(side(of, "start"), side(of, "end")), merged))
 
 
 def spans(text: Column) -> tuple[Column, Column]:
