@@ -3,7 +3,7 @@
 Weights. A source's share is its part of all tokens (words, ``[^\\x20\\x09-\\x0D]+``). Weights are the shares to the
 power of an exponent, normalised. The exponent is found by bisection: the smallest from 0 (all alike) to 1 (as they
 are) at which no source repeats more often than ``repeats`` times, or the one at which the weights' entropy (in
-nats) is ``entropy``; of both, the larger. The budget is given in tokens, or is the least at which every source is read
+nats) is ``entropy``; with both, the latter, if it keeps the limit. A target that no exponent meets is an error. The budget is given in tokens, or is the least at which every source is read
 whole at least once, so that no document is lost.
 
 Realisation. A source's quota is its weight of the budget: some whole passes and a rest. Its documents are dealt into
@@ -33,6 +33,7 @@ from seekframe.tables import table
 BLOCK_TOKENS, BLOCKS = 1_000_000, 10_000
 SOURCES = 100_000
 REPEATS = 2.0
+STEEPEST, CLOSE = 16.0, 1e-6
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -75,7 +76,12 @@ def exponent(tokens: dict[str, int], budget: float | None, repeats: float | None
         at = lambda a: most_repeats(tokens, m := weights(tokens, a), covering(tokens, m) if budget is None else budget)
         found.append(bisected(lambda a: at(a) <= repeats, 0.0, 1.0))
     if entropy is not None:
-        found.append(bisected(lambda a: entropy_of(weights(tokens, a)) <= entropy, 0.0, 16.0))
+        least = bisected(lambda a: entropy_of(weights(tokens, a)) <= entropy, 0.0, STEEPEST)
+        if abs(entropy_of(weights(tokens, least)) - entropy) > CLOSE:
+            raise ValueError(f"no exponent up to {STEEPEST} gives these sources an entropy of {entropy}")
+        if repeats is not None and found[0] > least + CLOSE:
+            raise ValueError(f"an entropy of {entropy} and at most {repeats} readings can't both be had")
+        found.append(least)
     return max(found)
 
 

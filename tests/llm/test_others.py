@@ -184,6 +184,8 @@ def test_mixing(spark, kw):
     got = sorted(str(tuple(x)) for x in mixing.mix(df, **kw).select("doc_id", "source", "pass", "block", F.round("at", 9)).collect())
     assert got == mixed(spark, docs, **kw)
     assert mixing.mix(df.limit(0), **kw).collect() == []
+    long = spark.createDataFrame([(1, "w " * 500_000, "a"), (2, "w", "a")], "doc_id long, text string, source string")
+    assert sorted(r["doc_id"] for r in mixing.mix(long, repeats=2).collect()) == [1, 2]
 
 
 def test_exponents():
@@ -193,6 +195,9 @@ def test_exponents():
         assert mixing.most_repeats(tokens, mix, mixing.covering(tokens, mix)) == pytest.approx(most)
     assert mixing.exponent(tokens, None, 1.0) == pytest.approx(1.0)
     assert mixing.entropy_of(mixing.weights(tokens, mixing.exponent(tokens, None, None, 0.9))) == pytest.approx(0.9)
+    for entropy, repeats in ((1.5, None), (1e-9, None), (1.0, 1.05)):
+        with pytest.raises(ValueError, match="entropy"):
+            mixing.exponent({"a": 1000, "b": 990, "c": 7}, None, repeats, entropy)
     assert mixing.quotas({}) == {} and mixing.quotas({"a": 0}) == {}
     assert all(q >= tokens[s] for s, q in mixing.quotas(tokens).items())
 
