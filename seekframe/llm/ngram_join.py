@@ -92,10 +92,11 @@ class Shingles:
 def _sets_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingles = Shingles()
     for batch in batches:
+        told = [c for c in batch.schema.names if c != "text"]
         for piece in pieces(batch.column("text"), lower=True):
             hashes, bounds = shingles.sets(piece)
             d1, d2 = shingles.digests(hashes, bounds)
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(piece.first, len(piece)), pa.array(np.diff(bounds)), pa.array(d1), pa.array(d2)], ["id", "n", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(piece.first, len(piece)) for c in told], pa.array(np.diff(bounds)), pa.array(d1), pa.array(d2)], [*told, "n", "d1", "d2"])
 
 
 def _region(n: np.ndarray) -> np.ndarray:
@@ -343,12 +344,13 @@ def _apart(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(rows.join(spread, "gram", "left_semi"))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", members_most: int = MEMBERS, grams_most: int = GRAMS) -> DataFrame:
-    """(id, n_shingles, component_id) for every row."""
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", members_most: int = MEMBERS, grams_most: int = GRAMS, mark_col: str | None = None) -> DataFrame:
+    """(id, n_shingles, component_id) for every row, and ``mark_col``, a string that tells rows of one id apart, if named."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = scratch.keep(source.mapInArrow(_sets_pass, "id long, n long, d1 long, d2 long"))
+    told = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([F.col(mark_col).cast("string").alias("mark")] if mark_col else []))
+    rows = scratch.keep(told.mapInArrow(_sets_pass, f"id long, {'mark string, ' if mark_col else ''}n long, d1 long, d2 long"))
     classes = scratch.keep(rows.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("node")))
 
     grams = (rows.agg(F.sum("n").alias("n")).first()["n"] or 0) * (0.25 + EXTRA)
@@ -388,7 +390,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", member
     classed = classes.join(by_class, ["d1", "d2", "n"], "left").select("d1", "d2", "n", F.coalesce("component", "node").alias("component"))
     out = rows.join(classed, ["d1", "d2", "n"], "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), *([F.col("mark").alias(mark_col)] if mark_col else []))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
