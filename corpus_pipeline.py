@@ -24,13 +24,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id; of rows that repeat id and text one.
 
-    Documents without an id can't stand for a group and have none; they stay.
+    Rows of one id with different texts are judged each by its own text. Documents without an id can't stand for a group and
+    have none; they stay.
     """
     ship(spark)
-    first = ngram_join.join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    names = {c.lower() for c in docs.columns}
+    mark = next(n for n in (f"mark_{i}" for i in range(len(names) + 1)) if n not in names)
+    marked = docs.withColumn(mark, F.sha2("text", 256))
+    first = ngram_join.join(marked, mark_col=mark).where("doc_id = component_id").select("doc_id", F.coalesce(mark, F.lit("")).alias(mark)).distinct()
     # ids that stay have no bound on their number: never broadcast
-    kept = docs.join(first.hint("merge"), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    kept = marked.withColumn(mark, F.coalesce(mark, F.lit(""))).join(first.hint("merge"), ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
