@@ -422,3 +422,21 @@ def test_pipeline(spark):
     last = corpus_pipeline.bpe_round_trip(spark, seen[4], SF)
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r in last.collect()) == ids[4]
     assert secrets and bpe and corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_pipeline_stages_of_odd_rows(spark):
+    """Repeated ids, null ids and texts, clashing columns and empty tables, stage by stage."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kind = docs.schema
+    one, two = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    rows = [(3, one, "en", "s", 1), (5, two, "en", "s", 1), (5, one + " end", "en", "s", 1), (5, two, "de", "t", 2), (None, two, "en", "s", 1), (7, None, "en", "s", 0), (7, "", "en", "s", 0)]
+    some = spark.createDataFrame(rows, kind)
+    kept = corpus_pipeline.near_copies(spark, some, SF).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(3, one), (5, two), (None, two), (7, None), (7, "")], key=str)
+    clash = some.withColumn("mark_0", F.lit("x")).withColumn("evidence_0", F.lit(1))
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    for stage in stages[:-1]:
+        assert stage(spark, clash, SF).columns == clash.columns and stage(spark, some.limit(0), SF).collect() == []
+    assert stages[-1](spark, some.limit(0), SF).collect() == [] and stages[-1](spark, some, SF).count() == len(rows)
