@@ -7,20 +7,26 @@ dict of query id to text runs as one job.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seekframe.functions import limits, text
 from seekframe.kept import keep
-from seekframe.operators import budget, fragments, graph, index, lexical, rank, recency, symbols
-from seekframe.sources import importers, instructions, scan, skills
+from seekframe.operators import budget, fragments, graph, index, lexical, rank, recency, semantic, symbols
+from seekframe.sources import git, importers, instructions, scan, skills
 from seekframe.sources.classify import candidate_type, generic
 from seekframe.sources.corpus import TYPE_KINDS
 
 REGISTRY = "project_id string, name string, root string, status string"
 
 
+#: The parts of a context, in order.
+PARTS = ("instructions", "skills", "history", "tasks")
+
+
 class NotReady(ValueError):
     """The project has no finished index."""
 
@@ -67,6 +73,9 @@ class Engine:
     def readiness(self) -> DataFrame:
         return index.readiness(self.projects())
 
+    def health(self) -> DataFrame:
+        return index.health(self.projects())
+
     def _status(self, project_id: str, status: str) -> None:
         self._save([(*r[:3], status) if r[0] == project_id else r for r in self._rows()])
 
@@ -79,21 +88,73 @@ class Engine:
         read = lambda: scan.scan(self.spark, row[2], row[1])[0]
         self._status(row[0], "INDEXING")
         try:
-            report = index.refresh(self._snapshots(row[0]), read(), importers.analyse_java, read, rebuild or row[3] == "FAILED")
+            report = index.refresh(self._snapshots(row[0]), read(), importers.analyse_java, read, rebuild or row[3] == "FAILED", self._terms, ("vectors", "provenance"))
         except Exception:
             self._status(row[0], "FAILED")
             raise
         self._status(row[0], "READY")
         return report
 
+    @staticmethod
+    def _terms(files: DataFrame, known: DataFrame, redo: DataFrame | None, snapshots: index.Snapshots) -> dict[str, DataFrame]:
+        """The lexical index: of paths to do again what was stored goes, and what there is now comes."""
+        named = lexical.named(files, known)
+        if redo is None or "postings" not in snapshots.current()["tables"]:
+            fields, postings = lexical.build(named)
+            return {"fields": fields, "postings": postings}
+        paths = redo.distinct()
+        fresh = lexical.taken_apart(named.join(paths, "path", "left_semi"))
+        both = [snapshots.read(name).join(paths, "path", "left_anti").unionByName(rows) for name, rows in zip(("fields", "postings"), fresh, strict=True)]
+        return {"fields": both[0], "postings": lexical.stored(both[1])}
+
     def replace_provider(self, project: str, provider: str, new_symbols: DataFrame, new_relations: DataFrame) -> int:
         """Publish an external provider's symbols and relations in place of its earlier ones; the generation."""
         row = self.resolve(project)
         snapshots = self._snapshots(row[0])
         files = snapshots.read("files")
         tables = {"files": files, "symbols": index.replace_provider(snapshots.read("symbols"), new_symbols, files, provider), "relations": index.replace_provider(snapshots.read("relations"), new_relations, files, provider)}
-        same = all(index.same_rows(snapshots.read(t), tables[t]).first()["equal"] for t in ("symbols", "relations"))
-        return snapshots.current()["generation"] if same else snapshots.publish(tables)
+        if all(index.same_rows(snapshots.read(t), tables[t]).first()["equal"] for t in ("symbols", "relations")):
+            return snapshots.current()["generation"]
+        own = [rows.where(F.col("provider") == provider).select("path") for rows in (snapshots.read("symbols"), tables["symbols"])]
+        tables |= self._terms(files, tables["symbols"], own[0].unionByName(own[1]), snapshots)
+        del tables["files"]
+        return snapshots.publish(tables, stay=("files", "vectors", "provenance"))
+
+    def import_json(self, project: str, file: str, provider: str) -> int:
+        """Take a provider's symbols and relations from a JSON snapshot of the project's folder; the generation."""
+        row = self.resolve(project)
+        texts = self.spark.read.text(file, wholetext=True)
+        return self.replace_provider(row[0], provider, *importers.json_snapshot(texts, self.table(row[0], "files"), row[2], provider))
+
+    def import_index(self, project: str, file: str, provider: str) -> int:
+        """Take a provider's symbols and relations from a protobuf index; the generation."""
+        row = self.resolve(project)
+        blobs = self.spark.read.format("binaryFile").load(file)
+        if not blobs.where(F.col("length") > importers.INDEX_MOST).isEmpty():
+            raise ValueError("the index is too large")
+        return self.replace_provider(row[0], provider, *importers.protobuf_index(blobs.select("content"), provider))
+
+    def index_vectors(self, project: str, vectors: DataFrame, provenance: dict, rebuild: bool = False) -> int:
+        """Store vectors (path, v) of files; the generation.
+
+        Of the same provenance, paths that are given replace their own; otherwise, or with ``rebuild``, all are replaced.
+        """
+        told = semantic.provenance(provenance)
+        snapshots = self._snapshots(self.resolve(project)[0])
+        files = snapshots.read("files").select("path")
+        fresh = vectors.where(semantic.valid(F.col("v")) & (F.size("v") == int(told["dimensions"]))).select("path", "v").dropDuplicates(["path"]).join(files, "path", "left_semi")
+        if not rebuild and self._provenance(snapshots) == told:
+            old = snapshots.read("vectors").join(vectors.select("path").distinct(), "path", "left_anti")
+            fresh = old.join(files, "path", "left_semi").unionByName(fresh)
+        rows = self.spark.createDataFrame(sorted(told.items()), "field string, value string").coalesce(1)
+        return snapshots.publish({"vectors": fresh, "provenance": rows}, stay=("files", "symbols", "relations", "fields", "postings"))
+
+    @staticmethod
+    def _provenance(snapshots: index.Snapshots) -> dict[str, str] | None:
+        pointer = snapshots.current()
+        if pointer is None or "provenance" not in pointer["tables"]:
+            return None
+        return {r["field"]: r["value"] for r in snapshots.read("provenance").collect()}  # six rows
 
     def table(self, project: str, name: str) -> DataFrame:
         row = self.resolve(project)
@@ -101,6 +162,15 @@ class Engine:
             raise NotReady(f"{row[1]} is {row[3]}")
         return self._snapshots(row[0]).read(name)
 
+    def files(self, project: str) -> DataFrame:
+        """The project's files in order of path."""
+        return self.table(project, "files").orderBy("path")
+
+    def git(self, project: str) -> tuple[DataFrame, DataFrame]:
+        """(changes, diffs) of the project's folder, if it's a git repository."""
+        root = self.resolve(project)[2]
+        return git.changes(self.spark, root), git.diffs(self.spark, root)
+
     def inspect(self, project: str) -> DataFrame:
         return index.statistics(*[self.table(project, t) for t in ("files", "symbols", "relations")])
 
@@ -118,63 +188,83 @@ class Engine:
         refs = self.table(project, "relations").where("kind = 'IMPORTS'").select("source", "target").distinct()
         return graph.longest_owner(refs, owners, ["source", "target"]).select(F.col("source").alias("src"), F.col("owner").alias("dst"))
 
-    def search(self, project: str, queries: dict[int, str], limit: int | None = None, changes: DataFrame | None = None) -> DataFrame:
+    def _near(self, project: str, vectors: dict[int, list[float]], provenance: dict, limit: int) -> DataFrame | None:
+        """(query_id, path, semantic) of the stored vectors next to the queries'; None where none are stored or provenance differs."""
+        snapshots = self._snapshots(self.resolve(project)[0])
+        if self._provenance(snapshots) != semantic.provenance(provenance):
+            return None
+        asked = self.spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors.items()], "query_id int, q array<double>")
+        found = semantic.nearest(snapshots.read("vectors").select(F.col("path").alias("id"), "v"), asked, limit)
+        return found.select("query_id", F.col("id").alias("path"), F.col("score").alias("semantic"))
+
+    def search(
+        self, project: str, queries: dict[int, str], limit: int | None = None, changes: DataFrame | None = None, vectors: dict[int, list[float]] | None = None, provenance: dict | None = None, fuse: float | None = None
+    ) -> DataFrame:
         """(query_id, rank, id, type, path, symbol, score, explanation) of each text.
 
-        ``changes``: (commit, at, path, root), if recent changes are to count.
+        ``changes``: (commit, at, path, root), if recent changes are to count. ``vectors``: the queries' vectors, of the given
+        provenance; they count only if the stored ones have the same. ``fuse``: a weight, to rank by reciprocal ranks.
         """
         limit = limits.results(limit)
         pool = limits.search_pool(limit)
         asked = self.spark.createDataFrame([(i, q.strip()) for i, q in queries.items()], "query_id int, query string")
         files = self.table(project, "files").where(generic(F.col("category")))
         known = self.table(project, "symbols")
-        names = known.groupBy("path").agg(F.collect_list("name").alias("symbol_names"), F.collect_list("qualified").alias("qualified_names"))
-        empty = F.array().cast("array<string>")
-        named = files.join(names, "path", "left").withColumn("symbol_names", F.coalesce("symbol_names", empty)).withColumn("qualified_names", F.coalesce("qualified_names", empty))
-        words = sorted({r["term"] for r in lexical.query_terms(asked).select("term").distinct().collect()})  # of the queries
         kinds = files.select("path", candidate_type(F.col("category")).alias("type"))
-        hits = lexical.candidates(named, asked, words, pool).join(kinds, "path")
+        hits = lexical.search(self.table(project, "fields"), self.table(project, "postings"), asked)
+        hits = lexical.candidates(hits, asked, pool, kinds).join(kinds, "path")
         none = F.lit(None).cast("string")
         rows = hits.select("query_id", F.concat(F.lit("file:"), "path").alias("id"), "type", "path", none.alias("symbol"), F.lit(0).alias("arrival"), "lexical", "path_signal")
         said = symbols.scored(known, [q.strip() for q in queries.values()], limits.symbol_pool(limit), pool)
         said = said.join(F.broadcast(asked.select("query_id", F.lower("query").alias("query"))), "query")
         rows = rows.unionByName(said.select("query_id", "id", F.lit("SYMBOL").alias("type"), "path", F.col("qualified").alias("symbol"), F.lit(1).alias("arrival"), "exact", "fuzzy", "path_signal"), allowMissingColumns=True)
+        near = self._near(project, vectors, provenance or {}, pool) if vectors else None
+        if near is not None:
+            rows = rows.unionByName(near.join(kinds, "path").select("query_id", F.concat(F.lit("file:"), "path").alias("id"), "type", "path", none.alias("symbol"), F.lit(2).alias("arrival"), "semantic"), allowMissingColumns=True)
         direct = keep(rank.merge(rows), "direct")
         seeds = direct.select("query_id", "path", F.greatest("lexical", "exact", "fuzzy", "path_signal").alias("score"))
         near = graph.spread(seeds, self.edges(project), files, ("query_id",)).join(kinds, "path")
         # what only the graph brings is a file or a test
         kind = F.when(F.col("type") == "TEST", "TEST").otherwise("FILE")
-        near = near.select("query_id", F.concat(F.lit("file:"), "path").alias("id"), kind.alias("type"), "path", none.alias("symbol"), F.lit(2).alias("arrival"), "graph")
+        near = near.select("query_id", F.concat(F.lit("file:"), "path").alias("id"), kind.alias("type"), "path", none.alias("symbol"), F.lit(3).alias("arrival"), "graph")
         merged = rank.merge(direct.withColumn("arrival", F.lit(0)).unionByName(near, allowMissingColumns=True))
         if changes is not None:
             log = changes.select("commit", "at").distinct()
             roots = changes.where("root").select("commit").distinct()
-            scored = recency.scores(log, changes.join(roots, "commit", "left_anti").select("commit", "path"), F.lit(False))
+            scored = recency.scores(log, changes.where("path is not null").join(roots, "commit", "left_anti").select("commit", "path"), F.lit(False))
             merged = merged.drop("recency").join(scored, "path", "left").withColumn("recency", F.coalesce("recency", F.lit(0.0)))
-        return rank.ranked(merged, limit).select("query_id", "rank", "id", "type", "path", "symbol", "score", "explanation")
+        if fuse is None:
+            return rank.ranked(merged, limit).select("query_id", "rank", "id", "type", "path", "symbol", "score", "explanation")
+        fused = rank.fused(merged, limit, fuse)
+        told = lambda c: F.concat(F.lit(f"{c}="), F.col(c).cast("string"))  # noqa: E731  null where there is no such rank
+        fused = fused.withColumn("explanation", F.concat_ws(" ", told("baseline_rank"), told("semantic_rank")))
+        return fused.join(merged.select("query_id", "id", "type", "symbol"), ["query_id", "id"]).select("query_id", "rank", "id", "type", "path", "symbol", "score", "explanation")
+
+    def _scope(self, projects: list[str]) -> list[tuple]:
+        """The registry rows of several projects, each once."""
+        rows = list({r[0]: r for r in (self.resolve(p) for p in projects)}.values())
+        if not 1 <= len(rows) <= limits.PROJECTS_MOST:
+            raise ValueError(f"1 to {limits.PROJECTS_MOST} projects")
+        return rows
 
     def search_federated(self, projects: list[str], queries: dict[int, str], limit: int | None = None) -> DataFrame:
         """(query_id, place, project, path, score, ...): the best files of several projects, each path once."""
         limit = limits.results(limit)
-        rows, seen = None, []
-        for project in projects:
-            row = self.resolve(project)
-            if row[0] in seen:
-                continue
-            seen.append(row[0])
-            own = self.search(row[0], queries, limits.local_pool(limit)).withColumn("project", F.lit(row[1])).withColumn("project_place", F.lit(len(seen)))
-            rows = own if rows is None else rows.unionByName(own)
-        if rows is None or len(seen) > limits.PROJECTS_MOST:
-            raise ValueError(f"1 to {limits.PROJECTS_MOST} projects")
-        return rank.federated(rows, limit)
+        each = [
+            self.search(row[0], queries, limits.local_pool(limit)).withColumn("project", F.lit(row[1])).withColumn("project_place", F.lit(place))
+            for place, row in enumerate(self._scope(projects), 1)
+        ]
+        return rank.federated(reduce(DataFrame.unionByName, each), limit)
 
     # context
 
-    def context(self, project: str, query: str, tokens: int | None = None, sources: tuple[str, ...] = (), changes: DataFrame | None = None) -> DataFrame:
-        """(part, path, start_line, end_line, tokens, cut): instructions, skills, history and task fragments within a budget.
+    def context(
+        self, project: str, query: str, tokens: int | None = None, sources: tuple[str, ...] = (), changes: DataFrame | None = None, diffs: DataFrame | None = None, registry: DataFrame | None = None
+    ) -> DataFrame:
+        """(part, place, path, start_line, end_line, tokens, cut, content): instructions, skills, history and task fragments within a budget.
 
         ``sources``: candidate types to take fragments from; all if empty. ``changes``: (commit, at, path, message), for a
-        history part.
+        history part, and ``diffs``: (zone, content). ``registry``: (name, description, path, content), skills known elsewhere.
         """
         tokens = limits.budget(tokens)
         found = keep(self.search(project, {1: query}, limits.context_pool(tokens)), "ranked")
@@ -183,7 +273,9 @@ class Engine:
         lined = lambda df: df.withColumn("start_line", F.lit(1)).withColumn("end_line", F.size(fragments.lines(F.col("content"))))
 
         told = files.where("category = 'INSTRUCTION'").select("path", "content", F.col("project").alias("provider"), instructions.priority(F.col("path")).alias("priority"))
-        told = instructions.first_of_content(instructions.applicable(told, found.select("path").distinct()))
+        paths = [r["path"] for r in found.select("path").distinct().collect()]  # a result list
+        told = instructions.by_path(instructions.applicable(told, found.select("path").distinct()), paths)
+        told = instructions.first_of_content(instructions.with_references(told, files))
         told = lined(told).select(F.lit("instructions").alias("part"), "path", "start_line", "end_line", (F.col("priority") / 100).alias("score"), "content")
 
         native = told.select("path").distinct()
@@ -191,25 +283,48 @@ class Engine:
         ranked = ranked.where(F.col("type").isin(*sources)) if sources else ranked
         tasks = self._fragments(project, query, ranked, files, tokens).select(F.lit("tasks").alias("part"), "path", "start_line", "end_line", "score", "content")
 
-        given = [("instructions", told), ("skills", self._skills(query, files)), ("tasks", tasks)]
+        given = [("instructions", told), ("skills", self._skills(query, files, registry)), ("tasks", tasks)]
         if changes is not None:
-            targets = [r["path"] for r in found.groupBy("path").agg(F.min("rank").alias("n")).orderBy("n", "path").limit(100).collect()]
-            past = recency.fragments(changes, targets).select(F.lit("history").alias("part"), F.col("kind").alias("path"), "score", "content")
+            targets = [r["path"] for r in found.groupBy("path").agg(F.min("rank").alias("n")).orderBy("n", "path").collect()]
+            past = recency.fragments(changes.where("path is not null"), targets, diffs).select(F.lit("history").alias("part"), F.col("kind").alias("path"), "score", "content")
             given.insert(2, ("history", lined(past).select("part", "path", "start_line", "end_line", "score", "content")))
         parts = None
         for name, rows in given:
             if split[name] > 0:
-                own = budget.greedy_truncating(rows, split[name], "part")
+                own = budget.greedy_truncating(rows, split[name], "part", texts=True)
                 own = own.where("not cut") if name == "skills" else own  # a skill is whole or left out
                 parts = own if parts is None else parts.unionByName(own)
-        return parts
+        return parts.select("part", "place", "path", "start_line", "end_line", "tokens", "cut", "content")
+
+    def context_federated(self, projects: list[str], query: str, tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """(items, shares): one budget for several projects, and what each got of it.
 
-    def _skills(self, query: str, files: DataFrame) -> DataFrame:
-        """The skills that a query asks for, as fragments."""
+        items: (place, project, part, path, start_line, end_line, tokens, refill, content), shares: (project, tokens, items, starved).
+        Every project offers its own context, up to three times its fair part, in the order of its parts.
+        """
+        tokens = limits.budget(tokens)
+        scope = self._scope(projects)
+        parts = F.array(*[F.lit(p) for p in PARTS])
+        each = []
+        for place, row in enumerate(scope):
+            fair, most = limits.fair_share(tokens, len(scope), place)
+            own = self.context(row[0], query, most).withColumn("part_place", F.array_position(parts, F.col("part")))
+            each.append(own.select("*", F.lit(row[1]).alias("project"), F.lit(place).alias("project_place"), F.lit(fair).alias("fair")))
+        rows = keep(reduce(DataFrame.unionByName, each), "offered")
+        order = W.partitionBy("project").orderBy("part_place", "place", "path", "start_line")
+        rows = rows.withColumn("item_place", F.row_number().over(order)).withColumn("key", F.concat_ws("\0", "part", "path", F.col("start_line").cast("string")))
+        offered = rows.select(F.lit(1).alias("query_id"), "project", "project_place", "item_place", F.col("key").alias("path"), "tokens", "fair", F.col("part").alias("type"), "content")
+        took = budget.federated(offered, tokens).withColumnRenamed("path", "key").select("place", "project", "key", "refill")
+        items = took.join(rows.drop("place"), ["project", "key"]).select("place", "project", "part", "path", "start_line", "end_line", "tokens", "refill", "content")
+        names = self.spark.createDataFrame([(r[1],) for r in scope], "project string")
+        return items, budget.shares(items, names)
+
+    def _skills(self, query: str, files: DataFrame, registry: DataFrame | None) -> DataFrame:
+        """The skills that a query asks for, as fragments: those of the project's folders, and after them the registry's."""
         told = files.where("category = 'SKILL' and path like '%/SKILL.md'").select("path", "content")
-        value = lambda key: F.trim(F.regexp_extract("content", rf"(?m)^{key}:[ \t]*[\"']?([^\"'\n]*)", 1))
-        read = told.select(value("name").alias("name"), value("description").alias("description"), "path", F.lit(80).alias("priority"), "content")
-        read = read.where((F.length("name").between(1, skills.NAME_MOST)) & F.length("description").between(1, skills.DESCRIPTION_MOST) & (F.element_at(F.split("path", "/"), -2) == F.col("name")))
+        read = skills.defined(told).select("name", "description", "path", F.lit(skills.LOCAL).alias("priority"), "content")
+        if registry is not None:
+            read = read.unionByName(registry.select("name", "description", "path", F.lit(skills.REGISTERED).alias("priority"), "content"))
         chosen = skills.select(skills.first_of_name(read.drop("content")), self.spark.createDataFrame([(1, query)], "query_id int, query string"))
         both = chosen.join(read.select("path", "content"), "path")
         return both.select(F.lit("skills").alias("part"), "path", F.lit(1).alias("start_line"), F.size(fragments.lines(F.col("content"))).alias("end_line"), "score", "content")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def terms(text: Column, least: int = 1) -> Column:
     return F.array_distinct(F.filter(parts, lambda t: F.length(t) >= least))
 
 
+def all_terms(text: Column) -> Column:
+    """Lower-cased query terms in order, with repeats: what a file's path is scored by."""
+    return F.filter(F.split(F.lower(text), TERM_BREAK), lambda t: t != "")
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased words as an analyser sees them, in order and with repeats."""
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
@@ -95,13 +102,23 @@ def fingerprint(text: Column) -> Column:
     return F.sha2(F.regexp_replace(lines, r"^[ \t\n]+|[ \t\n]+$", ""), 256)
 
 
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def _accents() -> tuple[str, str]:
+    """(letters, what they are without marks): every letter below U+2000 whose decomposition is one plain letter and marks."""
+    pairs = []
+    for c in map(chr, range(0xC0, 0x2000)):
+        plain = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+        if len(plain) == 1 and plain != c:
+            pairs.append((c, plain))
+    return "".join(c for c, _ in pairs), "".join(p for _, p in pairs)
+
+
+ACCENTED, PLAIN = _accents()
 
 
 def folded(text: Column) -> Column:
-    """Lower case without Latin accents, squeezed."""
-    return squeezed(F.translate(F.lower(text), ACCENTED, PLAIN))
+    """Lower case without accents, squeezed: letters of their own and those followed by marks."""
+    plain = F.translate(F.lower(text), ACCENTED, PLAIN)
+    return squeezed(F.regexp_replace(plain, r"\p{Mn}+", ""))
 
 
 def stem(token: Column) -> Column:

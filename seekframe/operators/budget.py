@@ -8,19 +8,21 @@ whose number depends on the budget and not on the input, and take what they woul
 from __future__ import annotations
 
 import math
-import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seekframe.functions.limits import PROJECTS_MOST
 from seekframe.functions.text import token_estimate
 from seekframe.kept import keep
 
 LEAST = 24
 MARK = "... [truncated]"
-#: What str.split() and str.strip() take for white space.
+CHARACTERS = 3.5  # of a token
+MARK_TOKENS = math.ceil(len(MARK) / CHARACTERS)
+LINE_END = r"\r\n|[\n\x0B\f\r\x85\u2028\u2029]"
+#: What counts as white space.
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PARTS = 32
 
@@ -63,71 +65,82 @@ def greedy(rows: DataFrame, budget: int, keys: tuple[str, ...] = ("query_id",))
     return every.select(*keys, "path", F.col("start_line").cast("int").alias("start_line"), F.col("tokens").cast("int").alias("tokens"), place.alias("place"))
 
 
-def estimate(text: str) -> int:
-    return max(1, math.ceil(len(text) / 3.5)) if text else 0
+def room(tokens: Column) -> Column:
+    """The characters that so many tokens hold."""
+    return F.floor(tokens * F.lit(CHARACTERS)).cast("int")
 
 
-def truncated(content: str, budget: int) -> tuple[str, int]:
-    """(text, whole lines kept): as many lines as fit with the mark, or as many characters of the first."""
-    parts = re.split("\r\n|[\n\v\f\r\x85\u2028\u2029]", content)
-    kept = 0
-    while kept < len(parts) and estimate("\n".join([*parts[: kept + 1], MARK])) <= budget:
-        kept += 1
-    if kept == len(parts):
-        return "\n".join(parts), kept
-    if kept:
-        return "\n".join([*parts[:kept], MARK]), kept
-    low, high = 0, len(content)
-    if estimate(f"\n{MARK}") > budget:
-        return "", 0
-    while low < high:
-        mid = (low + high + 1) // 2
-        low, high = (mid, high) if estimate(f"{content[:mid]}\n{MARK}") <= budget else (low, mid - 1)
-    return f"{content[:low]}\n{MARK}", max(1, content[:low].count("\n") + 1)
+def shortened(head: Column, size: Column, tokens: Column) -> Column:
+    """struct<kept, lines, marked, tokens>: what is left of a text when it may take ``tokens``; null tokens if nothing is.
 
+    ``head``: the text with one kind of line end, cut to what can be kept at most; ``size``: its whole length. All of it if it
+    fits with the mark; else the whole lines that fit before the mark; else the characters of the first line that do.
+    ``kept`` counts characters. Line ends say where lines end, so no line is tried one after another.
+    """
+    before = room(tokens) - len(MARK) - 1
+    reach = F.substring(head, F.lit(1), F.greatest(F.lit(0), before + 1))
+    last = F.length(reach) - F.length(F.substring_index(reach, "\n", -1)) - 1  # where the last line end in reach stands
+    count = lambda text: F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    told = lambda kept, lines, marked, tokens: F.struct(kept.cast("int").alias("kept"), lines.cast("int").alias("lines"), F.lit(marked).alias("marked"), tokens.cast("int").alias("tokens"))
+    none = told(F.lit(0), F.lit(0), True, F.lit(None))
+    cost = lambda characters: F.ceil(characters / F.lit(CHARACTERS))
+    whole = told(size, count(head) + 1, False, F.greatest(F.lit(1), cost(size)))
+    lines = told(last, count(reach), True, cost(last + len(MARK) + 1))
+    letters = told(before, F.lit(1), True, cost(before + len(MARK) + 1))
+    return F.when(before < 0, none).when(size <= before, whole).when(reach.contains("\n"), lines).otherwise(letters)
+
+
+def _prepared(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """``rows`` with o, need, blank and the beginning of the content that can matter."""
+    content = F.coalesce("content", F.lit(""))
+    longest = 2 * int(CHARACTERS * most) + 2  # a line's end may have two characters
+    return rows.select(
+        key, "path", "start_line", "end_line", (-F.round("score", 9)).alias("o"), token_estimate(content).alias("need"),
+        F.substring(content, 1, longest).alias("content"), (~content.rlike(f"[^{SPACE}]")).alias("blank"),
+    )
 
-def greedy_truncating(rows: DataFrame, budget: int, key: str = "query_id") -> DataFrame:
+
+def greedy_truncating(rows: DataFrame, budget: int, key: str = "query_id", texts: bool = False) -> DataFrame:
     """(key, path, start_line, end_line, tokens, cut): as greedy(), but what doesn't fit is shortened if 24 tokens are left.
 
-    Truncation walks lines with a running budget, which no built-in expresses. It sees, of items below 24 tokens, those
-    that can be taken; of longer ones as many as use up the budget, since each costs the mark's tokens at least; of their
-    texts twice what can be kept (a line's end may have two characters).
+    With ``texts`` also each item's content, and its place among those with any token.
+
+    ``rows``: (key, path, start_line, end_line, score, content). A text of white space alone counts only while it fits
+    whole or with a mark. The fold sees, of items below 24 tokens, those that can be taken; of longer ones as many
+    as use up the budget, since each costs the mark's tokens at least; and long blank ones.
     """
     most = max(LEAST, budget // 2)
-    longest = 2 * (4 * most + len(MARK) + 2)
-
-    def select(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.assign(o=-own["score"].round(9)).sort_values(["o", "path", "start_line", "end_line"])
-        left, out = budget, []
-        for r in own.itertuples():
-            allowed, need = min(left, most), r.need
-            end, cut = r.end_line, False
-            if need > allowed:
-                if allowed < LEAST:
-                    continue
-                text, kept = truncated(r.content, allowed)
-                need, cut = estimate(text), True
-                if not text.strip() or need > left:
-                    continue
-                end = min(end, r.start_line + max(0, kept - 1))
-            left -= need
-            out.append((getattr(r, key), r.path, r.start_line, end, need, cut))
-        return pd.DataFrame(out, columns=[key, "path", "start_line", "end_line", "tokens", "cut"])
-
-    kind = rows.schema[key].dataType.simpleString()
-    content = F.coalesce("content", F.lit(""))
-    needed = rows.select(
-        key, "path", "start_line", "end_line", "score", (-F.round("score", 9)).alias("o"), token_estimate(content).alias("need"),
-        F.substring(content, 1, longest).alias("content"), (~content.rlike(f"[^{SPACE}]")).alias("blank"),
-    )
     order = ["o", "path", "start_line", "end_line"]
+    needed = _prepared(rows, key, most)
     short = first(needed.where(F.col("need").between(1, LEAST - 1)), (key, "need"), order, F.floor(F.lit(budget) / F.col("need")))
     long = needed.where((F.col("need") >= LEAST) & ~F.col("blank"))
     # a literal limit: each task cuts its own rows before texts are shuffled
-    long = long.withColumn("n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("n") <= budget // estimate(MARK) + 1).drop("n")
-    rest = needed.where((F.col("need") == 0) | (F.col("need") >= LEAST) & F.col("blank"))
-    can = short.unionByName(long).unionByName(rest).drop("o", "blank")
-    return can.groupBy(key).applyInPandas(select, f"{key} {kind}, path string, start_line int, end_line int, tokens int, cut boolean")
+    long = long.withColumn("n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("n") <= budget // MARK_TOKENS + 1).drop("n")
+    can = short.unionByName(long).unionByName(needed.where((F.col("need") >= LEAST) & F.col("blank")))
+    plain = F.regexp_replace("content", LINE_END, "\n")
+    can = can.withColumn("head", F.substring(plain, 1, int(CHARACTERS * most) + 1)).withColumn("size", F.length(plain))
+    fields = ["path", "start_line", "end_line", "need", "head", "size", "blank", *(["content"] if texts else [])]
+    lists = ordered((key,), fields, [F.col(o) for o in order], can)
+    entry = f"array<struct<path:string,start_line:int,end_line:int,tokens:int,cut:boolean{',content:string' if texts else ''}>>"
+    start = F.struct(F.lit(budget).alias("left"), F.array().cast(entry).alias("took"))
+
+    def step(a: Column, x: Column) -> Column:
+        allowed = F.least(a["left"], F.lit(most))
+        fits = x["need"] <= allowed
+        part = shortened(x["head"], x["size"], allowed)
+        able = fits | ((allowed >= LEAST) & part["tokens"].isNotNull() & (part["marked"] | ~x["blank"]))
+        tokens = F.when(fits, x["need"]).otherwise(part["tokens"])
+        end = F.when(fits, x["end_line"]).otherwise(F.least(x["end_line"], x["start_line"] + F.greatest(F.lit(0), part["lines"] - 1)))
+        left = F.when(part["marked"], F.concat(F.substring(x["head"], F.lit(1), part["kept"]), F.lit("\n" + MARK))).otherwise(x["head"])
+        held = [F.when(fits, x["content"]).otherwise(left).alias("content")] if texts else []
+        taken = F.struct(x["path"].alias("path"), x["start_line"].cast("int").alias("start_line"), end.cast("int").alias("end_line"), tokens.cast("int").alias("tokens"), (~fits).alias("cut"), *held)
+        return F.struct(F.when(able, a["left"] - tokens).otherwise(a["left"]).cast("int").alias("left"), F.when(able, F.concat(a["took"], F.array(taken))).otherwise(a["took"]).alias("took"))
+
+    folded = lists.select(key, F.posexplode(F.aggregate("items", start, step, lambda a: a["took"])).alias("n", "t"))
+    folded = folded.select(key, "t.*", *([(F.col("n") + 1).alias("place")] if texts else []))
+    # what has no tokens always fits
+    nothing = needed.where("need = 0").select(key, "path", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), F.lit(0).alias("tokens"), F.lit(False).alias("cut"))
+    return folded.unionByName(nothing, allowMissingColumns=True)
 
 
 def same_content(type: Column, content: Column) -> Column:
@@ -139,43 +152,17 @@ def same_content(type: Column, content: Column) -> Column:
 def federated(rows: DataFrame, budget: int, key: str = "query_id") -> DataFrame:
     """(key, project, path, tokens, refill, place): a fair floor for every project, then what's left in turn.
 
-    ``rows``: (key, project, project_place, item_place, type, path, content, tokens, fair), each project's items in order.
-    Round by round each project adds its next item while its fair part lasts; at the first that doesn't fit its rest is put
-    off. Then what was put off fills the remaining budget in the same order. Of items with equal type and content (white space
-    aside) the first accepted counts. ``rows`` may have same_content() as ``same`` instead of type and content.
+    ``rows``: (key, project, project_place, item_place, type, path, content, tokens, fair), each project's items in order;
+    project_place counts from 0, up to a hundred projects. Items are offered in rounds, each project's first, each one's second
+    and so on. A project takes from its fair part until one of its items doesn't fit there or in the budget; that and all its
+    later ones wait. Then those that wait are offered once more, in the same order, to what's left of the budget. Of items
+    with equal type and content (white space aside) the first taken counts. ``rows`` may have same_content() as ``same`` instead
+    of type and content.
 
-    The state runs over all projects. It sees each project's items up to the first above its fair part, which puts off
-    the rest at the latest; beyond, the first of each content and size, and of a size as many as the budget holds.
+    The fold's state runs over all projects. It sees each project's items up to the first above its fair part, which closes
+    it at the latest; beyond, the first of each content and size, and of a size as many as the budget holds.
     Contents that have several sizes all stay.
     """
-
-    def select(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["item_place", "project_place"])
-        total, out, seen, later = 0, [], set(), []
-        used: dict[int, int] = {}
-        closed: set[int] = set()
-
-        def take(r, refill: bool) -> bool:
-            if r.same in seen:
-                return False
-            seen.add(r.same)
-            out.append((getattr(r, key), r.project, r.path, r.tokens, refill, len(out) + 1))
-            return True
-
-        for r in own.itertuples():
-            p = r.project_place
-            if p in closed or used.get(p, 0) + r.tokens > r.fair or total + r.tokens > budget:
-                closed.add(p)
-                later.append(r)
-            elif take(r, False):
-                total += r.tokens
-                used[p] = used.get(p, 0) + r.tokens
-        for r in later:
-            if total + r.tokens <= budget and take(r, True):
-                total += r.tokens
-        return pd.DataFrame(out, columns=[key, "project", "path", "tokens", "refill", "place"])
-
-    kind = rows.schema[key].dataType.simpleString()
     same = F.col("same") if "same" in rows.columns else same_content(F.col("type"), F.col("content"))
     columns = (key, "project", "project_place", "item_place", "path", "tokens", "fair", "same")
     items = keep(rows.select(*columns[:-1], same.alias("same")), "items")
@@ -189,7 +176,47 @@ def federated(rows: DataFrame, budget: int, key: str = "query_id") -> DataFrame:
     plain = (F.col("tokens") > 0) & (F.col("least") == F.col("greatest"))
     can = first(once.where(plain), (key, "tokens"), ["item_place", "project_place"], F.floor(F.lit(budget) / F.col("tokens"))).unionByName(once.where(~plain))
     late = can.join(closed_at, [key, "project_place"]).where("item_place > last").select(*columns)
-    return early.unionByName(late).groupBy(key).applyInPandas(select, f"{key} {kind}, project string, path string, tokens int, refill boolean, place int")
+    order = [F.col("item_place"), F.col("project_place")]
+    fields = ["project", "project_place", "path", "tokens", "fair", "same"]
+    lists = ordered((key,), fields, order, early.unionByName(late).withColumn("tokens", F.col("tokens").cast("long")).withColumn("fair", F.col("fair").cast("long")).withColumn("project_place", F.col("project_place").cast("int")))
+    places = F.array_max(F.transform("items", lambda x: x["project_place"])) + 1
+    places = F.when(places <= PROJECTS_MOST, places).otherwise(F.raise_error(F.lit(f"more than {PROJECTS_MOST} projects")).cast("int"))
+    entry = "array<struct<project:string,path:string,tokens:int,refill:boolean,same:string>>"
+    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array_repeat(F.lit(0).cast("long"), places).alias("used"), F.array().cast(entry).alias("took"), F.filter("items", lambda x: F.lit(False)).alias("waits"))
+    known = lambda a, x: F.exists(a["took"], lambda t: t["same"] == x["same"])
+    added = lambda a, x, refill: F.concat(a["took"], F.array(F.struct(x["project"].alias("project"), x["path"].alias("path"), x["tokens"].cast("int").alias("tokens"), F.lit(refill).alias("refill"), x["same"].alias("same"))))
+
+    def offer(a: Column, x: Column) -> Column:
+        own = F.get(a["used"], x["project_place"])
+        open_ = (own + x["tokens"] <= x["fair"]) & (a["spent"] + x["tokens"] <= budget)
+        takes = open_ & ~known(a, x)
+        # a closed project's use is beyond any fair part
+        use = F.transform(a["used"], lambda u, i: F.when(i != x["project_place"], u).when(~open_, F.lit(1 << 60)).when(takes, u + x["tokens"]).otherwise(u))
+        return F.struct(
+            F.when(takes, a["spent"] + x["tokens"]).otherwise(a["spent"]).alias("spent"), use.alias("used"),
+            F.when(takes, added(a, x, False)).otherwise(a["took"]).alias("took"), F.when(open_, a["waits"]).otherwise(F.concat(a["waits"], F.array(x))).alias("waits"),
+        )
+
+    def again(a: Column, x: Column) -> Column:
+        takes = (a["spent"] + x["tokens"] <= budget) & ~known(a, x)
+        return F.struct(F.when(takes, a["spent"] + x["tokens"]).otherwise(a["spent"]).alias("spent"), F.when(takes, added(a, x, True)).otherwise(a["took"]).alias("took"))
+
+    refilled = lambda a: F.aggregate(a["waits"], F.struct(a["spent"].alias("spent"), a["took"].alias("took")), again, lambda b: b["took"])
+    took = lists.select(key, F.posexplode(F.aggregate("items", start, offer, refilled)).alias("n", "t"))
+    return took.select(key, "t.project", "t.path", "t.tokens", "t.refill", (F.col("n") + 1).alias("place"))
+
+
+def shares(merged: DataFrame, scope: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, project, tokens, items, starved) of every project in ``scope`` (*keys, project); starved ones have no item."""
+    own = merged.groupBy(*keys, "project").agg(F.sum("tokens").cast("long").alias("tokens"), F.count("*").alias("items"))
+    none = F.lit(0).cast("long")
+    out = scope.select(*keys, "project").distinct().join(own, [*keys, "project"], "left")
+    return out.select(*keys, "project", F.coalesce("tokens", none).alias("tokens"), F.coalesce("items", none).alias("items"), F.col("items").isNull().alias("starved"))
+
+
+def totals(selected: DataFrame, keys: tuple[str, ...] = ("part",)) -> DataFrame:
+    """(*keys, tokens, items, truncated) of what was selected: (*keys, tokens, cut)."""
+    return selected.groupBy(*keys).agg(F.sum("tokens").cast("long").alias("tokens"), F.count("*").alias("items"), F.count_if("cut").alias("truncated"))
 
 
 def summary(available: DataFrame, selected: DataFrame, key: str = "query_id") -> DataFrame:

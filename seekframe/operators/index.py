@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seekframe.kept import keep
+
 BUILTIN = "builtin"
 STATUSES = ("NOT_INDEXED", "INDEXING", "READY", "FAILED")
 
@@ -21,7 +23,11 @@ def delta(stored: DataFrame, scanned: DataFrame) -> DataFrame:
 
 
 def fingerprint(files: DataFrame, keys: tuple[str, ...] = ("project",)) -> DataFrame:
-    """(*keys, fingerprint): SHA-256 over the files in path order, each with its hash, language and category."""
+    """(*keys, fingerprint): SHA-256 over the files in path order, each with its hash, language and category.
+
+    The digest of one sequence: a key's lines (about a hundred bytes a file, no texts) meet in one row. Snapshots are
+    compared by delta() instead, which has no such row.
+    """
     line = F.concat_ws("\0", "path", "hash", "language", "category", F.lit("\n"))
     lines = F.array_sort(F.collect_list(F.struct("path", line.alias("line"))))
     return files.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), ""), 256).alias("fingerprint"))
@@ -71,6 +77,13 @@ def readiness(projects: DataFrame, status: str = "status") -> DataFrame:
     return every.join(counts, "status", "left").select("status", F.coalesce("projects", F.lit(0).cast("long")).alias("projects"))
 
 
+def health(projects: DataFrame, status: str = "status") -> DataFrame:
+    """(projects, degraded, all_ready): one row; degraded if any failed, all ready if there are some and each is."""
+    is_ = lambda name: F.count_if(F.col(status) == name)
+    n = F.count("*")
+    return projects.agg(n.alias("projects"), (is_("FAILED") > 0).alias("degraded"), ((n > 0) & (is_("READY") == n)).alias("all_ready"))
+
+
 class Snapshots:
     """Versions of a project's tables under a folder. A version counts once the pointer names it."""
 
@@ -84,7 +97,7 @@ class Snapshots:
         return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def current(self) -> dict | None:
-        """The pointer: generation, folder and tables; None before the first version."""
+        """The pointer: generation and the tables with their folders; None before the first version."""
         if not self._fs().exists(self._path("CURRENT")):
             return None
         return json.loads("".join(r["value"] for r in self.spark.read.text(f"{self.root}/CURRENT").collect()))
@@ -93,12 +106,12 @@ class Snapshots:
         pointer = self.current()
         if pointer is None or name not in pointer["tables"]:
             raise ValueError(f"there is no published table {name}")
-        return self.spark.read.parquet(f"{self.root}/{pointer['folder']}/{name}")
+        return self.spark.read.parquet(f"{self.root}/{pointer['tables'][name]}/{name}")
 
-    def publish(self, tables: dict[str, DataFrame], still_valid: Callable[[Callable[[str], DataFrame]], bool] = lambda written: True) -> int:
+    def publish(self, tables: dict[str, DataFrame], still_valid: Callable[[Callable[[str], DataFrame]], bool] = lambda written: True, stay: tuple[str, ...] = ()) -> int:
         """Write a version, check, then swap the pointer in one rename. Returns the generation. One writer at a time.
 
-        ``still_valid`` gets a reader of the tables as written.
+        ``still_valid`` gets a reader of the tables as written; tables named in ``stay`` are those of the version before.
         """
         pointer = self.current()
         generation = (pointer["generation"] if pointer else 0) + 1
@@ -108,7 +121,9 @@ class Snapshots:
         if not still_valid(lambda name: self.spark.read.parquet(f"{self.root}/{folder}/{name}")):
             self._fs().delete(self._path(folder), True)
             raise RuntimeError("the source changed while it was indexed")
-        body = json.dumps({"generation": generation, "folder": folder, "tables": sorted(tables)})
+        old = pointer["tables"] if pointer else {}
+        known = {name: old[name] for name in stay if name in old} | dict.fromkeys(tables, folder)
+        body = json.dumps({"generation": generation, "tables": known})
         fs, fresh = self._fs(), self._path(f"CURRENT.{folder}")
         out = fs.create(fresh)
         out.write(bytearray(body.encode()))
@@ -118,7 +133,13 @@ class Snapshots:
         return generation
 
 
-def refresh(snapshots: Snapshots, scanned: DataFrame, analyse: Callable[[DataFrame], tuple[DataFrame, DataFrame]], rescan: Callable[[], DataFrame], full: bool = False) -> dict:
+#: Given the new files and symbols, the paths to do again (None: all) and the tables of before: further tables to publish.
+Derive = Callable[[DataFrame, DataFrame, DataFrame | None, "Snapshots"], dict[str, DataFrame]]
+
+
+def refresh(
+    snapshots: Snapshots, scanned: DataFrame, analyse: Callable[[DataFrame], tuple[DataFrame, DataFrame]], rescan: Callable[[], DataFrame], full: bool = False, derive: Derive | None = None, stay: tuple[str, ...] = ()
+) -> dict:
     """Bring a project's index up to date; {changed, removed, generation}.
 
     ``scanned``: (path, hash, category, ...), ``analyse``: changed files to built-in (symbols, relations), ``rescan``: the
@@ -126,28 +147,33 @@ def refresh(snapshots: Snapshots, scanned: DataFrame, analyse: Callable[[DataFra
     files drops external providers' rows. Only counts come to the driver.
     """
     pointer = None if full else snapshots.current()
+    redo = None
     if pointer is None:
         symbols, relations = analyse(scanned)
         tables = {"files": scanned, "symbols": symbols, "relations": relations}
         changed, removed = scanned.count(), 0
     else:
         stored = snapshots.read("files")
-        moved = delta(stored, scanned).where("status <> 'UNCHANGED'").cache()
+        moved = keep(delta(stored, scanned).where("status <> 'UNCHANGED'"), "moved")
         counts = {r["status"]: r["n"] for r in moved.groupBy("status").agg(F.count("*").alias("n")).collect()}
         changed, removed = counts.get("NEW", 0) + counts.get("CHANGED", 0), counts.get("REMOVED", 0)
         if not changed + removed:
-            moved.unpersist()
             return {"changed": 0, "removed": 0, "generation": pointer["generation"]}
         fresh = scanned.join(moved.where("status <> 'REMOVED'").select("path"), "path", "left_semi")
         code = stored.select("path", "category").unionByName(scanned.select("path", "category")).where(F.col("category").isin("SOURCE", "TEST"))
         purge = not moved.join(code, "path", "left_semi").isEmpty()
         tables = {"files": scanned}
+        redo = moved.select("path")
         for name, rows in zip(("symbols", "relations"), analyse(fresh), strict=True):
             old = snapshots.read(name)
             gone = (F.col("provider") == BUILTIN) & F.col("moved").isNotNull()
             kept = old.join(moved.select("path", F.lit(1).alias("moved")), "path", "left").where(~gone).drop("moved")
+            if purge and name == "symbols":
+                redo = redo.unionByName(old.where(F.col("provider") != BUILTIN).select("path"))
             kept = purge_external(kept) if purge else kept
             tables[name] = kept.select(rows.columns).unionByName(rows)
-    prints = lambda df: df.withColumn("all", F.lit(1)).transform(lambda d: fingerprint(d, ("all",))).collect()
-    generation = snapshots.publish(tables, lambda written: prints(rescan()) == prints(written("files")))
+    if derive is not None:
+        tables |= derive(tables["files"], tables["symbols"], redo, snapshots)
+    unmoved = lambda written: delta(rescan(), written("files")).where("status <> 'UNCHANGED'").isEmpty()
+    generation = snapshots.publish(tables, unmoved, stay)
     return {"changed": changed, "removed": removed, "generation": generation}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seekframe.functions.text import identifier_tokens, path_score, terms, tokens
+from seekframe.functions.text import all_terms, identifier_tokens, path_score, tokens
 from seekframe.kept import keep
 
 # Field boosts and the similarity's constants.
@@ -35,24 +35,53 @@ def field_tokens(files: DataFrame, wanted: Column | None) -> DataFrame:
     return rows.select("project", "path", "field", F.size("words").cast("long").alias("size"), hits.alias("hits"))
 
 
-def scores(files: DataFrame, queries: DataFrame, wanted: list[str]) -> DataFrame:
-    """(query_id, project, path, score) of every file that has enough of a query's terms.
+def asked(queries: DataFrame) -> list[str]:
+    """The distinct terms of some queries, for a literal filter: as many as a caller can write."""
+    return sorted(r["term"] for r in query_terms(queries).select("term").distinct().collect())
 
-    ``wanted``: all the queries' terms, a literal. Statistics are per project and field. Texts are read and taken apart
-    once; what's left of them, lengths and the queries' terms, is kept for statistics and postings.
+
+def scores(files: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, project, path, score) of every file that has enough of a query's terms, without an index.
+
+    Statistics are per project and field. Texts are read and taken apart once; what's left of them, lengths and the
+    queries' terms, is kept for statistics and postings.
     """
-    rows = keep(field_tokens(files, F.array(*[F.lit(t) for t in wanted])), "lexical")
-    return search(rows, _counted(rows), queries)
+    wanted = asked(queries)
+    rows = keep(field_tokens(files, F.array(*[F.lit(t) for t in wanted]).cast("array<string>")), "lexical")
+    return search(rows, _counted(rows), queries, wanted)
 
 
-def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(fields, postings): an index of all terms, to be stored and searched often.
+def named(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``files`` with the names of their symbols, the other two fields of an index."""
+    names = symbols.groupBy("path").agg(F.array_sort(F.collect_list("name")).alias("symbol_names"), F.array_sort(F.collect_list("qualified")).alias("qualified_names"))
+    empty = F.array().cast("array<string>")
+    both = files.join(names, "path", "left")
+    return both.withColumn("symbol_names", F.coalesce("symbol_names", empty)).withColumn("qualified_names", F.coalesce("qualified_names", empty))
 
-    fields: (project, path, field, size), postings: (project, path, field, size, term, tf). Stored in order of term, a
-    query's terms prune to few row groups.
+
+def taken_apart(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fields, postings) of some files: (project, path, field, size) and (project, path, field, size, term, tf).
+
+    A field's terms are counted where its text is, sorted and taken apart into runs, so that nothing is shuffled.
     """
     rows = field_tokens(files, None)
-    return rows.drop("hits"), _counted(rows)
+    # of sorted words, where each run of the same one starts
+    first = lambda w: F.filter(F.transform(w, lambda x, i: F.when((i == 0) | (x != F.get(w, i - 1)), i)), lambda i: i.isNotNull())
+    runs = rows.withColumn("hits", F.array_sort("hits")).withColumn("starts", first(F.col("hits")))
+    counted = F.transform("starts", lambda i, n: F.struct(F.get("hits", i).alias("term"), (F.coalesce(F.get("starts", n + 1), F.size("hits")) - i).cast("long").alias("tf")))
+    each = runs.select("project", "path", "field", "size", F.explode(counted).alias("c")).select("project", "path", "field", "size", "c.term", "c.tf")
+    return rows.drop("hits"), each
+
+
+def stored(postings: DataFrame) -> DataFrame:
+    """``postings`` as they are best written: ranges of terms, each in order, so that a query's terms prune to few row groups."""
+    return postings.repartitionByRange("term").sortWithinPartitions("term")
+
+
+def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fields, postings): an index of all terms, to be stored and searched often."""
+    fields, postings = taken_apart(files)
+    return fields, stored(postings)
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -60,10 +89,10 @@ def _counted(rows: DataFrame) -> DataFrame:
     return each.groupBy("project", "path", "field", "size", "term").agg(F.count("*").alias("tf"))
 
 
-def search(fields: DataFrame, postings: DataFrame, queries: DataFrame) -> DataFrame:
+def search(fields: DataFrame, postings: DataFrame, queries: DataFrame, wanted: list[str] | None = None) -> DataFrame:
     """(query_id, project, path, score) from an index of at least the queries' terms."""
     terms_of = query_terms(queries)
-    posting = postings.join(F.broadcast(terms_of.select("term").distinct()), "term", "left_semi")
+    posting = postings.where(F.col("term").isin(asked(queries) if wanted is None else wanted))
     stats = fields.groupBy("project", "field").agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))
     found = posting.groupBy("project", "field", "term").agg(F.count("*").alias("df"))
     # one row per project and field, and per project, field and term of the queries: small by construction
@@ -72,7 +101,7 @@ def search(fields: DataFrame, postings: DataFrame, queries: DataFrame) -> DataFr
     norm = F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean"))
     boost = F.element_at(F.create_map(*[x for k, v in BOOSTS.items() for x in (F.lit(k), F.lit(v))]), F.col("field"))
     weighed = weighed.select("project", "path", "term", (boost * idf * F.col("tf") / norm).alias("part"))
-    met = weighed.join(F.broadcast(terms_of), "term")
+    met = weighed.join(terms_of, "term")
     summed = met.groupBy("query_id", "project", "path").agg(F.sum("part").alias("score"), F.count_distinct("term").alias("terms"), F.max("needed").alias("needed"))
     return summed.where("terms >= needed").select("query_id", "project", "path", "score")
 
@@ -89,7 +118,11 @@ def normalised(hits: DataFrame) -> DataFrame:
     return hits.withColumn("lexical", F.when(best > 0, F.col("score") / best).otherwise(0.0))
 
 
-def candidates(files: DataFrame, queries: DataFrame, wanted: list[str], limit: int) -> DataFrame:
-    """(query_id, project, path, lexical, path_signal) of the lexical strategy."""
-    hits = normalised(top(scores(files, queries, wanted), limit))
-    return hits.join(F.broadcast(queries), "query_id").select("query_id", "project", "path", "lexical", path_score(F.col("path"), terms(F.col("query"))).alias("path_signal"))
+def candidates(hits: DataFrame, queries: DataFrame, limit: int, eligible: DataFrame | None = None) -> DataFrame:
+    """(query_id, project, path, lexical, path_signal) of the lexical strategy.
+
+    ``hits``: of scores() or search(). With ``eligible`` (path), of the best 2 x ``limit`` those count that are.
+    """
+    best = top(hits, limit) if eligible is None else top(top(hits, 2 * limit).drop("rank").join(eligible.select("path").distinct(), "path", "left_semi"), limit)
+    signal = path_score(F.col("path"), all_terms(F.col("query")))
+    return normalised(best).join(queries, "query_id").select("query_id", "project", "path", "lexical", signal.alias("path_signal"))

@@ -31,7 +31,7 @@ def with_signals(rows: DataFrame) -> DataFrame:
 
 
 def merge(rows: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """One row per candidate id: the most of each signal, the best type, the first symbol that there is.
+    """One row per candidate id: the most of each signal, the best type, the first symbol and non-blank excerpt that there is.
 
     ``rows``: (*keys, id, type, path, symbol, arrival, signals); ``arrival`` orders what "first" means.
     """
@@ -40,6 +40,7 @@ def merge(rows: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
         F.min_by("type", type_place(F.col("type"))).alias("type"),
         F.min_by("path", "arrival").alias("path"),
         F.min_by("symbol", F.when(F.col("symbol").isNotNull(), F.col("arrival"))).alias("symbol"),
+        *([F.min_by("excerpt", F.when(F.trim("excerpt") != "", F.col("arrival"))).alias("excerpt")] if "excerpt" in rows.columns else []),
         *[F.max(s).alias(s) for s in SIGNALS],
     )
 

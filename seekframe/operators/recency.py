@@ -46,7 +46,6 @@ def fragments(changes: DataFrame, targets: list[str], diffs: DataFrame | None =
     ``changes``: (commit, at, path, message), ``diffs``: (zone, content) of what isn't committed, each zone cut to its first
     ``DIFF_MOST`` characters. Each text is a bounded list; kinds without any line have no row.
     """
-    targets = targets[:100]
     line = lambda *parts: F.concat_ws(" ", *parts)
     listed = lambda rows, kind, order: rows.groupBy(F.lit(kind).alias("kind")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "line"))), lambda x: x["line"]), "\n").alias("content"))
     commits = changes.select("commit", "at", "message").distinct().orderBy(F.desc("at"), F.desc("commit")).limit(RECENT_MOST)

@@ -50,7 +50,7 @@ query_terms AS (
   SELECT query_id, unnest(terms) AS term, CASE WHEN len(terms) < 2 THEN 1 ELSE 2 END AS needed
   FROM (SELECT query_id, list_distinct(regexp_extract_all(lower(query), '""" + WORD + r"""')) AS terms FROM queries)
 ),
-path_terms AS (SELECT query_id, list_distinct(list_filter(string_split_regex(lower(query), '[^\p{L}\p{N}_$#.]+'), lambda t: t <> '')) AS words FROM queries)"""
+path_terms AS (SELECT query_id, list_filter(string_split_regex(lower(query), '[^\p{L}\p{N}_$#.]+'), lambda t: t <> '') AS words FROM queries)"""
 
 
 def hits(project: str) -> str:
@@ -91,16 +91,16 @@ def top(limit: int) -> str:
 NEAREST = """
 vectors AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 near AS (
-  SELECT CAST(q.id AS INTEGER) AS query_id, c.id AS id, greatest(0, least(1, (1 + list_cosine_similarity(c.v, q.v)) / 2)) AS score
-  FROM vectors q JOIN vectors c ON q.id BETWEEN 1 AND 4
+  SELECT CAST(q.id // 100 AS INTEGER) AS query_id, c.id AS id, greatest(0, least(1, (1 + list_cosine_similarity(c.v, q.v)) / 2)) AS score
+  FROM vectors q JOIN vectors c ON q.id % 100 = 0
 )"""
 
 
-def nearest(limit: int) -> str:
-    return f"{NEAREST}, nearest AS (SELECT *, {place('query_id', 'round(score, 9) DESC, id')} AS rank FROM near WHERE score > 0 QUALIFY rank <= {limit})"
+def nearest(limit: int, queries: str = "true") -> str:
+    return f"{NEAREST}, nearest AS (SELECT *, {place('query_id', 'round(score, 9) DESC, id')} AS rank FROM near WHERE score > 0 AND {queries} QUALIFY rank <= {limit})"
 
 
-MERGED = f"""{hits("'all'")}, {top(60)}, {nearest(60)},
+MERGED = f"""{hits("'all'")}, {top(60)}, {nearest(60, "query_id BETWEEN 1 AND 4")},
 candidates AS (
   SELECT query_id, 'file:' || l.path AS id, {TYPE} AS type, l.path AS path, lexical, path_signal, 0.0 AS semantic FROM lexical l JOIN files f ON l.path = f.path
   UNION ALL
@@ -114,7 +114,7 @@ ITEMS = f"""{FILES}, items AS (
   SELECT source AS project, path, content, CAST(len(string_split_regex(content, '\\r?\\n')) AS INTEGER) AS end_line, {TOKENS} AS tokens,
          (doc_id * 37 % 101) / 101.0::DOUBLE AS score, {TYPE} AS type,
          {place('source', "round((doc_id * 37 % 101) / 101.0::DOUBLE, 9) DESC, path")} AS item_place
-  FROM files QUALIFY item_place <= 40
+  FROM files
 )"""
 GREEDY = f"""{ITEMS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY round(score, 9) DESC, path) AS n FROM items),
 steps AS (
@@ -124,6 +124,26 @@ steps AS (
   FROM steps s JOIN numbered x ON s.project = x.project AND x.n = s.n + 1
 ),
 taken AS (SELECT project, path, tokens, {place('project', 'n')} AS place FROM steps WHERE took)"""
+TRUNCATING = rf"""{ITEMS},
+numbered AS (
+  SELECT project, path, end_line, tokens AS need, row_number() OVER (PARTITION BY project ORDER BY round(score, 9) DESC, path) AS n,
+         NOT regexp_matches(content, '[^\s\x0B]') AS blank, regexp_replace(content, '\r\n|[\n\x0B\f\r]', chr(10), 'g') AS plain FROM items
+),
+steps AS (
+  SELECT DISTINCT project, 0::BIGINT AS n, '' AS path, 0 AS end_line, 0 AS tokens, false AS took, false AS cut, 2000 AS remaining FROM items
+  UNION ALL
+  SELECT project, n, path, CAST(CASE WHEN fits THEN end_line ELSE least(end_line, greatest(1, kept_lines)) END AS INTEGER), CAST(CASE WHEN fits THEN need ELSE cost END AS INTEGER), took, NOT fits,
+         CAST(remaining - CASE WHEN NOT took THEN 0 WHEN fits THEN need ELSE cost END AS INTEGER)
+  FROM (
+    SELECT *, need <= allowed AS fits, need <= allowed OR (allowed >= 24 AND (length(plain) > before OR NOT blank)) AS took,
+           CASE WHEN length(plain) <= before THEN length(plain) - length(replace(plain, chr(10), '')) + 1 WHEN contains(reach, chr(10)) THEN length(reach) - length(replace(reach, chr(10), '')) ELSE 1 END AS kept_lines,
+           CAST(ceil(CASE WHEN length(plain) <= before THEN length(plain) WHEN contains(reach, chr(10)) THEN length(reach) - strpos(reverse(reach), chr(10)) + 16 ELSE before + 16 END / 3.5) AS INTEGER) AS cost
+    FROM (
+      SELECT x.*, remaining, allowed, CAST(floor(allowed * 3.5) AS INTEGER) - 16 AS before, substr(plain, 1, greatest(0, CAST(floor(allowed * 3.5) AS INTEGER) - 15)) AS reach
+      FROM (SELECT project, n, remaining, least(1000, remaining) AS allowed FROM steps) s JOIN numbered x ON s.project = x.project AND x.n = s.n + 1
+    )
+  )
+)"""
 WINDOWS = rf"""{FILES}, split AS (SELECT path, string_split_regex(content, '\r?\n') AS l FROM files),
 matching AS (
   SELECT path, n, CAST(len(l) AS INTEGER) AS size FROM (SELECT path, l, unnest(range(1, len(l) + 1)) AS n FROM split)
@@ -166,6 +186,32 @@ SHARES = f"""{FILES}, shares AS (
   SELECT project, place, CAST(2401 // n + CASE WHEN place < 2401 % n THEN 1 ELSE 0 END AS INTEGER) AS fair
   FROM (SELECT project, CAST(row_number() OVER (ORDER BY project) - 1 AS INTEGER) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT source AS project FROM files))
 )"""
+FEDERATED = rf"""{SHARES}, {ITEMS.removeprefix(FILES + ",")},
+offered AS (
+  SELECT row_number() OVER (ORDER BY item_place, place) AS n, project, place, path, tokens, fair, md5(type || chr(0) || trim(regexp_replace(content, '[\t-\r\x1c-\x20]+', ' ', 'g'))) AS same
+  FROM items JOIN shares USING (project)
+),
+walk AS (
+  SELECT 0::BIGINT AS n, 0::BIGINT AS spent, list_transform(range(CAST((SELECT max(place) + 1 FROM shares) AS BIGINT)), lambda x: 0::BIGINT) AS used, []::VARCHAR[] AS seen, false AS took, false AS waits
+  UNION ALL
+  SELECT n, spent + CASE WHEN takes THEN tokens ELSE 0 END,
+         list_concat(used[1:place], [CASE WHEN NOT opens THEN 1000000000 WHEN takes THEN used[place + 1] + tokens ELSE used[place + 1] END], used[place + 2:]),
+         CASE WHEN takes THEN list_append(seen, same) ELSE seen END, takes, NOT opens
+  FROM (
+    SELECT *, opens AND NOT list_contains(seen, same) AS takes FROM (
+      SELECT o.*, spent, used, seen, used[place + 1] + tokens <= fair AND spent + tokens <= 2401 AS opens FROM walk w JOIN offered o ON o.n = w.n + 1))
+),
+waiting AS (SELECT row_number() OVER (ORDER BY n) AS m, path, project, tokens, same FROM offered JOIN walk USING (n) WHERE waits),
+refill AS (
+  SELECT 0::BIGINT AS m, spent, seen, false AS took FROM walk WHERE n = (SELECT max(n) FROM walk)
+  UNION ALL
+  SELECT m, spent + CASE WHEN takes THEN tokens ELSE 0 END, CASE WHEN takes THEN list_append(seen, same) ELSE seen END, takes
+  FROM (SELECT x.*, spent, seen, spent + tokens <= 2401 AND NOT list_contains(seen, same) AS takes FROM refill r JOIN waiting x ON x.m = r.m + 1)
+),
+taken AS (
+  SELECT project, path, tokens, false AS refill, n AS turn FROM offered JOIN walk USING (n) WHERE took
+  UNION ALL SELECT project, path, tokens, true, m FROM waiting JOIN refill USING (m) WHERE took
+)"""
 STOP = "a an and are as at be by for from in is it of on or that the this to use when with de des du et en la le les pour sur un une avec dans est ce cette ces au aux".split()
 STOP_LIST = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
 
@@ -186,6 +232,17 @@ def matched(a: str, b: str) -> str:
     return f"len(list_filter({a}, lambda x: len(list_filter({b}, lambda y: x = y OR {stem('x')} = {stem('y')})) > 0))"
 
 
+def hops(edges: str) -> str:
+    """CTEs one and two (query_id, path, score): a hop from seeds and one more, each of 2,000 edges a query, outgoing ones first."""
+
+    def hop(of: str) -> str:
+        both = f"""SELECT query_id, 0 AS way, src AS seed, dst AS next, score FROM {of} JOIN {edges} ON path = src UNION ALL SELECT query_id, 1, dst, src, score FROM {of} JOIN {edges} ON path = dst"""
+        each = f"SELECT query_id, seed, next, min(way) AS way, max(score) AS score FROM ({both}) WHERE seed <> next GROUP BY query_id, seed, next QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY min(way), seed, next) <= 2000"
+        return f"SELECT query_id, next AS path, max(score) AS score FROM ({each}) GROUP BY query_id, next"
+
+    return f"one AS ({hop('seeds')}), two AS ({hop('one')})"
+
+
 RANKED = f"""
 summed AS (
   SELECT *, 0.40 * lexical + 0.10 * path_signal + 0.15 * semantic AS score,
@@ -218,8 +275,8 @@ SQL: dict[str, str] = {
     "file_classification": f"WITH {FILES} SELECT path, language, category, CAST(greatest(1, (size + 3) // 4) AS INTEGER) AS tokens, {TOKENS} AS context_tokens FROM files",
     "content_hash_fingerprint": f"WITH {FILES} SELECT source AS project, sha256(string_agg(path || chr(0) || hash || chr(0) || language || chr(0) || category || chr(0) || chr(10), '' ORDER BY path)) AS fingerprint FROM files GROUP BY source",
     "delta_changes": f"""
-        WITH {FILES}, stored AS (SELECT path, hash FROM files WHERE doc_id % 2 = 0),
-        scanned AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN sha256(hash || 'x') ELSE hash END AS hash FROM files WHERE doc_id % 5 <> 0)
+        WITH {FILES}, stored AS (SELECT path, hash FROM files UNION ALL SELECT 'old/' || path, hash FROM files WHERE doc_id % 3 = 0),
+        scanned AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN sha256(hash || 'x') ELSE hash END AS hash FROM files UNION ALL SELECT 'new/' || path, hash FROM files WHERE doc_id % 5 = 0)
         SELECT path, CASE WHEN s.hash IS NULL THEN 'NEW' WHEN n.hash IS NULL THEN 'REMOVED' WHEN s.hash = n.hash THEN 'UNCHANGED' ELSE 'CHANGED' END AS status
         FROM stored s FULL JOIN scanned n USING (path)""",
     "lexical_bm25_topk": f"WITH {hits('lang')}, {top(20)} SELECT query_id, project, path, rank, round(score, 6) AS score, round(lexical, 6) AS lexical FROM lexical",
@@ -234,10 +291,9 @@ SQL: dict[str, str] = {
         WITH {RELATIONS}, owners AS (SELECT r_name || '.' || n_name AS qualified, 'nation_' || n_nationkey AS owner FROM nation JOIN region ON n_regionkey = r_regionkey)
         SELECT source, target, arg_max(owner, length(qualified)) AS owner FROM relations JOIN owners ON target = qualified OR starts_with(target, qualified || '.') GROUP BY source, target""",
     "graph_two_hop_scores": f"""
-        WITH {EDGES}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
-        seeds AS (SELECT 'supp_' || s_suppkey AS path, greatest(0, least(1, s_acctbal / 10000)) AS score FROM supplier WHERE s_suppkey < 3),
-        one AS (SELECT dst AS path, max(score) AS score FROM seeds JOIN both_ways ON path = src WHERE score > 0 GROUP BY dst),
-        two AS (SELECT dst AS path, max(score) AS score FROM one JOIN both_ways ON path = src GROUP BY dst),
+        WITH {EDGES},
+        seeds AS (SELECT 0 AS query_id, 'supp_' || s_suppkey AS path, greatest(0, least(1, s_acctbal / 10000)) AS score FROM supplier WHERE s_suppkey < 3 AND s_acctbal > 0),
+        {hops("edges")},
         reached AS (SELECT path, score * 0.65::DOUBLE AS graph FROM one UNION ALL SELECT path, score * 0.35::DOUBLE FROM two),
         known AS (SELECT 'part_' || p_partkey AS path FROM part UNION SELECT 'supp_' || s_suppkey FROM supplier)
         SELECT path, round(least(1, max(graph)), 6) AS graph FROM reached WHERE path IN (SELECT path FROM known) GROUP BY path""",
@@ -284,25 +340,32 @@ SQL: dict[str, str] = {
         named AS (SELECT *, CASE WHEN tail IS NULL THEN 'HEAD' WHEN head IS NULL THEN 'TAIL' WHEN head <= tail THEN 'HEAD+TAIL' ELSE 'TAIL+HEAD' END AS reasons FROM listed)
         SELECT path, start_line, end_line, CASE WHEN tail IS NULL THEN 'HEAD' ELSE 'TAIL' END AS type, replace(lower(reasons), '+', ', ') AS symbol, round(score, 6) AS score, reasons FROM named""",
     "hybrid_search": f"""
-        WITH {MERGED}, hubs AS (SELECT source, language, min(path) AS dst FROM files GROUP BY source, language),
+        WITH {MERGED}, {CHANGES},
+        newest AS (SELECT o_orderkey AS commit_id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS place FROM orders QUALIFY place < 50),
+        recent AS (
+          SELECT f.path AS path, max(greatest(0.05, 1 - place / 49.0::DOUBLE)) AS recency FROM newest JOIN changes USING (commit_id) JOIN files f ON f.doc_id = CAST(regexp_extract(changes.path, '[0-9]+') AS BIGINT)
+          WHERE commit_id % 10 <> 0 GROUP BY f.path),
+        hubs AS (SELECT source, language, min(path) AS dst FROM files GROUP BY source, language),
         one_way AS (SELECT path AS src, dst FROM files JOIN hubs USING (source, language) WHERE path <> dst),
-        both_ways AS (SELECT src, dst FROM one_way UNION SELECT dst, src FROM one_way),
         seeds AS (SELECT query_id, path, max(greatest(lexical, path_signal)) AS score FROM merged GROUP BY query_id, path HAVING score > 0),
-        one AS (SELECT query_id, dst AS path, max(score) AS score FROM seeds JOIN both_ways ON path = src GROUP BY query_id, dst),
-        two AS (SELECT query_id, dst AS path, max(score) AS score FROM one JOIN both_ways ON path = src GROUP BY query_id, dst),
+        {hops("one_way")},
         spread AS (SELECT query_id, path, max(g) AS graph FROM (SELECT query_id, path, score * 0.65::DOUBLE AS g FROM one UNION ALL SELECT query_id, path, score * 0.35::DOUBLE FROM two) GROUP BY query_id, path),
         total AS (
           SELECT coalesce(m.query_id, s.query_id) AS query_id, 'file:' || coalesce(m.path, s.path) AS id, coalesce(m.path, s.path) AS path,
                  CASE WHEN m.id IS NULL OR (s.path IS NOT NULL AND m.type = 'DOCUMENTATION') THEN 'FILE' ELSE m.type END AS type,
                  coalesce(lexical, 0) AS lexical, coalesce(path_signal, 0) AS path_signal, coalesce(semantic, 0) AS semantic, coalesce(graph, 0) AS graph
           FROM merged m FULL JOIN spread s ON m.query_id = s.query_id AND m.path = s.path),
+        dated AS (SELECT t.*, coalesce(recency, 0) AS recency FROM total t LEFT JOIN recent r ON t.path = r.path),
         summed AS (
-          SELECT *, 0.40 * lexical + 0.10 * path_signal + 0.10 * graph + 0.15 * semantic AS score,
+          SELECT *, 0.40 * lexical + 0.10 * path_signal + 0.10 * graph + 0.05 * recency + 0.15 * semantic AS score,
                  array_to_string(list_filter([CASE WHEN lexical > 0 THEN printf('lexical=%.4f', round(0.40 * lexical, 4)) END, CASE WHEN path_signal > 0 THEN printf('path_signal=%.4f', round(0.10 * path_signal, 4)) END,
-                   CASE WHEN graph > 0 THEN printf('graph=%.4f', round(0.10 * graph, 4)) END, CASE WHEN semantic > 0 THEN printf('semantic=%.4f', round(0.15 * semantic, 4)) END], lambda x: x IS NOT NULL), ' ') AS explanation
-          FROM total)
+                   CASE WHEN graph > 0 THEN printf('graph=%.4f', round(0.10 * graph, 4)) END, CASE WHEN recency > 0 THEN printf('recency=%.4f', round(0.05 * recency, 4)) END,
+                   CASE WHEN semantic > 0 THEN printf('semantic=%.4f', round(0.15 * semantic, 4)) END], lambda x: x IS NOT NULL), ' ') AS explanation
+          FROM dated)
         SELECT query_id, {place('query_id', f'round(score, 9) DESC, {TYPE_PLACE}, path, id')} AS rank, id, type, round(score, 6) AS score, explanation FROM summed WHERE score > 0 QUALIFY rank <= 20""",
     "greedy_budget_selection": f"WITH RECURSIVE {GREEDY} SELECT project, place, path, tokens FROM taken",
+    "greedy_budget_truncating": f"WITH RECURSIVE {TRUNCATING} SELECT project, path, 1 AS start_line, end_line, tokens, cut FROM steps WHERE took",
+    "federated_context_merge": f"WITH RECURSIVE {FEDERATED} SELECT project, path, CAST(tokens AS INTEGER) AS tokens, refill, {place('1', 'refill, turn')} AS place FROM taken",
     "context_bundle_summary": f"""
         WITH RECURSIVE {GREEDY}, a AS (SELECT project, sum(tokens) AS available FROM items GROUP BY project), s AS (SELECT project, sum(tokens) AS selected, count(*) AS items FROM taken GROUP BY project)
         SELECT project, CAST(available AS BIGINT) AS available, CAST(coalesce(selected, 0) AS BIGINT) AS selected, CAST(coalesce(s.items, 0) AS BIGINT) AS items,
@@ -336,8 +399,8 @@ SQL: dict[str, str] = {
         SELECT query_id, {place('query_id', 'round(score, 9) DESC, priority DESC, name, path')} AS place, name, path, round(score, 6) AS score FROM r WHERE score >= 0.22 QUALIFY place <= 3""",
     "instruction_scope_priority": rf"""
         WITH {PAGES}, p AS (SELECT page_id, regexp_replace(path, '/+$', '') AS folder FROM below WHERE regexp_replace(path, '/+$', '') <> ''),
-        found AS (SELECT DISTINCT regexp_replace(folder, '/[^/]*$', '') || '/' || list_extract(['AGENTS.md', 'CLAUDE.md', 'GEMINI.md', 'agent.md'], CAST(page_id % 4 AS INTEGER) + 1) AS path FROM p WHERE page_id % 3 = 0),
-        targets AS (SELECT folder || '/Main.java' AS target FROM p WHERE page_id % 2 = 0),
+        found AS (SELECT DISTINCT regexp_replace(folder, '/[^/]*$', '') || '/' || list_extract(['AGENTS.md', 'CLAUDE.md', 'GEMINI.md', 'agent.md'], CAST(page_id % 4 AS INTEGER) + 1) AS path FROM p),
+        targets AS (SELECT folder || '/Main.java' AS target FROM p),
         own AS (SELECT path, regexp_replace(path, '/[^/]*$', '') AS scope, lower(regexp_extract(path, '[^/]*$')) AS name, len(string_split(path, '/')) - 1 AS depth FROM found)
         SELECT path, CAST(CASE name WHEN 'agents.md' THEN least(94, 74 + 4 * depth) WHEN 'agent.md' THEN least(94, 64 + 4 * depth) WHEN 'claude.md' THEN least(94, 80 + 3 * depth) ELSE least(90, 70 + 3 * depth) END AS INTEGER) AS priority
         FROM own WHERE EXISTS (SELECT 1 FROM targets WHERE starts_with(target, scope || '/'))""",
@@ -362,7 +425,8 @@ SQL: dict[str, str] = {
         SELECT step, provider, count(*) AS n, CAST(sum(target) AS BIGINT) AS targets FROM step GROUP BY step, provider""",
     "json_import_filter": """
         WITH told AS (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type <> 'error')
-        SELECT event_id, event_type, k FROM told WHERE k IN (SELECT p_partkey FROM part WHERE p_partkey < 50) QUALIFY row_number() OVER (PARTITION BY event_type, k ORDER BY event_id) = 1""",
+        SELECT event_id, event_type, CASE event_type WHEN 'view' THEN 'CLASS' WHEN 'click' THEN 'METHOD' WHEN 'purchase' THEN 'ENUM' ELSE 'RECORD' END AS kind, k
+        FROM told WHERE k IN (SELECT p_partkey FROM part) QUALIFY row_number() OVER (PARTITION BY event_type, k ORDER BY event_id) = 1""",
     "readiness_counts": """
         SELECT status, count(o_orderkey) AS projects FROM (SELECT unnest(['NOT_INDEXED', 'INDEXING', 'READY', 'FAILED']) AS status)
         LEFT JOIN orders ON status = CASE o_orderstatus WHEN 'F' THEN 'READY' WHEN 'O' THEN 'INDEXING' ELSE 'NOT_INDEXED' END GROUP BY status""",

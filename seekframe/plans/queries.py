@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from seekframe.functions import limits, text
 from seekframe.kept import keep
 from seekframe.operators import budget, evaluate, fragments, graph, index, lexical, rank, recency, semantic, symbols
-from seekframe.sources import corpus, instructions, skills
+from seekframe.plans import stored
+from seekframe.sources import corpus, importers, instructions, skills
 from seekframe.sources.classify import candidate_type, glob_regex
 from seekframe.tables import table
 
@@ -20,9 +21,9 @@ LIMIT = 20
 SYMBOL_QUERIES = ["red", "bolt", "brand#2.small.hot_gear"]
 RELATION_QUERY = "nation_1"
 TEXT_QUERIES = [(1, "licensed under the Apache License"), (2, "released MIT"), (3, "ouque"), (4, "the-on doc_12")]
-TEXT_TERMS = ["licensed", "under", "the", "apache", "license", "released", "mit", "ouque", "on", "doc_12"]
 SKILL_QUERIES = [(1, "polish a red widget for the small economy"), (2, "hot-gear"), (3, "éléctric LARGE bolts")]
 BUDGET = 2000
+EVENT_KINDS = {"view": "CLASS", "click": "METHOD", "purchase": "ENUM", "signup": "RECORD", "error": "TYPE"}
 
 
 def r6(x: Column) -> Column:
@@ -72,19 +73,25 @@ def content_hash_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 
 def delta_changes(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in both snapshots, some with another hash, besides copies that only one of them has."""
     files = corpus.files(spark, d).select("doc_id", "path", "hash")
     moved = F.when(F.col("doc_id") % 7 == 0, F.sha2(F.concat("hash", F.lit("x")), 256)).otherwise(F.col("hash"))
-    return index.delta(files.where("doc_id % 2 = 0"), files.where("doc_id % 5 <> 0").select("path", moved.alias("hash")))
+    copies = lambda folder, every: files.where(F.col("doc_id") % every == 0).select(F.concat(F.lit(folder), "path").alias("path"), "hash")
+    stored, scanned = files.select("path", "hash"), files.select("path", moved.alias("hash"))
+    return index.delta(stored.unionByName(copies("old/", 3)), scanned.unionByName(copies("new/", 5)))
+
+
+def _hits(spark: SparkSession, d: str, project: Column) -> DataFrame:
+    return lexical.search(*stored.index(spark, d, project), text_queries(spark))
 
 
 def lexical_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    hits = lexical.normalised(lexical.top(lexical.scores(corpus.files(spark, d, "lang"), text_queries(spark), TEXT_TERMS), LIMIT))
+    hits = lexical.normalised(lexical.top(_hits(spark, d, F.col("lang")), LIMIT))
     return hits.select("query_id", "project", "path", "rank", r6(F.col("score")).alias("score"), r6(F.col("lexical")).alias("lexical"))
 
 
 def lexical_min_should_match(spark: SparkSession, d: str) -> DataFrame:
-    hits = lexical.scores(corpus.files(spark, d, "lang"), text_queries(spark), TEXT_TERMS)
-    return hits.groupBy("query_id", "project").agg(F.count("*").alias("files"))
+    return _hits(spark, d, F.col("lang")).groupBy("query_id", "project").agg(F.count("*").alias("files"))
 
 
 def identifier_split_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -127,27 +134,29 @@ def recency_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def co_change_top8(spark: SparkSession, d: str) -> DataFrame:
+    """What changes together with the first forty parts: the operator takes a list of targets."""
     return recency.changed_together(corpus.changes(spark, d), [f"part_{n}" for n in range(40)])
 
 
 def commit_history_per_path(spark: SparkSession, d: str) -> DataFrame:
+    """The newest changes of the first five parts: the operator takes a list of paths."""
     return recency.history(corpus.changes(spark, d), [f"part_{n}" for n in range(5)]).select("path", "place", "commit")
 
 
-def _nearest(spark: SparkSession, d: str, limit: int) -> DataFrame:
+def _nearest(spark: SparkSession, d: str, limit: int, queries: str) -> DataFrame:
+    """The vectors next to those whose id is divisible by 100 and its hundredth, the query's id, fits the condition."""
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    queries = vectors.where("id between 1 and 4").select(F.col("id").cast("int").alias("query_id"), F.col("v").alias("q"))
-    return semantic.nearest(vectors, queries, limit)
+    asked = vectors.where("id % 100 = 0").select((F.col("id") / 100).cast("int").alias("query_id"), F.col("v").alias("q"))
+    return semantic.nearest(vectors, asked.where(queries), limit)
 
 
 def knn_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _nearest(spark, d, 10).select("query_id", "rank", "id", r6(F.col("score")).alias("score"))
+    return _nearest(spark, d, 10, "true").select("query_id", "rank", "id", r6(F.col("score")).alias("score"))
 
 
 def _file_candidates(spark: SparkSession, d: str, limit: int) -> DataFrame:
-    files = corpus.files(spark, d, "lang").withColumn("project", F.lit("all"))
-    kinds = files.select("path", "doc_id", candidate_type(F.col("category")).alias("type"))
-    found = lexical.candidates(files, text_queries(spark), TEXT_TERMS, limit)
+    kinds = corpus.files(spark, d).select("path", "doc_id", candidate_type(F.col("category")).alias("type"))
+    found = lexical.candidates(_hits(spark, d, F.lit("all")), text_queries(spark), limit)
     return found.join(kinds, "path").select(
         "query_id", F.concat(F.lit("file:"), "path").alias("id"), "type", "path", F.lit(None).cast("string").alias("symbol"), F.lit(0).alias("arrival"), "lexical", "path_signal", "doc_id"
     )
@@ -155,7 +164,7 @@ def _file_candidates(spark: SparkSession, d: str, limit: int) -> DataFrame:
 
 def _semantic_candidates(spark: SparkSession, d: str, limit: int) -> DataFrame:
     known = corpus.files(spark, d).select(F.col("doc_id").alias("id"))
-    near = _nearest(spark, d, limit).join(known, "id", "left_semi")
+    near = _nearest(spark, d, limit, f"query_id between 1 and {len(TEXT_QUERIES)}").join(known, "id", "left_semi")
     path = corpus.file_path(F.col("id"))
     return near.select("query_id", F.concat(F.lit("file:"), path).alias("id"), F.lit("FILE").alias("type"), path.alias("path"), F.lit(None).cast("string").alias("symbol"), F.lit(1).alias("arrival"), F.col("score").alias("semantic"))
 
@@ -180,7 +189,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 def _federated(spark: SparkSession, d: str, limit: int) -> DataFrame:
     files = corpus.files(spark, d)
     kinds = files.select("project", "path", "doc_id", candidate_type(F.col("category")).alias("type"))
-    found = lexical.candidates(files, text_queries(spark), TEXT_TERMS, limits.local_pool(limit))
+    found = lexical.candidates(_hits(spark, d, F.col("source")), text_queries(spark), limits.local_pool(limit))
     each = found.join(kinds, ["project", "path"]).withColumn("id", F.concat(F.lit("file:"), "path"))
     local = rank.ranked(rank.with_signals(each), limits.local_pool(limit), ("query_id", "project"))
     return local.withColumn("project_place", F.regexp_replace("project", "[^0-9]", "").cast("int"))
@@ -247,9 +256,11 @@ def budget_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fair_allocation(spark: SparkSession, d: str) -> DataFrame:
-    place = F.row_number().over(W.orderBy("project")) - 1  # at most a hundred projects
-    projects = corpus.files(spark, d).select("project").distinct().withColumn("place", place)
+    place = F.row_number().over(W.orderBy("project")) - 1
+    # one more than may be, so that too many are an error and no large list is put in order
+    projects = table(spark, d, "documents").select(F.col("source").alias("project")).distinct().limit(limits.PROJECTS_MOST + 1).withColumn("place", place)
     n = F.count("*").over(W.partitionBy())
+    n = F.when(n <= limits.PROJECTS_MOST, n).otherwise(F.raise_error(F.lit("too many projects")).cast("long"))
     fair = F.floor(F.lit(2401) / n) + F.when(F.col("place") < F.lit(2401) % n, 1).otherwise(0)
     return projects.select("project", "place", fair.cast("int").alias("fair")).withColumn("candidates", F.least(F.lit(2401), 3 * F.col("fair")))
 
@@ -285,8 +296,8 @@ def instruction_scope_priority(spark: SparkSession, d: str) -> DataFrame:
     below = F.regexp_extract("url", r"^[a-z]+://[^/]*/([^?#]*)", 1)
     pages = table(spark, d, "pages").select("page_id", F.regexp_replace(below, "/+$", "").alias("folder")).where("folder <> ''")
     name = F.element_at(F.array(*[F.lit(n) for n in NAMES]), (F.col("page_id") % 4).cast("int") + 1)
-    found = pages.where("page_id % 3 = 0").select(F.concat_ws("/", F.regexp_replace("folder", "/[^/]*$", ""), name).alias("path")).distinct()
-    targets = pages.where("page_id % 2 = 0").select(F.concat("folder", F.lit("/Main.java")).alias("path"))
+    found = pages.select(F.concat_ws("/", F.regexp_replace("folder", "/[^/]*$", ""), name).alias("path")).distinct()
+    targets = pages.select(F.concat("folder", F.lit("/Main.java")).alias("path"))
     return instructions.applicable(found, targets).select("path", instructions.priority(F.col("path")).alias("priority"))
 
 
@@ -332,11 +343,20 @@ def provider_purge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def json_import_filter(spark: SparkSession, d: str) -> DataFrame:
-    told = table(spark, d, "events").select("event_id", "event_type", F.from_json("props", "k int").alias("p"))
-    known = table(spark, d, "part").where("p_partkey < 50").select(F.col("p_partkey").cast("int").alias("k"))
-    rows = told.where("event_type <> 'error'").select("event_id", "event_type", "p.k").join(known, "k", "left_semi")
-    place = F.row_number().over(W.partitionBy("event_type", "k").orderBy("event_id"))
-    return rows.withColumn("n", place).where("n = 1").select("event_id", "event_type", "k")
+    """A snapshot of contract 1 per event, in which the event is a symbol of the part that it names, read by the importer.
+
+    Errors are unresolved, each type of event is a kind of symbol, and the name says the part; of repeats the first counts.
+    """
+    told = table(spark, d, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in EVENT_KINDS.items() for x in kv]), F.col("event_type"))
+    symbol = F.struct(
+        F.when(F.col("event_type") == "error", "OPEN").otherwise("RESOLVED").alias("resolutionStatus"), kind.alias("kind"), F.col("event_type").alias("name"), F.col("event_id").cast("string").alias("qualifiedName"),
+        F.concat(F.lit("part_"), "k").alias("filePath"), F.lit(1).alias("startLine"), F.lit(1).alias("endLine"),
+    )
+    body = F.struct(F.lit("1").alias("contractVersion"), F.lit("events").alias("producer"), F.struct(F.lit("/").alias("rootPath")).alias("project"), F.array(symbol).alias("symbols"))
+    known = table(spark, d, "part").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("path"))
+    found, _ = importers.json_snapshot(told.select(F.to_json(body).alias("value")), known, "/", "events", order=F.get_json_object("value", "$.symbols[0].qualifiedName").cast("long"))
+    return found.select(F.col("qualified").cast("long").alias("event_id"), F.col("name").alias("event_type"), "kind", F.substring_index("path", "_", -1).cast("int").alias("k"))
 
 
 def readiness_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -345,7 +365,7 @@ def readiness_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    hits = lexical.top(lexical.scores(corpus.files(spark, d, "lang"), text_queries(spark), TEXT_TERMS), LIMIT)
+    hits = lexical.top(_hits(spark, d, F.col("lang")), LIMIT)
     good = table(spark, d, "labels").where("quality = 1").select(corpus.file_path(F.col("doc_id")).alias("path"))
     queries = hits.select("query_id", "project").distinct()
     relevant = corpus.files(spark, d, "lang").join(good, "path").select("project", "path").join(queries, "project")
@@ -367,6 +387,7 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 def embedding_text_profile(spark: SparkSession, d: str) -> DataFrame:
     files = corpus.files(spark, d)
+    # the operator embeds a content's first 12,000 characters
     body = F.concat_ws("\n", "path", "language", F.substring("content", 1, 12000))
     return files.select("path", F.sha2(text.excerpt(F.col("content"), F.col("path")), 256).alias("excerpt_hash"), F.length(body).alias("size"), F.floor(F.col("doc_id") / 32).cast("int").alias("batch"))
 
@@ -378,7 +399,10 @@ def context_bundle_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Text queries over all documents: lexical and vector candidates, neighbours by source, recent changes, one ranking."""
+    """Text queries over all documents: lexical and vector candidates, neighbours by source, recent changes, one ranking.
+
+    A document's changes are those of the part with its number.
+    """
     merged = keep(_merged(spark, d), "candidates")
     # files of one source and language form the graph here: each points at the first of its kind
     files = corpus.files(spark, d).select("path", "project", "language")
@@ -388,7 +412,9 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     near = graph.spread(merged.select("query_id", "path", direct.alias("score")), edges, files, ("query_id",))
     near = near.select("query_id", F.concat(F.lit("file:"), "path").alias("id"), F.lit("FILE").alias("type"), "path", F.lit(None).cast("string").alias("symbol"), F.lit(2).alias("arrival"), "graph")
     rows = merged.withColumn("arrival", F.lit(0)).unionByName(near, allowMissingColumns=True)
-    again = rank.ranked(rank.merge(rows), LIMIT)
+    recent = recency.scores(_log(spark, d), corpus.document_changes(spark, d), F.col("commit") % 10 == 0)
+    met = rank.merge(rows).drop("recency").join(recent, "path", "left").withColumn("recency", F.coalesce("recency", F.lit(0.0)))
+    again = rank.ranked(met, LIMIT)
     return again.select("query_id", "rank", "id", "type", r6(F.col("score")).alias("score"), "explanation")
 
 

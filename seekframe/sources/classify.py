@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 LANGUAGES = {"java": (".java",), "markdown": (".md",), "kotlin": (".kt", ".kts"), "typescript": (".ts", ".tsx"), "javascript": (".js", ".jsx", ".mjs", ".cjs"), "python": (".py",), "sql": (".sql",)}
 # Folders and files that are never indexed.
 SKIPPED_FOLDERS = (".git", ".idea", ".gradle", "target", "build", "out", "node_modules", "dist", "coverage")
+#: The folder in which this engine keeps its own indexes, likewise.
+OWN_FOLDER = ".seekframe"
 SECRET_FILES = (".env", "id_rsa", "id_ed25519", "credentials.json", "secrets.json")
 SECRET_SUFFIXES = (".pem", ".key", ".p12", ".pfx")
 
+# Where skills, agent profiles, instructions and tests are.
 SKILL_ROOTS = r"^\.(github|claude|agents)/skills/"
 AGENT_ROOTS = r"^\.(github|claude)/agents/.*\.md$"
 INSTRUCTION = r"(^|/)(agents?|claude|gemini)\.md$|^\.github/copilot-instructions\.md$|^\.github/instructions/(.*/)?[^/]*\.instructions\.md$"
@@ -49,14 +52,14 @@ def category(path: Column) -> Column:
     )
 
 
-def skipped(path: Column) -> Column:
-    """Whether a path lies in a folder that's never indexed or is a secret file."""
+def skipped(path: Column, own: str = OWN_FOLDER) -> Column:
+    """Whether a path lies in a folder that's never indexed, ``own`` among them, or is a secret file."""
     low = F.lower(path)
     parts, name = F.split(low, "/"), name_of(low)
     secret = name.isin(*SECRET_FILES) | name.startswith(".env.")
     for suffix in SECRET_SUFFIXES:
         secret = secret | name.endswith(suffix)
-    return F.arrays_overlap(parts, F.array(*[F.lit(x) for x in SKIPPED_FOLDERS])) | secret
+    return F.arrays_overlap(parts, F.array(*[F.lit(x) for x in (*SKIPPED_FOLDERS, own.lower())])) | secret
 
 
 def generic(kind: Column) -> Column:

@@ -24,12 +24,12 @@ def file_path(doc_id: Column) -> Column:
 
 
 def files(spark: SparkSession, sf_dir: str, project: str = "source") -> DataFrame:
-    """(project, doc_id, path, language, category, size, hash, tokens, content): a file per document."""
-    docs = table(spark, sf_dir, "documents").select(F.col(project).alias("project"), "doc_id", file_path(F.col("doc_id")).alias("path"), F.col("text").alias("content"))
+    """(project, doc_id, path, language, category, size, hash, tokens, content, lang): a file per document."""
+    docs = table(spark, sf_dir, "documents").select(F.col(project).alias("project"), "doc_id", "lang", file_path(F.col("doc_id")).alias("path"), F.col("text").alias("content"))
     size = F.octet_length("content").cast("long")
     return docs.select(
         "project", "doc_id", "path", language(F.col("path")).alias("language"), category(F.col("path")).alias("category"),
-        size.alias("size"), F.sha2("content", 256).alias("hash"), scan_estimate(size).alias("tokens"), "content",
+        size.alias("size"), F.sha2("content", 256).alias("hash"), scan_estimate(size).alias("tokens"), "content", "lang",
     )
 
 
@@ -65,9 +65,15 @@ def type_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst): suppliers import the parts they deliver."""
+    """(src, dst): suppliers import the parts they deliver, as often as they do."""
     line = table(spark, sf_dir, "lineitem")
-    return line.select(F.concat(F.lit("supp_"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
+    return line.select(F.concat(F.lit("supp_"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("dst"))
+
+
+def document_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(commit, at, path): the same changes, of the documents that have the parts' numbers."""
+    part = F.substring_index("path", "_", -1).cast("long")
+    return changes(spark, sf_dir).withColumn("path", file_path(part))
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:

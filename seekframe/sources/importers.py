@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,25 +27,25 @@ SNAPSHOT = """contractVersion string, producer string, project struct<rootPath:
   relations array<struct<resolutionStatus: string, kind: string, filePath: string, sourceQualifiedName: string, targetQualifiedName: string, confidence: double, nature: string>>"""
 
 
-def json_snapshot(texts: DataFrame, known: DataFrame, root: str, provider: str) -> tuple[DataFrame, DataFrame]:
-    """(symbols, relations) of JSON snapshots, a row each in ``texts`` (value).
+def json_snapshot(texts: DataFrame, known: DataFrame, root: str, provider: str, order: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(symbols, relations) of JSON snapshots, a row each in ``texts`` (value); ``order``: an expression on ``value``, if several.
 
     Only resolved entries of known relative paths; of repeats the first. A snapshot of another contract or root is an
     error, and so is a relation with a confidence outside 0 to 1, or without one unless it's factual.
     """
-    read = texts.select(F.from_json("value", SNAPSHOT).alias("s")).select("s.*")
+    read = texts.select(F.from_json("value", SNAPSHOT).alias("s"), (F.lit(0).cast("long") if order is None else order).alias("snapshot")).select("snapshot", "s.*")
     whole = (F.col("contractVersion") == CONTRACT) & F.col("producer").isNotNull() & (F.col("project.rootPath") == root)
     if not read.where(~F.coalesce(whole, F.lit(False))).isEmpty():
         raise ValueError("a snapshot of another contract, producer or root")
     paths = known.select("path").distinct()
-    first = lambda df, by: df.withColumn("n", F.row_number().over(W.partitionBy(*by).orderBy("at"))).where("n = 1").drop("n", "at")
+    first = lambda df, by: df.withColumn("n", F.row_number().over(W.partitionBy(*by).orderBy("snapshot", "at"))).where("n = 1").drop("n", "at", "snapshot")
     mapped = lambda c, kinds: F.try_element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.upper(c))
-    symbols = read.select(F.posexplode("symbols").alias("at", "x")).where("x.resolutionStatus = 'RESOLVED'")
-    symbols = symbols.select("at", F.col("x.filePath").alias("path"), mapped("x.kind", SYMBOL_KINDS).alias("kind"), "x.name", F.coalesce("x.qualifiedName", "x.name").alias("qualified"), F.coalesce("x.signature", F.lit("")).alias("signature"), F.col("x.startLine").alias("start_line"), F.col("x.endLine").alias("end_line"), F.lit(provider).alias("provider"))
-    relations = read.select(F.posexplode("relations").alias("at", "x")).where("x.resolutionStatus = 'RESOLVED'")
+    symbols = read.select("snapshot", F.posexplode("symbols").alias("at", "x")).where("x.resolutionStatus = 'RESOLVED'")
+    symbols = symbols.select("snapshot", "at", F.col("x.filePath").alias("path"), mapped("x.kind", SYMBOL_KINDS).alias("kind"), "x.name", F.coalesce("x.qualifiedName", "x.name").alias("qualified"), F.coalesce("x.signature", F.lit("")).alias("signature"), F.col("x.startLine").alias("start_line"), F.col("x.endLine").alias("end_line"), F.lit(provider).alias("provider"))
+    relations = read.select("snapshot", F.posexplode("relations").alias("at", "x")).where("x.resolutionStatus = 'RESOLVED'")
     sure = F.coalesce("x.confidence", F.when(F.col("x.nature") == "FACTUAL", 1.0))
     sure = F.when(sure.between(0.0, 1.0), sure).otherwise(F.raise_error(F.lit("a relation without a confidence from 0 to 1")).cast("double"))
-    relations = relations.select("at", F.col("x.filePath").alias("path"), mapped("x.kind", RELATION_KINDS).alias("kind"), F.col("x.sourceQualifiedName").alias("source"), F.col("x.targetQualifiedName").alias("target"), sure.alias("confidence"), F.lit(provider).alias("provider"))
+    relations = relations.select("snapshot", "at", F.col("x.filePath").alias("path"), mapped("x.kind", RELATION_KINDS).alias("kind"), F.col("x.sourceQualifiedName").alias("source"), F.col("x.targetQualifiedName").alias("target"), sure.alias("confidence"), F.lit(provider).alias("provider"))
     return (
         first(symbols.where("kind is not null").join(paths, "path", "left_semi"), ("path", "kind", "name", "start_line")),
         first(relations.where("kind is not null").join(paths, "path", "left_semi"), ("path", "kind", "source", "target")),
@@ -150,16 +150,27 @@ def _document(data: bytes) -> tuple[list[tuple], list[tuple]]:
     return symbols, list(dict.fromkeys(relations))
 
 
-def protobuf_index(blobs: DataFrame, provider: str) -> tuple[DataFrame, DataFrame]:
+# The largest index and the largest document of one.
+INDEX_MOST, DOCUMENT_MOST = 256 << 20, 16 << 20
+
+
+def protobuf_index(blobs: DataFrame, provider: str, index_most: int = INDEX_MOST, document_most: int = DOCUMENT_MOST) -> tuple[DataFrame, DataFrame]:
     """(symbols, relations) of code indexes, a row each in ``blobs`` (content). Lines count from 1.
 
-    Spark's protobuf functions need a jar and a descriptor; the few fields are read here, document by document.
+    Spark's protobuf functions need a jar and a descriptor; the few fields are read here, document by document. An index
+    or a document above its limit is an error.
     """
 
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                yield pd.DataFrame({"document": [v for k, v in _fields(bytes(content)) if k == 2]}, dtype=object)
+                if len(content) > index_most:
+                    raise ValueError("the index is too large")
+                for k, v in _fields(bytes(content)):
+                    if k == 2:
+                        if len(v) > document_most:
+                            raise ValueError("a document of the index is too large")
+                        yield pd.DataFrame({"document": [v]}, dtype=object)
 
     def rows(which: int, columns: list[str]):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

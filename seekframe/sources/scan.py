@@ -2,64 +2,116 @@
 
 from __future__ import annotations
 
+import os
+import stat
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from seekframe.functions.text import scan_estimate
-from seekframe.sources.classify import SKIPPED_FOLDERS, IgnoreRules, category, ignored, language, skipped
+from seekframe.sources.classify import OWN_FOLDER, SKIPPED_FOLDERS, IgnoreRules, category, ignored, language, skipped
 
 MOST_BYTES = 8 << 20
-IGNORE_FILES = (".gitignore",)
-
+#: Families of ignore files; a path goes if any family says so.
+IGNORE_FILES = (".gitignore", ".ignore")
+HIDDEN_MOST, ODD_MOST = 100_000, 1_000
 
-HIDDEN_MOST = 10_000
 
+def _listed(spark: SparkSession, root: str, own: str) -> tuple[list[tuple[str, str, int]], list[tuple[str, str]], list[str]]:
+    """(hidden files as (path, address, size), odd ones as (path, reason), other empty ones); names and sizes only.
 
-def _hidden(spark: SparkSession, root: str) -> list[tuple[str, bytearray]]:
-    """(path, content) of small files that Spark's readers pass over: those with a name or folder like ``.x`` or ``_x``.
-
-    They are settings and instructions, few by nature; more than ``HIDDEN_MOST`` is an error.
+    Hidden are those that Spark's readers pass over, with a name or folder like ``.x`` or ``_x``: settings and instructions, few by
+    nature. Odd are links and what is neither file nor folder.
     """
     jvm = spark._jvm
     base = jvm.org.apache.hadoop.fs.Path(root)
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    prefix = fs.makeQualified(base).toString().rstrip("/") + "/"
-    out, found = [], fs.listFiles(base, True)
+    at = fs.makeQualified(base)
+    prefix = at.toString().rstrip("/") + "/"
+    never = {*SKIPPED_FOLDERS, own.lower()}
+    hidden: list[tuple[str, str, int]] = []
+    odd: list[tuple[str, str]] = []
+    empty: list[str] = []
+    if at.toUri().getScheme() == "file":  # links show here only when asked of the system
+        top = at.toUri().getPath()
+        for folder, folders, names in os.walk(top):
+            here = os.path.relpath(folder, top)
+            inner = lambda n, here=here: n if here == "." else f"{here}/{n}"
+            folders[:] = [d for d in folders if d.lower() not in never]
+            for n in [*folders, *names]:
+                mode = os.lstat(os.path.join(folder, n)).st_mode
+                if stat.S_ISLNK(mode):
+                    odd.append((inner(n), "a link"))
+                elif not (stat.S_ISREG(mode) or stat.S_ISDIR(mode)):
+                    odd.append((inner(n), "not a regular file"))
+    passed = {p for p, _ in odd}
+    found = fs.listFiles(at, True)
     while found.hasNext():
         status = found.next()
-        path = status.getPath().toString().partition(prefix)[2]
-        if not any(part[:1] in "._" for part in path.split("/")) or any(part in SKIPPED_FOLDERS for part in path.lower().split("/")):
-            continue
-        if status.isSymlink() or status.getLen() > MOST_BYTES:
+        address = status.getPath().toString()
+        path = address.partition(prefix)[2]
+        parts = path.split("/")
+        if status.isSymlink() and path not in passed:
+            odd.append((path, "a link"))
+            passed.add(path)
+        if any(p.lower() in never for p in parts) or any("/".join(parts[:n]) in passed for n in range(1, len(parts) + 1)):
             continue
-        if len(out) == HIDDEN_MOST:
-            raise ValueError("too many hidden files")
-        stream = fs.open(status.getPath())
-        out.append((path, bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
-        stream.close()
-    return out
+        if not any(p[:1] in "._" for p in parts):
+            empty += [] if status.getLen() else [path]
+        else:
+            hidden.append((path, address, status.getLen()))
+    if len(hidden) > HIDDEN_MOST or len(odd) > ODD_MOST:
+        raise ValueError("too many hidden files or links")
+    return hidden, odd, empty
+
+
+def _contents(spark: SparkSession, hidden: list[tuple[str, str, int]]) -> DataFrame:
+    """(path, length, content) of hidden files, read where the tasks run."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
+        for batch in batches:
+            for path, address, size in zip(*[batch.column(c).to_pylist() for c in ("path", "address", "length")], strict=True):
+                local = address.removeprefix("file:")
+                system, name = (fs.LocalFileSystem(), local) if local != address else fs.FileSystem.from_uri(address)
+                with system.open_input_stream(name) as stream:
+                    yield pa.RecordBatch.from_pydict({"path": [path], "length": [size], "content": [stream.read()]}, pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())]))
 
-def scan(spark: SparkSession, root: str, project: str, ignore_files: tuple[str, ...] = IGNORE_FILES) -> tuple[DataFrame, DataFrame]:
+    listed = spark.createDataFrame(hidden, "path string, address string, length long")
+    spread = listed.repartition(max(1, min(len(hidden) // 16, 64))) if hidden else listed
+    return spread.mapInArrow(read, "path string, length long, content binary")
+
+
+def scan(spark: SparkSession, root: str, project: str, ignore_files: tuple[str, ...] = IGNORE_FILES, own_folder: str = OWN_FOLDER) -> tuple[DataFrame, DataFrame]:
     """(files, diagnostics) of a project folder.
 
-    files: (project, path, language, category, size, hash, tokens, content), known languages only. Files over the
-    size limit are diagnostics (path, reason). Hidden files and ignore files are few and small: they come to the driver.
+    files: (project, path, language, category, size, hash, tokens, content), known languages only. Diagnostics (path, reason)
+    are files over the size limit, links, which are not followed, and what is neither file nor folder. Hidden files are
+    listed on the driver and read by tasks; only ignore files, which are rules, come to it.
     """
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    hidden, odd, nothing = _listed(spark, root, own_folder)
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
-    hidden = _hidden(spark, root)
-    known_hidden = spark.createDataFrame([(p, len(c), c) for p, c in hidden], "path string, length long, content binary")
     path = F.substring_index(F.col("path"), base, -1)
-    rows = read.select(path.alias("path"), "length", "content").unionByName(known_hidden)
-    rules = sorted(((p, c.decode("utf-8", "replace")) for p, c in hidden if p.rpartition("/")[2] in ignore_files), key=lambda r: r[0].count("/"))
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    # a pipe has no length and must not be opened: what is empty isn't
+    full = read.where("length > 0").select(path.alias("path"), "length", "content")
+    empty = spark.createDataFrame([(p,) for p in nothing], "path string").select("path", F.lit(0).cast("long").alias("length"), F.lit("").cast("binary").alias("content"))
+    rows = full.unionByName(empty).unionByName(_contents(spark, [h for h in hidden if h[2] <= MOST_BYTES]))
+    if odd:
+        passed = F.array(*[F.lit(p) for p, _ in odd])
+        rows = rows.where(~F.exists(passed, lambda p: (F.col("path") == p) | F.startswith(F.col("path"), F.concat(p, F.lit("/")))))
+    known = rows.where(~skipped(F.col("path"), own_folder) & language(F.col("path")).isNotNull())
+    told = _contents(spark, [h for h in hidden if h[0].rpartition("/")[2] in ignore_files and h[2] <= MOST_BYTES]).collect()
+    rules = sorted(((r["path"], r["content"].decode("utf-8", "replace")) for r in told), key=lambda r: (r[0].count("/"), r[0]))
     families: list[list[IgnoreRules]] = [[IgnoreRules(text, p.rpartition("/")[0]) for p, text in rules if p.rpartition("/")[2] == name] for name in ignore_files]
-    known = rows.where(~skipped(F.col("path")) & language(F.col("path")).isNotNull())
     if any(families):
-        unwanted = F.udf(lambda p: ignored(p, families), T.BooleanType())  # few paths; rules have no built-in form
-        known = known.where(~unwanted("path"))
+        kept = F.pandas_udf(lambda paths: pd.Series([not ignored(p, families) for p in paths], dtype=bool), "boolean")
+        known = known.where(kept("path"))
     fits = known.where(F.col("length") <= MOST_BYTES)
     files = fits.select(
         F.lit(project).alias("project"),
@@ -71,4 +123,17 @@ def scan(spark: SparkSession, root: str, project: str, ignore_files: tuple[str,
         scan_estimate(F.col("length")).alias("tokens"),
         F.decode("content", "UTF-8").alias("content"),
     )
-    return files, known.where(F.col("length") > MOST_BYTES).select("path", F.lit("larger than the limit").alias("reason"))
+    large = known.where(F.col("length") > MOST_BYTES).select("path", F.lit("larger than the limit").alias("reason"))
+    large = large.unionByName(spark.createDataFrame([(p, "larger than the limit") for p, _, n in hidden if n > MOST_BYTES], "path string, reason string").where(language(F.col("path")).isNotNull()))
+    return files, large.unionByName(spark.createDataFrame(odd, "path string, reason string"))
+
+
+def inside(root: str, path: str) -> str:
+    """The real place of a local path that must lie in a local root, no part of it a link; ValueError otherwise."""
+    top = os.path.realpath(root)
+    full = os.path.normpath(os.path.join(top, path))
+    if full != top and not full.startswith(top + os.sep):
+        raise ValueError("the path leaves the root")
+    if os.path.realpath(full) != full:
+        raise ValueError("the path goes through a link")
+    return full

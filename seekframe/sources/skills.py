@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 from seekframe.functions.text import folded, stem
 
 LEAST, MOST = 0.22, 3
+QUERIES_MOST = 1_000
+# Priorities of a project's own skills and of a registry's.
+LOCAL, REGISTERED = 80, 60
 SIZE_MOST, NAME_MOST, DESCRIPTION_MOST, COMPATIBILITY_MOST = 65_536, 64, 1024, 500
 NAME = re.compile(r"[a-z0-9]+(-[a-z0-9]+)*")
 # Words that say nothing about a query, English and French.
@@ -51,10 +56,14 @@ def select(skills: DataFrame, queries: DataFrame, most: int = MOST) -> DataFrame
     ``skills``: (name, description, path, priority), ``queries``: (query_id, query).
     """
     q = folded(F.col("query"))
-    asked = queries.select("query_id", q.alias("q"), words(q).alias("qw"), F.lit(1).alias("one"))
+    # a literal in each task; more than a few are not for one job
+    asked = queries.select("query_id", q.alias("q"), words(q).alias("qw")).limit(QUERIES_MOST + 1).collect()
+    if len(asked) > QUERIES_MOST:
+        raise ValueError(f"at most {QUERIES_MOST} queries at once")
+    literal = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"), F.lit(r["q"]).alias("q"), F.array(*[F.lit(w) for w in r["qw"]]).cast("array<string>").alias("qw")) for r in asked])
     plain, hyphened, told = folded(F.replace("name", F.lit("-"), F.lit(" "))), folded(F.col("name")), folded(F.col("description"))
-    known = skills.select("name", "path", "priority", plain.alias("plain"), hyphened.alias("hyphened"), told.alias("told"), words(plain).alias("nw"), words(told).alias("dw"), F.lit(1).alias("one"))
-    both = known.join(F.broadcast(asked), "one")
+    known = skills.select("name", "path", "priority", plain.alias("plain"), hyphened.alias("hyphened"), told.alias("told"), words(plain).alias("nw"), words(told).alias("dw"))
+    both = known.withColumn("asked", F.explode(literal)).select("*", "asked.*").drop("asked")
     exact = delimited(F.col("q"), F.col("plain")) | delimited(F.col("q"), F.col("hyphened"))
     by_name, by_text = matched(F.col("qw"), F.col("nw")), matched(F.col("qw"), F.col("dw"))
     share = lambda part, whole: F.when(F.size(whole) > 0, part / F.greatest(F.size(whole), F.lit(1))).otherwise(0.0)
@@ -85,6 +94,23 @@ def front_matter(text: str, folder: str) -> dict:
     return told
 
 
+def defined(told: DataFrame) -> DataFrame:
+    """(name, description, path, content) of skill files (path, content) whose front matter keeps the rules; others go."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    head = front_matter(content or "", path.split("/")[-2] if "/" in path else "")
+                except ValueError:
+                    continue
+                rows.append((head["name"], head["description"], path, content))
+            yield pd.DataFrame(rows, columns=["name", "description", "path", "content"])
+
+    return told.select("path", "content").mapInPandas(read, "name string, description string, path string, content string")
+
+
 def whole_or_nothing(chosen: list[tuple[str, int]], budget: int) -> list[str]:
     """Names of skills, in order, whose whole content fits what is left of the budget."""
     out = []

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -23,6 +24,24 @@ def lists(spark):
     return {p: sorted(rows, key=lambda r: (-round(r["score"], 9), r["path"])) for p, rows in out.items()}
 
 
+def estimate(text):
+    return -(-len(text) * 2 // 7)
+
+
+def truncated(content, tokens):
+    """(text, lines) tried line by line, then character by character."""
+    lines = re.split("\r\n|[\n\v\f\r\x85\u2028\u2029]", content)
+    for n in range(len(lines), 0, -1):
+        text = "\n".join([*lines[:n], budget.MARK])
+        if estimate(text) <= tokens:
+            return (text if n < len(lines) else "\n".join(lines)), n
+    for n in range(len(lines[0]), -1, -1):
+        text = f"{lines[0][:n]}\n{budget.MARK}"
+        if estimate(text) <= tokens:
+            return text, 1
+    return "", 0
+
+
 def greedy(items, total):
     left, out = total, []
     for r in items:
@@ -35,12 +54,12 @@ def greedy(items, total):
 def truncating(items, total):
     left, out = total, []
     for r in items:
-        allowed, need, cut = min(left, max(24, total // 2)), budget.estimate(r["content"]), False
+        allowed, need, cut = min(left, max(24, total // 2)), estimate(r["content"]), False
         if need > allowed:
             if allowed < 24:
                 continue
-            text, _ = budget.truncated(r["content"], allowed)
-            need, cut = budget.estimate(text), True
+            text, _ = truncated(r["content"], allowed)
+            need, cut = estimate(text), True
             if not text.strip() or need > left:
                 continue
         left -= need
@@ -92,7 +111,7 @@ def test_long_lists(spark, seed):
     """Lists of many small items, with copies, empty ones and white space."""
     r = random.Random(seed)
     texts = ["", " \r\n" * 90, "\r\n".join("ab" * 9 for _ in range(40))] + ["x" * r.randint(1, 9) for _ in range(40)] + [f"a  b{n}\n" * r.randint(1, 60) for n in range(60)]
-    items = [[(f"{p}-{n:04}", t := r.choice(texts) + " " * r.choice([0, 0, 4]), budget.estimate(t)) for n in range(700)] for p in range(3)]
+    items = [[(f"{p}-{n:04}", t := r.choice(texts) + " " * r.choice([0, 0, 4]), estimate(t)) for n in range(700)] for p in range(3)]
     total = 300
     rows = [Row(query_id=p, path=path, start_line=1, end_line=t.count("\n") + 1, tokens=k, score=1.0, content=t) for p, own in enumerate(items) for path, t, k in own]
     df = spark.createDataFrame(rows)

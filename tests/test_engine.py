@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from seekframe import __main__
 from seekframe.engine import Engine, NotReady
@@ -76,6 +77,77 @@ def test_context(engine):
     assert sum(r["tokens"] for r in rows) <= 400
 
 
+def test_vectors_and_fusion(engine, spark):
+    vectors = spark.createDataFrame([("docs/guide.md", [1.0, 0.0]), ("src/main/HealthController.java", [0.0, 1.0]), ("nowhere", [1.0, 1.0]), ("AGENTS.md", [1.0, 0.0])], "path string, v array<double>")
+    told = {"fingerprint": "f", "provider": "p", "model": "m", "dimensions": 2, "profile": "c", "version": 1}
+    generation = engine.index_vectors("one", vectors, told)
+    assert engine.table("one", "vectors").count() == 3 and engine.table("one", "postings").count() > 0
+    ask = lambda **kw: {r["path"]: r["explanation"] for r in engine.search("one", {1: "save"}, 20, vectors={1: [1.0, 0.1]}, **kw).collect()}
+    assert "semantic=" in ask(provenance=told)["docs/guide.md"] and "AGENTS.md" not in ask(provenance=told)
+    assert "docs/guide.md" not in ask(provenance=told | {"model": "other"})
+    fused = engine.search("one", {1: "save"}, 20, vectors={1: [1.0, 0.1]}, provenance=told, fuse=8.0).orderBy("rank").collect()
+    assert fused[0]["path"] == "docs/guide.md" and "semantic_rank=1" in fused[0]["explanation"]
+    assert engine.index_vectors("one", vectors.where("path = 'docs/guide.md'").withColumn("v", F.array(F.lit(0.0), F.lit(1.0))), told) == generation + 1
+    assert {r["path"]: r["v"] for r in engine.table("one", "vectors").collect()}["docs/guide.md"] == [0.0, 1.0] and engine.table("one", "vectors").count() == 3
+
+
+def test_federated_context_in_engine(engine):
+    items, shares = engine.context_federated(["one", "two", "ONE"], "pdf upload", 400)
+    got = items.collect()
+    assert {r["project"] for r in got} == {"One", "Two"} and sum(r["tokens"] for r in got) <= 400
+    assert sorted(r["place"] for r in got) == list(range(1, len(got) + 1)) and all(r["content"] is not None for r in got)
+    assert {r["project"]: (r["tokens"], r["starved"]) for r in shares.collect()} == {p: (sum(r["tokens"] for r in got if r["project"] == p), False) for p in ("One", "Two")}
+
+
+def test_stored_terms_follow_the_files(spark, tmp_path):
+    """The lexical index after changes equals one of all files."""
+    from seekframe.operators import lexical
+
+    root = tmp_path / "src"
+    write(root, {"a.md": "orchard compass", "b.md": "orchard", "C.java": "class Compass {}"})
+    engine = Engine(spark, str(tmp_path / "home"))
+    engine.add("p", str(root))
+    engine.index("p")
+    write(root, {"a.md": "harbour", "d.md": "compass"})
+    (root / "b.md").unlink()
+    assert engine.index("p")["changed"] == 2
+    fields, postings = lexical.build(lexical.named(engine.table("p", "files"), engine.table("p", "symbols")))
+    for name, rows in (("fields", fields), ("postings", postings)):
+        order = rows.columns
+        assert sorted(map(tuple, engine.table("p", name).select(order).collect())) == sorted(map(tuple, rows.collect()))
+    assert {r["path"] for r in engine.search("p", {1: "compass"}).collect()} == {"C.java", "d.md"}
+    assert [r["path"] for r in engine.files("p").collect()] == ["C.java", "a.md", "d.md"]
+    assert tuple(engine.health().first()) == (1, False, True)
+
+
+def test_imports(engine, spark, tmp_path):
+    root = engine.resolve("one")[2]
+    body = {"contractVersion": "1", "producer": "x", "project": {"rootPath": root}, "symbols": [{"resolutionStatus": "RESOLVED", "kind": "CLASS", "name": "Zebra", "filePath": "docs/guide.md", "startLine": 1, "endLine": 1}], "relations": []}
+    (tmp_path / "s.json").write_text(json.dumps(body))
+    engine.import_json("one", str(tmp_path / "s.json"), "ext")
+    assert engine.search("one", {1: "zebra"}).first()["path"] == "docs/guide.md"
+    assert __main__.main(["--home", engine.home, "import-json", "one", str(tmp_path / "none.json"), "ext"]) != 0
+    engine.replace_provider("one", "ext", spark.createDataFrame([], importers.SYMBOLS), spark.createDataFrame([], importers.RELATIONS))
+    assert engine.search("one", {1: "zebra"}).isEmpty()
+
+
+def test_instructions_in_context(spark, tmp_path):
+    write(tmp_path / "r", {
+        "AGENTS.md": "Read @docs/style.md first.", "docs/style.md": "Short lines.", "src/Upload.java": "class Upload {}",
+        ".github/instructions/java.instructions.md": "---\napplyTo: '**/*.java'\n---\nUse records.", ".github/instructions/py.instructions.md": "---\napplyTo: '**/*.py'\n---\nUse types.",
+        ".claude/skills/upload/SKILL.md": "---\nname: wrong\ndescription: upload\n---\n",
+    })
+    engine = Engine(spark, str(tmp_path / "home"))
+    engine.add("r", str(tmp_path / "r"))
+    engine.index("r")
+    registry = spark.createDataFrame([("upload", "How to upload", "registry/upload", "Steps.")], "name string, description string, path string, content string")
+    got = engine.context("r", "upload", 2000, registry=registry).collect()
+    paths = lambda part: {r["path"] for r in got if r["part"] == part}
+    assert paths("instructions") == {"AGENTS.md", "docs/style.md", ".github/instructions/java.instructions.md"}
+    assert paths("skills") == {"registry/upload"} and "src/Upload.java" in paths("tasks") and "docs/style.md" not in paths("tasks")
+    assert {r["content"] for r in got if r["path"] == "docs/style.md"} == {"Short lines."}
+
+
 def test_history_in_context(engine, spark):
     upload, store = "src/main/PdfUploadService.java", "src/main/PdfRepository.java"
     changes = spark.createDataFrame([(1, 1, upload, "first"), (1, 1, "pom.xml", "first"), (2, 2, store, "second")], "commit int, at int, path string, message string")

@@ -41,6 +41,7 @@ def test_symbol_scores(spark):
 def test_stem_and_fold(spark):
     assert [one(spark, text.stem(F.lit(w))) for w in ("running", "used", "boxes", "cats", "as")] == ["runn", "used", "box", "cat", "as"]
     assert one(spark, text.folded(F.lit("  Éléphant   ÇA "))) == "elephant ca"
+    assert one(spark, text.folded(F.lit("Ştefan Ő Źle e\u0301 Ωmέga Việt"))) == "stefan o zle e ωmεga viet"
 
 
 def test_fingerprint_ignores_line_ends(spark):

@@ -13,17 +13,30 @@ def rows(df):
 
 def test_two_terms_are_needed(spark):
     files = spark.createDataFrame([("p", "orchard-only.md", "orchard orchard orchard filler"), ("p", "compass-guide.md", "an orchard and a compass")], "project string, path string, content string")
-    ask = lambda q, t: [r["path"] for r in lexical.scores(files, spark.createDataFrame([(1, q)], "query_id int, query string"), t).collect()]
-    assert ask("orchard-compass", ["orchard", "compass"]) == ["compass-guide.md"]
-    assert sorted(ask("orchard", ["orchard"])) == ["compass-guide.md", "orchard-only.md"]
-    assert ask("absent", ["absent"]) == []
+    ask = lambda q: [r["path"] for r in lexical.scores(files, spark.createDataFrame([(1, q)], "query_id int, query string")).collect()]
+    assert ask("orchard-compass") == ["compass-guide.md"]
+    assert sorted(ask("orchard")) == ["compass-guide.md", "orchard-only.md"]
+    assert ask("absent") == [] and ask(" - ") == []
 
 
 def test_index_of_all_terms(spark):
     files = spark.createDataFrame([("p", "a.md", "orchard compass"), ("p", "b.md", "fooBar orchard"), ("q", "c.md", "compass")], "project string, path string, content string")
     queries = spark.createDataFrame([(1, "orchard"), (2, "compass bar")], "query_id int, query string")
-    once = lexical.scores(files, queries, ["orchard", "compass", "bar"])
-    assert rows(lexical.search(*lexical.build(files), queries)) == rows(once) != []
+    once = lexical.scores(files, queries)
+    fields, postings = lexical.build(files)
+    assert rows(lexical.search(fields, postings, queries)) == rows(once) != []
+    assert (("q", "c.md", "content", 1, "compass", 1)) in rows(postings) and len(rows(fields)) == 9
+    counted = spark.createDataFrame([("p", "x.md", "b a b, A b")], "project string, path string, content string")
+    assert [(r["term"], r["tf"]) for r in lexical.build(counted)[1].where("field = 'content'").orderBy("term").collect()] == [("a", 2), ("b", 3)]
+
+
+def test_eligible_candidates(spark):
+    """Of twice the limit, those that take part; scores are over the best of them."""
+    hits = spark.createDataFrame([(1, "p", f"f{n}", 9.0 - n) for n in range(6)], "query_id int, project string, path string, score double")
+    queries = spark.createDataFrame([(1, "f3 f3 x")], "query_id int, query string")
+    some = spark.createDataFrame([("f1",), ("f3",), ("f5",)], "path string")
+    got = {r["path"]: (round(r["lexical"], 6), round(r["path_signal"], 6)) for r in lexical.candidates(hits, queries, 2, some).collect()}
+    assert got == {"f1": (1.0, 0.0), "f3": (0.75, 0.666667)}
 
 
 def test_symbols(spark):
@@ -41,6 +54,13 @@ def test_neighbourhood(spark):
     seeds = spark.createDataFrame([("App", 1.0)], "path string, score double")
     known = spark.createDataFrame([("Dependency",), ("Unrelated",), ("App",)], "path string")
     assert {r["path"]: round(r["graph"], 6) for r in graph.spread(seeds, edges, known).collect()} == {"Dependency": 0.65, "Unrelated": 0.35, "App": 0.35}
+    # one edge a hop: the outgoing one, and back
+    assert {r["path"]: round(r["graph"], 6) for r in graph.spread(seeds, edges.union(edges), known, budget=1).collect()} == {"Dependency": 0.65, "App": 0.35}
+
+
+def test_closure_of_cycles(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "g")], "src string, dst string")
+    assert rows(graph.closure(edges, ["a", "z"], 4)) == [("a", "b", 1), ("a", "c", 1), ("a", "d", 2), ("a", "e", 3), ("a", "f", 4)]
 
 
 def test_recency_positions(spark):
@@ -86,6 +106,44 @@ def test_merge_keeps_best_type_and_first_symbol(spark):
     data = [(1, "x", "DOCUMENTATION", "p", None, 0, 0.2), (1, "x", "FILE", "p", "s", 1, 0.7), (1, "x", "GIT", "p", "t", 2, 0.1)]
     got = rank.merge(spark.createDataFrame(data, "query_id int, id string, type string, path string, symbol string, arrival int, lexical double")).first()
     assert (got["type"], got["symbol"], got["lexical"]) == ("FILE", "s", 0.7)
+    told = spark.createDataFrame([(1, "x", "FILE", "p", None, n, 0.1, e) for n, e in enumerate([None, " ", "one", "two"])], "query_id int, id string, type string, path string, symbol string, arrival int, lexical double, excerpt string")
+    assert rank.merge(told).first()["excerpt"] == "one"
+
+
+def test_percentiles(spark):
+    import numpy as np
+
+    data = [("a", float(x % 17)) for x in range(500)] + [("b", float(x) ** 1.5) for x in range(31)] + [("c", 4.0), ("d", None), (None, 2.0), (None, 3.0)]
+    got = {r["k"]: (r["p50"], r["p95"]) for r in evaluate.percentiles(spark.createDataFrame(data, "k string, x double").repartition(3), "x", ("k",)).collect()}
+    for key in ("a", "b", "c"):
+        own = [x for k, x in data if k == key]
+        assert got[key] == pytest.approx(tuple(np.percentile(own, [50, 95])))
+    assert "d" not in got
+
+
+def test_shares_and_totals(spark):
+    merged = spark.createDataFrame([("a", 5), ("a", 7), ("b", 1)], "project string, tokens int")
+    scope = spark.createDataFrame([("a",), ("b",), ("c",)], "project string")
+    assert rows(budget.shares(merged, scope)) == [("a", 12, 2, False), ("b", 1, 1, False), ("c", 0, 0, True)]
+    chosen = spark.createDataFrame([("tasks", 5, True), ("tasks", 7, False), ("skills", 2, False)], "part string, tokens int, cut boolean")
+    assert rows(budget.totals(chosen)) == [("skills", 2, 1, 0), ("tasks", 12, 2, 1)]
+
+
+def test_health(spark):
+    of = lambda *s: tuple(index.health(spark.createDataFrame([(x,) for x in s], "status string")).first())
+    assert of("READY", "READY") == (2, False, True) and of("READY", "FAILED") == (2, True, False) and of() == (0, False, False)
+
+
+def test_embedding_text_and_provenance(spark):
+    files = spark.createDataFrame([("a.java", "java", "x" * 20), ("b.md", "markdown", "hello")], "path string, language string, content string")
+    known = spark.createDataFrame([("a.java", "Foo"), ("a.java", "Bar"), ("a.java", "Foo")], "path string, name string")
+    got = {r["path"]: r["text"] for r in semantic.embedding_text(files, known, 10).collect()}
+    assert got == {"a.java": "a.java\njava\nBar Foo\n" + "x" * 10, "b.md": "b.md\nmarkdown\n\nhello"}
+    full = {"fingerprint": "f", "provider": "p", "model": "m", "dimensions": 3, "profile": "c", "version": 1}
+    assert semantic.provenance(full)["dimensions"] == "3"
+    for bad in ({"model": ""}, {"dimensions": 0}, {"version": None}):
+        with pytest.raises(ValueError):
+            semantic.provenance(full | bad)
 
 
 def test_fusion(spark):
@@ -126,13 +184,19 @@ def test_greedy_goes_on_after_a_miss(spark):
     assert [r["path"] for r in got.orderBy("place").collect()] == ["a", "c", "e"]
 
 
-def test_truncation():
-    assert budget.truncated("a\nb", 24) == ("a\nb", 2)
-    text, kept = budget.truncated("\n".join(["x" * 30] * 10), 40)
-    assert kept == 4 and budget.estimate(text) == 40 and text.endswith(budget.MARK)
-    text, kept = budget.truncated("y" * 500, 24)
-    assert kept == 1 and budget.estimate(text) == 24
-    assert budget.truncated("y" * 500, 2) == ("", 0)
+def test_truncation(spark):
+    """Texts of many shapes against a line by line search."""
+    from test_budget_whole import estimate, truncated
+
+    texts = ["a\nb", "\n".join(["x" * 30] * 10), "y" * 500, "", "\n\n\n", "\n" + "z" * 90, "ab\r\ncd\x0bef" * 9, "q" * 40 + "\n" + "r" * 40]
+    data = [(t, k) for t in texts for k in (2, 5, 6, 12, 24, 25, 40)]
+    df = spark.createDataFrame([(n, t, k) for n, (t, k) in enumerate(data)], "n int, t string, k int")
+    plain = F.regexp_replace("t", budget.LINE_END, "\n")
+    got = df.select("n", budget.shortened(plain, F.length(plain), F.col("k")).alias("s")).select("n", "s.*").collect()
+    for r in got:
+        text, lines = truncated(*data[r["n"]])
+        expected = (None, 0) if text == "" and lines == 0 else (max(1, estimate(text)), lines)
+        assert (r["tokens"], r["lines"]) == expected, data[r["n"]]
 
 
 def test_greedy_truncating(spark):
@@ -177,8 +241,82 @@ def test_instructions(spark):
     found = spark.createDataFrame([("AGENTS.md",), ("a/CLAUDE.md",), ("ab/GEMINI.md",)], "path string")
     got = instructions.applicable(found, spark.createDataFrame([("a/b/X.java",)], "path string"))
     assert rows(got.select("path", instructions.priority(F.col("path")))) == [("AGENTS.md", 74), ("a/CLAUDE.md", 83)]
-    text = spark.createDataFrame([("---\napplyTo: '**/*.java, [src/**]'\n---",), ("none",)], "t string")
-    assert [r[0] for r in text.select(instructions.apply_to(F.col("t"))).collect()] == [["**/*.java", "src/**"], []]
+    told = ["---\napplyTo: '**/*.java, src/**'\n---", "none", "---\nx: 1\napplyTo: [ \"a?.py\", 'b/*.md' ]\n---\nbody", "---\napplyTo:  \n---", "---\nx: 1\n---\napplyTo: '**'", " --- \r\n applyTo: \"**\"\r\n---"]
+    text = spark.createDataFrame(list(enumerate(told)), "n int, t string")
+    assert [r[1] for r in text.select("n", instructions.apply_to(F.col("t"))).orderBy("n").collect()] == [["**/*.java", "src/**"], [], ["a?.py", "b/*.md"], [], [], ["**"]]
+
+
+def test_instructions_for_paths(spark):
+    head = lambda p: f"---\napplyTo: \"{p}\"\n---\n"
+    found = [(".github/instructions/java.instructions.md", head("**/*.java")), (".github/instructions/top.instructions.md", head("*.java, b[1].py")), (".github/instructions/no.instructions.md", "plain"), ("AGENTS.md", "plain")]
+    df = spark.createDataFrame(found, "path string, content string")
+    kept = lambda *targets: [p.split("/")[-1].split(".")[0] for p, in rows(instructions.by_path(df, list(targets)).select("path"))]
+    assert kept("a/B.java") == ["java", "AGENTS"] and kept("B.java") == ["java", "top", "AGENTS"] and kept("b[1].py") == ["top", "AGENTS"] and kept() == ["AGENTS"]
+
+
+def test_instruction_references(spark):
+    files = {
+        "AGENTS.md": "see @docs/a.md and x@y.z\n```\n@docs/fenced.md\n```\n@missing.md @/etc/passwd @../out.md", "docs/a.md": "@b.md\n @AGENTS.md", "docs/b.md": "~~~\n@docs/fenced.md\n~~~\nback to @a.md, on to @sub/../c.md",
+        "docs/c.md": "@top.md", "top.md": "end", "docs/fenced.md": "no", "b.md": "the root's own",
+    }
+    df = spark.createDataFrame(list(files.items()), "path string, content string")
+    first = df.where("path = 'AGENTS.md'").select("path", "content", F.lit("p").alias("provider"), F.lit(74).alias("priority"))
+    got = instructions.with_references(first, df).select("path", "priority")
+    assert rows(got) == [("AGENTS.md", 74), ("docs/a.md", 68), ("docs/b.md", 67), ("docs/c.md", 66), ("top.md", 65)]
+    assert len(rows(instructions.with_references(first, df, 2).select("path"))) == 3
+
+
+def test_scan_of_odd_files(spark, tmp_path):
+    import os
+
+    root = tmp_path / "r"
+    (root / "src").mkdir(parents=True)
+    (root / ".claude").mkdir()
+    (root / ".seekframe").mkdir()
+    (root / "src" / "a.py").write_text("x")
+    (root / "src" / "empty.py").write_text("")
+    (root / "big.py").write_bytes(b"#" * (scan.MOST_BYTES + 1))
+    (root / ".claude" / "h.md").write_text("hidden")
+    (root / ".claude" / "i.md").write_text("ignored")
+    (root / ".seekframe" / "own.py").write_text("x")
+    (root / ".ignore").write_text(".claude/i.md\n")
+    (tmp_path / "outside.py").write_text("secret")
+    os.symlink(tmp_path / "outside.py", root / "link.py")
+    os.symlink(tmp_path, root / "folder")
+    os.mkfifo(root / "pipe.py")
+    files, odd = scan.scan(spark, str(root), "p")
+    assert rows(files.select("path")) == [(".claude/h.md",), ("src/a.py",), ("src/empty.py",)]
+    assert rows(odd) == [("big.py", "larger than the limit"), ("folder", "a link"), ("link.py", "a link"), ("pipe.py", "not a regular file")]
+    assert scan.inside(str(root), "src/../src/a.py").endswith("src/a.py")
+    for bad in ("../outside.py", "link.py", "folder/outside.py", "/etc/passwd"):
+        with pytest.raises(ValueError):
+            scan.inside(str(root), bad)
+
+
+def test_git_log(spark, tmp_path):
+    import subprocess
+
+    from seekframe.sources import git
+
+    run = lambda *a: subprocess.run(["git", "-c", "user.name=n", "-c", "user.email=e", "-C", str(tmp_path), *a], check=True, capture_output=True)
+    run("init", "-q")
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.py").write_text("one\ntwo\nthree\n")
+    (tmp_path / "other.py").write_text("x")
+    run("add", "-A")
+    run("commit", "-qm", "first")
+    run("mv", "p/a.py", "p/b é.py")
+    run("commit", "-qm", "moved")
+    (tmp_path / "other.py").write_text("y")
+    run("commit", "-qam", "elsewhere")
+    (tmp_path / "p" / "b é.py").write_text("changed\n")
+    got = git.changes(spark, str(tmp_path / "p"))
+    assert sorted((r["message"], r["path"], r["root"]) for r in got.where("path is not null").collect()) == [("moved", "b é.py", False)]
+    assert got.where("root").count() == 1 and got.select("commit").distinct().count() == 3
+    zones = {r["zone"]: r["content"] for r in git.diffs(spark, str(tmp_path / "p")).collect()}
+    assert zones["staged"] == "" and "+changed" in zones["working"]
+    with pytest.raises(ValueError):
+        git.changes(spark, str(tmp_path / "none"))
 
 
 def test_json_snapshot(spark):
@@ -217,6 +355,9 @@ def test_protobuf_index(spark):
     s, r = importers.protobuf_index(spark.createDataFrame([(bytearray(_field(2, doc)),)], "content binary"), "index")
     assert [tuple(x)[:7] for x in s.collect()] == [("a.java", "CLASS", "A", "pkg A#", "", 5, 5)]
     assert rows(r.select("kind", "source", "target")) == [("IMPLEMENTS", "pkg A#", "pkg B#"), ("REFERENCES", "a.java", "pkg B#")]
+    for limits in ({"index_most": 8}, {"document_most": 8}):
+        with pytest.raises(Exception, match="too large"):
+            importers.protobuf_index(spark.createDataFrame([(bytearray(_field(2, doc)),)], "content binary"), "index", **limits)[0].collect()
 
 
 def test_java():
