@@ -17,8 +17,9 @@ sequence of words when that's shorter; without words it is empty and links with
    remaining lengths cannot reach the threshold, or when all its sets are connected to the walking one already. A group
    returns a tree that spans its links, never pairs.
 4. *Between the groups* of a neighbourhood that was dealt out, each n-gram's sets in different components are compared: first
-   the least set of each component with the least of all, round by round while that links any; then, for what is
-   still apart, all pairs of sets in different components, which is exact.
+   the least set of each component with the least of all, round by round while that links any; then what is still
+   apart meets in trees again, whose walks leave what is connected: the sets of one n-gram are a group, those of rare ones
+   together in one, those of one that more than ``MEMBERS`` sets have dealt into tiles, each pair of which is a group.
 
 Every row gets the size of its set and the smallest id that links reach from its text. Rows with a null id have no
 component and link nothing. Rows that repeat an id are judged each by its own text. Only the id and the
@@ -205,11 +206,15 @@ def _members_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 class PrefixTree:
     """Sets of token ranks, each ascending, with shared beginnings stored once."""
 
-    def __init__(self, sets: list[np.ndarray], tokens: int):
+    def __init__(self, sets: list[np.ndarray], tokens: int, parts: np.ndarray | None = None):
+        """``parts``: what each set is connected to already; sets of one part aren't compared."""
         self.sets = sets
         self.size = np.array([len(s) for s in sets])
         self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
         self.root = np.arange(len(sets))  # by place in the order
+        if parts is not None and len(sets):
+            _, first, of = np.unique(parts[self.order], return_index=True, return_inverse=True)
+            self.root = first[of]
         self.mark = np.zeros(tokens, bool)
         self.nodes = self._build()
 
@@ -293,7 +298,7 @@ def _tree_pass(rows: pa.Table) -> pa.Table:
     rank[np.lexsort((known, -count))] = np.arange(len(known), dtype=np.uint32)
     ranks = rank[place]
     sets = [np.sort(ranks[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-    tree = PrefixTree(sets, len(known))
+    tree = PrefixTree(sets, len(known), rows.column("part").to_numpy() if "part" in rows.column_names else None)
     root = tree.connect()
     keys = rows.column("key").to_numpy()
     order = np.array(tree.order)
@@ -320,7 +325,7 @@ def _relabelled(parts: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFra
     return scratch.keep(parts.join(merged, "part", "left").select("key", F.coalesce("component", "part").alias("part")))
 
 
-def _between(parts: DataFrame, prefix: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+def _between(parts: DataFrame, prefix: DataFrame, members: DataFrame, scratch: Scratch, most: int) -> DataFrame:
     """``parts`` with the links between groups. ``prefix``: (gram, key, n) of the sets in dealt-out neighbourhoods."""
     apart = lambda parts: _apart(prefix.join(parts, "key"), scratch)
     for _ in range(ROUNDS):
@@ -332,10 +337,19 @@ def _between(parts: DataFrame, prefix: DataFrame, members: DataFrame, scratch: S
         if found.isEmpty():
             break
         parts = _relabelled(parts, found, scratch)
-    rows = apart(parts)
-    other = rows.select("gram", F.col("key").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"))
-    pairs = rows.join(other, "gram").where("part < other and 4 * n >= 3 * m and 4 * m >= 3 * n").select(F.col("key").alias("a"), "b").distinct()
-    return _relabelled(parts, scratch.keep(_linked_pairs(pairs, members)), scratch)
+    rows = apart(parts).select("gram", "key")
+    if rows.isEmpty():
+        return parts
+    counts = scratch.keep(rows.groupBy("gram").agg(F.ceil(F.count("*") / most).cast("int").alias("tiles")))
+    buckets = max(1, -(-rows.count() // most))
+    none = F.lit(-1).alias
+    small = rows.join(counts.where("tiles = 1"), "gram").select(F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("g"), none("x"), none("y"), "key").distinct()
+    deal = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
+    large = rows.join(counts.where("tiles > 1"), "gram").select("gram", "key", deal.alias("t"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"))
+    large = large.select(F.col("gram").alias("g"), F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"), "key")
+    groups = small.unionByName(large).join(parts, "key").join(members.select("key", "grams"), "key")
+    found = groups.groupBy("g", "x", "y").applyInArrow(_tree_pass, "key long, part long")
+    return _relabelled(parts, scratch.keep(found.select(F.col("key").alias("a"), F.col("part").alias("b"))), scratch)
 
 
 def _apart(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -382,7 +396,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", member
     parts = scratch.keep(dealt.select("near", "deal", "key", "grams").groupBy("near", "deal").applyInArrow(_tree_pass, "key long, part long"))
     if not sized.where("deals > 1").isEmpty():
         large = near.join(sized.where("deals > 1"), "near", "left_semi").select("key")
-        parts = _between(parts, prefix.join(large, "key", "left_semi"), members, scratch)
+        parts = _between(parts, prefix.join(large, "key", "left_semi"), members, scratch, members_most)
 
     named = parts.distinct().join(left, "key")
     component = named.groupBy("part").agg(F.min("node").alias("component"))
@@ -390,7 +404,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", member
     classed = classes.join(by_class, ["d1", "d2", "n"], "left").select("d1", "d2", "n", F.coalesce("component", "node").alias("component"))
     out = rows.join(classed, ["d1", "d2", "n"], "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), *([F.col("mark").alias(mark_col)] if mark_col else []))
+    return scratch.finish(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), *([F.col("mark").alias(mark_col)] if mark_col else [])))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

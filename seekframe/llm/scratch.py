@@ -53,6 +53,13 @@ class Scratch:
         kept._scratch_path = path
         return kept
 
+    def finish(self, df: DataFrame) -> DataFrame:
+        """``df`` kept, and all tables before it deleted: for results that are small beside what they were made of."""
+        kept = self.keep(df)
+        for n in range(1, self.count):
+            self._delete(f"{self.root}/{n}")
+        return kept
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that no later step reads."""
         for df in frames:
