@@ -6,9 +6,9 @@ different lengths.
 
 Unit vectors are turned to their principal axes (fitted on at most ``SAMPLE`` rows; the axes decide the
 speed, never the result). Vectors that link differ by at most sqrt(2 - 2 * threshold) along every axis, so
-slabs of that width along the first axis only meet their own and the next slab. A slab of a label is
+cells of that width along the first two axes only meet themselves and the eight around them. A cell of a label is
 dealt by hash into tiles of about ``TILE`` vectors; every pair of tiles that may hold links is one group, so a
-label or slab with any share of the rows becomes many bounded groups. In a pair of tiles the leading axes'
+label or cell with any share of the rows becomes many bounded groups. In a pair of tiles the leading axes'
 products are summed first; with the product of the remaining norms they bound the cosine, and pairs that
 cannot reach the threshold are left. The rest get further axes, and close calls the cosine in the
 original axes. Of its links a group returns each vector's number and a tree that spans them, never the pairs.
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekframe.llm.components import components
@@ -34,6 +34,8 @@ from seekframe.tables import table
 THRESHOLD = 0.98
 TILE = 2048
 SAMPLE = 20_000
+#: A label of more tiles than this is cut along the second axis too.
+FINE = 8
 STRIP = 512
 LEADING = (8, 16, 32)
 CLOSE = 1e-9
@@ -62,20 +64,20 @@ def _unit(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return x, scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def _slabs(axes: dict[int, np.ndarray], width: float):
-    first = {n: a[:, 0] for n, a in axes.items()}
+def _cells(axes: dict[int, np.ndarray], width: float):
+    first = {n: a[:, :2] for n, a in axes.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column("v")
             lengths = np.diff(vectors.offsets.to_numpy())
-            slab = np.zeros(len(vectors), np.int32)
+            cell = np.zeros((len(vectors), 2), np.int32)
             for n in np.unique(lengths):
                 of = np.flatnonzero(lengths == n)
                 along = first.get(int(n))
-                along = np.eye(1, int(n))[0] if along is None else along
-                slab[of] = np.floor(_unit(vectors.take(pa.array(of)))[1] @ along / width)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lengths.astype(np.int32)), pa.array(slab)], [*batch.schema.names, "dims", "slab"])
+                along = np.eye(int(n))[:, :2] if along is None else along
+                cell[of, : along.shape[1]] = np.floor(_unit(vectors.take(pa.array(of)))[1] @ along / width)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lengths.astype(np.int32)), pa.array(cell[:, 0]), pa.array(cell[:, 1])], [*batch.schema.names, "dims", "x", "y"])
 
     return run
 
@@ -178,24 +180,36 @@ def links(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, ti
     width = float(np.sqrt(2 - 2 * threshold)) + 1e-6
     label = vectors.schema["label"].dataType.simpleString()
     kind = vectors.schema["v"].dataType.simpleString()
-    rows = scratch.keep(vectors.mapInArrow(_slabs(axes, width), f"id long, label {label}, v {kind}, dims int, slab int"))
-    site = ["label", "dims", "slab"]
-    n = rows.groupBy(*site).agg(F.ceil(F.count("*") / tile).cast("int").alias("n"))
-    side = lambda step, name: n.select("label", "dims", (F.col("slab") + step).alias("slab"), F.col("n").alias(name))
-    sizes = n.join(side(-1, "above"), site, "left").join(side(1, "below"), site, "left").fillna(0, ["above", "below"])
-    dealt = rows.join(sizes, site).withColumn("t", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    pair = lambda s1, t1, s2, t2, right: F.struct(s1.alias("s1"), t1.alias("t1"), s2.alias("s2"), t2.alias("t2"), F.lit(right).alias("right"))
-    upto = lambda first, count: F.when(count > first, F.sequence(first, F.greatest(first, count - 1))).otherwise(F.array().cast("array<int>"))
-    s, t, zero = F.col("slab"), F.col("t"), F.lit(0)
-    meets = F.concat(
-        F.transform(upto(t, F.col("n")), lambda o: pair(s, t, s, o, 0)),
-        F.transform(upto(zero, t), lambda o: pair(s, o, s, t, 1)),
-        F.transform(upto(zero, F.col("above")), lambda o: pair(s, t, s + 1, o, 0)),
-        F.transform(upto(zero, F.col("below")), lambda o: pair(s - 1, o, s, t, 1)),
-    )
-    met = dealt.select("label", "dims", "id", "v", F.explode(meets).alias("m")).select("label", "dims", "id", "v", "m.*")
-    met = met.withColumn("own", (F.col("s1") == F.col("s2")) & (F.col("t1") == F.col("t2")))
-    return met.groupBy("label", "dims", "s1", "t1", "s2", "t2").applyInArrow(_compare(axes, threshold), "id long, links long, root long")
+    rows = scratch.keep(vectors.mapInArrow(_cells(axes, width), f"id long, label {label}, v {kind}, dims int, x int, y int"))
+    counts = rows.groupBy("label", "dims", "x", "y").agg(F.count("*").alias("c"))
+    sizes = counts.groupBy("label", "dims").agg(F.sum("c").alias("size"))
+    # a label of few tiles isn't cut along the second axis: that would only make many small groups
+    cells = counts.join(sizes, ["label", "dims"]).select("label", "dims", "x", "y", "c", F.when(F.col("size") > FINE * tile, F.col("y")).otherwise(0).alias("z"))
+    site = ["label", "dims", "x", "z"]
+    n = cells.groupBy(*site).agg(F.ceil(F.sum("c") / tile).cast("int").alias("n"))
+    # each cell's tiles are told to the cells around it: at most nine entries a cell
+    steps = F.explode(F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x in (-1, 0, 1) for y in (-1, 0, 1)]))
+    told = n.select(*site, "n", steps.alias("d")).select("label", "dims", (F.col("x") - F.col("d.dx")).alias("x"), (F.col("z") - F.col("d.dy")).alias("z"), F.struct("d.dx", "d.dy", "n").alias("near"))
+    around = cells.drop("c").join(told.groupBy(*site).agg(F.collect_list("near").alias("near")), site)
+    own = F.filter("near", lambda e: (e["dx"] == 0) & (e["dy"] == 0))[0]["n"]
+    dealt = rows.join(around, ["label", "dims", "x", "y"]).withColumn("t", F.pmod(F.xxhash64("id"), own).cast("int"))
+    x, y, t = F.col("x"), F.col("z"), F.col("t")
+
+    def meets(e: Column) -> Column:
+        """The pairs of tiles in which a vector meets those of a cell around it; the cell that comes first is on the left."""
+        inside = (e["dx"] == 0) & (e["dy"] == 0)
+        ahead = (e["dx"] > 0) | ((e["dx"] == 0) & (e["dy"] > 0))
+
+        def pair(o: Column) -> Column:
+            left = F.when(inside, t <= o).otherwise(ahead)
+            mine, other = F.struct(x.alias("x"), y.alias("y"), t.alias("t")), F.struct((x + e["dx"]).alias("x"), (y + e["dy"]).alias("y"), o.alias("t"))
+            return F.struct(F.when(left, mine).otherwise(other).alias("a"), F.when(left, other).otherwise(mine).alias("b"), F.when(left, 0).otherwise(1).alias("right"))
+
+        return F.transform(F.sequence(F.lit(0), e["n"] - 1), pair)
+
+    met = dealt.select("label", "dims", "id", "v", F.explode(F.flatten(F.transform("near", meets))).alias("m")).select("label", "dims", "id", "v", "m.*")
+    met = met.withColumn("own", F.col("a") == F.col("b"))
+    return met.groupBy("label", "dims", "a", "b").applyInArrow(_compare(axes, threshold), "id long, links long, root long")
 
 
 def dedup(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -213,7 +227,7 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, id
     out = numbered.select("id", "row").join(count.withColumnRenamed("id", "row"), "row", "left").join(parts, "row", "left").join(least, "component", "left")
     component = F.coalesce("component_id", "id")
     kept = F.coalesce(F.col("id") == component, F.lit(True))
-    return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), kept.alias("kept"))
+    return scratch.finish(out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), kept.alias("kept")))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
