@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -202,13 +204,15 @@ def java_symbols(text: str) -> tuple[list[tuple], list[str]]:
     code = re.sub(r'/\*.*?\*/|//[^\n]*|"""(?:.|\n)*?"""|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])+\'', blank, text, flags=re.S)
     package = (re.search(r"^\s*package\s+([\w.]+)\s*;", code, re.M) or [None, ""])[1]
     imports = [m[1] for m in re.finditer(r"(?:^|;)\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*(?=;)", code, re.M)]
-    line = lambda at: code.count("\n", 0, at) + 1
+    breaks = [m.start() for m in re.finditer("\n", code)]
+    line = lambda at: bisect_left(breaks, at) + 1
     out, open_types, depth, pending = [], [], 0, None
-    starts = {m.start(): m for m in _TYPE.finditer(code) if code[max(0, m.start() - 1)] != "."}
-    body_at = []
-    for at, ch in enumerate(code):
-        if at in starts:
-            pending = starts[at]
+    body_at, ends = [], {}
+    marks = [(m.start(), m) for m in _TYPE.finditer(code) if code[max(0, m.start() - 1)] != "."]
+    for at, mark in sorted([*marks, *((m.start(), m[0]) for m in re.finditer("[{};]", code))], key=lambda x: x[0]):
+        ch = mark
+        if not isinstance(mark, str):
+            pending, ch = mark, ""
         if ch == "{":
             depth += 1
             if pending and at >= pending.end():
@@ -219,23 +223,20 @@ def java_symbols(text: str) -> tuple[list[tuple], list[str]]:
                 pending = None
         elif ch == "}":
             if open_types and open_types[-1][0] == depth:
-                out[open_types.pop()[2]][5] = line(at)
+                owner = open_types.pop()[2]
+                out[owner][5], ends[owner] = line(at), at + 1
             depth -= 1
         elif ch == ";" and pending and at >= pending.end():
             pending = None
     found = [tuple(o) for o in out]
+    letters = np.frombuffer(code.encode("utf-32-le", "replace"), "<u4")
+    opens = letters == 123
+    inside = np.cumsum(opens) - np.cumsum(letters == 125) - opens  # braces open around each character, an opening one not counted
     for at, owner, level in body_at:
         qualified, simple = out[owner][2], out[owner][1]
-        flat, d, i = [], level, at + 1
-        while i < len(code) and d >= level:  # the type's own level only
-            c = code[i]
-            if c == "}":
-                d -= 1
-            flat.append(c if d == level or c == "\n" else " ")
-            if c == "{":
-                d += 1
-            i += 1
-        own = "{" + "".join(flat)
+        part = slice(at + 1, ends.get(owner, len(code)))
+        plain = (inside[part] == level) | (letters[part] == 10)  # the type's own level only
+        own = "{" + np.where(plain, letters[part], 32).astype("<u4").tobytes().decode("utf-32-le", "replace")
         for m in _MEMBER.finditer(own):
             name, returns = m[3], (m[2] or "").strip()
             constructor = name == simple and not returns
