@@ -58,11 +58,15 @@ def provenance(told: dict) -> dict[str, str]:
     return out
 
 
-def embedding_text(files: DataFrame, symbols: DataFrame, most: int = 12_000, batch: int = 32) -> DataFrame:
-    """(path, batch, text): what is embedded of each file: path, language, its symbols' names and its content's beginning."""
+def embedding_text(files: DataFrame, symbols: DataFrame, most: int = 12_000) -> DataFrame:
+    """``files`` with ``text``, what is embedded of each: path, language, its symbols' names and its content's beginning."""
     names = symbols.groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("name")), " ").alias("names"))
-    # the path's place, for batches of equal size: ranges of paths, not one list
-    body = files.join(names, "path", "left").withColumn("text", F.concat_ws("\n", "path", "language", F.coalesce("names", F.lit("")), F.substring("content", 1, most)))
+    both = files.join(names, "path", "left")
+    return both.withColumn("text", F.concat_ws("\n", "path", "language", F.coalesce("names", F.lit("")), F.substring("content", 1, most))).drop("names")
+
+
+def batches(rows: DataFrame, size: int = 32) -> DataFrame:
+    """``rows`` (path, ...) with ``batch``: at most ``size`` rows each, dealt by path, so that no list of all paths is put in order."""
     place = F.row_number().over(W.partitionBy("deal").orderBy("path")) - 1
-    deals = body.withColumn("deal", F.pmod(F.xxhash64("path"), F.lit(4096)))
-    return deals.withColumn("batch", F.concat_ws("-", "deal", F.floor(place / batch).cast("string"))).select("path", "batch", "text")
+    dealt = rows.withColumn("deal", F.pmod(F.xxhash64("path"), F.lit(4096)))
+    return dealt.withColumn("batch", F.concat_ws("-", "deal", F.floor(place / size).cast("string"))).drop("deal")

@@ -434,8 +434,20 @@ SQL: dict[str, str] = {
     "hit_mrr_at_k": f"WITH {JUDGED} SELECT query_id, round(avg(hit), 6) AS hit, round(avg(rr), 6) AS mrr FROM rated GROUP BY query_id",
     "latency_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type",
     "embedding_text_profile": rf"""
-        WITH {FILES}, flat AS (SELECT *, substr(trim(regexp_replace(content, '\s+', ' ', 'g')), 1, 320) AS e FROM files)
-        SELECT path, sha256(CASE WHEN e = '' THEN path ELSE e END) AS excerpt_hash, CAST(length(path || chr(10) || language || chr(10) || substr(content, 1, 12000)) AS INTEGER) AS size, CAST(doc_id // 32 AS INTEGER) AS batch FROM flat""",
+        WITH {FILES}, flat AS (SELECT *, substr(trim(regexp_replace(content, '\s+', ' ', 'g')), 1, 320) AS e FROM files),
+        whole AS (SELECT f.*, f.path || chr(10) || language || chr(10) || coalesce(replace(p_name, ' ', '_'), '') || chr(10) || substr(content, 1, 12000) AS t FROM flat f LEFT JOIN part ON p_partkey = doc_id)
+        SELECT path, sha256(CASE WHEN e = '' THEN path ELSE e END) AS excerpt_hash, sha256(t) AS text_hash, CAST(length(t) AS INTEGER) AS size, CAST(doc_id // 32 AS INTEGER) AS batch FROM whole""",
+    "bundle_totals": f"""
+        WITH RECURSIVE {TRUNCATING} SELECT project, CASE WHEN path LIKE '%.md' THEN 'DOCUMENTATION' WHEN path LIKE 'src/test/%' THEN 'TEST' ELSE 'FILE' END AS type,
+               CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS items, count(*) FILTER (cut) AS truncated FROM steps WHERE took GROUP BY ALL""",
+    "federated_shares": f"""
+        WITH RECURSIVE {FEDERATED}, got AS (SELECT project, sum(tokens) AS tokens, count(*) AS items FROM taken GROUP BY project)
+        SELECT project, CAST(coalesce(tokens, 0) AS BIGINT) AS tokens, CAST(coalesce(items, 0) AS BIGINT) AS items, items IS NULL AS starved FROM shares LEFT JOIN got USING (project)""",
+    "readiness_health": """
+        WITH o AS (SELECT o_orderpriority, o_orderkey % 1000 = 7 AS failed FROM orders)
+        SELECT count(*) AS projects, count(*) FILTER (failed) > 0 AS degraded, count(*) > 0 AND count(*) FILTER (failed) = 0 AS all_ready, 'all' AS scope FROM o
+        UNION ALL SELECT count(*), false, count(*) > 0, 'ready' FROM o WHERE NOT failed
+        UNION ALL SELECT count(*), count(*) FILTER (failed) > 0, count(*) > 0 AND count(*) FILTER (failed) = 0, 'none' FROM o WHERE o_orderpriority IS NULL""",
     "symbol_window_slice": rf"""
         WITH {SYMBOLS}, held AS (SELECT 'part_' || doc_id AS path, string_split_regex(text, '\r?\n') AS l FROM documents),
         cut AS (SELECT path, qualified AS symbol, greatest(1, start_line - 2) AS start_line, CAST(least(len(l), end_line + 2) AS INTEGER) AS end_line, l FROM symbols JOIN held USING (path))

@@ -14,7 +14,7 @@ from seekframe.kept import keep
 from seekframe.operators import budget, evaluate, fragments, graph, index, lexical, rank, recency, semantic, symbols
 from seekframe.plans import stored
 from seekframe.sources import corpus, importers, instructions, skills
-from seekframe.sources.classify import candidate_type, glob_regex
+from seekframe.sources.classify import candidate_type, category, glob_regex
 from seekframe.tables import table
 
 LIMIT = 20
@@ -386,10 +386,32 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embedding_text_profile(spark: SparkSession, d: str) -> DataFrame:
+    """What would be embedded of every document, with the name of the part that has its number as its symbol."""
     files = corpus.files(spark, d)
-    # the operator embeds a content's first 12,000 characters
-    body = F.concat_ws("\n", "path", "language", F.substring("content", 1, 12000))
-    return files.select("path", F.sha2(text.excerpt(F.col("content"), F.col("path")), 256).alias("excerpt_hash"), F.length(body).alias("size"), F.floor(F.col("doc_id") / 32).cast("int").alias("batch"))
+    names = corpus.symbols(spark, d).select(corpus.file_path(F.substring_index("path", "_", -1).cast("long")).alias("path"), "name")
+    told = semantic.embedding_text(files, names)
+    batch = F.floor(F.col("doc_id") / 32).cast("int").alias("batch")
+    return told.select("path", F.sha2(text.excerpt(F.col("content"), F.col("path")), 256).alias("excerpt_hash"), F.sha2("text", 256).alias("text_hash"), F.length("text").alias("size"), batch)
+
+
+def bundle_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Per source and type of item: tokens, items and how many were shortened."""
+    chosen = budget.greedy_truncating(_items(spark, d), BUDGET)
+    typed = chosen.withColumnRenamed("query_id", "project").withColumn("type", candidate_type(category(F.col("path"))))
+    return budget.totals(typed, ("project", "type"))
+
+
+def federated_shares(spark: SparkSession, d: str) -> DataFrame:
+    """What each source got of the shared budget."""
+    return budget.shares(federated_context_merge(spark, d), fair_allocation(spark, d))
+
+
+def readiness_health(spark: SparkSession, d: str) -> DataFrame:
+    failed = F.when(F.col("o_orderkey") % 1000 == 7, "FAILED").otherwise("READY").alias("status")
+    rows = table(spark, d, "orders").select("o_orderpriority", failed)
+    scopes = {"all": "true", "ready": "status = 'READY'", "none": "o_orderpriority is null"}
+    some = [index.health(rows.where(c)).withColumn("scope", F.lit(name)) for name, c in scopes.items()]
+    return some[0].unionByName(some[1]).unionByName(some[2])
 
 
 def context_bundle_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -426,4 +448,5 @@ ALL = (
     greedy_budget_truncating, budget_split, fair_allocation, federated_context_merge, cross_source_antijoin, content_dedup_first, skill_selection,
     instruction_scope_priority, glob_filter, reference_closure, provider_union_distinct, snapshot_equality, provider_purge, json_import_filter,
     readiness_counts, precision_recall_at_k, hit_mrr_at_k, latency_percentiles, embedding_text_profile, context_bundle_summary, hybrid_search,
+    bundle_totals, federated_shares, readiness_health,
 )
