@@ -157,24 +157,25 @@ def _runs(v: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.size(v["codes"])), start, slide, finish)
 
 
-def _entropy_spans(text: Column) -> Column:
-    some = text.rlike(CANDIDATE)
-    found = F.concat(located(text, CANDIDATE, some), *[located(text, p, some & text.rlike(p)) for p in PIECES])
+def _pieces(text: Column, candidates: Column) -> Column:
+    """Candidates and their pieces. What stands beside a piece lies in its candidate: a text whose candidates have none isn't searched again."""
+    holds = lambda p: F.exists(candidates, lambda x: x["text"].rlike(p))
+    return F.concat(candidates, *[located(text, p, holds(p)) for p in PIECES])
+
+
+def _high(every: Column) -> Column:
+    """The runs of high entropy of candidates and pieces that nothing allows."""
     allowed = lambda x, patterns: F.exists(F.array(*[F.lit(p) for p in patterns]), lambda p: F.regexp_like(x["text"], p))
     end = lambda x: x["start"] + F.length(x["text"])
     worth = lambda x: x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]") & ~allowed(x, ALLOW)
     rank = F.lit(KINDS.index("entropy"))
+    whole = F.filter(every, lambda x: allowed(x, (ALLOW[0], ALLOW[2])))  # UUIDs and paths, with all their pieces
 
-    def judged(every: Column) -> Column:
-        whole = F.filter(every, lambda x: allowed(x, (ALLOW[0], ALLOW[2])))  # UUIDs and paths, with all their pieces
-
-        def kept(v: Column) -> Column:
-            own = F.filter(v["every"], lambda x: worth(x) & ~F.exists(v["whole"], lambda w: (w["start"] <= x["start"]) & (end(x) <= end(w))))
-            return F.flatten(F.transform(own, lambda x: F.transform(window_spans(x["text"]), lambda w: F.struct((x["start"] + w["lo"]).cast("long").alias("start"), rank.alias("rank"), (x["start"] + w["hi"]).cast("long").alias("end")))))
+    def kept(v: Column) -> Column:
+        own = F.filter(v["every"], lambda x: worth(x) & ~F.exists(v["whole"], lambda w: (w["start"] <= x["start"]) & (end(x) <= end(w))))
+        return F.flatten(F.transform(own, lambda x: F.transform(window_spans(x["text"]), lambda w: F.struct((x["start"] + w["lo"]).cast("long").alias("start"), rank.alias("rank"), (x["start"] + w["hi"]).cast("long").alias("end")))))
 
-        return let(F.struct(every.alias("every"), whole.alias("whole")), kept)
-
-    return let(let(found, judged), lambda all_spans: F.transform(joined(all_spans), lambda x: F.struct(x["start"], rank.alias("rank"), x["end"])))
+    return let(F.struct(every.alias("every"), whole.alias("whole")), kept)
 
 
 def joined(found: Column, touching: bool = False) -> Column:
@@ -193,20 +194,32 @@ def joined(found: Column, touching: bool = False) -> Column:
     return let(found, lambda of: let(F.struct(side(of, "start"), side(of, "end")), merged))
 
 
-def spans(text: Column) -> tuple[Column, Column]:
-    """(base spans, entropy spans), each array<struct<start, rank, end>> in order."""
+def _base(text: Column) -> Column:
     assigned = F.filter(
         located(text, ASSIGN, text.rlike(ASSIGN_HINT)),
         lambda x: F.length(F.regexp_extract(x["text"], ASSIGN, 2)) >= 12,
     )
-    base = F.array_sort(
+    return F.array_sort(
         F.concat(
             _spans(assigned, "assign"),
             _spans(located(text, ACCESS, text.contains("AKIA")), "access"),
             _spans(located(text, HEX, text.rlike(HEX)), "hex"),
         )
     )
-    return base, _entropy_spans(text)
+
+
+def with_spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns, and their names: base spans, entropy spans, each array<struct<start, rank, end>>, in order.
+
+    Step by step, each a column: as one expression they would be nested deeper than the analyser goes.
+    """
+    names = {c.lower() for c in docs.columns}
+    base, found = [n for n in (f"spans_{i}" for i in range(len(names) + 2)) if n not in names][:2]
+    text, own = F.coalesce(F.col(text_col), F.lit("")), F.col(found)
+    rank = F.lit(KINDS.index("entropy"))
+    out = docs.withColumn(base, _base(text)).withColumn(found, located(text, CANDIDATE, text.rlike(CANDIDATE)))
+    out = out.withColumn(found, _pieces(text, own)).withColumn(found, _high(own)).withColumn(found, joined(own))
+    return out.withColumn(found, F.transform(own, lambda x: F.struct(x["start"].alias("start"), rank.alias("rank"), x["end"].alias("end")))), base, found
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,11 +228,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Both are array<struct<start: bigint, rank: int, end: bigint>> ordered by start, then kind;
     ``rank`` is the kind's place in KINDS, starts count code points from 0, ends are exclusive.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base, added = spans(text)
-    both = docs.select(F.col(id_col), base.alias("base"), added.alias("added"))
-    new = F.filter("added", lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-    return both.select(id_col, "base", F.array_sort(F.concat("base", new)).alias("found"))
+    marked, base, added = with_spans(docs.select(id_col, text_col), text_col)
+    new = F.filter(added, lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
+    return marked.select(id_col, F.col(base).alias("base"), F.array_sort(F.concat(base, new)).alias("found"))
 
 
 def _written(found: Column) -> Column:
@@ -232,8 +243,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> D
 
     Texts without spans, and nulls, are unchanged. Columns and their order are kept.
     """
+    marked, base, added = with_spans(docs, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base, added = spans(text)
+    marked = marked.withColumn(base, joined(F.concat(base, added), True))
 
     def cut(m: Column) -> Column:
         """The text between the spans, block by block: a block's text is cut out once, and its gaps from that."""
@@ -254,8 +266,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> D
 
         return F.array_join(F.transform(blocks, gaps), "")
 
-    masked = let(joined(F.concat(base, added), True), lambda m: F.when(F.size(m) > 0, cut(m)).otherwise(F.col(text_col)))
-    return docs.withColumn(text_col, masked)
+    m = F.col(base)
+    return marked.withColumn(text_col, F.when(F.size(m) > 0, cut(m)).otherwise(F.col(text_col))).select(docs.columns)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
