@@ -113,7 +113,8 @@ def mix(docs: DataFrame, budget: float | None = None, repeats: float | None = RE
     tokens = {r["k"]: r["t"] for r in totals}
     quota = quotas(tokens, budget, repeats, entropy)
     plan = [(k, t, quota.get(k, 0), max(1, min(BLOCKS, -(-t // block_tokens))), quota[k] // t if t else 1, quota[k] % t if t else 0) for k, t in tokens.items()]
-    plan = spark.createDataFrame(plan, "k string, total long, quota long, blocks long, whole long, rest long")
+    # at most SOURCES rows: small enough for every task, so that no source's rows meet for it
+    plan = F.broadcast(spark.createDataFrame(plan, "k string, total long, quota long, blocks long, whole long, rest long"))
     deal = F.pmod(F.xxhash64(F.lit(SEED), "i"), F.col("blocks")).alias("b")
     turn = F.xxhash64(F.lit(SEED + 1), "pass", "i")
 
@@ -137,7 +138,7 @@ def mix(docs: DataFrame, budget: float | None = None, repeats: float | None = RE
     blocks = scratch.keep(placed.join(cut, ["k", "b", "pass"], "left").where("fits or last is not null").select("k", "b", "pass", "at", F.when(~F.col("fits"), F.col("last")).alias("last")))
 
     row = docs.select(F.col(id_col).alias("i"), F.col(source_col).alias("s"), F.struct(*carry).alias("c") if carry else F.lit(0).alias("c")).withColumn("k", _key(F.col("s")))
-    read = row.join(plan.select("k", "blocks"), "k").withColumn("b", deal).join(blocks, ["k", "b"]).where(F.col("last").isNull() | (turn <= F.col("last")))
+    read = row.join(F.broadcast(plan.select("k", "blocks")), "k").withColumn("b", deal).join(blocks, ["k", "b"]).where(F.col("last").isNull() | (turn <= F.col("last")))
     carried = ["c.*"] if carry else []
     return read.select(F.col("i").alias(id_col), F.col("s").alias(source_col), *carried, F.col("pass"), F.col("b").alias("block"), "at")
 
