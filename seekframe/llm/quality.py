@@ -175,10 +175,11 @@ def strengths(t: dict[str, float]) -> tuple[float, float]:
     return k(within + max(between, 0.0), apart), k(within, between)
 
 
-def sites(rated: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+def sites(rated: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict[str, float]]:
     """((host, path, n, s, hn, hs) of each path, the totals over all). ``rated``: (host, path, evidence) of every document, kept.
 
-    n documents whose probabilities sum to s, and those of the host.
+    n documents whose probabilities sum to s, and those of the host. Kept, so that its size is known before documents
+    are joined with it, which are then shuffled only if it is large.
     """
     good = 1 / (1 + F.exp(-F.col("evidence")))
     path = rated.where("evidence is not null").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(good).alias("s"), F.sum(good * good).alias("q"))
@@ -189,7 +190,7 @@ def sites(rated: DataFrame) -> tuple[DataFrame, dict[str, float]]:
     row = host.agg(F.count("*").alias("hosts"), *[F.sum(F.expr(e)).alias(k) for k, e in total.items()]).first()  # one row; null sums without documents
     whole = {k: float(v or 0) for k, v in row.asDict().items()}
     named = host.select(F.col("host").alias("h"), "hn", "hs")
-    return path.drop("q").join(named, F.col("host").eqNullSafe(F.col("h"))).drop("h"), whole
+    return scratch.keep(path.drop("q").join(named, F.col("host").eqNullSafe(F.col("h"))).drop("h")), whole
 
 
 def _judged(rated: DataFrame, found: tuple[DataFrame, dict[str, float]], host: str = "host", path: str = "path", evidence: str = "evidence") -> DataFrame:
@@ -215,7 +216,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     named = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     rated = scratch.keep(with_evidence(named, model).drop("text"))
     posterior = F.col("site_odds.posterior")
-    return _judged(rated, sites(rated)).select(F.col("id").alias(id_col), "evidence", "site_odds.prior", posterior.alias("posterior"), F.coalesce(posterior >= 0, F.lit(False)).alias("kept"))
+    told = _judged(rated, sites(rated, scratch)).select(F.col("id").alias(id_col), "evidence", "site_odds.prior", posterior.alias("posterior"), F.coalesce(posterior >= 0, F.lit(False)).alias("kept"))
+    return scratch.finish(told)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
@@ -228,7 +230,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     names = {c.lower() for c in docs.columns}
     free = next(n for n in (f"evidence_{i}" for i in range(len(names) + 1)) if n not in names)
     rated = scratch.keep(with_evidence(docs, model, text_col, free))
-    found = sites(rated.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col(free).alias("evidence")))
+    found = sites(rated.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col(free).alias("evidence")), scratch)
     rows = rated.select(F.struct(*docs.columns).alias("row"), F.col(host_col).alias("h"), F.col(path_col).alias("p"), F.col(free).alias("e"))
     return _judged(rows, found, "h", "p", "e").where("site_odds.posterior >= 0").select("row.*")
 
