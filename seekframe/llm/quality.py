@@ -15,7 +15,7 @@ evidence plus those of its path's rate. It's kept at log odds of 0 or more.
 
 A text that is null or has no words is rejected, with no evidence, and counts for no site. A null source or language
 is a site of its own. Labels of unknown documents, null labels, labels other than 0 and 1, and ids with both are not used;
-of rows that repeat a labelled id the one with the least text is fitted on. Without
+of rows that repeat a labelled id the one with the least figures is fitted on. Without
 both good and bad labels every text with words has no evidence either way. Repeated rows count each. Site figures
 are joined by source and language as the optimiser sees fit; their number is that of sites.
 """
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -131,7 +132,7 @@ def _figures_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for piece in pieces(batch.column("text")):
             x = figures.of(piece)
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("good").slice(piece.first, len(x)), rows], ["good", "x"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(piece.first, len(x)) for c in ("id", "good")], rows], ["id", "good", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED) -> Model:
@@ -140,8 +141,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = some.agg(F.min(label_col).cast("int").alias("good"), F.max(label_col).cast("int").alias("most")).where("good = most").select("id", "good")
     some = some.orderBy(F.xxhash64("id"), "id").limit(labelled)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    each = texts.join(F.broadcast(some), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("good").alias("good"))
-    found = each.select("text", "good").mapInArrow(_figures_pass, "good int, x array<double>").toArrow()
+    kind = texts.schema["id"].dataType.simpleString()
+    each = texts.join(F.broadcast(some), "id").select("id", "text", "good").mapInArrow(_figures_pass, f"id {kind}, good int, x array<double>")
+    found = each.groupBy("id").agg(F.min("x").alias("x"), F.min("good").alias("good")).toArrow()
+    found = found.take(pc.sort_indices(found, [("id", "ascending")]))  # sums of doubles depend on their order
     x = found.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FIGURES))
     return Model(x, found.column("good").to_numpy().astype(float))
 
