@@ -37,7 +37,7 @@ def field_tokens(files: DataFrame, wanted: Column | None) -> DataFrame:
 
 def asked(queries: DataFrame) -> list[str]:
     """The distinct terms of some queries, for a literal filter: as many as a caller can write."""
-    return sorted(r["term"] for r in query_terms(queries).select("term").distinct().collect())
+    return sorted({r["term"] for r in query_terms(queries).select("term").collect()})
 
 
 def scores(files: DataFrame, queries: DataFrame) -> DataFrame:
