@@ -129,7 +129,8 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recency_scores(spark: SparkSession, d: str) -> DataFrame:
-    found = recency.scores(_log(spark, d), corpus.changes(spark, d), F.col("commit") % 10 == 0)
+    part = lambda key: F.concat(F.lit("part_"), key.cast("string"))
+    found = recency.scores(_log(spark, d), corpus.touched(spark, d, part), F.col("commit") % 10 == 0)
     return found.select("path", r6(F.col("recency")).alias("recency"))
 
 
@@ -429,12 +430,12 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     # files of one source and language form the graph here: each points at the first of its kind
     files = corpus.files(spark, d).select("path", "project", "language")
     hubs = files.groupBy("project", "language").agg(F.min("path").alias("dst"))
-    edges = files.join(hubs, ["project", "language"]).select(F.col("path").alias("src"), "dst")
+    edges = keep(files.join(hubs, ["project", "language"]).select(F.col("path").alias("src"), "dst"), "edges")  # read four times
     direct = F.greatest("lexical", "exact", "fuzzy", "path_signal")
     near = graph.spread(merged.select("query_id", "path", direct.alias("score")), edges, files, ("query_id",))
     near = near.select("query_id", F.concat(F.lit("file:"), "path").alias("id"), F.lit("FILE").alias("type"), "path", F.lit(None).cast("string").alias("symbol"), F.lit(2).alias("arrival"), "graph")
     rows = merged.withColumn("arrival", F.lit(0)).unionByName(near, allowMissingColumns=True)
-    recent = recency.scores(_log(spark, d), corpus.document_changes(spark, d), F.col("commit") % 10 == 0)
+    recent = recency.scores(_log(spark, d), corpus.touched(spark, d, corpus.file_path), F.col("commit") % 10 == 0)
     met = rank.merge(rows).drop("recency").join(recent, "path", "left").withColumn("recency", F.coalesce("recency", F.lit(0.0)))
     again = rank.ranked(met, LIMIT)
     return again.select("query_id", "rank", "id", "type", r6(F.col("score")).alias("score"), "explanation")

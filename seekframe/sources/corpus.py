@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,10 +72,9 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.select(F.concat(F.lit("supp_"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("dst"))
 
 
-def document_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(commit, at, path): the same changes, of the documents that have the parts' numbers."""
-    part = F.substring_index("path", "_", -1).cast("long")
-    return changes(spark, sf_dir).withColumn("path", file_path(part))
+def touched(spark: SparkSession, sf_dir: str, path: Callable[[Column], Column]) -> DataFrame:
+    """(commit, path): what each order's lines touch, as often as they do; ``path`` names a part's number."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("commit"), path(F.col("l_partkey")).alias("path"))
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
