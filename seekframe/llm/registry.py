@@ -14,11 +14,12 @@ from seekframe.llm.ngram_join import OP2_SQL, op2_ngram_join
 from seekframe.llm.quality import op10_quality_classifier
 from seekframe.llm.scratch import ship
 from seekframe.llm.secrets import OP9_SQL, op9_secret_scan
+from seekframe.llm.sharding import op13_sharding
 from seekframe.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from seekframe.llm.topk_search import OP3_SQL, op3_topk_search
 from seekframe.llm.url_filter import op8_url_filter
 
-QUERIES = (op1_substring_dedup, op2_ngram_join, op3_topk_search, op4_bpe_round_trip, op5_embedding_dedup, op6_source_mix, op7_license_scan, op8_url_filter, op9_secret_scan, op10_quality_classifier)
+QUERIES = (op1_substring_dedup, op2_ngram_join, op3_topk_search, op4_bpe_round_trip, op5_embedding_dedup, op6_source_mix, op7_license_scan, op8_url_filter, op9_secret_scan, op10_quality_classifier, op13_sharding)
 ORACLES = {
     "op1_substring_dedup": OP1_SQL,
     "op2_ngram_join": OP2_SQL,
