@@ -12,6 +12,7 @@ from seekframe.llm.embedding_dedup import OP5_SQL, op5_embedding_dedup
 from seekframe.llm.licenses import OP7_SQL, op7_license_scan
 from seekframe.llm.mixing import op6_source_mix
 from seekframe.llm.ngram_join import OP2_SQL, op2_ngram_join
+from seekframe.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from seekframe.llm.quality import op10_quality_classifier
 from seekframe.llm.scratch import ship
 from seekframe.llm.secrets import OP9_SQL, op9_secret_scan
@@ -20,7 +21,7 @@ from seekframe.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from seekframe.llm.topk_search import OP3_SQL, op3_topk_search
 from seekframe.llm.url_filter import op8_url_filter
 
-QUERIES = (op1_substring_dedup, op2_ngram_join, op3_topk_search, op4_bpe_round_trip, op5_embedding_dedup, op6_source_mix, op7_license_scan, op8_url_filter, op9_secret_scan, op10_quality_classifier, op12_collocations, op13_sharding)
+QUERIES = (op1_substring_dedup, op2_ngram_join, op3_topk_search, op4_bpe_round_trip, op5_embedding_dedup, op6_source_mix, op7_license_scan, op8_url_filter, op9_secret_scan, op10_quality_classifier, op11_prefix_trie, op12_collocations, op13_sharding)
 ORACLES = {
     "op1_substring_dedup": OP1_SQL,
     "op2_ngram_join": OP2_SQL,
@@ -28,6 +29,7 @@ ORACLES = {
     "op5_embedding_dedup": OP5_SQL,
     "op7_license_scan": OP7_SQL,
     "op9_secret_scan": OP9_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op12_collocations": OP12_SQL,
 }
 Query = Callable[[SparkSession, str], DataFrame]
