@@ -9,8 +9,8 @@ byte or so. A range adds up what all blocks sent: the merged sketch, which never
 the text (``BYTES_PER_CELL``), so that chance collisions stay below the threshold at every size, and no task holds more than a range
 of it. Each block gets back those of its own cells that reached the threshold.
 
-Second pass. A block counts the phrases whose cells all reached it, by the phrase itself; the sums over all blocks are exact, and
-those below the threshold fall away. No frequent phrase is lost: its cells hold at least its frequency. Parts of a frequent phrase are
+Second pass. A block counts the phrases whose cells all reached it and sends them, by hash, to ranges that sum them by the phrase
+itself: sums are exact, and those below the threshold fall away. No frequent phrase is lost: its cells hold at least its frequency. Parts of a frequent phrase are
 frequent, so the frequencies that scores need are all there.
 
 Scores. A phrase cut after k words has a score floor(1000 * a * n / (l * r)): its own frequency, the language's words, and the frequencies
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -40,6 +41,8 @@ from seekframe.tables import table
 
 BLOCK_BYTES = 8 << 20
 BYTES_PER_CELL, RANGE_BITS = 16, 21
+#: Bytes of text whose frequent phrases are summed in one range.
+FOUND_BYTES = 16 << 20
 ROWS = 2
 LEAST, LONGEST, TOP = 100, 5, 2000
 SCORE = "(cast(f as decimal(17,0)) * cast(words as decimal(17,0)) * cast(1000 as decimal(4,0))) div (cast(l as decimal(17,0)) * cast(r as decimal(17,0)))"
@@ -158,16 +161,17 @@ def _merge_pass(least: int, bits: int):
     return run
 
 
+FOUND = pa.schema([("range", pa.int64()), ("lang", pa.list_(pa.string())), ("n", pa.list_(pa.int32())), ("phrase", pa.list_(pa.string())), ("f", pa.list_(pa.int64()))])
 COUNTED = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
 
 
-def _count_pass(bits: int, longest: int):
+def _count_pass(bits: int, longest: int, ranges: int):
     def run(rows: pa.Table, hot: pa.Table) -> pa.Table:
         own = Phrases(rows.column("text"), rows.column("lang"))
-        lang, size, phrase, count = [], [], [], []
+        to, lang, size, phrase, count = [], [], [], [], []
         words = np.bincount(own.lang, minlength=len(own.names)) if len(own.text) else []
         for name, n in zip(own.names, words, strict=False):
-            lang.append(name), size.append(0), phrase.append(""), count.append(int(n))
+            to.append(xxhash.xxh3_64_intdigest(name.encode()) % ranges), lang.append(name), size.append(0), phrase.append(""), count.append(int(n))
         full = [[] for _ in range(ROWS)]
         for row, span, found in zip(*[hot.column(c).to_pylist() for c in ("row", "range", "cells")], strict=True):
             full[row].append(np.frombuffer(found, "<u4").astype(np.int64) + (span << RANGE_BITS))
@@ -181,9 +185,24 @@ def _count_pass(bits: int, longest: int):
                     some = some[full[row][place] == c]
                 for where, times in _counted(first[some], second[some]):
                     i = int(at[some[where]])
-                    lang.append(own.names[own.lang[i]]), size.append(n), phrase.append(own.phrase(i, n).decode()), count.append(times)
+                    to.append(int(first[some[where]]) % ranges), lang.append(own.names[own.lang[i]]), size.append(n), phrase.append(own.phrase(i, n).decode()), count.append(times)
+        place = np.array(to, np.int64)
+        order = np.argsort(place, kind="stable")
+        cuts = np.flatnonzero(np.diff(place[order], prepend=-1))
+        offsets = pa.array(np.append(cuts, len(order)), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(c, f.type.value_type).take(pa.array(order))) for c, f in zip((lang, size, phrase, count), list(FOUND)[1:], strict=True)]
         trim()
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip((lang, size, phrase, count), COUNTED.types, strict=True)], schema=COUNTED)
+        return pa.Table.from_arrays([pa.array(place[order][cuts]), *lists], schema=FOUND)
+
+    return run
+
+
+def _sum_pass(least: int):
+    def run(group: pa.Table) -> pa.Table:
+        flat = pa.Table.from_arrays([pa.chunked_array([x.flatten() for x in group.column(f.name).chunks], f.type) for f in COUNTED], schema=COUNTED)
+        sums = flat.group_by(["lang", "n", "phrase"]).aggregate([("f", "sum")]).rename_columns(COUNTED.names)
+        trim()
+        return sums.filter(pc.or_(pc.equal(sums["n"], 0), pc.greater_equal(sums["f"], least))).cast(COUNTED)
 
     return run
 
@@ -211,13 +230,13 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_c
 
     sent = rows.groupBy("block").applyInArrow(_sketch_pass(bits, longest), _ddl(SENT))
     hot = scratch.keep(sent.groupBy("row", "range").applyInArrow(_merge_pass(least, bits), _ddl(HOT)))
-    counted = rows.groupBy("block").cogroup(hot.groupBy("block")).applyInArrow(_count_pass(bits, longest), _ddl(COUNTED))
-    sums = counted.groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f")).where(f"n = 0 or f >= {int(least)}")
-    return scratch.finish(sums)
+    counted = rows.groupBy("block").cogroup(hot.groupBy("block")).applyInArrow(_count_pass(bits, longest, size // FOUND_BYTES + 1), _ddl(FOUND))
+    return scratch.finish(counted.groupBy("range").applyInArrow(_sum_pass(least), _ddl(COUNTED)))
 
 
 def _ddl(schema: pa.Schema) -> str:
     names = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
+    names |= {pa.list_(k): f"array<{v}>" for k, v in names.items()}
     return ", ".join(f"`{f.name}` {names[f.type]}" for f in schema)
 
 
@@ -234,7 +253,8 @@ def _behind(first: str) -> Column:
 def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int | None = TOP, share: int = 100, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's best phrases of two words or more; all of them without ``top``."""
     found = frequent(docs, least, longest, text_col, lang_col)
-    words = found.where("n = 0").select("lang", F.col("f").alias("words"))
+    # a table of its own, as small as there are languages, so that no language's cuts meet for it
+    words = Scratch(docs.sparkSession, "languages").keep(found.where("n = 0").select("lang", F.col("f").alias("words")))
     known = found.where("n > 0").select("lang", "n", "phrase", "f")
     several = known.where("n > 1")
     cuts = several.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n") - 1))).withColumn("before", _before(F.col("k"))).withColumn("behind", _behind("before"))
