@@ -7,18 +7,22 @@ dict of query id to text runs as one job.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from seekframe.functions import limits, text
 from seekframe.kept import keep
 from seekframe.operators import budget, fragments, graph, index, lexical, rank, recency, semantic, symbols
+from seekframe.operators.store import Change, Snapshots, View
 from seekframe.sources import git, importers, instructions, scan, skills
 from seekframe.sources.classify import candidate_type, generic
 from seekframe.sources.corpus import TYPE_KINDS
+from seekframe.streaming.follow import follow
 
 REGISTRY = "project_id string, name string, root string, status string"
 
@@ -34,30 +38,38 @@ class NotReady(ValueError):
 class Engine:
     def __init__(self, spark: SparkSession, home: str):
         self.spark, self.home = spark, home.rstrip("/")
-        self._registry = index.Snapshots(spark, f"{self.home}/registry")
+        self._registry = Snapshots(spark, f"{self.home}/registry")
 
     # projects
 
     def projects(self) -> DataFrame:
         """(project_id, name, root, status)."""
-        if self._registry.current() is None:
-            return self.spark.createDataFrame([], REGISTRY)
-        return self._registry.read("projects")
+        view = self._registry.view()
+        return self.spark.createDataFrame([], REGISTRY) if view is None else view.read("projects")
 
-    def _save(self, rows: list[tuple]) -> None:
-        self._registry.publish({"projects": self.spark.createDataFrame(rows, REGISTRY).coalesce(1)})
+    def _save(self, change: Callable[[list[tuple]], list[tuple]]) -> None:
+        """Publish what ``change`` makes of the registry's rows; made again of newer ones if another writer was first."""
+
+        def made(view: View | None) -> tuple[dict, dict]:
+            rows = [] if view is None else [tuple(r) for r in view.read("projects").collect()]
+            return {"projects": self.spark.createDataFrame(change(rows), REGISTRY).coalesce(1)}, {}
+
+        self._registry.transact(made)
 
     def _rows(self) -> list[tuple]:
         return [tuple(r) for r in self.projects().orderBy("name").collect()]  # a registry, not data
 
     def add(self, name: str, root: str) -> str:
         """Register a folder; its id. A folder is registered once."""
-        rows = self._rows()
-        if any(r[2] == root for r in rows):
-            raise ValueError("the folder is registered already")
-        rows.append((str(uuid.uuid4()), name, root, "NOT_INDEXED"))
-        self._save(rows)
-        return rows[-1][0]
+        row = (str(uuid.uuid4()), name, root, "NOT_INDEXED")
+
+        def added(rows: list[tuple]) -> list[tuple]:
+            if any(r[2] == root for r in rows):
+                raise ValueError("the folder is registered already")
+            return [*rows, row]
+
+        self._save(added)
+        return row[0]
 
     def resolve(self, project: str) -> tuple:
         """The registry row of an id, or of a name whatever its case; an error unless there's exactly one."""
@@ -77,10 +89,10 @@ class Engine:
         return index.health(self.projects())
 
     def _status(self, project_id: str, status: str) -> None:
-        self._save([(*r[:3], status) if r[0] == project_id else r for r in self._rows()])
+        self._save(lambda rows: [(*r[:3], status) if r[0] == project_id else r for r in rows])
 
-    def _snapshots(self, project_id: str) -> index.Snapshots:
-        return index.Snapshots(self.spark, f"{self.home}/{project_id}")
+    def _snapshots(self, project_id: str) -> Snapshots:
+        return Snapshots(self.spark, f"{self.home}/{project_id}")
 
     def index(self, project: str, rebuild: bool = False) -> dict:
         """Scan and index what changed; all of it after a failure. {changed, removed, generation}."""
@@ -88,37 +100,20 @@ class Engine:
         read = lambda: scan.scan(self.spark, row[2], row[1])[0]
         self._status(row[0], "INDEXING")
         try:
-            report = index.refresh(self._snapshots(row[0]), read(), importers.analyse_java, read, rebuild or row[3] == "FAILED", self._terms, ("vectors", "provenance"))
+            report = index.refresh(self._snapshots(row[0]), read(), importers.analyse_java, read, rebuild or row[3] == "FAILED", index.terms)
         except Exception:
             self._status(row[0], "FAILED")
             raise
         self._status(row[0], "READY")
         return report
 
-    @staticmethod
-    def _terms(files: DataFrame, known: DataFrame, redo: DataFrame | None, snapshots: index.Snapshots) -> dict[str, DataFrame]:
-        """The lexical index: of paths to do again what was stored goes, and what there is now comes."""
-        named = lexical.named(files, known)
-        if redo is None or "postings" not in snapshots.current()["tables"]:
-            fields, postings = lexical.build(named)
-            return {"fields": fields, "postings": postings}
-        paths = redo.distinct()
-        fresh = lexical.taken_apart(named.join(paths, "path", "left_semi"))
-        both = [snapshots.read(name).join(paths, "path", "left_anti").unionByName(rows) for name, rows in zip(("fields", "postings"), fresh, strict=True)]
-        return {"fields": both[0], "postings": lexical.stored(both[1])}
+    def follow(self, project: str, versions: DataFrame, checkpoint: str, order: str = "version") -> StreamingQuery:
+        """Apply a stream of file versions to a project's index; see streaming.follow."""
+        return follow(versions, self._snapshots(self.resolve(project)[0]), importers.analyse_java, checkpoint, order)
 
     def replace_provider(self, project: str, provider: str, new_symbols: DataFrame, new_relations: DataFrame) -> int:
         """Publish an external provider's symbols and relations in place of its earlier ones; the generation."""
-        row = self.resolve(project)
-        snapshots = self._snapshots(row[0])
-        files = snapshots.read("files")
-        tables = {"files": files, "symbols": index.replace_provider(snapshots.read("symbols"), new_symbols, files, provider), "relations": index.replace_provider(snapshots.read("relations"), new_relations, files, provider)}
-        if all(index.same_rows(snapshots.read(t), tables[t]).first()["equal"] for t in ("symbols", "relations")):
-            return snapshots.current()["generation"]
-        own = [rows.where(F.col("provider") == provider).select("path") for rows in (snapshots.read("symbols"), tables["symbols"])]
-        tables |= self._terms(files, tables["symbols"], own[0].unionByName(own[1]), snapshots)
-        del tables["files"]
-        return snapshots.publish(tables, stay=("files", "vectors", "provenance"))
+        return index.published_provider(self._snapshots(self.resolve(project)[0]), new_symbols, new_relations, provider, index.terms)
 
     def import_json(self, project: str, file: str, provider: str) -> int:
         """Take a provider's symbols and relations from a JSON snapshot of the project's folder; the generation."""
@@ -140,21 +135,23 @@ class Engine:
         Of the same provenance, paths that are given replace their own; otherwise, or with ``rebuild``, all are replaced.
         """
         told = semantic.provenance(provenance)
-        snapshots = self._snapshots(self.resolve(project)[0])
-        files = snapshots.read("files").select("path")
-        fresh = vectors.where(semantic.valid(F.col("v")) & (F.size("v") == int(told["dimensions"]))).select("path", "v").dropDuplicates(["path"]).join(files, "path", "left_semi")
-        if not rebuild and self._provenance(snapshots) == told:
-            old = snapshots.read("vectors").join(vectors.select("path").distinct(), "path", "left_anti")
-            fresh = old.join(files, "path", "left_semi").unionByName(fresh)
-        rows = self.spark.createDataFrame(sorted(told.items()), "field string, value string").coalesce(1)
-        return snapshots.publish({"vectors": fresh, "provenance": rows}, stay=("files", "symbols", "relations", "fields", "postings"))
+
+        def change(view: View) -> tuple[dict, dict]:
+            files = view.read("files").select("path")
+            fresh = vectors.where(semantic.valid(F.col("v")) & (F.size("v") == int(told["dimensions"]))).select("path", F.col("v").cast("array<double>").alias("v"))
+            fresh = fresh.dropDuplicates(["path"]).join(files, "path", "left_semi")
+            if not rebuild and self._provenance(view) == told:
+                return {"vectors": Change(vectors.select("path"), fresh)}, {}
+            rows = self.spark.createDataFrame(sorted(told.items()), "field string, value string").coalesce(1)
+            return {"vectors": fresh, "provenance": rows}, {"buckets": view.pointer["tables"]["files"]["buckets"]}
+
+        return self._snapshots(self.resolve(project)[0]).transact(change)
 
     @staticmethod
-    def _provenance(snapshots: index.Snapshots) -> dict[str, str] | None:
-        pointer = snapshots.current()
-        if pointer is None or "provenance" not in pointer["tables"]:
+    def _provenance(view: View | None) -> dict[str, str] | None:
+        if view is None or not view.has("provenance"):
             return None
-        return {r["field"]: r["value"] for r in snapshots.read("provenance").collect()}  # six rows
+        return {r["field"]: r["value"] for r in view.read("provenance").collect()}  # six rows
 
     def table(self, project: str, name: str) -> DataFrame:
         row = self.resolve(project)
@@ -190,11 +187,11 @@ class Engine:
 
     def _near(self, project: str, vectors: dict[int, list[float]], provenance: dict, limit: int) -> DataFrame | None:
         """(query_id, path, semantic) of the stored vectors next to the queries'; None where none are stored or provenance differs."""
-        snapshots = self._snapshots(self.resolve(project)[0])
-        if self._provenance(snapshots) != semantic.provenance(provenance):
+        view = self._snapshots(self.resolve(project)[0]).view()
+        if self._provenance(view) != semantic.provenance(provenance):
             return None
         asked = self.spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors.items()], "query_id int, q array<double>")
-        found = semantic.nearest(snapshots.read("vectors").select(F.col("path").alias("id"), "v"), asked, limit)
+        found = semantic.nearest(view.read("vectors").select(F.col("path").alias("id"), "v").join(view.read("files").select(F.col("path").alias("id")), "id", "left_semi"), asked, limit)
         return found.select("query_id", F.col("id").alias("path"), F.col("score").alias("semantic"))
 
     def search(

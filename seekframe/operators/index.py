@@ -1,15 +1,15 @@
-"""Index maintenance: what changed, fingerprints, providers' rows, snapshots published by one small file."""
+"""Index maintenance: what changed, fingerprints, providers' rows, and bringing a project's tables up to date."""
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekframe.kept import keep
+from seekframe.operators import lexical
+from seekframe.operators.store import Change, Snapshots, View, buckets_for
 
 BUILTIN = "builtin"
 STATUSES = ("NOT_INDEXED", "INDEXING", "READY", "FAILED")
@@ -84,96 +84,87 @@ def health(projects: DataFrame, status: str = "status") -> DataFrame:
     return projects.agg(n.alias("projects"), (is_("FAILED") > 0).alias("degraded"), ((n > 0) & (is_("READY") == n)).alias("all_ready"))
 
 
-class Snapshots:
-    """Versions of a project's tables under a folder. A version counts once the pointer names it."""
+#: Given files and symbols, all or those of the paths to do again, these paths (None: all) and the index of before: further tables to publish.
+Derive = Callable[[DataFrame, DataFrame, DataFrame | None, View | None], dict[str, DataFrame | Change]]
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
 
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-
-    def _fs(self):
-        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def current(self) -> dict | None:
-        """The pointer: generation and the tables with their folders; None before the first version."""
-        if not self._fs().exists(self._path("CURRENT")):
-            return None
-        return json.loads("".join(r["value"] for r in self.spark.read.text(f"{self.root}/CURRENT").collect()))
-
-    def read(self, name: str) -> DataFrame:
-        pointer = self.current()
-        if pointer is None or name not in pointer["tables"]:
-            raise ValueError(f"there is no published table {name}")
-        return self.spark.read.parquet(f"{self.root}/{pointer['tables'][name]}/{name}")
-
-    def publish(self, tables: dict[str, DataFrame], still_valid: Callable[[Callable[[str], DataFrame]], bool] = lambda written: True, stay: tuple[str, ...] = ()) -> int:
-        """Write a version, check, then swap the pointer in one rename. Returns the generation. One writer at a time.
-
-        ``still_valid`` gets a reader of the tables as written; tables named in ``stay`` are those of the version before.
-        """
-        pointer = self.current()
-        generation = (pointer["generation"] if pointer else 0) + 1
-        folder = f"v{generation:08d}-{uuid.uuid4().hex[:8]}"
-        for name, df in tables.items():
-            df.write.parquet(f"{self.root}/{folder}/{name}")
-        if not still_valid(lambda name: self.spark.read.parquet(f"{self.root}/{folder}/{name}")):
-            self._fs().delete(self._path(folder), True)
-            raise RuntimeError("the source changed while it was indexed")
-        old = pointer["tables"] if pointer else {}
-        known = {name: old[name] for name in stay if name in old} | dict.fromkeys(tables, folder)
-        body = json.dumps({"generation": generation, "tables": known})
-        fs, fresh = self._fs(), self._path(f"CURRENT.{folder}")
-        out = fs.create(fresh)
-        out.write(bytearray(body.encode()))
-        out.close()
-        fs.delete(self._path("CURRENT"), False)
-        fs.rename(fresh, self._path("CURRENT"))
-        return generation
-
-
-#: Given the new files and symbols, the paths to do again (None: all) and the tables of before: further tables to publish.
-Derive = Callable[[DataFrame, DataFrame, DataFrame | None, "Snapshots"], dict[str, DataFrame]]
+def terms(files: DataFrame, symbols: DataFrame, redo: DataFrame | None, view: View | None) -> dict[str, DataFrame | Change]:
+    """The lexical index: of paths to do again what was stored goes, and what there is now comes."""
+    if redo is None or not view.has("postings"):
+        fields, postings = lexical.taken_apart(lexical.named(files, symbols))
+        return {"fields": fields, "postings": postings}
+    fields, postings = lexical.taken_apart(lexical.named(files, symbols))
+    return {"fields": Change(redo, fields), "postings": Change(redo, postings)}
 
 
 def refresh(
-    snapshots: Snapshots, scanned: DataFrame, analyse: Callable[[DataFrame], tuple[DataFrame, DataFrame]], rescan: Callable[[], DataFrame], full: bool = False, derive: Derive | None = None, stay: tuple[str, ...] = ()
+    snapshots: Snapshots, scanned: DataFrame, analyse: Callable[[DataFrame], tuple[DataFrame, DataFrame]], rescan: Callable[[], DataFrame] | None, full: bool = False, derive: Derive | None = None, part: bool = False
 ) -> dict:
     """Bring a project's index up to date; {changed, removed, generation}.
 
-    ``scanned``: (path, hash, category, ...), ``analyse``: changed files to built-in (symbols, relations), ``rescan``: the
-    files once more, to see that nothing moved meanwhile. Without changes nothing is written. A change of source or test
-    files drops external providers' rows. Only counts come to the driver.
+    ``scanned``: (path, hash, category, size, ...), ``analyse``: changed files to built-in (symbols, relations), ``rescan``: the
+    files once more, to see that nothing moved meanwhile. With ``part`` only some files were scanned and no other one is gone. Without
+    changes nothing is written; else the buckets of changed paths are. A change of source or test files drops external
+    providers' rows. Only counts come to the driver. If another writer publishes meanwhile, all starts again.
     """
-    pointer = None if full else snapshots.current()
-    redo = None
-    if pointer is None:
-        symbols, relations = analyse(scanned)
-        tables = {"files": scanned, "symbols": symbols, "relations": relations}
-        changed, removed = scanned.count(), 0
-    else:
-        stored = snapshots.read("files")
-        moved = keep(delta(stored, scanned).where("status <> 'UNCHANGED'"), "moved")
+    report = {}
+
+    def change(view: View | None) -> tuple[dict, dict] | None:
+        valid = {} if rescan is None else {"still_valid": lambda written: delta(written("files"), rescan()).where("status <> 'UNCHANGED'").isEmpty()}
+        if view is None or full:
+            symbols, relations = analyse(scanned)
+            told = scanned.agg(F.count("*"), F.sum("size")).first()
+            report.update(changed=told[0], removed=0)
+            tables = {"files": scanned, "symbols": symbols, "relations": relations}
+            return tables | (derive(scanned, symbols, None, None) if derive else {}), valid | {"buckets": buckets_for(told[1] or 0)}
+        stored = view.read("files")
+        seen = stored.join(scanned.select("path"), "path", "left_semi") if part else stored
+        moved = keep(delta(seen, scanned).where("status <> 'UNCHANGED'"), "moved")
         counts = {r["status"]: r["n"] for r in moved.groupBy("status").agg(F.count("*").alias("n")).collect()}
-        changed, removed = counts.get("NEW", 0) + counts.get("CHANGED", 0), counts.get("REMOVED", 0)
-        if not changed + removed:
-            return {"changed": 0, "removed": 0, "generation": pointer["generation"]}
-        fresh = scanned.join(moved.where("status <> 'REMOVED'").select("path"), "path", "left_semi")
-        code = stored.select("path", "category").unionByName(scanned.select("path", "category")).where(F.col("category").isin("SOURCE", "TEST"))
+        report.update(changed=counts.get("NEW", 0) + counts.get("CHANGED", 0), removed=counts.get("REMOVED", 0))
+        if not counts:
+            return None
+        fresh = keep(scanned.join(moved.where("status <> 'REMOVED'").select("path"), "path", "left_semi"), "fresh")
+        gone = moved.select("path")
+        code = stored.select("path", "category").unionByName(fresh.select("path", "category")).where(F.col("category").isin("SOURCE", "TEST"))
         purge = not moved.join(code, "path", "left_semi").isEmpty()
-        tables = {"files": scanned}
-        redo = moved.select("path")
+        redo, tables = gone, {"files": Change(gone, fresh)}
         for name, rows in zip(("symbols", "relations"), analyse(fresh), strict=True):
-            old = snapshots.read(name)
-            gone = (F.col("provider") == BUILTIN) & F.col("moved").isNotNull()
-            kept = old.join(moved.select("path", F.lit(1).alias("moved")), "path", "left").where(~gone).drop("moved")
-            if purge and name == "symbols":
-                redo = redo.unionByName(old.where(F.col("provider") != BUILTIN).select("path"))
-            kept = purge_external(kept) if purge else kept
-            tables[name] = kept.select(rows.columns).unionByName(rows)
-    if derive is not None:
-        tables |= derive(tables["files"], tables["symbols"], redo, snapshots)
-    unmoved = lambda written: delta(rescan(), written("files")).where("status <> 'UNCHANGED'").isEmpty()
-    generation = snapshots.publish(tables, unmoved, stay)
-    return {"changed": changed, "removed": removed, "generation": generation}
+            old = view.read(name)
+            paths = gone.unionByName(old.where(F.col("provider") != BUILTIN).select("path")).distinct() if purge else gone
+            left = old.join(paths, "path", "left_semi").join(moved.select("path", F.lit(1).alias("moved")), "path", "left")
+            left = left.where(~((F.col("provider") == BUILTIN) & F.col("moved").isNotNull())).drop("moved")
+            left = purge_external(left) if purge else left
+            tables[name] = Change(paths, left.select(rows.columns).unionByName(rows))
+            redo = paths if name == "symbols" else redo
+        if derive is not None:
+            files = stored.join(redo, "path", "left_semi").join(gone, "path", "left_anti").unionByName(fresh.select(stored.columns))
+            tables |= derive(files, tables["symbols"].rows, redo, view)
+        return tables, valid
+
+    report["generation"] = snapshots.transact(change)
+    return {k: report[k] for k in ("changed", "removed", "generation")}
+
+
+def published_provider(snapshots: Snapshots, new_symbols: DataFrame, new_relations: DataFrame, provider: str, derive: Derive | None = None) -> int:
+    """Publish a provider's symbols and relations in place of its earlier ones, if they differ; the generation."""
+
+    def change(view: View | None) -> tuple[dict, dict] | None:
+        files, tables = view.read("files"), {}
+        for name, snapshot in (("symbols", new_symbols), ("relations", new_relations)):
+            stored = view.read(name)
+            own = stored.where(F.col("provider") == provider)
+            fresh = replace_provider(own, snapshot, files, provider)
+            if same_rows(own, fresh).first()["equal"]:
+                continue
+            paths = own.select("path").unionByName(fresh.select("path")).distinct()
+            others = stored.where(F.col("provider") != provider).join(paths, "path", "left_semi")
+            tables[name] = Change(paths, others.unionByName(fresh))
+        if not tables:
+            return None
+        if derive is not None and "symbols" in tables:
+            redo = tables["symbols"].paths
+            tables |= derive(files.join(redo, "path", "left_semi"), tables["symbols"].rows, redo, view)
+        return tables, {}
+
+    return snapshots.transact(change)

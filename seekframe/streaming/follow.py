@@ -9,23 +9,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from seekframe.operators.index import Snapshots, refresh
+from seekframe.operators.index import Derive, refresh, terms
+from seekframe.operators.store import Snapshots
 
 
-def follow(versions: DataFrame, snapshots: Snapshots, analyse: Callable[[DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str, order: str = "version") -> StreamingQuery:
+def follow(
+    versions: DataFrame, snapshots: Snapshots, analyse: Callable[[DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str, order: str = "version", derive: Derive | None = terms
+) -> StreamingQuery:
     """Start a query that applies file versions to an index and ends when what's there is read.
 
-    ``versions``: a stream of a scan's columns and ``order``; of a path's versions in a batch the latest counts. A batch that
-    is run again after a failure changes nothing: its hashes are the stored ones.
+    ``versions``: a stream of a scan's columns and ``order``; of a path's versions in a batch the latest counts. Each micro-batch
+    rewrites the buckets of its paths, in every table of the index; vectors stay. A batch that is run again after a failure
+    changes nothing: its hashes are the stored ones.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         latest = batch.withColumn("n", F.row_number().over(W.partitionBy("path").orderBy(F.desc(order)))).where("n = 1").drop("n", order)
-        if snapshots.current() is None:
-            whole = latest
-        else:
-            stored = snapshots.read("files")
-            whole = stored.join(latest.select("path"), "path", "left_anti").unionByName(latest)
-        refresh(snapshots, whole, analyse, lambda: whole)
+        refresh(snapshots, latest, analyse, None, derive=derive, part=True)
 
     return versions.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
