@@ -25,6 +25,8 @@ LINE_END = r"\r\n|[\n\x0B\f\r\x85\u2028\u2029]"
 #: What counts as white space.
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PARTS = 32
+#: Places in a list that are summed together.
+PLACES = 4096
 
 
 def first(rows: DataFrame, keys: tuple[str, ...], order: list[str], most: Column) -> DataFrame:
@@ -159,51 +161,122 @@ def federated(rows: DataFrame, budget: int, key: str = "query_id") -> DataFrame:
     with equal type and content (white space aside) the first taken counts. ``rows`` may have same_content() as ``same`` instead
     of type and content.
 
-    The fold's state runs over all projects. It sees each project's items up to the first above its fair part, which closes
-    it at the latest; beyond, the first of each content and size, and of a size as many as the budget holds.
-    Contents that have several sizes all stay.
+    Two folds, each over what can matter. The first sees a project's items up to the place at which it is closed for certain: the
+    first item above its fair part, or the one at which contents that nothing before it can have taken exceed that part. Of items
+    that repeat one of their own project they may only close it, so between two others one of each size stays, the last.
+    Then those that wait, their contents not taken yet, are cut to what the rest of the budget can hold of each size. So both folds
+    follow the budget and the number of projects, not the items.
     """
     same = F.col("same") if "same" in rows.columns else same_content(F.col("type"), F.col("content"))
-    columns = (key, "project", "project_place", "item_place", "path", "tokens", "fair", "same")
-    items = keep(rows.select(*columns[:-1], same.alias("same")), "items")
-    closed_at = items.where("tokens > fair").groupBy(key, "project_place").agg(F.min("item_place").alias("last"))
-    early = items.join(closed_at, [key, "project_place"], "left").where("last IS NULL OR item_place <= last").select(*columns)
-
-    once = items.where(F.col("tokens") <= budget).groupBy(key, "same", "tokens").agg(F.min(F.struct("item_place", "project_place", "project", "path", "fair")).alias("x"))
-    once = once.select(key, "same", "tokens", "x.*")
-    sizes = items.groupBy(key, "same").agg(F.min("tokens").alias("least"), F.max("tokens").alias("greatest"))
-    once = once.join(sizes, [key, "same"])
-    plain = (F.col("tokens") > 0) & (F.col("least") == F.col("greatest"))
-    can = first(once.where(plain), (key, "tokens"), ["item_place", "project_place"], F.floor(F.lit(budget) / F.col("tokens"))).unionByName(once.where(~plain))
-    late = can.join(closed_at, [key, "project_place"]).where("item_place > last").select(*columns)
-    order = [F.col("item_place"), F.col("project_place")]
-    fields = ["project", "project_place", "path", "tokens", "fair", "same"]
-    lists = ordered((key,), fields, order, early.unionByName(late).withColumn("tokens", F.col("tokens").cast("long")).withColumn("fair", F.col("fair").cast("long")).withColumn("project_place", F.col("project_place").cast("int")))
+    columns = (key, "project", "project_place", "item_place", "path", "tokens", "fair")
+    items = keep(rows.select(*columns, same.alias("same")), "items")
+    opened = keep(_opened(_offered(items, budget, key), budget, key), "opened")
+    took = opened.select(key, F.posexplode("took").alias("n", "t")).select(key, "n", F.lit(False).alias("refill"), "t.*")
+    return _numbered(took.unionByName(_refilled(items, opened, took, key, budget)), key)
+
+
+def _offered(items: DataFrame, budget: int, key: str) -> DataFrame:
+    """The items that the first fold has to see."""
+    own = (key, "project_place")
+    rest = F.struct("item_place", "project", "path", "fair")
+    takers = keep(items.groupBy(*own, "same", "tokens").agg(F.min(rest).alias("x")).select(*own, "same", "tokens", "x.*"), "takers")
+    cut = takers.where("tokens > fair").groupBy(*own).agg(F.min("item_place").alias("last"))
+    before = None
+    while True:
+        inside = takers.join(cut, list(own), "left").where("last is null or item_place <= last").drop("last")
+        n = inside.count()
+        if n <= 4 * (budget + PROJECTS_MOST) or n == before:
+            break
+        before = n
+        firsts = inside.groupBy(key, "same").agg(F.min(F.struct("item_place", "project_place")).alias("f")).select(key, "same", "f.*")
+        new = inside.join(firsts, [key, "same", "item_place", "project_place"], "left_semi")
+        run = _running(new, own, F.col("tokens"))
+        over = run.where("run > fair").groupBy(*own).agg(F.min("item_place").alias("over"))
+        cut = cut.join(over, list(own), "full_outer").select(*own, F.least("last", "over").alias("last"))
+        cut = keep(cut, "cut")
+    inside = keep(inside, "inside")
+    here = items.join(cut, list(own), "left").where("last is null or item_place <= last").drop("last")
+    again = here.join(inside.select(*own, "item_place"), [*own, "item_place"], "left_anti")
+    both = inside.select(*own, "item_place", F.lit(1).alias("new"), "tokens").unionByName(again.select(*own, "item_place", F.lit(0).alias("new"), "tokens"))
+    last = _running(both, own, F.col("new")).where("new = 0").groupBy(*own, "run", "tokens").agg(F.max("item_place").alias("item_place"))
+    return inside.unionByName(again.join(last.select(*own, "item_place"), [*own, "item_place"], "left_semi").select(inside.columns))
+
+
+def _running(rows: DataFrame, keys: tuple[str, ...], amount: Column) -> DataFrame:
+    """``rows`` with ``run``, the sum of ``amount`` up to and with each by item_place; counted in blocks of places."""
+    dealt = rows.withColumn("_amount", amount.cast("long")).withColumn("_block", F.expr(f"item_place div {PLACES}"))
+    sums = dealt.groupBy(*keys, "_block").agg(F.sum("_amount").alias("_sum"))
+    earlier = F.sum("_sum").over(W.partitionBy(*keys).orderBy("_block")) - F.col("_sum")
+    own = F.sum("_amount").over(W.partitionBy(*keys, "_block").orderBy("item_place"))
+    dealt = dealt.withColumn("_own", own).join(sums.select(*keys, "_block", earlier.alias("_earlier")), [*keys, "_block"])
+    return dealt.withColumn("run", F.col("_own") + F.col("_earlier")).drop("_amount", "_block", "_own", "_earlier")
+
+
+_ENTRY = "array<struct<project:string,path:string,tokens:int,same:string>>"
+
+
+def _told(x: Column) -> Column:
+    return F.array(F.struct(x["project"].alias("project"), x["path"].alias("path"), x["tokens"].cast("int").alias("tokens"), x["same"].alias("same")))
+
+
+def _known(a: Column, x: Column) -> Column:
+    return F.exists(a["took"], lambda t: t["same"] == x["same"])
+
+
+def _lists(rows: DataFrame, key: str, extra: list[str]) -> DataFrame:
+    rows = rows.withColumn("tokens", F.col("tokens").cast("long")).withColumn("project_place", F.col("project_place").cast("int"))
+    return ordered((key,), ["project", "project_place", "item_place", "path", "tokens", "same", *extra], [F.col("item_place"), F.col("project_place")], rows)
+
+
+def _opened(rows: DataFrame, budget: int, key: str) -> DataFrame:
+    """(key, spent, took, closed): what projects take of their fair parts, and by project the item that closed it."""
+    lists = _lists(rows.withColumn("fair", F.col("fair").cast("long")).withColumn("item_place", F.col("item_place").cast("long")), key, ["fair"])
     places = F.array_max(F.transform("items", lambda x: x["project_place"])) + 1
     places = F.when(places <= PROJECTS_MOST, places).otherwise(F.raise_error(F.lit(f"more than {PROJECTS_MOST} projects")).cast("int"))
-    entry = "array<struct<project:string,path:string,tokens:int,refill:boolean,same:string>>"
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array_repeat(F.lit(0).cast("long"), places).alias("used"), F.array().cast(entry).alias("took"), F.filter("items", lambda x: F.lit(False)).alias("waits"))
-    known = lambda a, x: F.exists(a["took"], lambda t: t["same"] == x["same"])
-    added = lambda a, x, refill: F.concat(a["took"], F.array(F.struct(x["project"].alias("project"), x["path"].alias("path"), x["tokens"].cast("int").alias("tokens"), F.lit(refill).alias("refill"), x["same"].alias("same"))))
+    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array_repeat(F.lit(0).cast("long"), places).alias("used"), F.array_repeat(F.lit(None).cast("long"), places).alias("closed"), F.array().cast(_ENTRY).alias("took"))
 
     def offer(a: Column, x: Column) -> Column:
-        own = F.get(a["used"], x["project_place"])
-        open_ = (own + x["tokens"] <= x["fair"]) & (a["spent"] + x["tokens"] <= budget)
-        takes = open_ & ~known(a, x)
-        # a closed project's use is beyond any fair part
-        use = F.transform(a["used"], lambda u, i: F.when(i != x["project_place"], u).when(~open_, F.lit(1 << 60)).when(takes, u + x["tokens"]).otherwise(u))
+        shut = F.get(a["closed"], x["project_place"]).isNotNull()
+        fits = (F.get(a["used"], x["project_place"]) + x["tokens"] <= x["fair"]) & (a["spent"] + x["tokens"] <= budget)
+        takes = ~shut & fits & ~_known(a, x)
+        closes = ~shut & ~fits
+        put = lambda values, when, value: F.when(when, F.transform(values, lambda v, i: F.when(i == x["project_place"], value(v)).otherwise(v))).otherwise(values)
         return F.struct(
-            F.when(takes, a["spent"] + x["tokens"]).otherwise(a["spent"]).alias("spent"), use.alias("used"),
-            F.when(takes, added(a, x, False)).otherwise(a["took"]).alias("took"), F.when(open_, a["waits"]).otherwise(F.concat(a["waits"], F.array(x))).alias("waits"),
+            F.when(takes, a["spent"] + x["tokens"]).otherwise(a["spent"]).alias("spent"), put(a["used"], takes, lambda v: v + x["tokens"]).alias("used"),
+            put(a["closed"], closes, lambda v: x["item_place"]).alias("closed"), F.when(takes, F.concat(a["took"], _told(x))).otherwise(a["took"]).alias("took"),
         )
 
+    return lists.select(key, F.aggregate("items", start, offer).alias("a")).select(key, "a.spent", "a.took", "a.closed")
+
+
+def _refilled(items: DataFrame, opened: DataFrame, took: DataFrame, key: str, budget: int) -> DataFrame:
+    """What is taken of those that wait, in their order."""
+    closed = opened.select(key, F.posexplode("closed").alias("project_place", "at")).where("at is not null")
+    waits = items.join(closed, [key, "project_place"]).where("item_place >= at").join(took.select(key, "same"), [key, "same"], "left_anti")
+    once = waits.groupBy(key, "same", "tokens").agg(F.min(F.struct("item_place", "project_place", "project", "path")).alias("x")).select(key, "same", "tokens", "x.*")
+    once = once.join(opened.select(key, (F.lit(budget) - F.col("spent")).alias("left")), key).where("tokens <= left")
+    # of one size at most so many are taken; as many more as contents of several sizes can be taken in another one
+    sizes = once.groupBy(key, "same").agg(F.count("*").alias("sizes"))
+    once = once.join(sizes, [key, "same"]).withColumn("plain", F.col("sizes") == 1)
+    order, size = ["item_place", "project_place"], F.greatest("tokens", F.lit(1))
+    some = first(once.where("plain and tokens > 0"), (key, "tokens"), order, F.floor(F.col("left") / size))
+    several = first(once.where("not plain"), (key, "tokens"), order, F.floor(F.col("left") / size) + F.col("left") + 1)
+    can = some.unionByName(several).unionByName(once.where("plain and tokens <= 0"))
+    start = F.struct(F.col("left").alias("left"), F.array().cast(_ENTRY).alias("took"))
+
     def again(a: Column, x: Column) -> Column:
-        takes = (a["spent"] + x["tokens"] <= budget) & ~known(a, x)
-        return F.struct(F.when(takes, a["spent"] + x["tokens"]).otherwise(a["spent"]).alias("spent"), F.when(takes, added(a, x, True)).otherwise(a["took"]).alias("took"))
+        takes = (x["tokens"] <= a["left"]) & ~_known(a, x)
+        return F.struct(F.when(takes, a["left"] - x["tokens"]).otherwise(a["left"]).alias("left"), F.when(takes, F.concat(a["took"], _told(x))).otherwise(a["took"]).alias("took"))
+
+    lists = _lists(can, key, []).join(opened.select(key, (F.lit(budget) - F.col("spent")).alias("left")), key)
+    taken = lists.select(key, F.posexplode(F.aggregate("items", start, again)["took"]).alias("n", "t"))
+    return taken.select(key, "n", F.lit(True).alias("refill"), "t.*")
+
 
-    refilled = lambda a: F.aggregate(a["waits"], F.struct(a["spent"].alias("spent"), a["took"].alias("took")), again, lambda b: b["took"])
-    took = lists.select(key, F.posexplode(F.aggregate("items", start, offer, refilled)).alias("n", "t"))
-    return took.select(key, "t.project", "t.path", "t.tokens", "t.refill", (F.col("n") + 1).alias("place"))
+def _numbered(took: DataFrame, key: str) -> DataFrame:
+    """What was taken with its place; as many rows as the budget allows."""
+    place = F.row_number().over(W.partitionBy(key).orderBy("refill", "n"))
+    return took.select(key, "project", "path", "tokens", "refill", place.alias("place"))
 
 
 def shares(merged: DataFrame, scope: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

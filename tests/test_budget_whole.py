@@ -123,3 +123,33 @@ def test_long_lists(spark, seed):
     rows = [Row(query_id=1, project=str(p), project_place=p, item_place=n, type="FILE", path=path, content=t, tokens=k, fair=fair[p]) for p, own in enumerate(items) for n, (path, t, k) in enumerate(own)]
     got = [(x["path"], x["refill"]) for x in budget.federated(spark.createDataFrame(rows), total).orderBy("place").collect()]
     assert got == federated(items, fair, total)
+
+
+def offered(spark, items, fair):
+    rows = [Row(query_id=1, project=str(p), project_place=p, item_place=n, path=path, same=" ".join(t.split()), tokens=k, fair=fair[p]) for p, own in enumerate(items) for n, (path, t, k) in enumerate(own)]
+    return spark.createDataFrame(rows)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fair_parts_of_repeated_contents(spark, monkeypatch, seed):
+    """Contents that projects share, that repeat within one, and that have several sizes; cut as soon as anything can be."""
+    monkeypatch.setattr(budget, "PROJECTS_MOST", 5)
+    monkeypatch.setattr(budget, "PLACES", 16)
+    r = random.Random(seed)
+    total = r.choice([20, 60])
+    pools = [[f"c{r.randint(0, 400 if p % 2 else 12)}" for _ in range(150)] for p in range(5)]
+    items = [[(f"{p}-{n:04}", t := r.choice(pools[p]), r.choice([1, 1, 2, 5, 30]) if r.random() < 0.2 else 1 + len(t) % 3) for n in range(300)] for p in range(5)]
+    fair = [r.choice([3, 10, total // 2]) for _ in items]
+    got = [(x["path"], x["refill"]) for x in budget.federated(offered(spark, items, fair), total).orderBy("place").collect()]
+    assert got == federated(items, fair, total)
+
+
+def test_fold_follows_the_budget(spark):
+    """A million small items, and as many copies of one, leave a short list."""
+    total = 200
+    small = spark.range(1_000_000).selectExpr("1 as query_id", "'a' as project", "0 as project_place", "id as item_place", "concat('a', id) as path", "cast(id as string) as same", "40 as tokens", "100 as fair")
+    copies = spark.range(300_000).selectExpr("1 as query_id", "'b' as project", "1 as project_place", "id as item_place", "concat('b', id) as path", "'one' as same", "30 as tokens", "100 as fair")
+    both = small.unionByName(copies)
+    assert budget._offered(both, total, "query_id").count() <= 4 * (total + budget.PROJECTS_MOST)
+    got = [(x["path"], x["refill"]) for x in budget.federated(both, total).orderBy("place").collect()]
+    assert got == [("a0", False), ("b0", False), ("a1", False), ("a2", True), ("a3", True)]
