@@ -174,7 +174,7 @@ class Engine:
     # search
 
     def find_symbols(self, project: str, query: str, limit: int | None = None) -> DataFrame:
-        return symbols.find(self.table(project, "symbols"), [query.strip()], limits.results(limit))
+        return symbols.find(self.table(project, "symbols"), [query.strip()], limits.results(limit), self.table(project, "parts"))
 
     def find_usages(self, project: str, query: str, limit: int | None = None) -> DataFrame:
         return symbols.usages(self.table(project, "relations"), query.strip(), limits.results(limit))
@@ -212,7 +212,7 @@ class Engine:
         hits = lexical.candidates(hits, asked, pool, kinds).join(kinds, "path")
         none = F.lit(None).cast("string")
         rows = hits.select("query_id", F.concat(F.lit("file:"), "path").alias("id"), "type", "path", none.alias("symbol"), F.lit(0).alias("arrival"), "lexical", "path_signal")
-        said = symbols.scored(known, [q.strip() for q in queries.values()], limits.symbol_pool(limit), pool)
+        said = symbols.scored(known, [q.strip() for q in queries.values()], limits.symbol_pool(limit), pool, self.table(project, "parts"))
         said = said.join(F.broadcast(asked.select("query_id", F.lower("query").alias("query"))), "query")
         rows = rows.unionByName(said.select("query_id", "id", F.lit("SYMBOL").alias("type"), "path", F.col("qualified").alias("symbol"), F.lit(1).alias("arrival"), "exact", "fuzzy", "path_signal"), allowMissingColumns=True)
         near = self._near(project, vectors, provenance or {}, pool) if vectors else None

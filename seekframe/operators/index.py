@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekframe.kept import keep
-from seekframe.operators import lexical
+from seekframe.operators import lexical, symbol_index
 from seekframe.operators.store import Change, Snapshots, View, buckets_for
 
 BUILTIN = "builtin"
@@ -89,12 +89,14 @@ Derive = Callable[[DataFrame, DataFrame, DataFrame | None, View | None], dict[st
 
 
 def terms(files: DataFrame, symbols: DataFrame, redo: DataFrame | None, view: View | None) -> dict[str, DataFrame | Change]:
-    """The lexical index: of paths to do again what was stored goes, and what there is now comes."""
-    if redo is None or not view.has("postings"):
-        fields, postings = lexical.taken_apart(lexical.named(files, symbols))
-        return {"fields": fields, "postings": postings}
+    """The indexes of texts and of symbols: of paths to do again what was stored goes, and what there is now comes."""
     fields, postings = lexical.taken_apart(lexical.named(files, symbols))
-    return {"fields": Change(redo, fields), "postings": Change(redo, postings)}
+    tables = {"fields": fields, "postings": postings, "parts": symbol_index.build(symbols)}
+    if redo is None:
+        return tables
+    if not all(view.has(name) for name in tables):
+        raise ValueError("there is no index of texts and symbols yet: index all files first")
+    return {name: Change(redo, rows) for name, rows in tables.items()}
 
 
 def refresh(

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seekframe.functions.text import exact_symbol, fuzzy_symbol, path_score, terms
+from seekframe.operators import symbol_index
 
 FUZZY_LEAST = 0.62
 EXTRA_TERMS = 8
@@ -25,25 +26,35 @@ def order_of(query: Column) -> list[Column]:
     return [rank, F.col("qualified"), F.col("path"), F.col("start_line"), F.col("provider")]
 
 
-def find(symbols: DataFrame, queries: list[str], limit: int) -> DataFrame:
-    """(query, place, ...symbol): for each of a few literal queries its best symbols."""
-    each = symbols.withColumn("query", F.explode(F.array(*[F.lit(q.lower()) for q in queries]))).where(matches(F.col("query")))
+def _asked(symbols: DataFrame, asks: list[str], index: DataFrame | None) -> DataFrame:
+    """``symbols`` with ``ask``: those that each query may mean, by way of an index of their parts if there is one."""
+    if index is not None:
+        rows = symbol_index.candidates(index, symbols, asks)
+    else:
+        rows = symbols.withColumn("ask", F.explode(F.array(*[F.lit(a) for a in asks])))
+    return rows.where(matches(F.col("ask")))
+
+
+def find(symbols: DataFrame, queries: list[str], limit: int, index: DataFrame | None = None) -> DataFrame:
+    """(query, place, ...symbol): for each of a few literal queries its best symbols. ``index``: of symbol_index.build()."""
+    each = _asked(symbols, list(dict.fromkeys(q.lower() for q in queries)), index).withColumnRenamed("ask", "query")
     place = F.row_number().over(W.partitionBy("query").orderBy(*order_of(F.col("query"))))
     return each.withColumn("place", place).where(F.col("place") <= limit)
 
 
-def scored(symbols: DataFrame, queries: list[str], pool: int, limit: int) -> DataFrame:
+def scored(symbols: DataFrame, queries: list[str], pool: int, limit: int, index: DataFrame | None = None) -> DataFrame:
     """(query, id, path, exact, fuzzy, path_signal, place): the symbol strategy.
 
-    The pool of a query is what its whole text and each of its first terms find.
+    The pool of a query is what its whole text and each of its first terms find. ``index``: of symbol_index.build().
     """
-    rows = []
-    for q in queries:
-        low = q.lower()
-        whole = F.lit(low)
-        parts = F.slice(terms(whole), 1, EXTRA_TERMS)
-        rows.append(F.struct(whole.alias("query"), terms(whole).alias("words"), F.array_distinct(F.concat(F.array(whole), parts)).alias("asks")))
-    asked = symbols.withColumn("q", F.explode(F.array(*rows))).withColumn("ask", F.explode("q.asks")).where(matches(F.col("ask")))
+    spark = symbols.sparkSession
+    lows = list(dict.fromkeys(q.lower() for q in queries))
+    whole = F.col("query")
+    told = spark.createDataFrame([(q,) for q in lows], "query string").withColumn("words", terms(whole))
+    told = told.withColumn("ask", F.explode(F.array_distinct(F.concat(F.array(whole), F.slice("words", 1, EXTRA_TERMS)))))
+    told = told.select("query", "words", F.lower("ask").alias("ask"))
+    asks = sorted({r["ask"] for r in told.select("ask").collect()})  # nine a query
+    asked = _asked(symbols, asks, index).join(F.broadcast(told), "ask").withColumn("q", F.struct("query", "words")).drop("query", "words")
     place = F.row_number().over(W.partitionBy("q.query", "ask").orderBy(*order_of(F.col("ask"))))
     pooled = asked.withColumn("n", place).where(F.col("n") <= pool).select("q.query", "q.words", "path", "name", "qualified").distinct()
     exact = exact_symbol(F.col("name"), F.col("qualified"), F.col("query"), F.col("words"))

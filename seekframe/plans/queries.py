@@ -35,13 +35,15 @@ def text_queries(spark: SparkSession) -> DataFrame:
 
 
 def symbol_search_ranked(spark: SparkSession, d: str) -> DataFrame:
-    found = symbols.find(corpus.symbols(spark, d), SYMBOL_QUERIES, LIMIT)
+    known, parts = stored.symbols(spark, d)
+    found = symbols.find(known, SYMBOL_QUERIES, LIMIT, parts)
     return found.select("query", "place", "path", "kind", "name", "qualified", "start_line")
 
 
 def symbol_scored_candidates(spark: SparkSession, d: str) -> DataFrame:
     queries = ["red bolt", "hot gear", "wigdet"]
-    found = symbols.scored(corpus.symbols(spark, d), queries, limits.symbol_pool(LIMIT), LIMIT)
+    known, parts = stored.symbols(spark, d)
+    found = symbols.scored(known, queries, limits.symbol_pool(LIMIT), LIMIT, parts)
     return found.select("query", "place", "id", r6(F.col("exact")).alias("exact"), r6(F.col("fuzzy")).alias("fuzzy"), r6(F.col("path_signal")).alias("path_signal"))
 
 

@@ -1,4 +1,4 @@
-"""The lexical index of a data directory, built once a session and read by every query that searches text."""
+"""Indexes of a data directory, built once a session and read by every query that searches texts, symbols or vectors."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekframe.kept import keep
-from seekframe.operators import lexical
+from seekframe.operators import lexical, symbol_index
 from seekframe.sources import corpus
 
 _KNOWN: dict[tuple, tuple[DataFrame, DataFrame]] = {}
@@ -26,3 +26,12 @@ def index(spark: SparkSession, sf_dir: str, project: Column) -> tuple[DataFrame,
         files = corpus.files(spark, sf_dir, "source").select(F.struct(F.col("project").alias("source"), F.col("lang")).alias("project"), "path", "content")
         _KNOWN[key] = tuple(keep(part, "lexical-index") for part in lexical.build(files))
     return tuple(part.select("*", "project.*").withColumn("project", project).drop("source", "lang") for part in _KNOWN[key])
+
+
+def symbols(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(symbols, their parts) of the parts of the data directory."""
+    key = ("symbols", spark.sparkContext.applicationId, _stamp(spark, f"{sf_dir}/part.parquet"))
+    if key not in _KNOWN:
+        known = keep(corpus.symbols(spark, sf_dir), "symbols")
+        _KNOWN[key] = known, keep(symbol_index.build(known).repartitionByRange("term").sortWithinPartitions("term"), "symbol-index")
+    return _KNOWN[key]
