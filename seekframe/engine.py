@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from seekframe.functions import limits, text
 from seekframe.kept import keep
-from seekframe.operators import budget, fragments, graph, index, lexical, rank, recency, semantic, symbols
+from seekframe.operators import budget, fragments, graph, index, lexical, rank, recency, semantic, symbols, vector_index
 from seekframe.operators.store import Change, Snapshots, View
 from seekframe.sources import git, importers, instructions, scan, skills
 from seekframe.sources.classify import candidate_type, generic
@@ -141,9 +141,10 @@ class Engine:
             fresh = vectors.where(semantic.valid(F.col("v")) & (F.size("v") == int(told["dimensions"]))).select("path", F.col("v").cast("array<double>").alias("v"))
             fresh = fresh.dropDuplicates(["path"]).join(files, "path", "left_semi")
             if not rebuild and self._provenance(view) == told:
-                return {"vectors": Change(vectors.select("path"), fresh)}, {}
+                return {"vectors": Change(vectors.select("path"), vector_index.assigned(fresh, view.read("centroids"), "path"))}, {}
             rows = self.spark.createDataFrame(sorted(told.items()), "field string, value string").coalesce(1)
-            return {"vectors": fresh, "provenance": rows}, {"buckets": view.pointer["tables"]["files"]["buckets"]}
+            middles = vector_index.centroids(fresh)
+            return {"vectors": vector_index.assigned(fresh, middles, "path"), "centroids": middles, "provenance": rows}, {"buckets": view.pointer["tables"]["files"]["buckets"]}
 
         return self._snapshots(self.resolve(project)[0]).transact(change)
 
@@ -191,7 +192,8 @@ class Engine:
         if self._provenance(view) != semantic.provenance(provenance):
             return None
         asked = self.spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors.items()], "query_id int, q array<double>")
-        found = semantic.nearest(view.read("vectors").select(F.col("path").alias("id"), "v").join(view.read("files").select(F.col("path").alias("id")), "id", "left_semi"), asked, limit)
+        rows = view.read("vectors").join(view.read("files").select("path"), "path", "left_semi").withColumnRenamed("path", "id")
+        found = vector_index.nearest(rows, view.read("centroids"), asked, limit)
         return found.select("query_id", F.col("id").alias("path"), F.col("score").alias("semantic"))
 
     def search(

@@ -203,7 +203,8 @@ class Snapshots:
         if not buckets:
             rows.write.parquet(f"{self.root}/{where}")
             return {"0": where}
-        order = [_BUCKET, "term"] if "term" in rows.columns else [_BUCKET]  # a query's terms prune to few row groups of a file
+        # a query's terms or lists prune to few row groups of a file
+        order = [_BUCKET, *[c for c in ("term", "list") if c in rows.columns]]
         dealt = rows.withColumn(_BUCKET, _bucket(buckets)).repartition(_BUCKET).sortWithinPartitions(*order)
         dealt.write.partitionBy(_BUCKET).parquet(f"{self.root}/{where}")
         return {n.split("=")[1]: f"{where}/{n}" for n in self._names(where) if n.startswith(_BUCKET)}

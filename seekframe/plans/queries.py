@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seekframe.functions import limits, text
 from seekframe.kept import keep
-from seekframe.operators import budget, evaluate, fragments, graph, index, lexical, rank, recency, semantic, symbols
+from seekframe.operators import budget, evaluate, fragments, graph, index, lexical, rank, recency, semantic, symbols, vector_index
 from seekframe.plans import stored
 from seekframe.sources import corpus, importers, instructions, skills
 from seekframe.sources.classify import candidate_type, category, glob_regex
@@ -150,7 +150,7 @@ def _nearest(spark: SparkSession, d: str, limit: int, queries: str) -> DataFrame
     """The vectors next to those whose id is divisible by 100 and its hundredth, the query's id, fits the condition."""
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     asked = vectors.where("id % 100 = 0").select((F.col("id") / 100).cast("int").alias("query_id"), F.col("v").alias("q"))
-    return semantic.nearest(vectors, asked.where(queries), limit)
+    return vector_index.nearest(*stored.vectors(spark, d), asked.where(queries), limit)
 
 
 def knn_cosine_topk(spark: SparkSession, d: str) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekframe.kept import keep
-from seekframe.operators import lexical, symbol_index
+from seekframe.operators import lexical, symbol_index, vector_index
 from seekframe.sources import corpus
+from seekframe.tables import table
 
 _KNOWN: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
@@ -35,3 +36,13 @@ def symbols(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         known = keep(corpus.symbols(spark, sf_dir), "symbols")
         _KNOWN[key] = known, keep(symbol_index.build(known).repartitionByRange("term").sortWithinPartitions("term"), "symbol-index")
     return _KNOWN[key]
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(vectors in their lists, centroids) of the embeddings."""
+    key = ("vectors", spark.sparkContext.applicationId, _stamp(spark, f"{sf_dir}/embeddings.parquet"))
+    if key not in _KNOWN:
+        rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+        middles = keep(vector_index.centroids(rows), "centroids")
+        _KNOWN[key] = keep(vector_index.stored(vector_index.assigned(rows, middles)), "vector-lists"), middles
+    return _KNOWN[key]
