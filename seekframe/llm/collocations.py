@@ -39,7 +39,7 @@ from seekframe.llm.scratch import Scratch
 from seekframe.llm.words import U64, Hasher, mix, text_arrays, trim
 from seekframe.tables import table
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BYTES_PER_CELL, RANGE_BITS = 16, 21
 #: Bytes of text whose frequent phrases are summed in one range.
 FOUND_BYTES = 16 << 20
