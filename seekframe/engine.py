@@ -144,7 +144,7 @@ class Engine:
                 return {"vectors": Change(vectors.select("path"), vector_index.assigned(fresh, view.read("centroids"), "path"))}, {}
             rows = self.spark.createDataFrame(sorted(told.items()), "field string, value string").coalesce(1)
             middles = vector_index.centroids(fresh)
-            return {"vectors": vector_index.assigned(fresh, middles, "path"), "centroids": middles, "provenance": rows}, {"buckets": view.pointer["tables"]["files"]["buckets"]}
+            return {"vectors": vector_index.assigned(fresh, middles, "path"), "centroids": middles, "provenance": rows}, {"buckets": view.buckets("files")}
 
         return self._snapshots(self.resolve(project)[0]).transact(change)
 
@@ -210,7 +210,7 @@ class Engine:
         files = self.table(project, "files").where(generic(F.col("category")))
         known = self.table(project, "symbols")
         kinds = files.select("path", candidate_type(F.col("category")).alias("type"))
-        hits = lexical.search(self.table(project, "fields"), self.table(project, "postings"), asked)
+        hits = lexical.search_best(self.table(project, "fields"), self.table(project, "postings"), self.table(project, "blocks"), asked, 2 * pool)
         hits = lexical.candidates(hits, asked, pool, kinds).join(kinds, "path")
         none = F.lit(None).cast("string")
         rows = hits.select("query_id", F.concat(F.lit("file:"), "path").alias("id"), "type", "path", none.alias("symbol"), F.lit(0).alias("arrival"), "lexical", "path_signal")

@@ -26,7 +26,15 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     path = f"{_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_path = path
+    return kept
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete kept tables that nothing reads any more."""
+    for df in frames:
+        _delete(df.sparkSession, df._kept_path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

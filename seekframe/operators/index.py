@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seekframe.kept import keep
+from seekframe.kept import drop, keep
 from seekframe.operators import lexical, symbol_index
 from seekframe.operators.store import Change, Snapshots, View, buckets_for
 
@@ -85,18 +85,28 @@ def health(projects: DataFrame, status: str = "status") -> DataFrame:
 
 
 #: Given files and symbols, all or those of the paths to do again, these paths (None: all) and the index of before: further tables to publish.
-Derive = Callable[[DataFrame, DataFrame, DataFrame | None, View | None], dict[str, DataFrame | Change]]
+#: The number of buckets comes last.
+Derive = Callable[[DataFrame, DataFrame, DataFrame | None, View | None, int], dict[str, DataFrame | Change]]
+#: Windows of the postings in each bucket.
+WINDOWS = 64
 
 
-def terms(files: DataFrame, symbols: DataFrame, redo: DataFrame | None, view: View | None) -> dict[str, DataFrame | Change]:
+def terms(files: DataFrame, symbols: DataFrame, redo: DataFrame | None, view: View | None, buckets: int) -> dict[str, DataFrame | Change]:
     """The indexes of texts and of symbols: of paths to do again what was stored goes, and what there is now comes."""
+    windows = WINDOWS * buckets
     fields, postings = lexical.taken_apart(lexical.named(files, symbols))
+    postings = lexical.in_windows(postings, windows)
     tables = {"fields": fields, "postings": postings, "parts": symbol_index.build(symbols)}
     if redo is None:
-        return tables
-    if not all(view.has(name) for name in tables):
+        tables["postings"] = postings = keep(postings, "postings")
+        return tables | {"blocks": lexical.blocks(postings)}
+    if not all(view.has(name) for name in (*tables, "blocks")):
         raise ValueError("there is no index of texts and symbols yet: index all files first")
-    return {name: Change(redo, rows) for name, rows in tables.items()}
+    tables["postings"] = postings = keep(postings, "postings")
+    touched = lexical.in_windows(redo.select("path").distinct(), windows)
+    beside = view.read("postings").join(touched.select("window").distinct(), "window", "left_semi").join(touched, "path", "left_anti")
+    again = lexical.blocks(beside.select(postings.columns).unionByName(postings))
+    return {name: Change(redo, rows) for name, rows in tables.items()} | {"blocks": Change(touched, again)}
 
 
 def refresh(
@@ -109,24 +119,31 @@ def refresh(
     changes nothing is written; else the buckets of changed paths are. A change of source or test files drops external
     providers' rows. Only counts come to the driver. If another writer publishes meanwhile, all starts again.
     """
-    report = {}
+    report, held = {}, []
+
+    def once(rows: DataFrame, label: str) -> DataFrame:
+        held.append(keep(rows, label))
+        return held[-1]
 
     def change(view: View | None) -> tuple[dict, dict] | None:
         valid = {} if rescan is None else {"still_valid": lambda written: delta(written("files"), rescan()).where("status <> 'UNCHANGED'").isEmpty()}
         if view is None or full:
-            symbols, relations = analyse(scanned)
-            told = scanned.agg(F.count("*"), F.sum("size")).first()
+            files = once(scanned, "scanned")  # a scan, read for each table that is made of it
+            symbols, relations = analyse(files)
+            symbols = once(symbols, "symbols")
+            told = files.agg(F.count("*"), F.sum("size")).first()
             report.update(changed=told[0], removed=0)
-            tables = {"files": scanned, "symbols": symbols, "relations": relations}
-            return tables | (derive(scanned, symbols, None, None) if derive else {}), valid | {"buckets": buckets_for(told[1] or 0)}
+            tables = {"files": files, "symbols": symbols, "relations": relations}
+            buckets = buckets_for(told[1] or 0)
+            return tables | (derive(files, symbols, None, None, buckets) if derive else {}), valid | {"buckets": buckets}
         stored = view.read("files")
         seen = stored.join(scanned.select("path"), "path", "left_semi") if part else stored
-        moved = keep(delta(seen, scanned).where("status <> 'UNCHANGED'"), "moved")
+        moved = once(delta(seen, scanned).where("status <> 'UNCHANGED'"), "moved")
         counts = {r["status"]: r["n"] for r in moved.groupBy("status").agg(F.count("*").alias("n")).collect()}
         report.update(changed=counts.get("NEW", 0) + counts.get("CHANGED", 0), removed=counts.get("REMOVED", 0))
         if not counts:
             return None
-        fresh = keep(scanned.join(moved.where("status <> 'REMOVED'").select("path"), "path", "left_semi"), "fresh")
+        fresh = once(scanned.join(moved.where("status <> 'REMOVED'").select("path"), "path", "left_semi"), "fresh")
         gone = moved.select("path")
         code = stored.select("path", "category").unionByName(fresh.select("path", "category")).where(F.col("category").isin("SOURCE", "TEST"))
         purge = not moved.join(code, "path", "left_semi").isEmpty()
@@ -137,14 +154,18 @@ def refresh(
             left = old.join(paths, "path", "left_semi").join(moved.select("path", F.lit(1).alias("moved")), "path", "left")
             left = left.where(~((F.col("provider") == BUILTIN) & F.col("moved").isNotNull())).drop("moved")
             left = purge_external(left) if purge else left
-            tables[name] = Change(paths, left.select(rows.columns).unionByName(rows))
+            rows = left.select(rows.columns).unionByName(rows)
+            tables[name] = Change(paths, once(rows, name) if name == "symbols" else rows)
             redo = paths if name == "symbols" else redo
         if derive is not None:
             files = stored.join(redo, "path", "left_semi").join(gone, "path", "left_anti").unionByName(fresh.select(stored.columns))
-            tables |= derive(files, tables["symbols"].rows, redo, view)
+            tables |= derive(files, tables["symbols"].rows, redo, view, view.buckets("files"))
         return tables, valid
 
-    report["generation"] = snapshots.transact(change)
+    try:
+        report["generation"] = snapshots.transact(change)
+    finally:
+        drop(*held)
     return {k: report[k] for k in ("changed", "removed", "generation")}
 
 
@@ -166,7 +187,7 @@ def published_provider(snapshots: Snapshots, new_symbols: DataFrame, new_relatio
             return None
         if derive is not None and "symbols" in tables:
             redo = tables["symbols"].paths
-            tables |= derive(files.join(redo, "path", "left_semi"), tables["symbols"].rows, redo, view)
+            tables |= derive(files.join(redo, "path", "left_semi"), tables["symbols"].rows, redo, view, view.buckets("files"))
         return tables, {}
 
     return snapshots.transact(change)

@@ -12,6 +12,8 @@ from seekframe.kept import keep
 # Field boosts and the similarity's constants.
 BOOSTS = {"symbol_name": 5.0, "qualified_name": 4.0, "path": 3.0, "code_terms": 2.0, "content": 1.0}
 K1, B = 1.2, 0.75
+#: Files of a window; postings up to which nothing is left out; postings of the first windows, as many times the limit; windows named in a filter.
+WINDOW_FILES, WHOLE, FIRST, NAMED = 128, 1_000_000, 8, 1000
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -73,15 +75,38 @@ def taken_apart(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.drop("hits"), each
 
 
+def windows_for(files: int) -> int:
+    """A power of two: the windows that so many files are dealt into."""
+    return 1 << max(0, (files // WINDOW_FILES).bit_length())
+
+
+def in_windows(postings: DataFrame, windows: int) -> DataFrame:
+    """``postings`` with the window that their file is dealt into: a file's postings all lie in one."""
+    return postings.withColumn("window", F.pmod(F.xxhash64("path"), F.lit(windows)).cast("int"))
+
+
+def blocks(postings: DataFrame) -> DataFrame:
+    """(project, field, term, window, n, edge): what no posting of a term in a window can exceed.
+
+    ``edge``: the pairs of length and frequency that no other pair of the window beats in both. Whatever the field's mean
+    length comes to be, one of them has the greatest part.
+    """
+    own = F.array_sort(F.collect_list(F.struct("size", (-F.col("tf")).alias("tf"))))
+    step = lambda a, x: F.when((F.size(a) == 0) | (x["tf"] < F.element_at(a, -1)["tf"]), F.concat(a, F.array(x))).otherwise(a)
+    pairs = postings.groupBy("project", "field", "term", "window").agg(F.count("*").alias("n"), own.alias("own"))
+    edge = F.when(F.size("own") == 1, F.col("own")).otherwise(F.aggregate("own", F.filter("own", lambda x: F.lit(False)), step))
+    return pairs.select("project", "field", "term", "window", "n", F.transform(edge, lambda x: F.struct(x["size"].alias("size"), (-x["tf"]).alias("tf"))).alias("edge"))
+
+
 def stored(postings: DataFrame) -> DataFrame:
-    """``postings`` as they are best written: ranges of terms, each in order, so that a query's terms prune to few row groups."""
-    return postings.repartitionByRange("term").sortWithinPartitions("term")
+    """``postings`` or blocks as they are best written: ranges of terms, each in order, so that a query's terms prune to few row groups."""
+    return postings.repartitionByRange("term").sortWithinPartitions("term", *[c for c in ("window",) if c in postings.columns])
 
 
-def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def build(files: DataFrame, windows: int = 1) -> tuple[DataFrame, DataFrame]:
     """(fields, postings): an index of all terms, to be stored and searched often."""
     fields, postings = taken_apart(files)
-    return fields, stored(postings)
+    return fields, stored(in_windows(postings, windows))
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -89,23 +114,67 @@ def _counted(rows: DataFrame) -> DataFrame:
     return each.groupBy("project", "path", "field", "size", "term").agg(F.count("*").alias("tf"))
 
 
+def _weight(fields: DataFrame, found: DataFrame) -> DataFrame:
+    """(project, field, term, weight, mean) of terms that are in ``df`` files each: boost times rarity, and the field's mean length."""
+    # one row per project and field, and per project, field and term of the queries: small by construction
+    stats = fields.groupBy("project", "field").agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    boost = F.element_at(F.create_map(*[x for k, v in BOOSTS.items() for x in (F.lit(k), F.lit(v))]), F.col("field"))
+    return found.join(stats, ["project", "field"]).select("project", "field", "term", (boost * idf).alias("weight"), "mean")
+
+
+def _part(tf: Column, size: Column) -> Column:
+    return F.col("weight") * tf / (tf + K1 * (1 - B + B * size / F.col("mean")))
+
+
 def search(fields: DataFrame, postings: DataFrame, queries: DataFrame, wanted: list[str] | None = None) -> DataFrame:
     """(query_id, project, path, score) from an index of at least the queries' terms."""
-    terms_of = query_terms(queries)
     posting = postings.where(F.col("term").isin(asked(queries) if wanted is None else wanted))
-    stats = fields.groupBy("project", "field").agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))
     found = posting.groupBy("project", "field", "term").agg(F.count("*").alias("df"))
-    # one row per project and field, and per project, field and term of the queries: small by construction
-    weighed = posting.join(found, ["project", "field", "term"]).join(stats, ["project", "field"])
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean"))
-    boost = F.element_at(F.create_map(*[x for k, v in BOOSTS.items() for x in (F.lit(k), F.lit(v))]), F.col("field"))
-    weighed = weighed.select("project", "path", "term", (boost * idf * F.col("tf") / norm).alias("part"))
-    met = weighed.join(terms_of, "term")
+    return _summed(posting, _weight(fields, found), query_terms(queries))
+
+
+def _summed(posting: DataFrame, weights: DataFrame, terms_of: DataFrame, keys: tuple[str, ...] = ("term",)) -> DataFrame:
+    met = posting.join(weights, ["project", "field", "term"]).withColumn("part", _part(F.col("tf"), F.col("size"))).join(terms_of, list(keys))
     summed = met.groupBy("query_id", "project", "path").agg(F.sum("part").alias("score"), F.count_distinct("term").alias("terms"), F.max("needed").alias("needed"))
     return summed.where("terms >= needed").select("query_id", "project", "path", "score")
 
 
+def search_best(fields: DataFrame, postings: DataFrame, heads: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """Of search()'s rows at least the best ``limit`` of each query and project, from the windows that can hold them.
+
+    ``postings``: in_windows(), ``heads``: their blocks(). A window's bound is the sum of what its blocks can give at most. The
+    windows of the highest bounds are scored first; then those whose bound reaches the limit-th score found. Others
+    hold nothing that belongs to the best, and aren't read. With fewer postings than ``WHOLE`` all are read in one go.
+    """
+    wanted, terms_of = asked(queries), query_terms(queries)
+    head = heads.where(F.col("term").isin(wanted))
+    if (head.agg(F.sum("n")).first()[0] or 0) <= WHOLE:
+        return search(fields, postings, queries, wanted)
+    head = keep(head, "blocks")
+    posting = postings.where(F.col("term").isin(wanted))
+    weights = keep(_weight(fields, head.groupBy("project", "field", "term").agg(F.sum("n").alias("df"))), "weights")
+    each = head.join(weights, ["project", "field", "term"]).withColumn("part", F.array_max(F.transform("edge", lambda x: _part(x["tf"], x["size"])))).join(terms_of, "term")
+    # a file lies in one of a window's blocks of a field and term, though there may be several
+    each = each.groupBy("query_id", "project", "window", "field", "term").agg(F.max("part").alias("part"), F.sum("n").alias("n"), F.max("needed").alias("needed"))
+    bound = each.groupBy("query_id", "project", "window").agg(F.sum("part").alias("bound"), F.sum("n").alias("n"), F.count_distinct("term").alias("terms"), F.max("needed").alias("needed"))
+    before = F.sum("n").over(W.partitionBy("query_id", "project").orderBy(F.desc("bound"), "window").rowsBetween(W.unboundedPreceding, -1))
+    bound = keep(bound.where("terms >= needed").withColumn("before", F.coalesce(before, F.lit(0))), "bounds")
+
+    def scored(of: DataFrame) -> DataFrame:
+        named = [r[0] for r in of.select("window").distinct().limit(NAMED + 1).collect()]
+        some = posting.where(F.col("window").isin(named)) if len(named) <= NAMED else posting
+        pairs = terms_of.join(of.select("query_id", "project", "window"), "query_id")
+        return _summed(some, weights, pairs, ("project", "window", "term"))
+
+    first = bound.where(F.col("before") < FIRST * limit)
+    begun = keep(top(scored(first), limit).drop("rank"), "begun")
+    least = begun.groupBy("query_id", "project").agg(F.when(F.count("*") >= limit, F.min("score")).alias("least"))
+    rest = bound.where(F.col("before") >= FIRST * limit).join(least, ["query_id", "project"], "left")
+    rest = keep(rest.where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-8)), "rest")
+    return begun if rest.isEmpty() else begun.unionByName(scored(rest))
+
+
 def top(hits: DataFrame, limit: int) -> DataFrame:
     """The best ``limit`` of each query and project, ties by path, with their rank."""
     order = W.partitionBy("query_id", "project").orderBy(F.desc(F.round("score", 9)), "path")

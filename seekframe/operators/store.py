@@ -18,12 +18,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Buckets of a table, and the bytes of text that one is meant for.
-BUCKETS_LEAST, BUCKETS_MOST, BUCKET_BYTES = 8, 1 << 16, 64 << 20
+BUCKETS_LEAST, BUCKETS_MOST, BUCKET_BYTES = 4, 1 << 16, 8 << 20
 #: Generations that readers may still hold.
 KEPT = 3
 TRIES = 20
@@ -36,7 +36,10 @@ class Conflict(RuntimeError):
 
 @dataclass
 class Change:
-    """Instead of a whole table: its rows of ``paths`` (path) are replaced by ``rows``."""
+    """Instead of a whole table: its rows of ``paths`` (path) are replaced by ``rows``.
+
+    A table without paths may have windows, numbers that a power of two deals paths into; ``paths`` then names windows.
+    """
 
     paths: DataFrame
     rows: DataFrame
@@ -47,8 +50,14 @@ def buckets_for(size: int) -> int:
     return min(BUCKETS_MOST, max(BUCKETS_LEAST, 1 << max(0, (size // BUCKET_BYTES).bit_length())))
 
 
-def _bucket(buckets: int):
-    return F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")
+def _key(columns: list[str]) -> str | None:
+    return next((c for c in ("path", "window") if c in columns), None)
+
+
+def _bucket(columns: list[str], buckets: int) -> Column:
+    """A path's bucket; that of a window, if there are at least as many windows as buckets, is its paths'."""
+    number = F.xxhash64("path") if _key(columns) == "path" else F.col("window")
+    return F.pmod(number, F.lit(buckets)).cast("int")
 
 
 class View:
@@ -64,6 +73,9 @@ class View:
     def has(self, name: str) -> bool:
         return name in self.pointer["tables"]
 
+    def buckets(self, name: str) -> int:
+        return self.pointer["tables"][name]["buckets"]
+
     def read(self, name: str, buckets: set[int] | None = None) -> DataFrame:
         """A table, or those of its buckets that are asked for."""
         if not self.has(name):
@@ -185,16 +197,17 @@ class Snapshots:
             return number
 
     def _whole(self, folder: str, name: str, rows: DataFrame, buckets: int) -> dict:
-        told = {"schema": json.loads(rows.schema.json()), "buckets": buckets if "path" in rows.columns else 0}
+        told = {"schema": json.loads(rows.schema.json()), "buckets": buckets if _key(rows.columns) else 0}
         return told | {"parts": self._written(folder, name, rows, told["buckets"])}
 
     def _changed(self, folder: str, name: str, change: Change, base: View) -> dict:
         told = base.pointer["tables"][name]
         buckets = told["buckets"]
-        paths = change.paths.select("path").unionByName(change.rows.select("path")).distinct()
-        touched = {r[0] for r in paths.select(_bucket(buckets)).distinct().collect()}  # at most BUCKETS_MOST numbers
+        key = _key([f["name"] for f in told["schema"]["fields"]])
+        paths = change.paths.select(key).unionByName(change.rows.select(key)).distinct()
+        touched = {r[0] for r in paths.select(_bucket([key], buckets)).distinct().collect()}  # at most BUCKETS_MOST numbers
         stay = base.read(name, touched)
-        rows = stay.join(change.paths.select("path").distinct(), "path", "left_anti").select(stay.columns).unionByName(change.rows.select(stay.columns))
+        rows = stay.join(change.paths.select(key).distinct(), key, "left_anti").select(stay.columns).unionByName(change.rows.select(stay.columns))
         parts = {n: where for n, where in told["parts"].items() if int(n) not in touched}
         return told | {"parts": parts | self._written(folder, name, rows, buckets)}
 
@@ -204,8 +217,8 @@ class Snapshots:
             rows.write.parquet(f"{self.root}/{where}")
             return {"0": where}
         # a query's terms or lists prune to few row groups of a file
-        order = [_BUCKET, *[c for c in ("term", "list") if c in rows.columns]]
-        dealt = rows.withColumn(_BUCKET, _bucket(buckets)).repartition(_BUCKET).sortWithinPartitions(*order)
+        order = [_BUCKET, *[c for c in ("term", "window", "list") if c in rows.columns]]
+        dealt = rows.withColumn(_BUCKET, _bucket(rows.columns, buckets)).repartition(_BUCKET).sortWithinPartitions(*order)
         dealt.write.partitionBy(_BUCKET).parquet(f"{self.root}/{where}")
         return {n.split("=")[1]: f"{where}/{n}" for n in self._names(where) if n.startswith(_BUCKET)}
 

@@ -83,17 +83,19 @@ def delta_changes(spark: SparkSession, d: str) -> DataFrame:
     return index.delta(stored.unionByName(copies("old/", 3)), scanned.unionByName(copies("new/", 5)))
 
 
-def _hits(spark: SparkSession, d: str, project: Column) -> DataFrame:
-    return lexical.search(*stored.index(spark, d, project), text_queries(spark))
+def _hits(spark: SparkSession, d: str, project: Column, limit: int) -> DataFrame:
+    """At least the best ``limit`` of each query and project."""
+    return lexical.search_best(*stored.index(spark, d, project), text_queries(spark), limit)
 
 
 def lexical_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    hits = lexical.normalised(lexical.top(_hits(spark, d, F.col("lang")), LIMIT))
+    hits = lexical.normalised(lexical.top(_hits(spark, d, F.col("lang"), LIMIT), LIMIT))
     return hits.select("query_id", "project", "path", "rank", r6(F.col("score")).alias("score"), r6(F.col("lexical")).alias("lexical"))
 
 
 def lexical_min_should_match(spark: SparkSession, d: str) -> DataFrame:
-    return _hits(spark, d, F.col("lang")).groupBy("query_id", "project").agg(F.count("*").alias("files"))
+    hits = lexical.search(*stored.index(spark, d, F.col("lang"))[:2], text_queries(spark))
+    return hits.groupBy("query_id", "project").agg(F.count("*").alias("files"))
 
 
 def identifier_split_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +161,7 @@ def knn_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def _file_candidates(spark: SparkSession, d: str, limit: int) -> DataFrame:
     kinds = corpus.files(spark, d).select("path", "doc_id", candidate_type(F.col("category")).alias("type"))
-    found = lexical.candidates(_hits(spark, d, F.lit("all")), text_queries(spark), limit)
+    found = lexical.candidates(_hits(spark, d, F.lit("all"), limit), text_queries(spark), limit)
     return found.join(kinds, "path").select(
         "query_id", F.concat(F.lit("file:"), "path").alias("id"), "type", "path", F.lit(None).cast("string").alias("symbol"), F.lit(0).alias("arrival"), "lexical", "path_signal", "doc_id"
     )
@@ -192,7 +194,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 def _federated(spark: SparkSession, d: str, limit: int) -> DataFrame:
     files = corpus.files(spark, d)
     kinds = files.select("project", "path", "doc_id", candidate_type(F.col("category")).alias("type"))
-    found = lexical.candidates(_hits(spark, d, F.col("source")), text_queries(spark), limits.local_pool(limit))
+    found = lexical.candidates(_hits(spark, d, F.col("source"), limits.local_pool(limit)), text_queries(spark), limits.local_pool(limit))
     each = found.join(kinds, ["project", "path"]).withColumn("id", F.concat(F.lit("file:"), "path"))
     local = rank.ranked(rank.with_signals(each), limits.local_pool(limit), ("query_id", "project"))
     return local.withColumn("project_place", F.regexp_replace("project", "[^0-9]", "").cast("int"))
@@ -368,7 +370,7 @@ def readiness_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    hits = lexical.top(_hits(spark, d, F.col("lang")), LIMIT)
+    hits = lexical.top(_hits(spark, d, F.col("lang"), LIMIT), LIMIT)
     good = table(spark, d, "labels").where("quality = 1").select(corpus.file_path(F.col("doc_id")).alias("path"))
     queries = hits.select("query_id", "project").distinct()
     relevant = corpus.files(spark, d, "lang").join(good, "path").select("project", "path").join(queries, "project")

@@ -10,7 +10,7 @@ from seekframe.operators import lexical, symbol_index, vector_index
 from seekframe.sources import corpus
 from seekframe.tables import table
 
-_KNOWN: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+_KNOWN: dict[tuple, tuple[DataFrame, ...]] = {}
 
 
 def _stamp(spark: SparkSession, where: str) -> tuple:
@@ -20,12 +20,13 @@ def _stamp(spark: SparkSession, where: str) -> tuple:
     return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in statuses))
 
 
-def index(spark: SparkSession, sf_dir: str, project: Column) -> tuple[DataFrame, DataFrame]:
-    """(fields, postings) of the documents as files; ``project`` is made of ``source`` and ``lang``."""
+def index(spark: SparkSession, sf_dir: str, project: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fields, postings, blocks) of the documents as files; ``project`` is made of ``source`` and ``lang``."""
     key = (spark.sparkContext.applicationId, _stamp(spark, f"{sf_dir}/documents.parquet"))
     if key not in _KNOWN:
         files = corpus.files(spark, sf_dir, "source").select(F.struct(F.col("project").alias("source"), F.col("lang")).alias("project"), "path", "content")
-        _KNOWN[key] = tuple(keep(part, "lexical-index") for part in lexical.build(files))
+        fields, postings = (keep(part, "lexical-index") for part in lexical.build(files, lexical.windows_for(table(spark, sf_dir, "documents").count())))
+        _KNOWN[key] = fields, postings, keep(lexical.stored(lexical.blocks(postings)), "lexical-index")
     return tuple(part.select("*", "project.*").withColumn("project", project).drop("source", "lang") for part in _KNOWN[key])
 
 

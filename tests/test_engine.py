@@ -101,7 +101,7 @@ def test_federated_context_in_engine(engine):
 
 def test_stored_terms_follow_the_files(spark, tmp_path):
     """The lexical index after changes equals one of all files."""
-    from seekframe.operators import lexical
+    from seekframe.operators import index, lexical
 
     root = tmp_path / "src"
     write(root, {"a.md": "orchard compass", "b.md": "orchard", "C.java": "class Compass {}"})
@@ -111,7 +111,10 @@ def test_stored_terms_follow_the_files(spark, tmp_path):
     write(root, {"a.md": "harbour", "d.md": "compass"})
     (root / "b.md").unlink()
     assert engine.index("p")["changed"] == 2
-    fields, postings = lexical.build(lexical.named(engine.table("p", "files"), engine.table("p", "symbols")))
+    windows = index.WINDOWS * engine._snapshots(engine.resolve("p")[0]).view().buckets("files")
+    fields, postings = lexical.build(lexical.named(engine.table("p", "files"), engine.table("p", "symbols")), windows)
+    blocks = sorted(map(str, lexical.blocks(postings).collect()))
+    assert blocks == sorted(map(str, engine.table("p", "blocks").select(lexical.blocks(postings).columns).collect()))
     for name, rows in (("fields", fields), ("postings", postings)):
         order = rows.columns
         assert sorted(map(tuple, engine.table("p", name).select(order).collect())) == sorted(map(tuple, rows.collect()))

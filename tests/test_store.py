@@ -133,8 +133,8 @@ def test_stream_keeps_derived_tables(spark, tmp_path):
     run([row("A.java", "1", "class A { int x; }", 1), row("B.java", "1", "class B {}", 1)])
     run([row("A.java", "2", "class Z {}", 2), row("C.java", "1", "class C {}", 1)])
     files, symbols = snapshots.read("files"), snapshots.read("symbols")
-    whole = index.terms(files, symbols, None, None)
-    for name, rows in whole.items():
+    whole = index.terms(files, symbols, None, None, snapshots.view().buckets("files"))
+    for name, rows in whole.items():  # of every stored table
         assert read(snapshots, name) == sorted(tuple(r) for r in rows.select(snapshots.read(name).columns).collect())
 
 
