@@ -185,7 +185,7 @@ def _offered(items: DataFrame, budget: int, key: str) -> DataFrame:
     while True:
         inside = takers.join(cut, list(own), "left").where("last is null or item_place <= last").drop("last")
         n = inside.count()
-        if n <= 4 * (budget + PROJECTS_MOST) or n == before:
+        if n == before or n <= (budget if before is None else 4 * (budget + PROJECTS_MOST)):
             break
         before = n
         firsts = inside.groupBy(key, "same").agg(F.min(F.struct("item_place", "project_place")).alias("f")).select(key, "same", "f.*")

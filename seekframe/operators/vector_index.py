@@ -21,6 +21,8 @@ from seekframe.kept import keep
 from seekframe.operators import semantic
 
 SAMPLE, LISTS_MOST, ROUNDS = 8192, 1024, 8
+#: Vectors next to a query that are read at once: fewer cost less than a second look.
+FIRST = 50_000
 #: What rounding may change in a bound; scores are compared to 9 digits.
 SLACK = 4e-9
 CENTROIDS = "list int, centroid array<double>"
@@ -95,49 +97,53 @@ def stored(rows: DataFrame) -> DataFrame:
 
 def nearest(rows: DataFrame, middles: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """(query_id, id, score, rank), as semantic.nearest() gives them. ``rows``: of assigned()."""
-    blocks = -(-queries.count() // semantic.QUERIES_MOST)
-    if blocks <= 1:
-        return _nearest(rows, middles, queries, limit)[0]
+    some = queries.limit(semantic.QUERIES_MOST + 1).collect()
+    if len(some) <= semantic.QUERIES_MOST:
+        return _nearest(rows, middles, some, limit, queries.schema["query_id"].dataType.simpleString())[0]
+    blocks = -(-queries.count() // semantic.QUERIES_MOST) + 1
     dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    return reduce(DataFrame.unionByName, [_nearest(rows, middles, dealt.where(F.col("block") == n).drop("block"), limit)[0] for n in range(blocks)])
+    return reduce(DataFrame.unionByName, [nearest(rows, middles, dealt.where(F.col("block") == n).drop("block"), limit) for n in range(blocks)])
 
 
-def _nearest(rows: DataFrame, middles: DataFrame, queries: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(the result, (query_id, list) of the lists read first, and of those read after)."""
-    spark = rows.sparkSession
+Pairs = list[tuple[int, int]]
+
+
+def _nearest(rows: DataFrame, middles: DataFrame, queries: list, limit: int, kind: str = "int") -> tuple[DataFrame, Pairs, Pairs]:
+    """(the result, (query, list) of the lists read first, and of those read after)."""
     held = _held(middles)
     spans = {r["list"]: (r["radius"], r["n"]) for r in rows.groupBy("list").agg(F.max("gap").alias("radius"), F.count("*").alias("n")).collect()}
-    asked = queries.where(semantic.valid(F.col("q"))).collect()  # at most QUERIES_MOST
-    near, far = [], []
-    for r in asked:
-        q = np.array(r["q"], float)
+    asked = {r["query_id"]: [float(x) for x in r["q"]] for r in queries if r["q"] and all(x is not None and np.isfinite(x) for x in r["q"]) and any(r["q"])}
+    first, rest = [], []
+    for name, q in asked.items():
+        q = np.array(q)
         names, middle = held.get(len(q), (np.zeros(0, int), np.zeros((0, len(q)))))
         gaps = np.linalg.norm(middle - q / np.linalg.norm(q), axis=1)
         bounds = sorted([(max(0.0, g - spans[i][0]), g, int(i)) for i, g in zip(names.tolist(), gaps.tolist(), strict=True) if i in spans])
         bounds += [(0.0, 0.0, -len(q))] if -len(q) in spans else []
         got = 0
         for low, _, i in bounds:
-            (near if got < 2 * limit else far).append((r["query_id"], i, 1 - low * low / 4))
+            (first if got < max(2 * limit, FIRST) else rest).append((name, i, 1 - low * low / 4))
             got += spans[i][1]
-    pairs = "query_id int, list int, most double"
-    first, rest = (keep(spark.createDataFrame(x, pairs).coalesce(1), "lists") for x in (near, far))
-    begun = keep(_best(_scored(rows, first, queries), limit).drop("rank"), "nearest")
-    kth = begun.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
-    least = F.when(F.col("n") >= limit, F.col("kth")).otherwise(0.0)
-    after = keep(rest.join(kth.select("query_id", least.alias("least")), "query_id", "left").where(F.col("least").isNull() | (F.col("most") >= F.col("least") - SLACK)).select("query_id", "list"), "lists")
-    if after.isEmpty():
-        return _best(begun, limit), first, after
-    return _best(begun.unionByName(_scored(rows, after, queries)), limit), first, after
-
-
-def _scored(rows: DataFrame, pairs: DataFrame, queries: DataFrame) -> DataFrame:
+    asked = rows.sparkSession.createDataFrame(list(asked.items()), f"query_id {kind}, q array<double>")
+    read = [(n, i) for n, i, _ in first]
+    begun = _best(_scored(rows, read, asked, kind), limit)
+    if not rest:
+        return begun, read, []
+    begun = keep(begun.drop("rank"), "nearest")
+    found = begun.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).collect()  # a row a query
+    least = {r["query_id"]: r["kth"] - SLACK for r in found if r["n"] >= limit}
+    after = [(n, i) for n, i, most in rest if most >= least.get(n, 0.0)]
+    return (_best(begun.unionByName(_scored(rows, after, asked, kind)), limit) if after else _best(begun, limit)), read, after
+
+
+def _scored(rows: DataFrame, pairs: Pairs, asked: DataFrame, kind: str) -> DataFrame:
     """(query_id, id, score) of the pairs' lists; only these are asked of the scan."""
-    lists = sorted(r[0] for r in pairs.select("list").distinct().collect())
+    told = rows.sparkSession.createDataFrame(pairs, f"query_id {kind}, list int")
     norm = lambda v: F.sqrt(semantic.dot(v, v))
-    left = rows.where(F.col("list").isin(lists)).select("id", "v", "list", norm(F.col("v")).alias("vn"))
-    right = queries.where(semantic.valid(F.col("q"))).select("query_id", "q", norm(F.col("q")).alias("qn"))
+    left = rows.where(F.col("list").isin(sorted({i for _, i in pairs}))).select("id", "v", "list", norm(F.col("v")).alias("vn"))
+    right = asked.select("query_id", "q", norm(F.col("q")).alias("qn"))
     # at most QUERIES_MOST queries, each with as many lists as there are
-    both = left.join(F.broadcast(pairs.select("query_id", "list")), "list").join(F.broadcast(right), "query_id").where(F.size("v") == F.size("q"))
+    both = left.join(F.broadcast(told), "list").join(F.broadcast(right), "query_id").where(F.size("v") == F.size("q"))
     cosine = semantic.dot(F.col("v"), F.col("q")) / (F.col("vn") * F.col("qn"))
     return both.select("query_id", "id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 + cosine) / 2)).alias("score")).where("score > 0")
 
