@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 TERM_BREAK = r"[^\p{L}\p{N}_$#.]+"
 TOKEN = r"[\p{L}\p{N}_]+(?:[.'][\p{L}\p{N}_]+)*"
-BREAK_LOWER_UPPER = r"(?<=[a-z0-9])(?=[A-Z])"
-BREAK_ACRONYM = r"(?<=[A-Z])(?=[A-Z][a-z])"
+# Where identifiers are taken apart.
+BREAK_LOWER_UPPER = r"(?<=[\p{Ll}\p{Nd}])(?=\p{Lu})"
+BREAK_ACRONYM = r"(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
 
 
 def terms(text: Column, least: int = 1) -> Column:
@@ -38,7 +39,7 @@ def split_identifiers(text: Column) -> Column:
 def identifier_tokens(text: Column) -> Column:
     """The lower-cased words of split_identifiers(), without making its text. Texts without camel case are only looked at."""
     parted = F.regexp_replace(F.regexp_replace(text, BREAK_ACRONYM, " "), BREAK_LOWER_UPPER, " ")
-    whole = F.when(text.rlike(r"[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"), parted).otherwise(text)
+    whole = F.when(text.rlike(r"[\p{Ll}\p{Nd}]\p{Lu}|\p{Lu}\p{Lu}\p{Ll}"), parted).otherwise(text)
     return F.regexp_extract_all(F.lower(whole), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 

@@ -67,6 +67,15 @@ def greedy(rows: DataFrame, budget: int, keys: tuple[str, ...] = ("query_id",))
     return every.select(*keys, "path", F.col("start_line").cast("int").alias("start_line"), F.col("tokens").cast("int").alias("tokens"), place.alias("place"))
 
 
+def split(tokens: Column) -> list[Column]:
+    """A context budget's parts, as limits.budget_split(): instructions, skills, history and what is left for tasks."""
+    share = lambda least, most, part: F.least(F.lit(most), F.greatest(F.lit(least), F.floor(part)))
+    told = F.least(tokens, share(24, 600, tokens / 4))
+    skills = F.least(tokens - told, share(64, 2000, tokens / 5))
+    past = F.when(tokens >= 500, F.least(tokens - told - skills, share(64, 500, tokens * 15 / 100))).otherwise(0)
+    return [c.cast("int").alias(n) for n, c in (("instructions", told), ("skills", skills), ("history", past), ("tasks", tokens - told - skills - past))]
+
+
 def room(tokens: Column) -> Column:
     """The characters that so many tokens hold."""
     return F.floor(tokens * F.lit(CHARACTERS)).cast("int")

@@ -40,7 +40,7 @@ def place(partition: str, order: str) -> str:
 
 
 def split_identifiers(x: str) -> str:
-    parted = rf"regexp_replace(regexp_replace({x}, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g')"
+    parted = rf"regexp_replace(regexp_replace({x}, '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g'), '([\p{{Ll}}\p{{Nd}}])(\p{{Lu}})', '\1 \2', 'g')"
     return rf"trim(regexp_replace({parted}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
 
@@ -371,11 +371,11 @@ SQL: dict[str, str] = {
         SELECT project, CAST(available AS BIGINT) AS available, CAST(coalesce(selected, 0) AS BIGINT) AS selected, CAST(coalesce(s.items, 0) AS BIGINT) AS items,
                round(CASE WHEN available > 0 THEN greatest(0, 1 - coalesce(selected, 0)::DOUBLE / available::DOUBLE) ELSE 0 END, 6) AS reduction
         FROM a LEFT JOIN s USING (project)""",
-    "budget_split": """
-        WITH b AS (SELECT CAST(unnest([60, 400, 500, 2000, 20000]) AS INTEGER) AS budget), i AS (SELECT budget, least(budget, least(600, greatest(24, budget // 4))) AS instructions FROM b),
+    "budget_split": f"""
+        WITH {FILES}, b AS (SELECT source AS project, least(20000, greatest(60, sum({TOKENS}) // 10)) AS budget FROM files GROUP BY source), i AS (SELECT project, budget, least(budget, least(600, greatest(24, budget // 4))) AS instructions FROM b),
         s AS (SELECT *, least(budget - instructions, least(2000, greatest(64, budget // 5))) AS skills FROM i),
         h AS (SELECT *, CASE WHEN budget >= 500 THEN least(budget - instructions - skills, least(500, greatest(64, budget * 15 // 100))) ELSE 0 END AS history FROM s)
-        SELECT CAST(budget AS INTEGER) AS budget, CAST(instructions AS INTEGER) AS instructions, CAST(skills AS INTEGER) AS skills, CAST(history AS INTEGER) AS history,
+        SELECT project, CAST(budget AS INTEGER) AS budget, CAST(instructions AS INTEGER) AS instructions, CAST(skills AS INTEGER) AS skills, CAST(history AS INTEGER) AS history,
                CAST(budget - instructions - skills - history AS INTEGER) AS tasks FROM h""",
     "fair_allocation": f"WITH {SHARES} SELECT project, place, fair, least(2401, 3 * fair) AS candidates FROM shares",
     "cross_source_antijoin": f"WITH {FILES} SELECT source AS project, path FROM files WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)",

@@ -256,8 +256,10 @@ def greedy_budget_truncating(spark: SparkSession, d: str) -> DataFrame:
 
 
 def budget_split(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(b, *limits.budget_split(b).values()) for b in (60, 400, 500, 2000, 20000)]
-    return spark.createDataFrame(rows, "budget int, instructions int, skills int, history int, tasks int")
+    """A context budget for each source, a tenth of its tokens, and the parts that it is split into."""
+    tokens = F.sum(text.token_estimate(F.col("content")).cast("long"))
+    own = corpus.files(spark, d).groupBy("project").agg(F.least(F.lit(20000), F.greatest(F.lit(60), F.floor(tokens / 10))).cast("int").alias("budget"))
+    return own.select("project", "budget", *budget.split(F.col("budget")))
 
 
 def fair_allocation(spark: SparkSession, d: str) -> DataFrame:

@@ -82,44 +82,95 @@ def glob_regex(glob: str) -> str:
     return "^" + "".join(out) + "$"
 
 
-class IgnoreRules:
-    """One ignore file's rules, with its folder; the last rule that fits decides."""
-
-    def __init__(self, text: str, folder: str = ""):
-        self.folder = folder.strip("/")
-        self.rules: list[tuple[re.Pattern, bool, bool]] = []
-        for line in text.splitlines():
-            line = line.rstrip()
-            if not line or line.startswith("#"):
-                continue
-            ignore = not line.startswith("!")
-            body = line.lstrip("!") if not ignore else line
-            folders_only = body.endswith("/")
-            body = body.rstrip("/")
-            anchored = "/" in body
-            pattern = glob_regex(body.lstrip("/"))[1:-1]
-            self.rules.append((re.compile(("^" if anchored else "^(?:.*/)?") + pattern + "$"), ignore, folders_only))
-
-    def verdict(self, path: str, folder: bool = False) -> bool | None:
-        """True to ignore, False to keep, None where no rule fits; a folder's verdict holds for what's in it."""
-        if self.folder and not path.startswith(self.folder + "/"):
+#: Character classes by name, as an ignore pattern may hold them.
+CLASSES = {"alnum": r"\p{Alnum}", "alpha": r"\p{Alpha}", "digit": r"\p{Digit}", "lower": r"\p{Lower}", "punct": r"\p{Punct}", "space": r"\s", "upper": r"\p{Upper}", "xdigit": r"\p{XDigit}"}
+_NAMED = "|".join(CLASSES)
+_TOKENS = re.compile(
+    r"(?P<escape>\\(?P<plain>.))|(?P<set>\[(?P<not>[!^]?)(?P<members>\]?(?:\[:(?:" + _NAMED + r"):\]|\\.|[^\]\\])*)\])"
+    r"|(?P<folders>(?:(?<=/)|^)\*\*/)|(?P<inside>(?<=/)\*\*$)|(?P<run>\*+)|(?P<one>\?)|(?P<text>[^\\\[*?])|(?P<wrong>.)",
+    re.S,
+)
+
+
+def _members(body: str) -> str:
+    """The members of a set of characters, for a regular expression."""
+    out = []
+    for token in re.finditer(r"\[:(\w+):\]|\\(.)|(.)", body, re.S):
+        name, escaped, plain = token.groups()
+        if name:
+            out.append(CLASSES[name])
+        else:
+            out.append("-" if plain == "-" and 0 < token.start() < len(body) - 1 else re.sub(r"[\W_]", r"\\\g<0>", escaped or plain))
+    return "".join(out)
+
+
+def ignore_regex(body: str) -> str | None:
+    """An ignore pattern, without signs and slashes around it, as an anchored regular expression; None if it's malformed."""
+    out = []
+    for token in _TOKENS.finditer(body):
+        kind, text = token.lastgroup if token.lastgroup not in ("plain", "not", "members") else None, token.group()
+        if token.group("escape"):
+            out.append(re.sub(r"\W", r"\\\g<0>", token.group("plain")))
+        elif token.group("set"):
+            out.append(f"(?!/)[{'^' if token.group('not') else ''}{_members(token.group('members'))}]")
+        elif token.group("wrong"):
             return None
-        own = path[len(self.folder) + 1 :] if self.folder else path
-        parts, decided = own.split("/"), None
-        for n in range(1, len(parts) + 1):
-            is_folder = folder or n < len(parts)
-            for pattern, ignore, folders_only in self.rules:
-                if (is_folder or not folders_only) and pattern.match("/".join(parts[:n])):
-                    decided = ignore
-            if decided and n < len(parts):
-                return True
-        return decided
-
-
-def ignored(path: str, families: list[list[IgnoreRules]]) -> bool:
-    """Whether any family of ignore files ignores the path; in a family the last scope with a verdict decides."""
+        else:
+            out.append({"folders": "(?:.*/)?", "inside": ".+", "run": "[^/]*", "one": "[^/]"}.get(kind) or re.sub(r"[^\w/ ]", r"\\\g<0>", text))
+    return "".join(out)
+
+
+Rule = tuple[str, bool, bool]
+
+
+def ignore_rules(text: str) -> list[Rule]:
+    """(regular expression, whether it ignores, whether it's for folders only) of an ignore file's lines, in order."""
+    out = []
+    for line in text.splitlines():
+        line = re.sub(r"(?<!\\) +$", "", line)
+        ignore = not line.startswith("!")
+        body = line if ignore else line[1:]
+        if not body.strip("/") or line.startswith("#"):
+            continue
+        folders = body.endswith("/")
+        body = body.rstrip("/")
+        pattern = ignore_regex(body.removeprefix("/"))
+        if pattern is not None:
+            out.append((("" if "/" in body else "(?:.*/)?") + pattern, ignore, folders))
+    return out
+
+
+def _verdict(path: Column, rules: list[Rule], folder: bool) -> Column:
+    """What the last rule that fits says of a path, null where none does; neighbours that say the same are one expression."""
+    runs: list[tuple[bool, list[str]]] = []
+    for pattern, ignore, folders in rules:
+        if folder or not folders:
+            if not runs or runs[-1][0] != ignore:
+                runs.append((ignore, []))
+            runs[-1][1].append(pattern)
+    out = F.lit(None).cast("boolean")
+    for ignore, patterns in runs:
+        out = F.when(path.rlike(r"(?s)\A(?:" + "|".join(patterns) + r")\z"), F.lit(ignore)).otherwise(out)
+    return out
+
+
+def ignored(path: Column, families: list[list[tuple[str, list[Rule]]]]) -> Column:
+    """Whether any family of ignore files ignores a file; of a family's (folder, rules) the last with a verdict decides.
+
+    A folder that is ignored takes along what's in it. All in built-in functions: a path is split into the folders above it,
+    and each is compared with a scope's rules.
+    """
+    out = F.lit(False)
     for family in families:
-        verdicts = [v for rules in family if (v := rules.verdict(path)) is not None]
-        if verdicts and verdicts[-1]:
-            return True
-    return False
+        decided = F.lit(None).cast("boolean")
+        for scope, rules in family:
+            scope = scope.strip("/")
+            own = F.substring(path, len(scope) + 2, 1 << 30) if scope else path
+            parts = F.split(own, "/")
+            above = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda _, n: F.array_join(F.slice(parts, F.lit(1), n + 1), "/"))
+            told = F.transform(above, lambda x: _verdict(x, rules, True))
+            last = F.coalesce(_verdict(own, rules, False), F.when(F.exists(told, lambda x: ~x), F.lit(False)))
+            said = F.when(F.exists(told, lambda x: x), F.lit(True)).otherwise(last)
+            decided = F.coalesce(F.when(path.startswith(scope + "/"), said) if scope else said, decided)
+        out = out | F.coalesce(decided, F.lit(False))
+    return out

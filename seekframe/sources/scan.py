@@ -6,13 +6,12 @@ import os
 import stat
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekframe.functions.text import scan_estimate
-from seekframe.sources.classify import OWN_FOLDER, SKIPPED_FOLDERS, IgnoreRules, category, ignored, language, skipped
+from seekframe.sources.classify import OWN_FOLDER, SKIPPED_FOLDERS, category, ignore_rules, ignored, language, skipped
 
 MOST_BYTES = 8 << 20
 #: Families of ignore files; a path goes if any family says so.
@@ -108,10 +107,9 @@ def scan(spark: SparkSession, root: str, project: str, ignore_files: tuple[str,
     known = rows.where(~skipped(F.col("path"), own_folder) & language(F.col("path")).isNotNull())
     told = _contents(spark, [h for h in hidden if h[0].rpartition("/")[2] in ignore_files and h[2] <= MOST_BYTES]).collect()
     rules = sorted(((r["path"], r["content"].decode("utf-8", "replace")) for r in told), key=lambda r: (r[0].count("/"), r[0]))
-    families: list[list[IgnoreRules]] = [[IgnoreRules(text, p.rpartition("/")[0]) for p, text in rules if p.rpartition("/")[2] == name] for name in ignore_files]
+    families = [[(p.rpartition("/")[0], ignore_rules(text)) for p, text in rules if p.rpartition("/")[2] == name] for name in ignore_files]
     if any(families):
-        kept = F.pandas_udf(lambda paths: pd.Series([not ignored(p, families) for p in paths], dtype=bool), "boolean")
-        known = known.where(kept("path"))
+        known = known.where(~ignored(F.col("path"), families))
     fits = known.where(F.col("length") <= MOST_BYTES)
     files = fits.select(
         F.lit(project).alias("project"),

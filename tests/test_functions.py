@@ -96,8 +96,45 @@ def test_globs():
     assert fits("src/**", "src/a/b") and fits("a?c", "abc") and not fits("a?c", "a/c")
 
 
-def test_ignore_rules():
-    root, sub = classify.IgnoreRules("*.log\n!keep.log\nbuild/\n/top.txt\n# note"), classify.IgnoreRules("!x.log", "sub")
-    ignored = lambda p: classify.ignored(p, [[root, sub]])
-    assert ignored("a/b.log") and not ignored("keep.log") and ignored("build/x") and ignored("top.txt") and not ignored("a/top.txt")
-    assert not ignored("sub/x.log") and ignored("x.log")
+def test_ignore_rules(spark):
+    root = classify.ignore_rules("*.log\n!keep.log\nbuild/\n/top.txt\n# note")
+    sub = ("sub", classify.ignore_rules("!x.log"))
+    cases = {"a/b.log": True, "keep.log": False, "build/x": True, "top.txt": True, "a/top.txt": False, "sub/x.log": False, "x.log": True, "sub/y.log": True, "build": False, "subx/x.log": True}
+    df = spark.createDataFrame([(p,) for p in cases], "path string")
+    assert {r["path"]: r["i"] for r in df.select("path", classify.ignored(F.col("path"), [[("", root), sub]]).alias("i")).collect()} == cases
+
+
+IGNORE_CASES = [
+    ("f[0-9].txt", "f5.txt", True), ("f[0-9].txt", "fx.txt", False), ("f[!0-9].txt", "fx.txt", True), ("f[^0-9].txt", "f1.txt", False), ("[[:upper:]]*.c", "Ab.c", True), ("[[:upper:]]*.c", "ab.c", False),
+    ("[]x]", "]", True), ("[a-]b", "-b", True), ("[a\\]]b", "]b", True), ("a[/]b", "a/b", False), ("[abc", "[abc", False), ("\\#note", "#note", True), ("\\!x", "!x", True), ("\\*.c", "a.c", False), ("\\*.c", "*.c", True),
+    ("x\\", "x", False), ("a.c", "abc", False), ("end   ", "end", True), ("end\\ ", "end ", True), ("#no", "#no", False), ("", "a", False), ("/", "a", False),
+    ("a/**/b", "a/b", True), ("a/**/b", "a/x/y/b", True), ("a/**", "a/x/y", True), ("a/**", "a", False), ("**/z", "z", True), ("**/z", "q/r/z", True), ("f**o", "fxxo", True), ("f**o", "f/o", False),
+    ("d/e", "x/d/e", False), ("d/e", "d/e/f", True), ("d/", "d", False), ("d/", "x/d/y", True), ("a?c", "abc", True), ("a?c", "a/c", False), ("d\n!d/keep", "d/keep", True), ("d/*\n!d/keep", "d/keep", False), ("*\n!*/\n!*.py", "a/b.py", False),
+    ("(x)+{1}|$^.y", "(x)+{1}|$^.y", True), ("a b", "q/a b", True), ("é*", "q/été", True), ("*", "any/thing", True),
+]
+
+
+def test_ignore_syntax(spark):
+    """Sets, escapes, stars and negations, in plans without Python."""
+    rows = spark.createDataFrame([(n, p) for n, (_, p, _) in enumerate(IGNORE_CASES)], "n int, path string")
+    told = F.lit(None).cast("boolean")
+    for n, (text_, _, _) in enumerate(IGNORE_CASES):
+        told = F.when(F.col("n") == n, classify.ignored(F.col("path"), [[("", classify.ignore_rules(text_))]])).otherwise(told)
+    out = rows.select("n", told.alias("i"))
+    assert [(IGNORE_CASES[r["n"]], r["i"]) for r in out.collect() if r["i"] != IGNORE_CASES[r["n"]][2]] == []
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+
+def test_unicode_identifiers(spark):
+    df = spark.createDataFrame([("élèveÉtat",), ("XMLÜberTest",), ("naïve2Ärger",), ("plain",)], "t string")
+    assert [r["x"] for r in df.select(text.split_identifiers(F.col("t")).alias("x")).collect()] == ["élève État", "XML Über Test", "naïve2 Ärger", "plain"]
+    assert [r["x"] for r in df.select(text.identifier_tokens(F.col("t")).alias("x")).collect()] == [["élève", "état"], ["xml", "über", "test"], ["naïve2", "ärger"], ["plain"]]
+
+
+def test_split_columns(spark):
+    from seekframe.operators import budget
+
+    sizes = [50, 60, 99, 400, 499, 500, 777, 2000, 20000, 100000]
+    for r in spark.createDataFrame([(n,) for n in sizes], "n int").select("n", *budget.split(F.col("n"))).collect():
+        assert r.asDict() == {"n": r["n"]} | limits.budget_split(r["n"])
