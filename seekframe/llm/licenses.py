@@ -8,6 +8,10 @@ canonical form equals a known text's is that licence; nothing less than the enti
 text counts. Nulls and empty texts are the empty form, which is no licence; a text that is only
 copyright lines is that form too. Rows are judged one by one, so repeated rows repeat; an empty table gives no rows.
 
+A text that isn't known as it stands is looked up once more without its head: the paragraphs at its beginning that are a title (one line
+that names a licence, without sentence marks) or that begin, title or not, with a copyright word or sign, whoever the holder is
+and however many lines he takes, up to a blank line and ``HEAD_MOST`` characters each. The digest told is that of the whole text.
+
 Known are short texts (KNOWN), the digests of long ones (DIGESTS), and whatever folder of published files a caller
 names. The only join is to the known digests. They are broadcast when there are at most
 ``BROADCAST_ROWS`` of them, else joined by shuffle.
@@ -37,6 +41,20 @@ SPELLINGS = [
     (" https ", " http "),
 ]
 BROADCAST_ROWS = 10_000
+HEAD_MOST = 400
+_MARKS, _TITLE = r"[\s#*/;%!>-]*", r"[^\n.,;]{0,40}licen[cs]e[^\n.,;]{0,40}"
+HEAD = rf"\A{_MARKS}(?:{_TITLE})?(?:(?:\n{_MARKS})?(?<![^\s#*/;%!>-])(?:portions )?(?:copyright|\(c\)|©)|\s*\z)"
+BLANK = r"\n[ \t\r]*\n"
+
+
+def without_head(text: Column) -> Column:
+    """The text, A-Z in lower case, from its first paragraph on that isn't a title or a copyright notice; null if that's all or none."""
+    low = F.translate(text, UPPER, LOWER)
+    parts = F.split(low, BLANK)
+    place = F.array_position(F.transform(parts, lambda p: (F.length(p) <= HEAD_MOST) & p.rlike(HEAD)), False)
+    body = F.when(place > 1, F.array_join(F.slice(parts, place.cast("int"), F.size(parts)), "\n\n"))
+    # texts that don't begin like one are only looked at
+    return F.when(F.substring(low, 1, 4 * HEAD_MOST).rlike(rf"\A(?:{_MARKS}|{_MARKS}[^\n]*)(?:licen[cs]e|copyright|\(c\)|©)"), body)
 
 
 def canonical(text: Column) -> Column:
@@ -69,11 +87,13 @@ def scan(docs: DataFrame, known: DataFrame, known_rows: int, id_col: str = "doc_
 
     ``known`` is (license, digest) with unique digests, ``known_rows`` a bound on its rows.
     """
-    form = docs.select(F.col(id_col), canonical(F.col(text_col)).alias("form"))
-    digested = form.select(id_col, F.sha2("form", 256).alias("canon_sha256"), F.length("form").cast("long").alias("canon_chars"))
-    side = F.broadcast(known) if known_rows <= BROADCAST_ROWS else known
-    joined = digested.join(side, (F.col("canon_sha256") == F.col("digest")) & (F.col("canon_chars") > 0), "left")
-    return joined.select(id_col, "license", "canon_sha256", "canon_chars")
+    form = docs.select(F.col(id_col), canonical(F.col(text_col)).alias("form"), canonical(without_head(F.col(text_col))).alias("body"))
+    body = F.when(F.col("body") != "", F.sha2("body", 256)).alias("body_sha256")
+    digested = form.select(id_col, F.when(F.col("form") != "", F.sha2("form", 256)).alias("form_sha256"), F.sha2("form", 256).alias("canon_sha256"), body, F.length("form").cast("long").alias("canon_chars"))
+    side = known.select(F.col("digest").alias("form_sha256"), F.col("license").alias("whole")), known.select(F.col("digest").alias("body_sha256"), F.col("license").alias("headless"))
+    for one in side:
+        digested = digested.join(F.broadcast(one) if known_rows <= BROADCAST_ROWS else one, next(c for c in one.columns if c.endswith("sha256")), "left")
+    return digested.select(id_col, F.coalesce("whole", "headless").alias("license"), "canon_sha256", "canon_chars")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,13 +121,23 @@ def _sql_canonical(text: str) -> str:
         ' sub licens', ' sublicens', 'g'), ' https ', ' http '), '^$', ''), ' '))"""
 
 
+#: A title, a copyright notice, one after the other, or nothing; written from the description too.
+_SQL_HEAD = (
+    r"'^[-\s!#%*/;>]*($|(portions )?(copyright|\(c\)|©)|[^.,;\n]{0,40}licen[cs]e[^.,;\n]{0,40}(\s*$|\n[-\s!#%*/;>]*(portions )?(copyright|\(c\)|©)))'"
+)
+
 OP7_SQL = f"""
 WITH known AS (
   SELECT digest, min(l) AS license FROM (
     SELECT l, sha256({_sql_canonical('t')}) AS digest FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in KNOWN)}) AS v(l, t)
     UNION ALL SELECT * FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in DIGESTS)}) AS v(l, d)
   ) GROUP BY digest
-), docs AS (SELECT doc_id, {_sql_canonical('text')} AS form FROM documents)
-SELECT d.doc_id, k.license, sha256(d.form) AS canon_sha256, CAST(length(d.form) AS BIGINT) AS canon_chars
-FROM docs d LEFT JOIN known k ON sha256(d.form) = k.digest AND length(d.form) > 0
+), docs AS (
+  SELECT doc_id, {_sql_canonical('text')} AS form, {_sql_canonical('body')} AS body
+  FROM (SELECT *, CASE WHEN place > 1 THEN array_to_string(parts[place:], chr(10) || chr(10)) END AS body FROM (
+    SELECT *, list_position(list_transform(parts, lambda p: length(p) <= 400 AND regexp_matches(p, {_SQL_HEAD})), false) AS place
+    FROM (SELECT doc_id, text, string_split_regex(translate(text, '{UPPER}', '{LOWER}'), '\n[ \t\r]*\n') AS parts FROM documents)))
+)
+SELECT d.doc_id, coalesce(k.license, h.license) AS license, sha256(d.form) AS canon_sha256, CAST(length(d.form) AS BIGINT) AS canon_chars
+FROM docs d LEFT JOIN known k ON sha256(d.form) = k.digest AND length(d.form) > 0 LEFT JOIN known h ON sha256(d.body) = h.digest AND length(d.body) > 0
 """

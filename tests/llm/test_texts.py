@@ -336,3 +336,25 @@ def test_scratch_needs_a_shared_folder(spark, tmp_path):
     assert kept.count() == 3 and scratch.root.startswith(shared_dir(spark))
     scratch.drop(kept)
     assert not os.path.exists(kept._scratch_path)
+
+
+HEADS = [
+    "MIT License\n\nCopyright Jane Doe\n\n", "Copyright OpenJS Foundation and other contributors, https://openjsf.org/\n\n", "Copyright Joyent, Inc. and other Node contributors.\n\n",
+    "(The MIT License)\n\nCopyright (c) 2009-2014 TJ\n\n", "The MIT License\n\nCopyright (c) 2010-2020 Google\n\n", "Copyright (c) 2014-present, Facebook,\nInc. and its affiliates.\n\n",
+    "MIT License\nCopyright Jane Doe\n \t\n", "\n\n# The MIT Licence\n# Copyright (c) Jane\n\n\n", "Portions copyright the Someones\n\n© More People\n\n",
+]
+NO_HEADS = ["Jane's words on her licence.\n\n", "Copyright " + "and more " * 60 + "\n\n", "Not a head\nCopyright Jane\n\n", "See the license, please\n\n"]
+
+
+def test_license_heads(spark):
+    """Titles and copyright notices of any holder before a known text; the oracle agrees on every one."""
+    import duckdb
+
+    mit = licenses.KNOWN[2][1]
+    texts = [h + mit for h in HEADS] + [h + mit for h in NO_HEADS] + [HEADS[0], "Copyright Jane\n\n" + mit + "\n\nMore.", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(df, licenses.known_digests(spark), 100).collect()}
+    assert [got[n] for n in range(len(texts))] == ["MIT"] * len(HEADS) + [None] * (len(NO_HEADS) + 4)
+    sql = licenses.OP7_SQL.replace("FROM documents", "FROM (SELECT unnest($1) AS doc_id, unnest($2) AS text)")
+    told = duckdb.execute(sql, [list(range(len(texts))), texts]).fetchall()
+    assert {r[0]: r[1] for r in told} == got
