@@ -25,7 +25,7 @@ def test_index_of_all_terms(spark):
     once = lexical.scores(files, queries)
     fields, postings = lexical.build(files)
     assert rows(lexical.search(fields, postings, queries)) == rows(once) != []
-    assert (("q", "c.md", "content", 1, "compass", 1)) in rows(postings) and len(rows(fields)) == 9
+    assert ("q", "c.md", "content", 1, "compass", 1, 0) in rows(postings) and len(rows(fields)) == 9
     counted = spark.createDataFrame([("p", "x.md", "b a b, A b")], "project string, path string, content string")
     assert [(r["term"], r["tf"]) for r in lexical.build(counted)[1].where("field = 'content'").orderBy("term").collect()] == [("a", 2), ("b", 3)]
 
