@@ -154,11 +154,15 @@ class Engine:
             return None
         return {r["field"]: r["value"] for r in view.read("provenance").collect()}  # six rows
 
-    def table(self, project: str, name: str) -> DataFrame:
+    def _ready(self, project: str) -> View:
+        """The newest generation of a project that has a finished index."""
         row = self.resolve(project)
         if row[3] != "READY":
             raise NotReady(f"{row[1]} is {row[3]}")
-        return self._snapshots(row[0]).read(name)
+        return self._snapshots(row[0]).view()
+
+    def table(self, project: str, name: str) -> DataFrame:
+        return self._ready(project).read(name)
 
     def files(self, project: str) -> DataFrame:
         """The project's files in order of path."""
@@ -182,13 +186,16 @@ class Engine:
 
     def edges(self, project: str) -> DataFrame:
         """(src, dst) files connected by imports that a file's types resolve."""
-        owners = symbols.owners(self.table(project, "symbols"), TYPE_KINDS)
-        refs = self.table(project, "relations").where("kind = 'IMPORTS'").select("source", "target").distinct()
+        return self._edges(self._ready(project))
+
+    @staticmethod
+    def _edges(view: View) -> DataFrame:
+        owners = symbols.owners(view.read("symbols"), TYPE_KINDS)
+        refs = view.read("relations").where("kind = 'IMPORTS'").select("source", "target").distinct()
         return graph.longest_owner(refs, owners, ["source", "target"]).select(F.col("source").alias("src"), F.col("owner").alias("dst"))
 
-    def _near(self, project: str, vectors: dict[int, list[float]], provenance: dict, limit: int) -> DataFrame | None:
+    def _near(self, view: View, vectors: dict[int, list[float]], provenance: dict, limit: int) -> DataFrame | None:
         """(query_id, path, semantic) of the stored vectors next to the queries'; None where none are stored or provenance differs."""
-        view = self._snapshots(self.resolve(project)[0]).view()
         if self._provenance(view) != semantic.provenance(provenance):
             return None
         asked = self.spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors.items()], "query_id int, q array<double>")
@@ -207,22 +214,23 @@ class Engine:
         limit = limits.results(limit)
         pool = limits.search_pool(limit)
         asked = self.spark.createDataFrame([(i, q.strip()) for i, q in queries.items()], "query_id int, query string")
-        files = self.table(project, "files").where(generic(F.col("category")))
-        known = self.table(project, "symbols")
+        view = self._ready(project)  # one generation for all that a search reads
+        files = view.read("files").where(generic(F.col("category")))
+        known = view.read("symbols")
         kinds = files.select("path", candidate_type(F.col("category")).alias("type"))
-        hits = lexical.search_best(self.table(project, "fields"), self.table(project, "postings"), self.table(project, "blocks"), asked, 2 * pool)
+        hits = lexical.search_best(view.read("fields"), view.read("postings"), view.read("blocks"), asked, 2 * pool)
         hits = lexical.candidates(hits, asked, pool, kinds).join(kinds, "path")
         none = F.lit(None).cast("string")
         rows = hits.select("query_id", F.concat(F.lit("file:"), "path").alias("id"), "type", "path", none.alias("symbol"), F.lit(0).alias("arrival"), "lexical", "path_signal")
-        said = symbols.scored(known, [q.strip() for q in queries.values()], limits.symbol_pool(limit), pool, self.table(project, "parts"))
+        said = symbols.scored(known, [q.strip() for q in queries.values()], limits.symbol_pool(limit), pool, view.read("parts"))
         said = said.join(F.broadcast(asked.select("query_id", F.lower("query").alias("query"))), "query")
         rows = rows.unionByName(said.select("query_id", "id", F.lit("SYMBOL").alias("type"), "path", F.col("qualified").alias("symbol"), F.lit(1).alias("arrival"), "exact", "fuzzy", "path_signal"), allowMissingColumns=True)
-        near = self._near(project, vectors, provenance or {}, pool) if vectors else None
+        near = self._near(view, vectors, provenance or {}, pool) if vectors else None
         if near is not None:
             rows = rows.unionByName(near.join(kinds, "path").select("query_id", F.concat(F.lit("file:"), "path").alias("id"), "type", "path", none.alias("symbol"), F.lit(2).alias("arrival"), "semantic"), allowMissingColumns=True)
         direct = keep(rank.merge(rows), "direct")
         seeds = direct.select("query_id", "path", F.greatest("lexical", "exact", "fuzzy", "path_signal").alias("score"))
-        near = graph.spread(seeds, self.edges(project), files, ("query_id",)).join(kinds, "path")
+        near = graph.spread(seeds, self._edges(view), files, ("query_id",)).join(kinds, "path")
         # what only the graph brings is a file or a test
         kind = F.when(F.col("type") == "TEST", "TEST").otherwise("FILE")
         near = near.select("query_id", F.concat(F.lit("file:"), "path").alias("id"), kind.alias("type"), "path", none.alias("symbol"), F.lit(3).alias("arrival"), "graph")
