@@ -12,14 +12,14 @@ sequence of words when that's shorter; without words it is empty and links with
    quarter in that order. Connecting sets by those n-grams, each n-gram's sets to the least of them, gives neighbourhoods;
    links never leave one.
 3. *Prefix tree.* A neighbourhood of at most ``MEMBERS`` sets and ``GRAMS`` n-grams is one group, larger ones are dealt
-   into several. A group stores its sets, most frequent n-gram first, in a prefix tree. Each set walks the tree once: the
+   into several. A group stores its sets, most frequent n-gram first, in a prefix tree. Each set walks the tree once, a level at a time: the
    overlap with a branch is summed once for all sets below; a subtree is left when the overlap so far and the
    remaining lengths cannot reach the threshold, or when all its sets are connected to the walking one already. A group
    returns a tree that spans its links, never pairs.
 4. *Between the groups* of a neighbourhood that was dealt out, each n-gram's sets in different components are compared: first
    the least set of each component with the least of all, round by round while that links any; then what is still
    apart meets in trees again, whose walks leave what is connected: the sets of one n-gram are a group, those of rare ones
-   together in one, those of one that more than ``MEMBERS`` sets have dealt into tiles, each pair of which is a group.
+   together in one, those of one that more than ``MEMBERS`` sets have, or sets of more than ``GRAMS`` n-grams, dealt into tiles, each pair of which is a group.
 
 Every row gets the size of its set and the smallest id that links reach from its text. Rows with a null id have no
 component and link nothing. Rows that repeat an id are judged each by its own text. Only the id and the
@@ -49,9 +49,11 @@ BUCKET, BUCKETS = 500_000, 64
 #: Sieved n-grams that a block of texts gathers before it sends any: what is common is sent once a block.
 BLOCK = 1 << 20
 ROUNDS = 3
+#: Tokens of the tree that a walk looks up at once.
+WALK = 1 << 20
 
 
-def similar(both: int, one: int, other: int) -> bool:
+def similar(both: np.ndarray, one: int, other: np.ndarray) -> np.ndarray:
     """100 * intersection >= 75 * union."""
     return 7 * both >= 3 * (one + other)
 
@@ -204,87 +206,119 @@ def _members_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class PrefixTree:
-    """Sets of token ranks, each ascending, with shared beginnings stored once."""
+    """Sets of token ranks, each ascending, with shared beginnings stored once.
+
+    A place is a set's number in the order of the sets. Nodes are columns, by number: the places ``lo`` to ``hi`` below, the depths
+    ``before`` and ``after`` its tokens, where those lie in ``flat``, the first and last of them, the ``least`` and ``most`` tokens of
+    a set below, and how many sets ``ends`` there. Children are numbered one after the other.
+    """
 
     def __init__(self, sets: list[np.ndarray], tokens: int, parts: np.ndarray | None = None):
         """``parts``: what each set is connected to already; sets of one part aren't compared."""
-        self.sets = sets
-        self.size = np.array([len(s) for s in sets])
         self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
-        self.root = np.arange(len(sets))  # by place in the order
+        self.sets = [sets[i] for i in self.order]
+        self.root = np.arange(len(sets))  # by place
         if parts is not None and len(sets):
             _, first, of = np.unique(parts[self.order], return_index=True, return_inverse=True)
             self.root = first[of]
         self.mark = np.zeros(tokens, bool)
-        self.nodes = self._build()
-
-    def _build(self) -> list[tuple]:
-        """Nodes in pre-order: (first place, end place, depth before, its tokens, depth after, least size, most size, next node not below)."""
-        nodes: list[tuple] = []
-        order, sets = self.order, self.sets
-        stack = [(0, len(order), 0)]
-        while stack:
-            item = stack.pop()
-            if item[0] == "close":
-                nodes[item[1]] = (*nodes[item[1]], len(nodes))
-                continue
-            lo, hi, depth = item
-            a, b = sets[order[lo]], sets[order[hi - 1]]
-            size = min(len(a), len(b))
-            differ = np.flatnonzero(a[depth:size] != b[depth:size])
-            end = depth + int(differ[0]) if len(differ) else size
-            own = self.size[[order[i] for i in range(lo, hi)]]
-            nodes.append((lo, hi, depth, a[depth:end], end, int(own.min()), int(own.max())))
-            stack.append(("close", len(nodes) - 1, 0))
+        self._build()
+
+    def _build(self) -> None:
+        sets = self.sets
+        size = np.array([len(s) for s in sets], np.int64)
+        starts = np.cumsum(size) - size
+        self.flat = np.concatenate(sets) if sets else np.zeros(0, np.uint32)
+        rows: list[tuple] = []
+        waiting = [(0, len(sets), 0)] if sets else []  # level by level, so that children lie together
+        numbered = len(waiting)
+        for lo, hi, depth in waiting:
+            one, other = sets[lo], sets[hi - 1]
+            short = min(len(one), len(other))
+            differ = np.flatnonzero(one[depth:short] != other[depth:short])
+            end = depth + int(differ[0]) if len(differ) else short
+            own = size[lo:hi]
             at = lo
-            while at < hi and len(sets[order[at]]) == end:
+            while at < hi and size[at] == end:
                 at += 1
-            children = []
+            ends = at - lo
             while at < hi:
-                token, low, high = sets[order[at]][end], at, hi
+                token, low, high = sets[at][end], at, hi
                 while low < high:
                     mid = (low + high) // 2
-                    if sets[order[mid]][end] <= token:
+                    if sets[mid][end] <= token:
                         low = mid + 1
                     else:
                         high = mid
-                children.append((at, low, end))
+                waiting.append((at, low, end))
                 at = low
-            stack += reversed(children)
-        return nodes
+            edge = (int(one[depth]), int(one[end - 1])) if end > depth else (0, -1)
+            rows.append((lo, hi, depth, end, starts[lo] + depth, *edge, own.min(), own.max(), ends, numbered, len(waiting)))
+            numbered = len(waiting)
+        columns = np.array(rows, np.int64).reshape(-1, 12).T
+        self.lo, self.hi, self.before, self.after, self.start, self.first, self.last, self.least, self.most, self.ends, self.child, self.child_end = columns
 
     def connect(self) -> np.ndarray:
         """The least place connected with each place, by links of similar sets."""
-        for x in range(len(self.order)):
-            self._walk(x)
+        stale = True
+        for x in range(len(self.sets)):
+            if stale:
+                changes = np.concatenate([[0], np.cumsum(self.root[1:] != self.root[:-1])])
+                self.one = changes[self.lo] == changes[self.hi - 1]  # nodes whose sets are all connected; they stay so
+            stale = self._walk(x)
         return self.root
 
-    def _walk(self, x: int) -> None:
-        own = self.sets[self.order[x]]
+    def _walk(self, x: int) -> bool:
+        """Link a set with later ones, a level of the tree at a time; whether that connected anything new."""
+        own = self.sets[x].astype(np.int64)
         n = len(own)
         self.mark[own] = True
-        overlap = {0: 0}  # by depth, on the way to the node at hand
-        at = 0
-        while at < len(self.nodes):
-            lo, hi, before, tokens, after, least, most, skip = self.nodes[at]
-            if hi - 1 <= x or (self.root[max(lo, x + 1) : hi] == self.root[x]).all():
-                at = skip
-                continue
-            both = overlap[before] + int(self.mark[tokens].sum())
-            left = n - int(np.searchsorted(own, tokens[-1], "right")) if len(tokens) else n - (int(np.searchsorted(own, self.sets[self.order[lo]][before - 1], "right")) if before else 0)
-            best = min(max(after + left, least), most)
-            if not similar(both + min(left, best - after), n, best):
-                at = skip
-                continue
-            overlap[after] = both
-            place = lo
-            while place < hi and self.size[self.order[place]] == after:
-                if place > x and self.root[place] != self.root[x] and similar(both, n, after):
-                    a, b = sorted((int(self.root[x]), int(self.root[place])))
-                    self.root[self.root == b] = a
-                place += 1
-            at += 1
+        linked = [np.zeros(0, np.int64)]
+        nodes = overlap = np.zeros(1, np.int64)  # the overlap is that with the way to the nodes
+        while len(nodes):
+            stay = (self.hi[nodes] - 1 > x) & ~(self.one[nodes] & (self.root[self.lo[nodes]] == self.root[x]))
+            nodes, overlap = nodes[stay], overlap[stay]
+            stay = self._reach(nodes, overlap, self.before[nodes], n - np.searchsorted(own, self.first[nodes]), n)
+            nodes, overlap = nodes[stay], overlap[stay]
+            overlap = overlap + self._marked(nodes)
+            stay = self._reach(nodes, overlap, self.after[nodes], n - np.searchsorted(own, self.last[nodes], "right"), n)
+            nodes, overlap = nodes[stay], overlap[stay]
+            close = nodes[similar(overlap, n, self.after[nodes])]
+            linked.append(_ranges(self.lo[close], self.ends[close]))
+            width = self.child_end[nodes] - self.child[nodes]
+            nodes, overlap = _ranges(self.child[nodes], width), np.repeat(overlap, width)
         self.mark[own] = False
+        places = np.concatenate(linked)
+        roots = np.unique(self.root[np.append(places[places > x], x)])
+        moved = np.zeros(len(self.root), bool)
+        moved[roots[1:]] = True
+        if len(roots) > 1:
+            self.root[moved[self.root]] = roots[0]
+        return len(roots) > 1
+
+    def _reach(self, nodes: np.ndarray, overlap: np.ndarray, depth: np.ndarray, left: np.ndarray, n: int) -> np.ndarray:
+        """Whether a set below, of the best size there is, can be similar if it has all of the ``left`` tokens after a depth."""
+        best = np.minimum(np.maximum(depth + left, self.least[nodes]), self.most[nodes])
+        return similar(overlap + np.minimum(left, best - depth), n, best)
+
+    def _marked(self, nodes: np.ndarray) -> np.ndarray:
+        """How many of each node's tokens the walking set has."""
+        sizes = self.after[nodes] - self.before[nodes]
+        ends = np.cumsum(sizes)
+        found, at = [np.zeros(0, np.int64)], 0
+        while at < len(nodes):
+            done = ends[at] - sizes[at]
+            to = max(at + 1, int(np.searchsorted(ends, done + WALK, "right")))
+            hits = np.concatenate([[0], np.cumsum(self.mark[self.flat[_ranges(self.start[nodes[at:to]], sizes[at:to])]])])
+            found.append(hits[ends[at:to] - done] - hits[ends[at:to] - sizes[at:to] - done])
+            at = to
+        return np.concatenate(found)
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers of ranges, one range after the other."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
 
 
 def _tree_pass(rows: pa.Table) -> pa.Table:
@@ -301,7 +335,7 @@ def _tree_pass(rows: pa.Table) -> pa.Table:
     tree = PrefixTree(sets, len(known), rows.column("part").to_numpy() if "part" in rows.column_names else None)
     root = tree.connect()
     keys = rows.column("key").to_numpy()
-    order = np.array(tree.order)
+    order = np.array(tree.order, np.int64)
     part = np.empty(len(keys), np.int64)
     for r in np.unique(root):
         own = order[root == r]
@@ -325,7 +359,7 @@ def _relabelled(parts: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFra
     return scratch.keep(parts.join(merged, "part", "left").select("key", F.coalesce("component", "part").alias("part")))
 
 
-def _between(parts: DataFrame, prefix: DataFrame, members: DataFrame, scratch: Scratch, most: int) -> DataFrame:
+def _between(parts: DataFrame, prefix: DataFrame, members: DataFrame, scratch: Scratch, most: int, grams_most: int) -> DataFrame:
     """``parts`` with the links between groups. ``prefix``: (gram, key, n) of the sets in dealt-out neighbourhoods."""
     apart = lambda parts: _apart(prefix.join(parts, "key"), scratch)
     for _ in range(ROUNDS):
@@ -337,11 +371,12 @@ def _between(parts: DataFrame, prefix: DataFrame, members: DataFrame, scratch: S
         if found.isEmpty():
             break
         parts = _relabelled(parts, found, scratch)
-    rows = apart(parts).select("gram", "key")
+    rows = apart(parts).select("gram", "key", "n")
     if rows.isEmpty():
         return parts
-    counts = scratch.keep(rows.groupBy("gram").agg(F.ceil(F.count("*") / most).cast("int").alias("tiles")))
-    buckets = max(1, -(-rows.count() // most))
+    parted = lambda: F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / grams_most)).cast("int")  # noqa: E731  by sets and by their n-grams
+    counts = scratch.keep(rows.groupBy("gram").agg(parted().alias("tiles")))
+    buckets = rows.agg(parted().alias("n")).first()["n"]
     none = F.lit(-1).alias
     small = rows.join(counts.where("tiles = 1"), "gram").select(F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("g"), none("x"), none("y"), "key").distinct()
     deal = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
@@ -396,7 +431,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", member
     parts = scratch.keep(dealt.select("near", "deal", "key", "grams").groupBy("near", "deal").applyInArrow(_tree_pass, "key long, part long"))
     if not sized.where("deals > 1").isEmpty():
         large = near.join(sized.where("deals > 1"), "near", "left_semi").select("key")
-        parts = _between(parts, prefix.join(large, "key", "left_semi"), members, scratch, members_most)
+        parts = _between(parts, prefix.join(large, "key", "left_semi"), members, scratch, members_most, grams_most)
 
     named = parts.distinct().join(left, "key")
     component = named.groupBy("part").agg(F.min("node").alias("component"))
