@@ -51,13 +51,14 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str, str]] =
     """struct<rule, verdict> of the longest rule that fits, else null.
 
     Each suffix of the host is looked up among the rules by host, so the cost follows the labels
-    of the host and the rules of one host, not all rules.
+    of the host and the rules of one host, not all rules. Without rules none fits.
     """
     by_host: dict[str, list[tuple[str, str]]] = {}
     for verdict, rule_host, rule_path in rules:
         by_host.setdefault(rule_host, []).append((rule_path, verdict))
     rank = lambda h, p, v: F.struct(F.lit(len(h + p)).alias("size"), F.lit(v == "block").alias("block"), F.lit(p).alias("path"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))
     known = F.create_map(*[x for h, ps in by_host.items() for x in (F.lit(h), F.array(*[rank(h, p, v) for p, v in ps]))])
+    known = known if by_host else F.create_map().cast("map<string, array<struct<size: int, block: boolean, path: string, rule: string, verdict: string>>>")
     labels = F.split(host, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     found = F.flatten(F.filter(F.transform(suffixes, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull()))

@@ -440,3 +440,10 @@ def test_pipeline_stages_of_odd_rows(spark):
     for stage in stages[:-1]:
         assert stage(spark, clash, SF).columns == clash.columns and stage(spark, some.limit(0), SF).collect() == []
     assert stages[-1](spark, some.limit(0), SF).collect() == [] and stages[-1](spark, some, SF).count() == len(rows)
+
+
+def test_no_rules(spark):
+    """Without rules every url is left to the model."""
+    urls = spark.createDataFrame([("a.com", "/x"), ("", "")], "host string, path string")
+    got = urls.select(url_filter.matched_rule(F.col("host"), F.col("path"), []).alias("m")).select("m.rule", "m.verdict").collect()
+    assert [tuple(r) for r in got] == [(None, None)] * 2
