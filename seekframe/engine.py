@@ -118,15 +118,13 @@ class Engine:
     def import_json(self, project: str, file: str, provider: str) -> int:
         """Take a provider's symbols and relations from a JSON snapshot of the project's folder; the generation."""
         row = self.resolve(project)
-        texts = self.spark.read.text(file, wholetext=True)
+        texts = self.spark.read.text(scan.plain_file(self.spark, file, importers.SNAPSHOT_MOST), wholetext=True)
         return self.replace_provider(row[0], provider, *importers.json_snapshot(texts, self.table(row[0], "files"), row[2], provider))
 
     def import_index(self, project: str, file: str, provider: str) -> int:
         """Take a provider's symbols and relations from a protobuf index; the generation."""
         row = self.resolve(project)
-        blobs = self.spark.read.format("binaryFile").load(file)
-        if not blobs.where(F.col("length") > importers.INDEX_MOST).isEmpty():
-            raise ValueError("the index is too large")
+        blobs = self.spark.read.format("binaryFile").load(scan.plain_file(self.spark, file, importers.INDEX_MOST))
         return self.replace_provider(row[0], provider, *importers.protobuf_index(blobs.select("content"), provider))
 
     def index_vectors(self, project: str, vectors: DataFrame, provenance: dict, rebuild: bool = False) -> int:

@@ -23,14 +23,20 @@ def delta(stored: DataFrame, scanned: DataFrame) -> DataFrame:
 
 
 def fingerprint(files: DataFrame, keys: tuple[str, ...] = ("project",)) -> DataFrame:
-    """(*keys, fingerprint): SHA-256 over the files in path order, each with its hash, language and category.
+    """(*keys, fingerprint): SHA-256 over the files, each with its path, hash, language and category.
 
-    The digest of one sequence: a key's lines (about a hundred bytes a file, no texts) meet in one row. Snapshots are
-    compared by delta() instead, which has no such row.
+    Files are dealt by the first four hexadecimal digits of their path's SHA-256. A digest is made of each deal's lines in path
+    order, one of the digests with the same first two digits in order, and one of those: no row holds more than a
+    deal's lines, one in 65,536 of a key's, or 256 digests.
     """
     line = F.concat_ws("\0", "path", "hash", "language", "category", F.lit("\n"))
-    lines = F.array_sort(F.collect_list(F.struct("path", line.alias("line"))))
-    return files.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), ""), 256).alias("fingerprint"))
+    rows = files.select(*keys, F.substring(F.sha2("path", 256), 1, 4).alias("deal"), F.col("path").alias("place"), line.alias("line"))
+    for digits in (4, 2, 0):
+        lines = F.array_sort(F.collect_list(F.struct("place", "line")))
+        digest = F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), ""), 256)
+        rows = rows.groupBy(*keys, F.substring("deal", 1, digits).alias("deal")).agg(digest.alias("digest"))
+        rows = rows.select(*keys, "deal", "digest", F.col("deal").alias("place"), F.concat("deal", "digest").alias("line"))
+    return rows.select(*keys, F.col("digest").alias("fingerprint"))
 
 
 def statistics(files: DataFrame, symbols: DataFrame, relations: DataFrame) -> DataFrame:

@@ -273,7 +273,11 @@ SQL: dict[str, str] = {
     "type_owner_min": f"WITH {SYMBOLS} SELECT qualified, min(path) AS owner FROM symbols WHERE kind NOT IN ('METHOD', 'CONSTRUCTOR') GROUP BY qualified",
     "targeted_file_lookup": f"WITH {FILES} SELECT source AS project, path, language, size FROM files WHERE doc_id IN (SELECT n * 7 FROM range(100) AS r(n))",
     "file_classification": f"WITH {FILES} SELECT path, language, category, CAST(greatest(1, (size + 3) // 4) AS INTEGER) AS tokens, {TOKENS} AS context_tokens FROM files",
-    "content_hash_fingerprint": f"WITH {FILES} SELECT source AS project, sha256(string_agg(path || chr(0) || hash || chr(0) || language || chr(0) || category || chr(0) || chr(10), '' ORDER BY path)) AS fingerprint FROM files GROUP BY source",
+    "content_hash_fingerprint": f"""
+        WITH {FILES},
+        deals AS (SELECT source, substr(sha256(path), 1, 4) AS deal, sha256(string_agg(path || chr(0) || hash || chr(0) || language || chr(0) || category || chr(0) || chr(10), '' ORDER BY path)) AS digest FROM files GROUP BY 1, 2),
+        pairs AS (SELECT source, substr(deal, 1, 2) AS pair, sha256(string_agg(deal || digest, '' ORDER BY deal)) AS digest FROM deals GROUP BY 1, 2)
+        SELECT source AS project, sha256(string_agg(pair || digest, '' ORDER BY pair)) AS fingerprint FROM pairs GROUP BY source""",
     "delta_changes": f"""
         WITH {FILES}, stored AS (SELECT path, hash FROM files UNION ALL SELECT 'old/' || path, hash FROM files WHERE doc_id % 3 = 0),
         scanned AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN sha256(hash || 'x') ELSE hash END AS hash FROM files UNION ALL SELECT 'new/' || path, hash FROM files WHERE doc_id % 5 = 0)

@@ -154,6 +154,8 @@ def _document(data: bytes) -> tuple[list[tuple], list[tuple]]:
 
 # The largest index and the largest document of one.
 INDEX_MOST, DOCUMENT_MOST = 256 << 20, 16 << 20
+#: What one row can hold.
+SNAPSHOT_MOST = (1 << 31) - 1
 
 
 def protobuf_index(blobs: DataFrame, provider: str, index_most: int = INDEX_MOST, document_most: int = DOCUMENT_MOST) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import stat
 from collections.abc import Iterator
 
@@ -126,6 +127,26 @@ def scan(spark: SparkSession, root: str, project: str, ignore_files: tuple[str,
     return files, large.unionByName(spark.createDataFrame(odd, "path string, reason string"))
 
 
+def plain_file(spark: SparkSession, path: str, most: int) -> str:
+    """The address of one regular file of at most so many bytes that isn't a link; ValueError otherwise.
+
+    Wildcards aren't expanded: a file is read by the name that it has.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    at = fs.makeQualified(at)
+    if not fs.exists(at):
+        raise ValueError("there is no such file")
+    local = at.toUri().getScheme() == "file"
+    status = fs.getFileLinkStatus(at) if fs.supportsSymlinks() else fs.getFileStatus(at)
+    regular = stat.S_ISREG(os.lstat(at.toUri().getPath()).st_mode) if local else status.isFile()
+    if status.isSymlink() or not regular:
+        raise ValueError("the file is a link or no regular file")
+    if status.getLen() > most:
+        raise ValueError("the file is too large")
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", at.toString())
+
+
 def inside(root: str, path: str) -> str:
     """The real place of a local path that must lie in a local root, no part of it a link; ValueError otherwise."""
     top = os.path.realpath(root)

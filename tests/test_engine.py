@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seekframe import __main__
 from seekframe.engine import Engine, NotReady
 from seekframe.operators.index import Snapshots
-from seekframe.sources import importers
+from seekframe.sources import importers, scan
 from seekframe.streaming.follow import follow
 
 FILES = {
@@ -130,6 +130,15 @@ def test_imports(engine, spark, tmp_path):
     engine.import_json("one", str(tmp_path / "s.json"), "ext")
     assert engine.search("one", {1: "zebra"}).first()["path"] == "docs/guide.md"
     assert __main__.main(["--home", engine.home, "import-json", "one", str(tmp_path / "none.json"), "ext"]) != 0
+    (tmp_path / "odd [1]{a}*.json").write_text(json.dumps(body))
+    engine.import_json("one", str(tmp_path / "odd [1]{a}*.json"), "ext")  # a name, not a pattern
+    (tmp_path / "link.json").symlink_to(tmp_path / "s.json")
+    for take in (engine.import_json, engine.import_index):
+        for bad in ("link.json", "*.json", "none.json", "."):
+            with pytest.raises(ValueError, match="file"):
+                take("one", str(tmp_path / bad), "ext")
+    with pytest.raises(ValueError, match="too large"):
+        scan.plain_file(spark, str(tmp_path / "s.json"), 10)
     engine.replace_provider("one", "ext", spark.createDataFrame([], importers.SYMBOLS), spark.createDataFrame([], importers.RELATIONS))
     assert engine.search("one", {1: "zebra"}).isEmpty()
 

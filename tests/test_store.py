@@ -145,3 +145,19 @@ def test_registry_of_two_writers(spark, tmp_path):
     assert {r[1] for r in one._rows()} == {"a", "b"}
     with pytest.raises(ValueError):
         two.add("c", "/a")
+
+
+def test_fingerprint_by_ranges(spark):
+    """One digest a project, whatever the order and partitioning; every column of a file counts, and so does a file's name."""
+    rows = [("p", f"src/{i}.py", f"h{i}", "python", "SOURCE") for i in range(3000)]
+    schema = "project string, path string, hash string, language string, category string"
+    told = lambda rows, n=3: {r[0]: r[1] for r in index.fingerprint(spark.createDataFrame(rows, schema).repartition(n)).collect()}
+    first = told(rows)
+    assert set(first) == {"p"} and len(first["p"]) == 64 and told(rows[::-1], 7) == first
+    seen = {first["p"]}
+    for at, new in enumerate([("src/x.py",), ("src/7.py", "other"), ("src/7.py", "h7", "java"), ("src/7.py", "h7", "python", "TEST")]):
+        changed = [*rows[:7], ("p", *new, *rows[7][1 + len(new) :]), *rows[8:]]
+        seen.add(told(changed)["p"])
+        assert len(seen) == at + 2
+    assert told(rows[:-1])["p"] not in seen and told([]) == {}
+    assert told([*rows, *[("q", *r[1:]) for r in rows]]) == {"p": first["p"], "q": first["p"]}
