@@ -411,3 +411,30 @@ def test_plans_have_no_nested_loops(spark):
     for name in ("longest_prefix_owner", "graph_two_hop_scores", "targeted_file_lookup", "recency_scores", "lexical_bm25_topk"):
         plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+@pytest.mark.parametrize("entries", [1, 3, scan.ENTRIES])
+def test_listing_by_tasks(spark, tmp_path, entries):
+    """However little a task lists, all files are found once; links are told and not entered, wherever they lead."""
+    root, want = tmp_path / "r", set()
+    for folder in ("", "a", "a/b", "a/b/c d", ".h/x", "e/%20/[1]"):
+        (root / folder).mkdir(parents=True, exist_ok=True)
+        for name in ("1.py", "_2", "empty"):
+            (root / folder / name).write_text("" if name == "empty" else folder)
+            want.add((f"{folder}/{name}".lstrip("/"), "file", 0 if name == "empty" else len(folder)))
+    (root / "a" / "Never" / "in").mkdir(parents=True)
+    (root / "a" / "Never" / "in" / "x.py").write_text("x")
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "secret.py").write_text("s")
+    for at, to in (("a/up", ".."), ("a/b/away", "../../../out"), ("e/gone", "nowhere"), ("e/self", "self"), ("e/file.py", "../1.py")):
+        (root / at).symlink_to(to)
+        want.add((at, "link", len(to)))
+    got = scan.listing(spark, str(root), {"never"}, entries)
+    assert {tuple(r) for r in got.select("path", "kind", "length").collect()} == want and got.count() == len(want)
+    files, odd = scan.scan(spark, str(root), "p")
+    assert {r["path"] for r in files.select("path").collect()} == {p for p, kind, _ in want if kind == "file" and p.endswith(".py")} | {"a/Never/in/x.py"}
+    assert {r["path"] for r in odd.collect()} == {p for p, kind, _ in want if kind == "link"}
+    (root / "1.py").unlink()
+    (root / "1.py").symlink_to(tmp_path / "out" / "secret.py")  # between listing and reading
+    with pytest.raises(Exception, match="symbolic links|Errno"):
+        files.collect()
