@@ -8,7 +8,7 @@ ranked again over all groups (k rows a group and query).
 In a block of candidates each dimension is a list sorted by size of component, largest first. For a query,
 the lists are read in order, all down to the same contribution |q_d * c_d|, which falls round by round.
 What a candidate has been seen with sums up; what it has not been seen with is within plus or minus the last
-contribution read of each such list. So every candidate has a lower and an upper bound. Those whose upper
+contribution read of any such list, times their number. So every candidate has a lower and an upper bound. Those whose upper
 bound is below the k-th best lower bound cannot qualify any more; reading stops once the others are few,
 and their scores are then resolved in full.
 
@@ -34,13 +34,15 @@ from pyspark.sql import functions as F
 from seekframe.tables import table
 
 K = 5
-QUERY_BLOCK, CANDIDATE_BLOCK = 8192, 4096
+QUERY_BLOCK, CANDIDATE_BLOCK = 8192, 8192
 #: Below these, sums of products are exact in doubles and in 64-bit integers.
 EXACT, LONG = 2.0**53, 2.0**62
 #: Partitions of the pairs of blocks, at most.
 GROUPS = 20_000
-#: Contributions down to which lists are read, as parts of a typical one.
-ROUNDS = (0.5, 0.3, 0.2, 0.12, 0.06, 0.0)
+#: Contributions down to which lists are read, as parts of a typical one. Above the first bounds leave nearly all candidates.
+ROUNDS = (0.25, 0.1, 0.0)
+#: Reading stops when one candidate in so many is left: their scores cost less than reading on.
+LEFT = 4
 
 
 class Lists:
@@ -50,11 +52,9 @@ class Lists:
         self.vectors = vectors
         size = np.abs(vectors)
         order = np.argsort(-size, axis=0, kind="stable")
-        self.ids = np.ascontiguousarray(order.T).astype(np.int32)
+        self.ids = np.ascontiguousarray(order.T)
         self.values = np.ascontiguousarray(np.take_along_axis(vectors, order, 0).T)
         self.falling = -np.abs(self.values)
-        self.places = np.empty(vectors.shape, np.int32)
-        np.put_along_axis(self.places, order, np.arange(len(vectors), dtype=np.int32)[:, None], 0)
         self.typical = float(np.sqrt((vectors**2).mean())) if vectors.size else 0.0
         self.most = float(size.max()) if vectors.size else 0.0
         self.whole: np.ndarray | None = None  # the vectors as integers, made when doubles don't do
@@ -62,7 +62,7 @@ class Lists:
     def survivors(self, query: np.ndarray, k: int) -> np.ndarray:
         """Candidates that bounds leave in the running for the k best; at least the k best."""
         n, dims = self.vectors.shape
-        few = max(4 * k, n // 32)
+        few = max(4 * k, n // LEFT)
         alive = np.arange(n)
         if n <= few:
             return alive
@@ -71,7 +71,7 @@ class Lists:
         margin = 0.0 if product < EXACT else product * dims * 2.0**-50
         level = self.typical * float(np.sqrt((query**2).mean()))
         read = np.zeros(dims, np.int64)
-        sums = np.zeros(n)
+        sums, seen = np.zeros(n), np.zeros(n, np.int64)
         for part in ROUNDS:
             with np.errstate(divide="ignore", invalid="ignore"):
                 least = np.where(weight > 0, part * level / weight, np.inf)
@@ -80,9 +80,10 @@ class Lists:
             ids = np.concatenate([self.ids[d, a:b] for d, (a, b) in enumerate(zip(read, deep, strict=True))])
             got = np.concatenate([self.values[d, a:b] * query[d] for d, (a, b) in enumerate(zip(read, deep, strict=True))])
             sums += np.bincount(ids, weights=got, minlength=n)
+            seen += np.bincount(ids, minlength=n)
             read = deep
-            most = np.where(read < n, weight * -self.falling[np.arange(dims), np.minimum(read, n - 1)], 0.0)
-            slack = (self.places[alive] >= read).astype(np.float64) @ most
+            most = np.where(read < n, weight * -self.falling[np.arange(dims), np.minimum(read, n - 1)], 0.0).max()
+            slack = (dims - seen[alive]) * most
             own = sums[alive]
             kth = np.partition(own - slack, len(alive) - k)[len(alive) - k]
             alive = alive[own + slack >= kth - margin]
